@@ -4,10 +4,14 @@ from __future__ import annotations
 
 
 from .host_rules import op10_host_rules
+from .packing import op3_packing
 from .secrets import op1_secrets
+from .warc import op4_warc
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op10_host_rules": op10_host_rules,
 }
 
