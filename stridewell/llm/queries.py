@@ -4,14 +4,18 @@ from __future__ import annotations
 
 
 from .host_rules import op10_host_rules
+from .mil_quality import op6_mil_quality
 from .packing import op3_packing
 from .secrets import op1_secrets
+from .toxicity import op5_toxicity
 from .warc import op4_warc
 
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
+    "op6_mil_quality": op6_mil_quality,
     "op10_host_rules": op10_host_rules,
 }
 
