@@ -7,7 +7,11 @@ each such range; filters on record type and header columns are pushed down, head
 the payload of a record that no filter keeps (or of any record with option payload=false) is skipped with a
 seek and never decoded.
 
-Options: path (a folder that all executors reach; file:, hdfs:, s3: and what else pyarrow opens), payload.
+Archives are compressed as the format asks, in gzip members: one for the headers of a record, one for its
+block. A header field holds the stored size of the block, so it can still be skipped unread.
+
+Options: path (a folder that all executors reach; file:, hdfs:, s3: and what else pyarrow opens), payload,
+compression (gzip or none).
 
 Defined results: a null html is an empty payload; a null url leaves out WARC-Target-URI and reads back as
 null; line breaks in a url are percent-encoded; rows that share the largest page_id of a payload are all
@@ -20,6 +24,7 @@ import base64
 import hashlib
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,8 +67,10 @@ def _http(payload: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
 
 
-def record(kind: str, record_id: str, uri: str | None, date: str, payload: bytes, refers_to: str | None) -> bytes:
+def record(kind: str, record_id: str, uri: str | None, date: str, payload: bytes, refers_to: str | None, gzip: bool = False) -> bytes:
     """One record; a revisit keeps digest and length of its payload but not the payload."""
+    block = _http(payload) + (b"" if kind == "revisit" else payload)
+    stored = zipped(block + b"\r\n\r\n") if gzip else block + b"\r\n\r\n"
     head = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<{record_id}>"),
@@ -73,11 +80,18 @@ def record(kind: str, record_id: str, uri: str | None, date: str, payload: bytes
         ("X-Full-Payload-Length", str(len(payload))),
         ("WARC-Profile", REVISIT_PROFILE if kind == "revisit" else None),
         ("WARC-Refers-To", f"<{refers_to}>" if refers_to else None),
+        ("X-Stored-Block-Length", str(len(stored))),
         ("Content-Type", "application/http; msgtype=response"),
     ]
-    block = _http(payload) + (b"" if kind == "revisit" else payload)
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in head if v is not None), f"Content-Length: {len(block)}", "", ""]
-    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+    written = "\r\n".join(lines).encode()
+    return (zipped(written) if gzip else written) + stored
+
+
+def zipped(data: bytes) -> bytes:
+    """One gzip member."""
+    packer = zlib.compressobj(1, wbits=31)
+    return packer.compress(data) + packer.flush()
 
 
 @dataclass
@@ -90,12 +104,12 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows record_type, record_id, target_uri, date, payload, refers_to; see ``record``."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, gzip: bool):
+        self.path, self.gzip = path, gzip
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, folder = opened(self.path)
-        name, at, splits, out = f"part-{uuid.uuid4().hex}.warc", 0, [0], None
+        name, at, splits, out = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip, 0, [0], None
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None:
@@ -103,7 +117,7 @@ class WarcWriter(DataSourceArrowWriter):
                     out = files.open_output_stream(f"{folder}/{name}")
                 if at - splits[-1] >= SPLIT_BYTES:
                     splits.append(at)
-                data = record(row["record_type"], row["record_id"], row["target_uri"], row["date"], row["payload"] or b"", row["refers_to"])
+                data = record(row["record_type"], row["record_id"], row["target_uri"], row["date"], row["payload"] or b"", row["refers_to"], self.gzip)
                 out.write(data)
                 at += len(data)
         if out is not None:
@@ -160,22 +174,22 @@ class WarcReader(DataSourceReader):
         if partition is None:
             return
         files, folder = opened(self.path)
-        rows, held = [], 0
+        rows, held, gzip = [], 0, partition.file.endswith(".gz")
         with files.open_input_file(f"{folder}/{partition.file}") as raw:
             raw.seek(partition.start)
             stream = Buffered(raw)
             while stream.at < partition.end - partition.start:
-                head = headers(stream)
+                head = headers(stream.member() if gzip else stream.until(b"\r\n\r\n"))
                 length, payload = int(head["content-length"]), None
+                stored = int(head.get("x-stored-block-length", length + 4))
                 if not self.kept(head):
-                    stream.skip(length + 4)
+                    stream.skip(stored)
                     continue
                 if self.payload and head["warc-type"] == "response":
-                    block = stream.take(length)
+                    block = (zlib.decompress(stream.take(stored), 31) if gzip else stream.take(stored))[:length]
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    stream.skip(4)
                 else:
-                    stream.skip(length + 4)
+                    stream.skip(stored)
                 rows.append([*(head.get(h.lower()) for h in HEADERS.values()), int(head["x-full-payload-length"]), payload])
                 held += len(payload or b"") + 200
                 if held >= BATCH_BYTES:
@@ -214,6 +228,21 @@ class Buffered:
         if n > inside:
             self.raw.seek(self.raw.tell() + n - inside)
 
+    def member(self) -> bytes:
+        """The next gzip member, unpacked."""
+        unpack, out = zlib.decompressobj(31), b""
+        while not unpack.eof:
+            if self.pos == len(self.have):
+                self.have, self.pos = self.raw.read(self.size), 0
+                if not self.have:
+                    raise EOFError("a WARC header is cut short")
+            given = self.have[self.pos : self.pos + 4096]
+            out += unpack.decompress(given)
+            used = len(given) - len(unpack.unused_data)
+            self.pos += used
+            self.at += used
+        return out
+
     def until(self, mark: bytes) -> bytes:
         while (end := self.have.find(mark, self.pos)) < 0:
             more = self.raw.read(self.size)
@@ -223,9 +252,9 @@ class Buffered:
         return self.take(end + len(mark) - self.pos)
 
 
-def headers(stream: Buffered) -> dict[str, str]:
+def headers(written: bytes) -> dict[str, str]:
     """Header fields by lower-case name; digests and ids without their marks."""
-    lines = stream.until(b"\r\n\r\n")[:-4].decode().split("\r\n")
+    lines = written[:-4].decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:80]!r}")
     head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
@@ -249,7 +278,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true") == "true")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], self.options.get("compression", "gzip") == "gzip")
 
 
 def register(spark: SparkSession) -> None:
@@ -280,9 +309,9 @@ def page_records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     )
 
 
-def write(records: DataFrame, path: str) -> None:
+def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     register(records.sparkSession)
-    records.write.format("warc").option("path", path).mode("append").save()
+    records.write.format("warc").option("path", path).option("compression", compression).mode("append").save()
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
