@@ -114,7 +114,7 @@ class WarcWriter(DataSourceArrowWriter):
             for row in batch.to_pylist():
                 if out is None:
                     files.create_dir(folder, recursive=True)
-                    out = files.open_output_stream(f"{folder}/{name}")
+                    out = files.open_output_stream(f"{folder}/{name}", compression=None)
                 if at - splits[-1] >= SPLIT_BYTES:
                     splits.append(at)
                 data = record(row["record_type"], row["record_id"], row["target_uri"], row["date"], row["payload"] or b"", row["refers_to"], self.gzip)
