@@ -8,6 +8,7 @@ from .html_main import op9_html_main
 from .mil_quality import op6_mil_quality
 from .packing import op3_packing
 from .secrets import op1_secrets
+from .spotsigs import op8_spotsigs
 from .toxicity import op5_toxicity
 from .warc import op4_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_mil_quality": op6_mil_quality,
+    "op8_spotsigs": op8_spotsigs,
     "op9_html_main": op9_html_main,
     "op10_host_rules": op10_host_rules,
 }
