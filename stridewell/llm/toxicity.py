@@ -29,7 +29,7 @@ from .common import fields, fold, texts
 
 BITS = 22
 #: Most labelled rows that the model is fitted on; their features fit one task.
-SAMPLE = 12_000
+SAMPLE = 6_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 PRIOR = 0.1
@@ -48,42 +48,94 @@ class _Words(dict):
     STEMS letters (0 where it is no longer than that); row 0 is for what has no letters."""
 
     def __init__(self):
-        self.table = np.zeros((REMEMBERED + 1, 1 + len(STEMS)), np.uint64)
+        self.table = np.zeros((1 << 14, 1 + len(STEMS)), np.uint64)
+        self.rows = 1
 
     def __missing__(self, word: str) -> int:
         bare = word.strip(MARKS).lower()
         if not bare:
+            self[word] = 0
             return 0
-        row = self[word] = len(self) + 1
+        row = self[word] = self.rows
+        self.rows += 1
+        if row >= len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
         hashed = [xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")) | 1]
         hashed += [xxhash.xxh3_64_intdigest(bare[:k].encode("utf-8", "surrogatepass"), seed=k) | 1 if len(bare) > k else 0 for k in STEMS]
         self.table[row] = hashed
         return row
 
+    def forget(self) -> None:
+        self.clear()
+        self.rows = 1
+
+    def rows_of(self, text: str) -> np.ndarray:
+        split = text.split()
+        found = np.fromiter(map(self.__getitem__, split), np.int64, len(split))
+        return found[found != 0]
+
 
 def word_hashes(text: str) -> np.ndarray:
     """A row of hashes for each word: the word, then its stems."""
     words = _shared.setdefault("words", _Words())
-    split = text.split()
-    out = []
-    for a in range(0, len(split), REMEMBERED // 4):
-        part = split[a : a + REMEMBERED // 4]
-        if len(words) + len(part) > REMEMBERED:
-            words.clear()
-        found = np.fromiter(map(words.__getitem__, part), np.int64, len(part))
-        out.append(words.table[found[found != 0]])
-    return np.concatenate(out) if out else np.zeros((0, 1 + len(STEMS)), np.uint64)
+    if len(words) > REMEMBERED:
+        words.forget()
+    rows = words.rows_of(text)
+    return words.table[rows]
+
+
+def spots(h: np.ndarray, factor: np.uint64, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (h * factor >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def neighbours(h: np.ndarray, bits: int) -> np.ndarray:
+    """Places of pairs and skip pairs."""
+    with np.errstate(over="ignore"):
+        two, skip = h[:-1] * MIX[1] ^ h[1:], h[:-2] * MIX[2] ^ h[2:]
+    return np.concatenate((spots(two, MIX[0], bits), spots(skip, MIX[1], bits)))
+
+
+def own_places(hashed: np.ndarray, bits: int) -> np.ndarray:
+    """Places of words and stems; a missing stem repeats its word."""
+    word, stems = spots(hashed[:, :1], MIX[0], bits), spots(hashed[:, 1:], MIX[2], bits)
+    return np.concatenate((word, np.where(hashed[:, 1:] != 0, stems, word)), axis=1)
 
 
 def places(hashed: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Places of all words, stems, pairs and skip pairs of a text, with repeats."""
-    shift, h, stems = np.uint64(64 - bits), hashed[:, 0], hashed[:, 1:].ravel()
-    with np.errstate(over="ignore"):
-        one = h * MIX[0]
-        two = (h[:-1] * MIX[1] ^ h[1:]) * MIX[0]
-        skip = (h[:-2] * MIX[2] ^ h[2:]) * MIX[1]
-        part = stems[stems != 0] * MIX[2]
-    return (np.concatenate((one, two, skip, part)) >> shift).astype(np.int64)
+    return np.concatenate((own_places(hashed, bits).ravel(), neighbours(hashed[:, 0], bits)))
+
+
+class Scorer:
+    """Scores texts by a fitted model. Whether a word or one of its stems has a weight is worked out once a
+    word; only such words, and neighbours that have a weight, are looked at further."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS):
+        at, w, self.bias = model
+        self.bits, self.table, self.words, self.known = bits, np.zeros(1 << bits, np.float32), _Words(), 1
+        self.table[at] = w
+        self.weighs = self.table != 0
+        self.flag = np.zeros(1, bool)
+
+    def scores(self, batch: list[str]) -> np.ndarray:
+        if len(self.words) > REMEMBERED:
+            self.words.forget()
+            self.known = 1
+        rows = [self.words.rows_of(t) for t in batch]
+        words = self.words
+        if len(self.flag) < len(words.table):
+            self.flag = np.concatenate((self.flag, np.zeros(len(words.table) - len(self.flag), bool)))
+        self.flag[self.known : words.rows] = self.weighs[own_places(words.table[self.known : words.rows], self.bits)].any(axis=1)
+        self.known = words.rows
+        out = np.empty(len(batch))
+        for k, r in enumerate(rows):
+            near = neighbours(words.table[r, 0], self.bits)
+            near = near[self.weighs[near]]
+            own = np.unique(r[self.flag[r]])
+            found = np.unique(np.concatenate((near, own_places(words.table[own], self.bits).ravel())))
+            out[k] = self.bias + float(self.table[found].astype(float).sum())
+        return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -136,47 +188,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     return labelled_sample(docs, labels, label, folds, held_out, most).groupBy(F.lit(1).alias("one")).applyInPandas(train, out)
 
 
-def score(docs: DataFrame, model: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id and score of every row; the model is one row of at most 2**bits pairs, in practice thousands."""
+def fitted(model: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """The model as arrays: one row of at most 2**BITS pairs, in practice hundreds. The prior if there is none."""
     rows = model.collect()
-    at, w, bias = (np.array(rows[0][0], np.int64), np.array(rows[0][1], np.float32), rows[0][2]) if rows else (np.zeros(0, np.int64), np.zeros(0, np.float32), math.log(PRIOR / (1 - PRIOR)))
-    shared = docs.sparkSession.sparkContext.broadcast((at, w, bias))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), math.log(PRIOR / (1 - PRIOR))
+    return np.array(rows[0][0], np.int64), np.array(rows[0][1], np.float32), rows[0][2]
+
+
+def score(docs: DataFrame, model: DataFrame, bits: int = BITS) -> DataFrame:
+    """doc_id and score of every row. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w, bias = shared.value
-        table = np.zeros(1 << bits, np.float32)
-        table[at] = w
-        for batch in batches:
-            scores = np.empty(batch.num_rows)
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                found = places(word_hashes(text), bits)
-                found = np.unique(found[table[found] != 0])
-                scores[k] = bias + float(table[found].astype(float).sum())
-            p = 1 / (1 + np.exp(-np.clip(scores, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+        scorer = Scorer(shared.value, bits)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.scores(batch.column("text").to_pylist()))], names=["doc_id", "score"])
 
     return texts(docs).mapInArrow(run, fields(("doc_id", "long"), ("score", "double")))
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, same columns, with a score under the threshold; scored in place, no text is shuffled."""
-    model = fit(docs, labels)
-    rows = model.collect()
-    at, w, bias = (np.array(rows[0][0], np.int64), np.array(rows[0][1], np.float32), rows[0][2]) if rows else (np.zeros(0, np.int64), np.zeros(0, np.float32), math.log(PRIOR / (1 - PRIOR)))
-    shared = docs.sparkSession.sparkContext.broadcast((at, w, bias))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(fit(docs, labels)))
 
     @F.pandas_udf("double")
     def scored(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        at, w, bias = shared.value
-        table = np.zeros(1 << BITS, np.float32)
-        table[at] = w
+        scorer = Scorer(shared.value)
         for column in columns:
-            out = np.empty(len(column))
-            for k, text in enumerate(column):
-                found = places(word_hashes(text))
-                found = np.unique(found[table[found] != 0])
-                out[k] = bias + float(table[found].astype(float).sum())
-            yield pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
+            found = [scorer.scores(column.iloc[a : a + 512].tolist()) for a in range(0, len(column), 512)]
+            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     return docs.filter(scored(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
 
