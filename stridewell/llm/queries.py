@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from .host_rules import op10_host_rules
+from .byte_bpe import op7_byte_bpe
 from .html_main import op9_html_main
 from .mil_quality import op6_mil_quality
 from .packing import op3_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_mil_quality": op6_mil_quality,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_spotsigs": op8_spotsigs,
     "op9_html_main": op9_html_main,
     "op10_host_rules": op10_host_rules,
