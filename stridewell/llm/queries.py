@@ -7,6 +7,7 @@ from .host_rules import op10_host_rules
 from .byte_bpe import op7_byte_bpe
 from .html_main import op9_html_main
 from .mil_quality import op6_mil_quality
+from .minhash_dedup import op2_minhash_dedup
 from .packing import op3_packing
 from .secrets import op1_secrets
 from .spotsigs import op8_spotsigs
@@ -15,6 +16,7 @@ from .warc import op4_warc
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
