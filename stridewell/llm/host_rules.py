@@ -80,6 +80,7 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     counted = base.select(
         "doc_id",
         "host",
+        F.xxhash64(text).alias("text_hash"),
         words.alias("w"),
         lines.alias("lines"),
         (F.length(text) - F.length(kept)).cast("long").alias("n_symbols"),
@@ -91,6 +92,7 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     hashed = counted.select(
         "doc_id",
         "host",
+        "text_hash",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -98,7 +100,7 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
         windows.alias("windows"),
     )
     repeats = F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("long")).otherwise(_covered(F.col("windows")))
-    out = hashed.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"))
+    out = hashed.select("doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -141,14 +143,11 @@ def apply_rules(docs: DataFrame, host: str = "source", host_rate: float = HOST_R
 
 
 def keep_documents(docs: DataFrame, host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
-    """The documents, all their columns, that base rule and host verdict keep. The text rules are worked
-    out on the way and only the small host table is joined: no text is shuffled."""
-    ruled = document_rules(docs, host)
-    refused = host_verdicts(ruled, host_rate).filter("host_refused").select(F.col("host").alias("_refused_host"))
-    kept_ids = ruled.filter(~F.col("base_failed")).select("doc_id", F.col("host").alias("_host"))
-    kept_ids = kept_ids.join(refused, F.col("_host").eqNullSafe(F.col("_refused_host")), "left_anti")
-    kept_ids = kept_ids.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept_ids, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The documents, all their columns, that base rule and host verdict keep. Verdicts are short rows by
+    doc_id and hash of the text; the documents meet them once."""
+    kept = apply_rules(docs, host, host_rate).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    own_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")) & (own_hash == F.col("_kept_hash")), "left_semi")
 
 
 def op10_host_rules(spark, sf_dir: str) -> DataFrame:
