@@ -6,9 +6,9 @@
    listed, as many as two sketches of similar sets cannot all miss (the prefix principle: if two sketches of
    k values share at least o, they share one of the k - o + 1 rarest). A passage that a third of all
    documents share is common and so is not listed where a document has rarer values.
-3. Candidates of a list are pairs with its head first; once those are linked, only members outside the list's
-   main component meet the others. So a group of n near copies costs about n pairs, not n^2, and no link
-   between two components is left out.
+3. Candidates of a list are pairs with its head first, in a few turns with other heads, each document linked to
+   its likeliest head; then members outside the list's main component meet all others. So a group of n near
+   copies costs a few n pairs, not n^2, and no link between two components is left out.
 4. The sketch of the union of two sets is the k smallest values of both sketches together; the share of it
    that both hold estimates their similarity, and pairs clearly below the threshold go.
 5. The rest is verified on the full sets, and components are formed.
@@ -38,6 +38,8 @@ WORDS = 5
 PERCENT = 80
 K = 64
 OVERLAP = 35
+#: Heads that a large group meets in a turn, and turns before all pairs between components are looked at.
+HEADS, TURNS = 8, 4
 REMEMBERED = 600_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -109,12 +111,16 @@ def similar_in_size(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def head_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of the head of each list (its least node) with its other members, and how many lists they
-    have in common."""
-    heads = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members")).filter("members > 1")
-    pairs = lists.join(heads.select("value", F.col("head.node").alias("a"), F.col("head.n").alias("na")), "value").filter(F.col("node") != F.col("a"))
-    return pairs.select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb")).filter(similar_in_size(percent)).distinct()
+def head_pairs(lists: DataFrame, components: DataFrame | None, percent: int, turn: int) -> DataFrame:
+    """Distinct pairs of the head of each list with its members of other components. The head is the member of
+    least hash, by a hash that differs between HEADS kinds of lists and between turns, so that a large group
+    meets a few heads a turn, not one and not all."""
+    placed = lists.withColumn("comp", F.col("node")) if components is None else lists.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    by = F.xxhash64("node", F.pmod(F.col("value"), F.lit(HEADS)), F.lit(turn))
+    heads = placed.groupBy("value").agg(F.min_by(F.struct("node", "n", "comp"), F.struct(by, "node")).alias("head"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+    heads = heads.select("value", F.col("head.node").alias("a"), F.col("head.n").alias("na"), F.col("head.comp").alias("ca"))
+    pairs = placed.join(heads, "value").filter(F.col("comp") != F.col("ca"))
+    return pairs.select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).filter(similar_in_size(percent)).distinct()
 
 
 def rest_pairs(lists: DataFrame, components: DataFrame, percent: int) -> DataFrame:
@@ -132,7 +138,7 @@ def rest_pairs(lists: DataFrame, components: DataFrame, percent: int) -> DataFra
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int, overlap: int) -> DataFrame:
-    """Pairs whose union sketch does not rule them out."""
+    """Pairs whose union sketch does not rule them out, with the estimate of their similarity."""
     own = classes.select("node", "sketch")
     both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, F.lit(k))
@@ -140,7 +146,13 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int, overla
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
     common = F.size(F.array_intersect("sa", "sb"))
     exact = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
-    return both.filter(F.when(whole, exact).otherwise(shared >= F.least(F.lit(overlap), F.size(union)))).select("a", "b")
+    likely = F.when(whole, exact).otherwise(shared >= F.least(F.lit(overlap), F.size(union)))
+    return both.select("a", "b", likely.alias("likely"), (shared / F.size(union)).alias("estimate")).filter("likely").select("a", "b", "estimate")
+
+
+def nearest_heads(pairs: DataFrame) -> DataFrame:
+    """Of a document's likely heads the likeliest: one pair for each document."""
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
@@ -200,11 +212,15 @@ def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, k: in
     classes = staged(classes, "dedup-nodes")
     lists = staged(inverted_lists(classes, percent, k, overlap), "dedup-lists")
 
-    first = staged(verified(staged(estimated(head_pairs(lists, percent), classes, percent, k, overlap), "dedup-pairs"), docs, members, size, percent), "dedup-links")
-    comps = connected(first)
-    rest = staged(estimated(rest_pairs(lists, comps, percent), classes, percent, k, overlap).join(first, ["a", "b"], "left_anti"), "dedup-pairs")
-    second = staged(verified(rest, docs, members, size, percent), "dedup-links")
-    comps = connected(first.unionByName(second))
+    links, comps = None, None
+    for turn in range(TURNS):
+        pairs = nearest_heads(estimated(head_pairs(lists, comps, percent, turn), classes, percent, k, overlap))
+        found = staged(verified(staged(pairs, "dedup-pairs"), docs, members, size, percent), "dedup-links")
+        links = found if links is None else links.unionByName(found)
+        comps = connected(links)
+    rest = staged(estimated(rest_pairs(lists, comps, percent), classes, percent, k, overlap).select("a", "b"), "dedup-pairs")
+    found = staged(verified(rest, docs, members, size, percent), "dedup-links")
+    comps = connected(links.unionByName(found))
 
     placed = members.join(comps, members["set"] == comps["node"], "left").select("set", "least_id", F.coalesce("comp", "set").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("least_id").alias("component_id"))

@@ -36,7 +36,7 @@ w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w
 base AS (
   SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM w),
 p AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
 g AS (SELECT r, i, hash(x, lead(x) OVER o, lead(x, 2) OVER o) AS h, lead(i, 2) OVER o IS NOT NULL AS whole FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
