@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import motion
+
+QUERIES: dict = {**motion.QUERIES}
+ORACLE_SQL: dict[str, str] = {**motion.ORACLE_SQL}
