@@ -1,11 +1,12 @@
 """Byte-level BPE in Spark's higher-order functions.
 
-``encode``: an Arrow pass gathers rows into blocks of about BLOCK_CHARS characters, and lists each
-block's distinct words (matches of the pattern) with the place of every match among them. The distinct
+``encode``: an Arrow pass gathers rows into blocks of about BLOCK_CHARS characters, and lists the distinct
+words (matches of the pattern) that a block adds to its task's, with the place of every match among them. The distinct
 words are encoded by higher-order functions: a word is the array of its bytes' ids, and a fold over it merges
 the neighbours of lowest rank, looked up in a literal rank map, until none is left. ``decode`` folds
 a word's ids into bytes by concatenating literal binary pieces. A last Arrow pass puts each text's ids together
-from its words. Nothing is shuffled; a word of a block is encoded once however often it occurs.
+from its words. Nothing is shuffled; a word is encoded once a task, until
+the task has REMEMBERED words and starts anew.
 
 The rank map is dealt into slots by hash, as a lookup in one large map literal would scan it. A word that is a
 piece of the vocabulary as a whole has that one id, as in the tiktoken library.
@@ -22,6 +23,7 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import fields, texts
 from .secrets import encoder, vocabulary
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 1_000_000
+#: Words that a task remembers before it starts anew.
+REMEMBERED = 300_000
 #: Bytes of a word that the fold takes.
 LONGEST = 64
 #: Slots of the rank map, a prime number.
@@ -130,8 +134,13 @@ class _Block:
         self.start()
 
     def start(self) -> None:
+        """Forget all words: the first block of a task, and then whenever there are too many."""
         self.words: dict[str, int] = {}
         self.chunks: dict[str, bytes] = {}
+        self.sent, self.anew = 0, True
+        self.empty()
+
+    def empty(self) -> None:
         self.ids, self.rows, self.chars = [], [], 0
 
     def place(self, words: list[str]) -> bytes:
@@ -155,14 +164,17 @@ class _Block:
         self.chars += len(text)
 
     def batch(self) -> pa.RecordBatch:
-        coded = [w.encode("utf-8", "surrogatepass") for w in self.words]
+        coded = [w.encode("utf-8", "surrogatepass") for w in islice(self.words, self.sent, None)]
         ranks, one = self.ranks, self.byte_ids
         whole = [ranks.get(w) for w in coded]
         short = [[r] if r is not None else [one[x] for x in w] if len(w) <= LONGEST else None for r, w in zip(whole, coded, strict=True)]
         long = [None if r is not None or len(w) <= LONGEST else np.array(self.enc.encode_ordinary(w.decode()), "<u4").tobytes() for r, w in zip(whole, coded, strict=True)]
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.binary())]
-        out = pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((self.ids, self.rows, short, long), kinds, strict=True)], names=["doc_ids", "rows", "words", "long_ids"])
-        self.start()
+        kinds = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.binary())]
+        out = pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((self.anew, self.ids, self.rows, short, long), kinds, strict=True)], names=["anew", "doc_ids", "rows", "words", "long_ids"])
+        self.sent, self.anew = len(self.words), False
+        if self.sent > REMEMBERED:
+            self.start()
+        self.empty()
         return out
 
 
@@ -185,7 +197,7 @@ def blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFr
         if block.rows:
             yield block.batch()
 
-    return texts(docs).mapInArrow(run, fields(("doc_ids", "array<long>"), ("rows", "array<binary>"), ("words", "array<array<int>>"), ("long_ids", "array<binary>")))
+    return texts(docs).mapInArrow(run, fields(("anew", "boolean"), ("doc_ids", "array<long>"), ("rows", "array<binary>"), ("words", "array<array<int>>"), ("long_ids", "array<binary>")))
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -195,18 +207,21 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_chars: int = BLO
     # Each literal is bound once, outside the loop over words.
     encoded = _let(pair_table(ranks), lambda table: F.transform("words", lambda w: F.when(w.isNotNull(), encode_word(w, table))))
     decoded = _let(pieces(ranks), lambda by_id: F.transform("ids", lambda i: F.when(i.isNotNull(), decode_word(i, by_id))))
-    both = blocks(docs, path, block_chars).select("doc_ids", "rows", "long_ids", encoded.alias("ids")).withColumn("decoded", decoded)
+    both = blocks(docs, path, block_chars).select("anew", "doc_ids", "rows", "long_ids", encoded.alias("ids")).withColumn("decoded", decoded)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = None
+        by_id, packed, plain = None, [], []
         for batch in batches:
             for k in range(batch.num_rows):
+                if batch.column("anew")[k].as_py():
+                    packed, plain = [], []
+                known = len(packed)
                 doc_ids, rows = batch.column("doc_ids")[k].values, batch.column("rows")[k].values
                 ids, long_ids = batch.column("ids")[k].values, batch.column("long_ids")[k].values.to_pylist()
                 flat, bounds = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy()
-                packed = [flat[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                plain = batch.column("decoded")[k].values.to_pylist()
-                for w, own in enumerate(long_ids):
+                packed += [flat[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                plain += batch.column("decoded")[k].values.to_pylist()
+                for w, own in enumerate(long_ids, known):
                     if own is not None:
                         by_id = by_id or {v: p for p, v in read_ranks(path).items()}
                         packed[w], plain[w] = own, b"".join(by_id[i] for i in np.frombuffer(own, "<u4").tolist())
