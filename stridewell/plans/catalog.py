@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import motion
+from . import motion, studies
 
-QUERIES: dict = {**motion.QUERIES}
-ORACLE_SQL: dict[str, str] = {**motion.ORACLE_SQL}
+QUERIES: dict = {**motion.QUERIES, **studies.QUERIES}
+ORACLE_SQL: dict[str, str] = {**motion.ORACLE_SQL, **studies.ORACLE_SQL}

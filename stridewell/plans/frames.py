@@ -69,7 +69,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(
         F.when(F.col("doc_id") % 7 < 3, "Head_linear").otherwise("LeftHand_angular").alias("label"),
         (F.floor(F.col("doc_id") / 2) % 5).cast("int").alias("fold"),
-        (F.col("doc_id") % 50).alias("pid"),
+        (F.floor(F.col("doc_id") / 2) % 25).alias("pid"),
         F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B").alias("task"),
         F.col("quality").cast("int").alias("y"),
         (1 - F.col("toxic")).cast("int").alias("yhat"),
@@ -77,7 +77,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PREDICTIONS = """pred AS (SELECT CASE WHEN doc_id % 7 < 3 THEN 'Head_linear' ELSE 'LeftHand_angular' END AS label, ((doc_id // 2) % 5)::INT AS fold,
-  doc_id % 50 AS pid, CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS task, quality::INT AS y, (1 - toxic)::INT AS yhat FROM labels)"""
+  (doc_id // 2) % 25 AS pid, CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS task, quality::INT AS y, (1 - toxic)::INT AS yhat FROM labels)"""
 
 
 def design(spark: SparkSession, sf_dir: str) -> DataFrame:
