@@ -29,7 +29,7 @@ from .common import fields, workers_import_this
 #: Most pages that weights are learnt from: those with the smallest hashed page_id.
 SAMPLE = 2_000
 SCALE, LEAST, MOST = 4.0, 0.05, 60.0
-#: A left-out element between two parts of an article costs this, as does a tag that no labelled page has.
+#: A tag that neither labelled pages nor DEFAULT have costs this; a left-out element costs LEAST.
 GAP = 8.0
 WORD_WEIGHT = 1.0
 #: Element names.
@@ -131,7 +131,7 @@ def blocks(page: str, weights: dict[str, float]) -> list[tuple[float, str | None
         flush()
         if kind == "open" and name not in VOID and not rest.rstrip().endswith("/") and refused(name, rest):
             skipped.append(name)
-            out.append((-GAP, None))
+            out.append((-LEAST, None))
         else:
             out.append((weight, None))
     flush()
