@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import motion, studies
+from . import fitted, motion, studies
 
-QUERIES: dict = {**motion.QUERIES, **studies.QUERIES}
-ORACLE_SQL: dict[str, str] = {**motion.ORACLE_SQL, **studies.ORACLE_SQL}
+QUERIES: dict = {**motion.QUERIES, **studies.QUERIES, **fitted.QUERIES}
+ORACLE_SQL: dict[str, str] = {**motion.ORACLE_SQL, **studies.ORACLE_SQL, **fitted.ORACLE_SQL}

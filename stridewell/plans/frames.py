@@ -50,17 +50,17 @@ pt AS (SELECT pid, idx, idx / 10.0::DOUBLE AS t, e[1]::DOUBLE AS px, e[2]::DOUBL
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pid, task, feature, value, y in long form: means of line items by supplier and line status; the label is
-    whether more than a quarter of them were returned."""
+    whether the mean of their order keys modulo seven is over three."""
     means = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_suppkey").alias("pid"), F.col("l_linestatus").alias("task"))
-        .agg(*(F.avg(c).alias(c) for c in FEATURES), (F.avg((F.col("l_returnflag") == "R").cast("double")) > 0.25).cast("int").alias("y"))
+        .agg(*(F.avg(c).alias(c) for c in FEATURES), (F.avg(F.col("l_orderkey") % 7) > 3).cast("int").alias("y"))
     )
     return means.unpivot(["pid", "task", "y"], list(FEATURES), "feature", "value").select("pid", "task", "feature", "value", "y")
 
 
 FEATURE_ROWS = """wide AS (SELECT l_suppkey AS pid, l_linestatus AS task, avg(l_quantity) AS l_quantity, avg(l_extendedprice) AS l_extendedprice,
-  avg(l_discount) AS l_discount, avg(l_tax) AS l_tax, (avg((l_returnflag = 'R')::INT::DOUBLE) > 0.25)::INT AS y FROM lineitem GROUP BY ALL),
+  avg(l_discount) AS l_discount, avg(l_tax) AS l_tax, (avg(l_orderkey % 7) > 3)::INT AS y FROM lineitem GROUP BY ALL),
 feat AS (SELECT pid, task, feature, value, y FROM (UNPIVOT wide ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME feature VALUE value))"""
 
 
