@@ -201,6 +201,13 @@ AXES = lambda cols: " UNION ALL ".join(f"SELECT pid, '{c}' AS axis, '{s}' AS sta
 pts("agg_position", lambda p: S.describe(long3(p, ("px", "py", "pz")), ["pid", "axis"], names=["mean", "std", "range"]), AXES(("px", "py", "pz")))
 pts("agg_quat", lambda p: S.describe(long3(p, ("qx", "qy", "qz", "qw")), ["pid", "axis"], names=["mean", "std", "range"]), AXES(("qx", "qy", "qz", "qw")))
 pts("agg_motion", lambda p: S.describe(long3(M.velocity(p, KEY, "px", 2), ("v",)), ["pid", "axis"], names=["mean", "std", "range"]), f"{VEL} " + " UNION ALL ".join(f"SELECT pid, 'v' AS axis, '{s}' AS stat, round({STAT_SQL[s].replace('x)', 'v)')}, 6) AS value FROM vel GROUP BY pid" for s in ("mean", "std", "range")))
+SIX = ("px", "py", "pz", "qx", "qy", "qz")
+pts("agg_sixd", lambda p: S.describe(long3(p, SIX), ["pid", "axis"], names=["mean", "std", "range"]), AXES(SIX))
+rec(
+    "agg_trigger",
+    lambda r: S.intervals(S.runs(r, KEY, F.col("kind") == "click"), KEY).select("pid", F.lit("on").alias("side"), "n_runs").unionByName(S.intervals(S.runs(r, KEY, F.col("kind") != "click"), KEY).select("pid", F.lit("off").alias("side"), "n_runs")),
+    f", {RUNS} SELECT pid, CASE WHEN on_ = 1 THEN 'on' ELSE 'off' END AS side, count(DISTINCT run) AS n_runs FROM isl GROUP BY pid, on_",
+)
 
 for _name in FRACTIONS:
     coarse(_name)

@@ -122,3 +122,22 @@ dsg("res_holm", lambda g: E.holm(pseudo(g), ["g"]).select("x", "y", "p_holm"), f
 dsg("res_bonf", lambda g: pseudo(g).select("x", "y", F.least(F.lit(1.0), F.col("p") * F.count("*").over(Window.partitionBy("g"))).alias("p_bonf")), f"{PT} SELECT x, y, round(least(1.0, exp(-abs(t)) * count(*) OVER ()), 5) AS p_bonf FROM p", 5)
 dsg("res_group_ci", lambda g: g.groupBy("a").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"), (1.96 * F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("ci")), "SELECT a, round(avg(value), 3) AS mean, round(stddev_samp(value), 3) AS sd, count(*) AS n, round(1.96 * stddev_samp(value) / sqrt(count(*)), 3) AS ci FROM dsg GROUP BY a", 3)
 dsg("res_pivot", lambda g: g.filter("b = 'F'").groupBy("subject").pivot("a", ["1-URGENT", "2-HIGH"]).agg(F.avg("value")).toDF("subject", "urgent", "high"), "SELECT subject, round(avg(CASE WHEN a = '1-URGENT' THEN value END), 3) AS urgent, round(avg(CASE WHEN a = '2-HIGH' THEN value END), 3) AS high FROM dsg WHERE b = 'F' GROUP BY subject", 3)
+
+# -- the rest of reshaping and summaries ----------------------------------------------------------------------------------------------
+feat("rsh_strip_suffix", lambda f: f.filter("task = 'O'").select(F.regexp_replace(F.concat_ws("_", "feature", "task"), "_[^_]*$", "").alias("base")).intersect(f.filter("task = 'F'").select(F.regexp_replace(F.concat_ws("_", "feature", "task"), "_[^_]*$", "").alias("base"))), "SELECT DISTINCT feature AS base FROM feat")
+feat("rsh_meta_align", lambda f: f.select("pid", F.regexp_replace(F.concat(F.when(F.col("task") == "O", "A-").otherwise("BRW-"), "feature"), "^[AB](RW)?-", "X$1-").alias("name"), "value"), "SELECT pid, CASE WHEN task = 'O' THEN 'X-' ELSE 'XRW-' END || feature AS name, round(value, 4) AS value FROM feat", 4)
+pred("met_param_counts", lambda p: p.select("label", "fold").distinct().select(F.explode(F.create_map(F.lit("fold"), F.col("fold").cast("string"), F.lit("label"), F.col("label"))).alias("parameter", "chosen")).groupBy("parameter", "chosen").agg(F.count("*").alias("n")), ", d AS (SELECT DISTINCT label, fold FROM pred), e AS (SELECT 'fold' AS parameter, fold::VARCHAR AS chosen FROM d UNION ALL SELECT 'label', label FROM d) SELECT parameter, chosen, count(*) AS n FROM e GROUP BY ALL")
+
+
+def back_projected(f):
+    """Loadings of features on components (here: their mean by task) times each component's importance."""
+    loading = f.groupBy("feature", F.col("task").alias("pc")).agg(F.avg("value").alias("w"))
+    importance = f.groupBy(F.col("task").alias("pc")).agg(F.avg("y").alias("imp"))
+    summed = loading.join(importance, "pc").groupBy("feature").agg(F.sum(F.abs("w") * F.col("imp")).alias("s"))
+    return summed.select("feature", F.try_divide(F.col("s"), F.sum("s").over(Window.partitionBy(F.lit(1)))).alias("importance"))
+
+
+feat("imp_back_project", back_projected, ", l AS (SELECT feature, task AS pc, avg(value) AS w FROM feat GROUP BY ALL), m AS (SELECT task AS pc, avg(y) AS imp FROM feat GROUP BY ALL), s AS (SELECT feature, sum(abs(w) * imp) AS s FROM l JOIN m USING (pc) GROUP BY feature) SELECT feature, round(s / sum(s) OVER (), 6) AS importance FROM s")
+feat("imp_fold_summary", lambda f: f.groupBy("feature", (F.col("pid") % 5).alias("fold")).agg(F.avg("value").alias("imp")).groupBy("feature").agg(F.avg("imp").alias("mean"), F.stddev_pop("imp").alias("std")), ", i AS (SELECT feature, pid % 5 AS fold, avg(value) AS imp FROM feat GROUP BY ALL) SELECT feature, round(avg(imp), 3) AS mean, round(stddev_pop(imp), 3) AS std FROM i GROUP BY feature", 3)
+QUERIES["src_metadata"] = lambda spark, d: rounded(table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("score")), 2)
+ORACLE_SQL["src_metadata"] = "SELECT c_custkey AS pid, c_mktsegment AS segment, round(c_acctbal, 2) AS score FROM customer"
