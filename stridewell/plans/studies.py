@@ -33,12 +33,12 @@ def dsg(name, body, sql=None, digits=6):
 
 
 # -- cleaning and reshaping ------------------------------------------------------------------------------------------------
-own = Window.partitionBy("feature")
+own = lambda: Window.partitionBy("feature")
 feat("flt_high_na", lambda f: f.groupBy("feature").agg(F.avg(F.when(F.col("value") > 25, 1.0).otherwise(0.0)).alias("na")).filter("na <= 0.2").select("feature"), "SELECT feature FROM feat GROUP BY feature HAVING avg((value > 25)::INT) <= 0.2")
 feat("flt_variance", lambda f: f.groupBy("feature").agg(F.var_samp("value").alias("v")).filter("v >= 0.01"), "SELECT feature, round(var_samp(value), 3) AS v FROM feat GROUP BY feature HAVING var_samp(value) >= 0.01", 3)
-feat("cln_median_impute", lambda f: f.withColumn("x", F.when(F.col("value") > F.avg("value").over(own), F.col("value"))).join(f.withColumn("x", F.when(F.col("value") > F.avg("value").over(own), F.col("value"))).groupBy("feature").agg(F.median("x").alias("m")), "feature").select("pid", "task", "feature", F.coalesce("x", "m").alias("x")), ", h AS (SELECT *, CASE WHEN value > avg(value) OVER (PARTITION BY feature) THEN value END AS x FROM feat), m AS (SELECT feature, median(x) AS m FROM h GROUP BY feature) SELECT pid, task, feature, round(coalesce(x, m), 4) AS x FROM h JOIN m USING (feature)", 4)
+feat("cln_median_impute", lambda f: f.withColumn("x", F.when(F.col("value") > F.avg("value").over(own()), F.col("value"))).join(f.withColumn("x", F.when(F.col("value") > F.avg("value").over(own()), F.col("value"))).groupBy("feature").agg(F.median("x").alias("m")), "feature").select("pid", "task", "feature", F.coalesce("x", "m").alias("x")), ", h AS (SELECT *, CASE WHEN value > avg(value) OVER (PARTITION BY feature) THEN value END AS x FROM feat), m AS (SELECT feature, median(x) AS m FROM h GROUP BY feature) SELECT pid, task, feature, round(coalesce(x, m), 4) AS x FROM h JOIN m USING (feature)", 4)
 feat("cln_nan_to_num", lambda f: f.select("pid", "task", "feature", F.when(F.isnan(F.when(F.col("value") < 1, F.lit(float("nan"))).otherwise(F.col("value"))), 0.0).otherwise(F.col("value")).alias("x")), "SELECT pid, task, feature, round(CASE WHEN value < 1 THEN 0 ELSE value END, 4) AS x FROM feat", 4)
-feat("cln_standard_scale", lambda f: f.select("pid", "task", "feature", ((F.col("value") - F.avg("value").over(own)) / F.when(F.stddev_pop("value").over(own) > 0, F.stddev_pop("value").over(own)).otherwise(1.0)).alias("z")), "SELECT pid, task, feature, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 5) AS z FROM feat WINDOW w AS (PARTITION BY feature)", 5)
+feat("cln_standard_scale", lambda f: f.select("pid", "task", "feature", ((F.col("value") - F.avg("value").over(own())) / F.when(F.stddev_pop("value").over(own()) > 0, F.stddev_pop("value").over(own())).otherwise(1.0)).alias("z")), "SELECT pid, task, feature, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 5) AS z FROM feat WINDOW w AS (PARTITION BY feature)", 5)
 feat("cln_onset_label", lambda f: f.filter("feature = 'l_tax'").select("pid", "task", F.when(F.isnan("value") | F.col("value").isNull(), 1).when(F.col("value") > 0.04, 0).otherwise(1).alias("y")), "SELECT pid, task, CASE WHEN value > 0.04 THEN 0 ELSE 1 END AS y FROM feat WHERE feature = 'l_tax'")
 feat("jn_a_b_features", lambda f: f.filter("task = 'O'").select("pid", "feature", F.col("value").alias("a")).join(f.filter("task = 'F'").select("pid", "feature", F.col("value").alias("b")), ["pid", "feature"]), "SELECT o.pid, o.feature, round(o.value, 4) AS a, round(f.value, 4) AS b FROM feat o JOIN feat f USING (pid, feature) WHERE o.task = 'O' AND f.task = 'F'", 4)
 feat("jn_outer_key", lambda f: f.filter("task = 'O' AND feature = 'l_tax'").select("pid", F.lit(1).alias("a")).join(f.filter("task = 'F' AND feature = 'l_tax' AND value > 0.04").select("pid", F.lit(1).alias("b")), "pid", "full_outer"), "SELECT pid, a, b FROM (SELECT pid, 1 AS a FROM feat WHERE task = 'O' AND feature = 'l_tax') FULL JOIN (SELECT pid, 1 AS b FROM feat WHERE task = 'F' AND feature = 'l_tax' AND value > 0.04) USING (pid)")
