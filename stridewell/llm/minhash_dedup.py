@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fields, staged, texts
 
@@ -203,7 +204,8 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, k: int = K, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; and ``set``, equal for equal sets."""
+    """doc_id, n_shingles, component_id of every row; ``set``, equal for equal sets; and ``keep``, true on the
+    rows that stand for their component: a component_id alone names several where a doc_id has several sets."""
     sketched = staged(sketches(docs, size, k), "dedup-sketches")
     members = sketched.groupBy("set").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
     members = staged(members, "dedup-classes")
@@ -223,19 +225,43 @@ def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, k: in
     comps = connected(links.unionByName(found))
 
     placed = members.join(comps, members["set"] == comps["node"], "left").select("set", "least_id", F.coalesce("comp", "set").alias("comp"))
-    least = placed.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    by_set = placed.join(least, "comp").select("set", "component_id")
+    first = F.struct(F.col("least_id").isNull(), "least_id", "set")
+    least = placed.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min_by("set", first).alias("first_set"))
+    by_set = placed.join(least, "comp").select("set", "component_id", (F.col("set") == F.col("first_set")).alias("is_first"))
     joined = sketched.select("doc_id", "n_shingles", "set").join(by_set, "set")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set")
+    empty = F.col("n_shingles") == 0
+    return joined.select(
+        "doc_id",
+        "n_shingles",
+        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "set",
+        (empty | (F.col("is_first") & F.col("doc_id").eqNullSafe(F.col("component_id")))).alias("keep"),
+    )
 
 
 def keep_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, the one with the least doc_id, with all its columns. Documents without
-    words are groups of their own; rows that repeat a kept doc_id with the same shingles stay once."""
-    grouped = components(docs, size, percent)
-    kept = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return left.dropDuplicates(["doc_id"])
+    """One document of each group, the one with the least doc_id (and of its texts the one whose set has the
+    least digest), with all its columns. Documents without words are groups of their own. Rows are told apart
+    by doc_id and set: different texts under one doc_id, or without one, are different documents; rows that
+    share both stay once, the one with the least text."""
+    rows = staged(components(docs, size, percent).select("doc_id", "set", "keep"), "dedup-rows")
+    ids = rows.groupBy(F.col("doc_id").alias("_id")).agg((F.min("set") != F.max("set")).alias("several"), F.max("keep").alias("keep")).filter("keep")
+    ids = staged(ids.select("_id", "several"), "dedup-kept")
+    # Few ids have several sets, so a written table of them alone is joined without dealing the documents.
+    several = staged(ids.filter("several").select("_id"), "dedup-several")
+    kept = rows.filter("keep").join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("set").alias("_kept")).distinct()
+
+    @F.pandas_udf("binary")
+    def digest(column):
+        return column.map(lambda t: xxhash.xxh3_128_digest(shingles(t.encode(), size).tobytes()))
+
+    own = docs["doc_id"].cast("long")
+    one = docs.join(ids.filter("NOT several"), own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_set", F.lit(None).cast("binary"))
+    many = docs.join(several, own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_set", digest(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    many = many.join(kept, many["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_set") == F.col("_kept")), "left_semi")
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    row = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*plain))).alias("row")
+    return one.unionByName(many).groupBy(F.col("doc_id").cast("long").alias("_id"), "_set").agg(row).select("row.*")
 
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -86,6 +86,18 @@ def test_minhash_matches_brute_force(spark, docs, empty):
     assert sorted(r.doc_id for r in minhash_dedup.keep_documents(docs).filter("doc_id < 4").collect()) == [1]
 
 
+def test_near_duplicates_keep_different_texts_of_one_id(spark):
+    text = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abcdefg"}
+    near = text["a"] + " tail"
+    rows = [(1, text["a"]), (5, near), (5, text["b"]), (6, text["c"]), (6, text["d"]), (6, text["d"].upper()), (7, text["b"])]
+    rows += [(None, text["e"]), (None, text["f"]), (None, text["f"]), (None, near), (8, text["g"]), (8, text["g"]), (9, None), (9, "")]
+    wanted = [(1, text["a"]), (5, text["b"]), (6, text["c"]), (6, text["d"].upper()), (None, text["e"]), (None, text["f"]), (8, text["g"]), (9, None)]
+    order = lambda found: sorted(found, key=str)
+    for parts in (1, 3):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert order((r.doc_id, r.text) for r in minhash_dedup.keep_documents(table).collect()) == order(wanted)
+
+
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
