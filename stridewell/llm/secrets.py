@@ -3,8 +3,8 @@ r"""Secret scan: fixed patterns, then a token-efficiency test.
 Ordinary text needs few tokens; a random string needs nearly one for each one or two characters. A run of
 at least MIN_RUN characters of ``[A-Za-z0-9+/_=-]`` with fewer than MAX_EFFICIENCY characters a token under
 the tiktoken vocabulary is reported as kind ``random``, unless it is a known digest (hexadecimal, of a
-digest's length), a UUID, a number, or an identifier (words of one case style joined by _ or -), or
-touches a span that the patterns found.
+digest's length), a UUID, a number, or an identifier (words of one case style joined by _ or -, each of
+which passes the token-efficiency test itself), or touches a span that the patterns found.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive; whole texts
 are scanned however long; repeated rows are scanned one by one.
@@ -30,8 +30,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_MIN, ACCESS_MIN = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIN_RUN = 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIN_RUN = 16
 MAX_EFFICIENCY = 1.9
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
@@ -39,6 +39,7 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 NUMBER = re.compile(r"[0-9+=/_-]+")
 IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*")
+LETTERS = re.compile(r"[A-Za-z]+")
 
 _encoders: dict = {}
 
@@ -68,8 +69,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers, which are random or long but no secrets."""
-    return bool((HEXADECIMAL.fullmatch(run) and len(run) in DIGEST_LENGTHS) or UUID.fullmatch(run) or NUMBER.fullmatch(run) or IDENTIFIER.fullmatch(run))
+    """Digests, UUIDs and numbers, which are random or long but no secrets."""
+    return bool((HEXADECIMAL.fullmatch(run) and len(run) in DIGEST_LENGTHS) or UUID.fullmatch(run) or NUMBER.fullmatch(run))
+
+
+def efficient(run: str, enc, max_efficiency: float = MAX_EFFICIENCY) -> bool:
+    return len(run) >= max_efficiency * len(enc.encode_ordinary(run))
+
+
+def identifier(run: str, enc, max_efficiency: float = MAX_EFFICIENCY) -> bool:
+    """Words of one case style joined by signs: a random run of one letter case has the shape of a word, so
+    each part must be one under the vocabulary too."""
+    return bool(IDENTIFIER.fullmatch(run)) and all(efficient(part, enc, max_efficiency) for part in LETTERS.findall(run))
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], enc, max_efficiency: float = MAX_EFFICIENCY) -> list[tuple[int, int, int]]:
@@ -78,7 +89,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], enc, max_efficien
         a, b = m.span()
         if any(s < b and a < e for s, _, e in taken) or known(m[0]):
             continue
-        if (b - a) < max_efficiency * len(enc.encode_ordinary(m[0])):
+        if not efficient(m[0], enc, max_efficiency) and not identifier(m[0], enc, max_efficiency):
             found.append((a, 3, b))
     return found
 

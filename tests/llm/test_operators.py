@@ -86,6 +86,15 @@ def test_minhash_matches_brute_force(spark, docs, empty):
     assert sorted(r.doc_id for r in minhash_dedup.keep_documents(docs).filter("doc_id < 4").collect()) == [1]
 
 
+def test_random_strings_of_one_letter_case():
+    enc = secrets.encoder(secrets.vocabulary())
+    for secret in ("QZXVKJWPQMZXNVBLWQPLTRHD", "QZXVK-JWPQM-ZXNVB-LWQPL", "qzxvkjwpqmzxnvblwqpltrhd", "Zk3vQ9xT7bLm2Rw8", "QZXVKJWPQMZXNVBL"):
+        assert secrets.random_spans(f"key {secret} end", [], enc) == [(4, 3, 4 + len(secret))]
+        assert secrets.redacted(f"key {secret} end", enc) == "key [random] end"
+    for plain in ("MAX_REQUEST_LENGTH_BYTES", "is-it-up-to-me-or-to-us", "internationalization", "snapshot-2024-01-02-final", "application/octet-stream"):
+        assert secrets.random_spans(plain, [], enc) == []
+
+
 def test_near_duplicates_keep_different_texts_of_one_id(spark):
     text = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abcdefg"}
     near = text["a"] + " tail"
