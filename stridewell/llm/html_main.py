@@ -5,7 +5,10 @@ is comes from labelled pages: on pages that mark their article (one <article> or
 counted inside and outside of it, and a tag's weight is the scaled log of its share inside. Tags that do not
 occur inside an article cost most, so the best contiguous run stops before them. One linear scan (Kadane)
 finds that run; its blocks are the text. Elements that are never article text (scripts, styles, menus,
-forms, ...) and those whose class, id or role names a menu, advert, notice or comment are left out.
+forms, ...) and those whose class, id or role is the name of a menu, advert, notice or comment are left out.
+Such a name is a whole word of the attribute, made of NOT_TEXT and PLACE parts only; it counts for no heading
+and no element that holds an article or main element. A left-out element ends by HTML's rules: with its end
+tag, with the end tag of an element around it, or where the next tag implies its end.
 
 Defined results: null or empty html gives an empty text; a page without tags is one block; markup cut short
 at the end of a page is dropped; of several best runs the first counts; repeated rows are done one by one;
@@ -40,13 +43,21 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em i img kbd mark q s samp small span strong sub sup time u var wbr".split())
-#: Words in class, id or role that mark what is no article text.
+#: Parts of names in class, id or role that mark what is no article text, and parts that may stand beside them.
 NOT_TEXT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|notification|popup|modal|newsletter|subscribe|nav\w*|menu\w*|breadcrumb\w*|sidebar|side-bar|widget|footer|foot|header|masthead|toolbar|share|sharing|social|related|recommend\w*|comment\w*|disqus|replies|reply|respond|search|login|signup|pagination|pager|skip|copyright|disclaimer|navigation|complementary|contentinfo)(?:$|[\s_-])",
+    r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|notification|popup|modal|newsletter|subscribe|nav\w*|menu\w*|breadcrumb\w*|sidebar|widget|footer|foot|header|masthead|toolbar|share|sharing|social|related|recommend\w*|comment\w*|disqus|replies|reply|respond|search|login|signup|pagination|pager|skip|copyright|disclaimer|navigation|complementary|contentinfo",
     re.IGNORECASE,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+PLACE = frozenset("site top bottom left right primary secondary global main list item items box container wrapper wrap block bar area inner outer links buttons icons form posts articles stories section".split())
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+#: HTML's implied ends. These start tags end an open p; SIBLINGS end the named ones, inside of the second.
+ENDS_P = frozenset("address article aside blockquote dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
+SIBLINGS = {"tr": (("tr",), ("table",))} | {n: (("td", "th"), ("table", "tr")) for n in ("td", "th")} | {n: (("tbody", "thead", "tfoot"), ("table",)) for n in ("tbody", "thead", "tfoot")} | {"option": (("option",), ("select",))}
+LIST_ITEMS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
+CELLS = ("table", "td", "th", "caption")
+TABLE_PARTS = frozenset("td th tr tbody thead tfoot caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 #: Weights where no page is labelled.
 DEFAULT = dict.fromkeys("a abbr b blockquote br cite code del em figcaption figure h1 h2 h3 h4 h5 h6 i img ins li ol p pre q s small span strong sub sup u ul wbr".split(), -LEAST) | dict.fromkeys(
@@ -80,13 +91,97 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "close" if closing else "open", name, rest
 
 
-def refused(name: str, rest: str) -> bool:
-    """An element that is never article text."""
-    if name in BOILERPLATE:
-        return True
-    if not rest or name in ("html", "body", "article", "main"):
-        return False
-    return any(NOT_TEXT.search(a or b or c) for a, b, c in NAMED.findall(rest)) or bool(HIDDEN.search(rest))
+def boilerplate_name(name: str) -> bool:
+    parts = [p for p in re.split(r"[_-]+", name.lower().replace("side-bar", "sidebar")) if p]
+    hits = [bool(NOT_TEXT.fullmatch(p)) for p in parts]
+    return any(hits) and all(hit or p in PLACE or p.isdigit() for hit, p in zip(hits, parts, strict=True))
+
+
+def named(rest: str) -> tuple[bool, bool]:
+    """Of a tag's attributes: whether a name is one of boilerplate, whether the element is hidden."""
+    by_name = hidden = False
+    for key, a, b, c in ATTRIBUTE.findall(rest):
+        key, value = key.lower(), a or b or c
+        if key in ("class", "id", "role"):
+            by_name = by_name or any(map(boilerplate_name, value.split()))
+        elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and NO_DISPLAY.search(value):
+            hidden = True
+    return by_name, hidden
+
+
+def element_ends(found: list[tuple[str, str, str]]) -> dict[int, int]:
+    """For each start tag of an element with content, the first token after the element."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    depths: dict[str, list[int]] = {}
+    #: Depths of block elements, and of those that an li, dd or dt does not look beyond.
+    walls: list[int] = []
+    strict: list[int] = []
+
+    def last(*names: str) -> int:
+        return max((depths[n][-1] for n in names if depths.get(n)), default=-1)
+
+    def close(depth: int, at: int) -> None:
+        while len(stack) > depth:
+            name, start = stack.pop()
+            depths[name].pop()
+            for kind in (walls, strict):
+                if kind and kind[-1] == len(stack):
+                    kind.pop()
+            ends[start] = at
+
+    for at, (kind, name, rest) in enumerate(found):
+        if kind == "open":
+            if name in ENDS_P and (p := last("p")) > last(*CELLS, "button"):
+                close(p, at)
+            if name in LIST_ITEMS and (d := last(*LIST_ITEMS[name])) >= 0 and d >= (strict[-1] if strict else -1):
+                close(d, at)
+            elif name in SIBLINGS and (d := last(*SIBLINGS[name][0])) > last(*SIBLINGS[name][1]):
+                close(d, at)
+            if name in VOID or rest.rstrip().endswith("/"):
+                continue
+            if name in BLOCKS or name in BOILERPLATE and name != "label":
+                walls.append(len(stack))
+                if name not in ("address", "div", "p"):
+                    strict.append(len(stack))
+            depths.setdefault(name, []).append(len(stack))
+            stack.append((name, at))
+        elif kind == "close" and (d := last(name)) >= 0:
+            if name in ("html", "body", "table"):
+                wall = -1
+            elif name in TABLE_PARTS:
+                wall = last("table")
+            elif name in BLOCKS or name in BOILERPLATE and name != "label":
+                wall = last(*CELLS, *(("button",) if name == "p" else ("ul", "ol") if name == "li" else ()))
+            else:
+                wall = walls[-1] if walls else -1
+            if d > wall:
+                start = stack[d][1]
+                close(d, at)
+                ends[start] = at + 1
+    close(0, len(found))
+    return ends
+
+
+def left_out(found: list[tuple[str, str, str]]) -> dict[int, int]:
+    """Start tags of elements that are never article text, with the first token after each."""
+    names = {at: named(rest) for at, (kind, name, rest) in enumerate(found) if kind == "open" and rest.strip(" /")}
+    plain = (False, False)
+    ends = element_ends(found)
+    held = [0]
+    for at, (kind, name, _) in enumerate(found):
+        held.append(held[-1] + (kind == "open" and name in ("article", "main") and not names.get(at, plain)[0]))
+    out = {}
+    for at, end in ends.items():
+        name = found[at][1]
+        by_name, hidden = names.get(at, plain)
+        if name in BOILERPLATE and name != "form":
+            out[at] = end
+        elif name in ("html", "body", "article", "main"):
+            continue
+        elif hidden or (name == "form" or by_name and name not in HEADINGS) and held[end] == held[at + 1]:
+            out[at] = end
+    return out
 
 
 def blocks(page: str, weights: dict[str, float]) -> list[tuple[float, str | None]]:
@@ -94,7 +189,6 @@ def blocks(page: str, weights: dict[str, float]) -> list[tuple[float, str | None
     out: list[tuple[float, str | None]] = []
     words: list[str] = []
     cost = 0.0
-    skipped: list[str] = []
 
     def flush() -> None:
         nonlocal cost
@@ -106,34 +200,27 @@ def blocks(page: str, weights: dict[str, float]) -> list[tuple[float, str | None
         words.clear()
         cost = 0.0
 
-    for kind, name, rest in tokens(page):
+    found = list(tokens(page))
+    skips = left_out(found)
+    after = 0
+    for at, (kind, name, rest) in enumerate(found):
+        if at < after:
+            continue
         if kind == "text":
-            if not skipped:
-                words.append(rest)
+            words.append(rest)
             continue
+        skip = kind == "open" and at in skips
+        if skip:
+            after = skips[at]
         weight = weights.get(name, -GAP)
-        if skipped:
-            if name not in VOID and not rest.rstrip().endswith("/"):
-                if kind == "open":
-                    skipped.append(name)
-                elif name in skipped:
-                    while skipped.pop() != name:
-                        pass
-            continue
         if name == "br" or name not in BLOCKS:
             if name in ("br", "img", "wbr") or name not in INLINE:
                 words.append(" ")
-            if kind == "open" and name not in VOID and refused(name, rest):
-                skipped.append(name)
-            else:
+            if not skip:
                 cost += weight
             continue
         flush()
-        if kind == "open" and name not in VOID and not rest.rstrip().endswith("/") and refused(name, rest):
-            skipped.append(name)
-            out.append((-LEAST, None))
-        else:
-            out.append((weight, None))
+        out.append((-LEAST if skip else weight, None))
     flush()
     return out
 
@@ -165,18 +252,15 @@ def tag_counts(page: str) -> tuple[Counter, Counter] | None:
     own = "article" if names.count("article") == 1 else "main" if names.count("main") == 1 else None
     if own is None:
         return None
-    inside, outside, within, skipped = Counter(), Counter(), False, []
-    for kind, name, rest in tokens(page):
-        if kind == "text":
-            continue
-        if skipped or kind == "open" and name not in VOID and refused(name, rest):
-            if kind == "open" and name not in VOID:
-                skipped.append(name)
-            elif name in skipped:
-                while skipped.pop() != name:
-                    pass
+    inside, outside, within, after = Counter(), Counter(), False, 0
+    found = list(tokens(page))
+    skips = left_out(found)
+    for at, (kind, name, _) in enumerate(found):
+        if kind == "text" or at < after:
             continue
-        if name == own:
+        if kind == "open" and at in skips:
+            after = skips[at]
+        elif name == own:
             outside[name] += 1
             within = kind == "open"
         else:

@@ -210,6 +210,23 @@ def test_html_main(spark):
     assert html_main.extract(pages.limit(0)).count() == 0
 
 
+def test_html_names_and_implied_ends():
+    text = lambda page: html_main.main_text(page, html_main.DEFAULT)
+    body = "<p>Some words of the article here.</p>"
+    for wrapper in ("class='content with-sidebar'", "class='page has-header'", "class='sidebar'", "title='the hidden valley'", "data-class='ad'", "title='class=ad'"):
+        assert text(f"<div {wrapper}><article>{body}</article></div>") == "Some words of the article here."
+    for part in ("<h2 id='related-work'>", "<section id='comments-on-method'>", "<div class='entry-header'>", "<h2 class='header'>"):
+        tag = part[1:].split()[0]
+        assert text(f"<article>{part}These words are kept</{tag}>{body}</article>") == "These words are kept\n\nSome words of the article here."
+    for part in ("<div class='ad'>x</div>", "<div class='site-footer'>x</div>", "<p hidden>x</p>", "<div class='a share-buttons'>x</div>", "<div style='display: none'><p>x</div>"):
+        assert text(f"<article>{part}{body}</article>") == "Some words of the article here."
+    assert text(f"<article><p class='ad'>x{body}</article>") == "Some words of the article here."
+    assert text("<article><ul><li>one<li class='share'>x<li>two</ul><p>three</article>") == "one\n\ntwo\n\nthree"
+    assert text("<article><div><div><span class='ad'>x</div></div><p>three four</article>") == "three four"
+    assert text("<article><table><tr><td class='ad'>x<td>one two three four five six<tr><td>seven eight nine ten</table><p>more words</article>") == "one two three four five six\n\nseven eight nine ten\n\nmore words"
+    assert text("<article><span><div class='ad'>x</span>y</div><p>three four</article>") == "three four"
+
+
 def test_host_rules(docs, empty):
     got = {r.doc_id: r for r in host_rules.apply_rules(docs).collect()}
     assert (got[1].n_words, got[1].base_failed, got[1].kept) == (300, False, True)
