@@ -44,6 +44,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, narrow rows of a written table, marked for broadcast if they are ``most`` at most; larger, it is
+    joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it, which is no column of ``df`` in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def workers_import_this(spark: SparkSession) -> None:
     """Python workers find this package also when the driver put it on ``sys.path`` itself."""
     root = str(Path(__file__).resolve().parents[2])

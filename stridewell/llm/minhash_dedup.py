@@ -1,21 +1,24 @@
 """Near-duplicate documents by bottom-k sketches.
 
-1. Every text becomes its set of word shingles (64-bit hashes of one hash function), a signature of the whole
-   set and a sketch: the k smallest hashes. Texts with equal sets are one class from here on.
-2. Inverted lists of retained values: from each class's sketch the values that the fewest sketches hold are
+1. Every text becomes its set of word shingles (64-bit hashes of one hash function), a digest of the whole set
+   and a sketch: the k smallest hashes. Texts with equal sets are one class, a node, from here on.
+2. Inverted lists of retained values: from each node's sketch the values that the fewest sketches hold are
    listed, as many as two sketches of similar sets cannot all miss (the prefix principle: if two sketches of
    k values share at least o, they share one of the k - o + 1 rarest). A passage that a third of all
-   documents share is common and so is not listed where a document has rarer values.
-3. Candidates of a list are pairs with its head first, in a few turns with other heads, each document linked to
-   its likeliest head; then members outside the list's main component meet all others. So a group of n near
-   copies costs a few n pairs, not n^2, and no link between two components is left out.
+   documents share is common and so is not listed where a document has rarer values. With each value goes its
+   place in that order: two members of a list whose values from there on are too few to reach the overlap do
+   not meet.
+3. Each list's most central member (the one whose values are the most shared, so a group's original rather than
+   an edited copy) meets the others; what that links forms first components. Then the members outside a
+   list's main component meet all others of the list with a like size. So a group of n near copies costs a few
+   n pairs, not n^2, and no link between two components is left out.
 4. The sketch of the union of two sets is the k smallest values of both sketches together; the share of it
    that both hold estimates their similarity, and pairs clearly below the threshold go.
 5. The rest is verified on the full sets, and components are formed.
 
-The overlap asked for in 2 and 4 is OVERLAP of K = 64, where a similarity of 0.8 gives 51 +- 3.2: a pair at the
-threshold is missed with a chance of about one in a million. Sets smaller than the sketch are exact in all
-steps.
+The overlap asked for in 2 and 4 is exact for sets that fit a sketch. For larger ones it lies five standard
+deviations under its mean at the threshold (173 of K = 256): a pair there is missed with a chance of
+three in ten million.
 
 Defined results: without words or text the set is empty and linked with nothing; fewer words than a shingle
 make one shingle of all; rows that share a doc_id are one node if their sets are equal; a null doc_id is no
@@ -25,6 +28,7 @@ component's name unless nothing else is there; very long texts are handled whole
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, staged, texts
+from .common import fields, free_name, small, staged, texts
 
 WORDS = 5
 PERCENT = 80
-K = 64
-OVERLAP = 35
-#: Heads that a large group meets in a turn, and turns before all pairs between components are looked at.
-HEADS, TURNS = 8, 4
+K = 256
+#: Words, and digests of sets, that a task remembers before it starts anew.
 REMEMBERED = 600_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -74,125 +76,175 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, set (16 bytes that equal sets share) and sketch of each text. No shuffle."""
+    """doc_id, n_shingles, set (16 bytes that equal sets share) and sketch of each text; the sketch is null where
+    the task has met the set before. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 sets = [shingles(t, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                bounds = np.cumsum([0, *(min(k, len(s)) for s in sets)]).astype(np.int32)
-                values = np.concatenate([s[:k] for s in sets]) if sets else np.zeros(0, np.int64)
-                columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))]
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                kept = []
+                for s, digest in zip(sets, digests, strict=True):
+                    kept.append(None if digest in met else s[:k])
+                    met.add(digest)
+                if len(met) > REMEMBERED:
+                    met.clear()
+                columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set", "sketch"])
 
     return texts(docs).mapInArrow(run, fields(("doc_id", "long"), ("n_shingles", "long"), ("set", "binary"), ("sketch", "array<long>")))
 
 
-def overlap_needed(n: Column, held: Column, percent: int, k: int, overlap: int) -> Column:
+def least_overlap(percent: int, k: int) -> int:
+    """Values that the sketches of similar sets of more than k values share, five standard deviations down."""
+    share = percent / 100
+    return int(k * share - 5 * sqrt(k * share * (1 - share))) + 1
+
+
+def _ceil(dividend: Column, divisor: int) -> Column:
+    """Upwards rounded quotient of whole numbers."""
+    return ((dividend + (divisor - 1)) / divisor).cast("long")
+
+
+def overlap_needed(n: Column, percent: int, k: int) -> Column:
     """Least overlap of the sketch of a set of n shingles with that of any similar set: exact while all
     similar sets fit a sketch, else the statistical bound."""
-    return F.when(100 * n < percent * k, F.ceil(n * percent / 100)).otherwise(F.least(F.lit(overlap), held)).cast("int")
+    return F.when(100 * n < percent * k, _ceil(n * percent, 100)).otherwise(F.least(F.lit(least_overlap(percent, k)).cast("long"), n))
+
 
+def pair_overlap(na: Column, nb: Column, percent: int, k: int) -> Column:
+    """Least overlap of the sketches of two similar sets of these sizes."""
+    exact = _ceil((na + nb) * percent, 100 + percent)
+    return F.when((na <= k) & (nb <= k), exact).otherwise(F.greatest(overlap_needed(na, percent, k), overlap_needed(nb, percent, k)))
 
-def inverted_lists(classes: DataFrame, percent: int, k: int, overlap: int) -> DataFrame:
-    """value, node, n: the listed values of each class that another class holds too."""
-    held = F.size("sketch")
-    values = classes.select("node", "n", F.explode("sketch").alias("value"))
+
+def inverted_lists(sketched: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
+    """value, node, n, left, central: the listed values of each node that another sketch holds too. ``left`` counts
+    the node's shared values from this one on, ``central`` is the mean logarithm of how many hold its values."""
+    values = sketched.filter(F.col("sketch").isNotNull()).select("row", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     # Values that one sketch alone holds come first in the order and match nothing: count them, not list them.
-    shared = values.join(common, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    taken = held - overlap_needed(F.col("n"), held, percent, k, overlap) + 1
-    listed = classes.select("node", "n", held.alias("held"), taken.alias("taken")).join(shared, "node")
-    own = F.greatest(F.lit(0), F.col("taken") - (F.col("held") - F.size("shared")))
-    return listed.select("node", "n", F.explode(F.transform(F.slice("shared", 1, own), lambda s: s["value"])).alias("value"))
+    shared = values.join(common, "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    n, held = F.col("n"), F.least(F.col("n"), F.lit(k))
+    own = F.greatest(F.lit(0), overlap_listed(n, percent, k) - (held - F.size("shared"))).cast("int")
+    central = F.aggregate("shared", F.lit(0.0), lambda total, s: total + F.log(s["df"].cast("double"))) / held
+    nodes = members.filter("n > 0").select("node", "n")
+    listed = nodes.join(shared, nodes["node"] == shared["row"]).select("node", "n", F.size("shared").alias("size"), central.alias("central"), F.posexplode(F.slice("shared", 1, own)))
+    return listed.select(F.col("col.value").alias("value"), "node", "n", (F.col("size") - F.col("pos")).cast("long").alias("left"), "central")
+
+
+def overlap_listed(n: Column, percent: int, k: int) -> Column:
+    """Values of a sketch, rarest first, of which similar sets cannot miss all."""
+    return F.least(n, F.lit(k)) - overlap_needed(n, percent, k) + 1
+
 
+def may_be_similar(percent: int, k: int) -> Column:
+    """Members a and b of a list: their sizes and the values they have left allow the overlap."""
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return alike & (F.least("la", "lb") >= pair_overlap(F.col("na"), F.col("nb"), percent, k))
 
-def similar_in_size(percent: int) -> Column:
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
+def head_pairs(lists: DataFrame, percent: int, k: int) -> DataFrame:
+    """Distinct pairs (a < b) of the most central member of each list with its others."""
+    heads = lists.groupBy("value").agg(F.max(F.struct("central", "node", "n", "left")).alias("head"), F.count("*").alias("c")).filter("c > 1")
+    heads = heads.select("value", F.col("head.node").alias("a"), F.col("head.n").alias("na"), F.col("head.left").alias("la"))
+    others = lists.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    met = others.join(heads, (others["value"] == heads["value"]) & (F.col("a") != F.col("b")) & may_be_similar(percent, k))
+    return in_order(met).distinct()
 
-def head_pairs(lists: DataFrame, components: DataFrame | None, percent: int, turn: int) -> DataFrame:
-    """Distinct pairs of the head of each list with its members of other components. The head is the member of
-    least hash, by a hash that differs between HEADS kinds of lists and between turns, so that a large group
-    meets a few heads a turn, not one and not all."""
-    placed = lists.withColumn("comp", F.col("node")) if components is None else lists.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    by = F.xxhash64("node", F.pmod(F.col("value"), F.lit(HEADS)), F.lit(turn))
-    heads = placed.groupBy("value").agg(F.min_by(F.struct("node", "n", "comp"), F.struct(by, "node")).alias("head"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-    heads = heads.select("value", F.col("head.node").alias("a"), F.col("head.n").alias("na"), F.col("head.comp").alias("ca"))
-    pairs = placed.join(heads, "value").filter(F.col("comp") != F.col("ca"))
-    return pairs.select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).filter(similar_in_size(percent)).distinct()
 
+def in_order(pairs: DataFrame) -> DataFrame:
+    swap = F.col("a") > F.col("b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
 
-def rest_pairs(lists: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+
+def rest_pairs(lists: DataFrame, components: DataFrame, percent: int, k: int) -> DataFrame:
     """Distinct pairs (a < b) of list members in different components. In each list the component with most
-    members is its main one; every other member meets all members."""
+    members is its main one; every other member meets all members, in bands of sizes that can be similar."""
     placed = lists.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = placed.groupBy("value", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("value", F.col("m.comp").alias("main"))
     mixed = placed.join(main, "value")
-    few = mixed.filter(F.col("comp") != F.col("main")).select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    all_ = mixed.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main")
+    # Similar sizes are at most one band apart.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    few = mixed.filter(F.col("comp") != F.col("main")).select("value", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
+    every = mixed.select("value", band.alias("band"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"), "main")
     once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = few.join(all_, "value").filter((F.col("ca") != F.col("cb")) & once & similar_in_size(percent))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    same = (few["value"] == every["value"]) & (few["band"] == every["band"])
+    met = few.join(every, same & (F.col("ca") != F.col("cb")) & once & may_be_similar(percent, k))
+    return in_order(met).distinct()
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int, overlap: int) -> DataFrame:
-    """Pairs whose union sketch does not rule them out, with the estimate of their similarity."""
-    own = classes.select("node", "sketch")
+def estimated(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs (a, b) whose union sketch does not rule them out."""
+    own = sets.select("node", "sketch")
     both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, F.lit(k))
-    shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    whole = (F.col("na") <= k) & (F.col("nb") <= k)
-    common = F.size(F.array_intersect("sa", "sb"))
-    exact = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
-    likely = F.when(whole, exact).otherwise(shared >= F.least(F.lit(overlap), F.size(union)))
-    return both.select("a", "b", likely.alias("likely"), (shared / F.size(union)).alias("estimate")).filter("likely").select("a", "b", "estimate")
-
-
-def nearest_heads(pairs: DataFrame) -> DataFrame:
-    """Of a document's likely heads the likeliest: one pair for each document."""
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
+    asked = least_overlap(percent, k)
 
-
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar. Only texts of documents in pairs are read again; one row stands for
-    each class."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = members.join(nodes, members["set"] == nodes["node"]).select(F.col("least_id").alias("_id"), "node")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            likely = []
+            for x, y, na, nb in zip(*(batch.column(c) for c in ("sa", "sb")), *(batch.column(c).to_pylist() for c in ("na", "nb")), strict=True):
+                p, q = x.values.to_numpy(), y.values.to_numpy()
+                common = np.intersect1d(p, q, assume_unique=True)
+                if na <= k and nb <= k:
+                    likely.append(100 * len(common) >= percent * (na + nb - len(common)))
+                else:
+                    union = np.union1d(p, q)[:k]
+                    likely.append(np.searchsorted(common, union[-1], side="right") >= min(asked, len(union)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(likely, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(compare, fields(("a", "long"), ("b", "long")))
+
+
+def listed_sets(docs: DataFrame, lists: DataFrame, members: DataFrame, size: int, k: int) -> DataFrame:
+    """node, sketch and full set (bytes) of the nodes in ``lists``. Texts are read again for them alone, found by
+    doc_id; as rows may share one, their sets are told apart by digest."""
+    wanted = staged(members.join(lists.select("node").distinct(), "node", "left_semi").select("least_id", "set", "node"), "dedup-wanted")
+    ids = wanted.select(F.col("least_id").alias("_id")).distinct()
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sets = [shingles(t, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                own = [k for k, (s, node) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if xxhash.xxh3_128_digest(s.tobytes()) == node]
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(own, pa.int64())), pa.array([sets[k].tobytes() for k in own], pa.binary())], names=["node", "full"])
+            for at in range(0, whole.num_rows, 256):
+                sets = [shingles(t, size) for t in whole.slice(at, 256).column("text").cast(pa.binary()).to_pylist()]
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                first = list({d: i for i, d in enumerate(digests)}.values())
+                columns = [pa.array([digests[i] for i in first], pa.binary()), pa.array([sets[i][:k] for i in first], pa.list_(pa.int64())), pa.array([sets[i].tobytes() for i in first], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "sketch", "full"])
 
     source = texts(docs)
-    sets = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text").mapInArrow(full, fields(("node", "binary"), ("full", "binary")))
-    sets = sets.dropDuplicates(["node"])
-    both = pairs.join(sets.toDF("a", "fa"), "a").join(sets.toDF("b", "fb"), "b")
+    rows = source.join(small(ids), source["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
+    sets = rows.mapInArrow(full, fields(("digest", "binary"), ("sketch", "array<long>"), ("full", "binary")))
+    known = small(wanted.select("set", "node"))
+    return sets.join(known, sets["digest"] == known["set"]).select("node", "sketch", "full").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar."""
+    own = sets.select("node", "full")
+    both = pairs.join(own.toDF("a", "fa"), "a").join(own.toDF("b", "fb"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "fa", "fb").mapInArrow(compare, fields(("a", "binary"), ("b", "binary")))
+    return both.select("a", "b", "fa", "fb").mapInArrow(compare, fields(("a", "long"), ("b", "long")))
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """node, comp: the least node that each node of ``links`` (a, b) reaches. Labels fall to the least among
     neighbours, then to their label's label, until none changes; each round is a written table."""
     edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dedup-edges")
     labels = staged(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "dedup-labels")
-    for _ in range(rounds):
+    while True:
         seen = edges.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         fallen = labels.join(seen, labels["node"] == seen["a"]).select("node", F.least("comp", "m").alias("c"), F.col("comp").alias("old"))
         jumped = fallen.join(labels.toDF("c", "cc"), "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("comp"), (F.least("c", F.coalesce("cc", "c")) != F.col("old")).alias("changed"))
@@ -200,33 +252,27 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("node", "comp")
         if new.filter("changed").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
-def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, k: int = K, overlap: int = OVERLAP) -> DataFrame:
+def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; ``set``, equal for equal sets; and ``keep``, true on the
     rows that stand for their component: a component_id alone names several where a doc_id has several sets."""
-    sketched = staged(sketches(docs, size, k), "dedup-sketches")
-    members = sketched.groupBy("set").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
-    members = staged(members, "dedup-classes")
-    named = sketched.filter("n_shingles > 0").select("set", "sketch", F.col("doc_id").alias("_id"))
-    classes = members.filter("n > 0").join(named, ["set"]).filter(F.col("_id").eqNullSafe(F.col("least_id"))).select(F.col("set").alias("node"), "n", "sketch").dropDuplicates(["node"])
-    classes = staged(classes, "dedup-nodes")
-    lists = staged(inverted_lists(classes, percent, k, overlap), "dedup-lists")
-
-    links, comps = None, None
-    for turn in range(TURNS):
-        pairs = nearest_heads(estimated(head_pairs(lists, comps, percent, turn), classes, percent, k, overlap))
-        found = staged(verified(staged(pairs, "dedup-pairs"), docs, members, size, percent), "dedup-links")
-        links = found if links is None else links.unionByName(found)
-        comps = connected(links)
-    rest = staged(estimated(rest_pairs(lists, comps, percent), classes, percent, k, overlap).select("a", "b"), "dedup-pairs")
-    found = staged(verified(rest, docs, members, size, percent), "dedup-links")
-    comps = connected(links.unionByName(found))
-
-    placed = members.join(comps, members["set"] == comps["node"], "left").select("set", "least_id", F.coalesce("comp", "set").alias("comp"))
-    first = F.struct(F.col("least_id").isNull(), "least_id", "set")
-    least = placed.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min_by("set", first).alias("first_set"))
+    # A node is named by the least row, numbered as written, that has its sketch.
+    sketched = staged(sketches(docs, size, k).withColumn("row", F.monotonically_increasing_id()), "dedup-sketches")
+    named = F.when(F.col("sketch").isNotNull(), F.col("row"))
+    members = sketched.groupBy("set").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.min(named).alias("node"))
+    members = staged(members, "dedup-nodes")
+    lists = staged(inverted_lists(sketched, members, percent, k), "dedup-lists")
+    sets = staged(listed_sets(docs, lists, members, size, k), "dedup-sets")
+
+    likely = staged(estimated(head_pairs(lists, percent, k), sets, percent, k), "dedup-pairs")
+    first = staged(verified(likely, sets, percent), "dedup-links")
+    likely = staged(estimated(rest_pairs(lists, connected(first), percent, k), sets, percent, k), "dedup-pairs")
+    comps = connected(first.unionByName(verified(likely, sets, percent)))
+
+    placed = members.join(comps, "node", "left").select("set", "least_id", F.coalesce("comp", "node").alias("comp"))
+    by_id = F.struct(F.col("least_id").isNull(), "least_id", "set")
+    least = placed.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min_by("set", by_id).alias("first_set"))
     by_set = placed.join(least, "comp").select("set", "component_id", (F.col("set") == F.col("first_set")).alias("is_first"))
     joined = sketched.select("doc_id", "n_shingles", "set").join(by_set, "set")
     empty = F.col("n_shingles") == 0
@@ -244,24 +290,25 @@ def keep_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     least digest), with all its columns. Documents without words are groups of their own. Rows are told apart
     by doc_id and set: different texts under one doc_id, or without one, are different documents; rows that
     share both stay once, the one with the least text."""
+    id_, set_, kept_ = (free_name(docs, x) for x in ("kept_id", "kept_set", "kept_digest"))
     rows = staged(components(docs, size, percent).select("doc_id", "set", "keep"), "dedup-rows")
-    ids = rows.groupBy(F.col("doc_id").alias("_id")).agg((F.min("set") != F.max("set")).alias("several"), F.max("keep").alias("keep")).filter("keep")
-    ids = staged(ids.select("_id", "several"), "dedup-kept")
-    # Few ids have several sets, so a written table of them alone is joined without dealing the documents.
-    several = staged(ids.filter("several").select("_id"), "dedup-several")
-    kept = rows.filter("keep").join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("set").alias("_kept")).distinct()
+    ids = rows.groupBy(F.col("doc_id").alias(id_)).agg((F.count("*") > 1).alias("several"), F.max("keep").alias("keep")).filter("keep")
+    ids = staged(ids.select(id_, "several"), "dedup-kept")
+    # Few ids have several rows, so a written table of them alone is joined without dealing the documents.
+    several = staged(ids.filter("several").select(id_), "dedup-several")
+    kept = rows.filter("keep").join(several, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").select(F.col("doc_id").alias(id_), F.col("set").alias(kept_)).distinct()
 
     @F.pandas_udf("binary")
     def digest(column):
         return column.map(lambda t: xxhash.xxh3_128_digest(shingles(t.encode(), size).tobytes()))
 
     own = docs["doc_id"].cast("long")
-    one = docs.join(ids.filter("NOT several"), own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_set", F.lit(None).cast("binary"))
-    many = docs.join(several, own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_set", digest(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    many = many.join(kept, many["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_set") == F.col("_kept")), "left_semi")
+    one = docs.join(ids.filter("NOT several"), own.eqNullSafe(F.col(id_)), "left_semi")
+    many = docs.join(several, own.eqNullSafe(F.col(id_)), "left_semi").withColumn(set_, digest(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    many = many.join(kept, many["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.col(set_) == F.col(kept_)), "left_semi")
     plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
     row = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*plain))).alias("row")
-    return one.unionByName(many).groupBy(F.col("doc_id").cast("long").alias("_id"), "_set").agg(row).select("row.*")
+    return one.unionByName(many.groupBy(F.col("doc_id").cast("long").alias(id_), set_).agg(row).select("row.*"))
 
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
