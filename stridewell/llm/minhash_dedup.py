@@ -43,7 +43,9 @@ WORDS = 5
 PERCENT = 80
 K = 256
 #: Words, and digests of sets, that a task remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Values before a listed one that go with it.
+BEFORE = 4
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 _shared: dict = {}
@@ -122,8 +124,9 @@ def pair_overlap(na: Column, nb: Column, percent: int, k: int) -> Column:
 
 
 def inverted_lists(sketched: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
-    """value, node, n, left, central: the listed values of each node that another sketch holds too. ``left`` counts
-    the node's shared values from this one on, ``central`` is the mean logarithm of how many hold its values."""
+    """value, node, n, left, central, before: the listed values of each node that another sketch holds too. ``left``
+    counts the node's shared values from this one on, ``central`` is the mean logarithm of how many hold its
+    values, ``before`` the listed values just before this one."""
     values = sketched.filter(F.col("sketch").isNotNull()).select("row", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     # Values that one sketch alone holds come first in the order and match nothing: count them, not list them.
@@ -132,8 +135,11 @@ def inverted_lists(sketched: DataFrame, members: DataFrame, percent: int, k: int
     own = F.greatest(F.lit(0), overlap_listed(n, percent, k) - (held - F.size("shared"))).cast("int")
     central = F.aggregate("shared", F.lit(0.0), lambda total, s: total + F.log(s["df"].cast("double"))) / held
     nodes = members.filter("n > 0").select("node", "n")
-    listed = nodes.join(shared, nodes["node"] == shared["row"]).select("node", "n", F.size("shared").alias("size"), central.alias("central"), F.posexplode(F.slice("shared", 1, own)))
-    return listed.select(F.col("col.value").alias("value"), "node", "n", (F.col("size") - F.col("pos")).cast("long").alias("left"), "central")
+    values = F.transform(F.slice("shared", 1, own), lambda s: s["value"])
+    listed = nodes.join(shared, nodes["node"] == shared["row"]).select("node", "n", F.size("shared").alias("size"), central.alias("central"), values.alias("values"))
+    before = F.slice("values", F.greatest(F.col("pos") - BEFORE + 1, F.lit(1)), F.least(F.col("pos"), F.lit(BEFORE)))
+    each = listed.select("node", "n", "size", "central", "values", F.posexplode("values").alias("pos", "value"))
+    return each.select("value", "node", "n", (F.col("size") - F.col("pos")).cast("long").alias("left"), "central", before.alias("before"))
 
 
 def overlap_listed(n: Column, percent: int, k: int) -> Column:
@@ -170,11 +176,12 @@ def rest_pairs(lists: DataFrame, components: DataFrame, percent: int, k: int) ->
     mixed = placed.join(main, "value")
     # Similar sizes are at most one band apart.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    few = mixed.filter(F.col("comp") != F.col("main")).select("value", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
-    every = mixed.select("value", band.alias("band"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"), "main")
-    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
+    few = mixed.filter(F.col("comp") != F.col("main")).select("value", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"), F.col("before").alias("before_a"))
+    every = mixed.select("value", band.alias("band"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"), "main", F.col("before").alias("before_b"))
+    # Two that share a value just before this one have met there already.
+    once = ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & ~F.arrays_overlap("before_a", "before_b")
     same = (few["value"] == every["value"]) & (few["band"] == every["band"])
-    met = few.join(every, same & (F.col("ca") != F.col("cb")) & once & may_be_similar(percent, k))
+    met = few.join(every, same & (F.col("ca") != F.col("cb")) & may_be_similar(percent, k) & once)
     return in_order(met).distinct()
 
 
@@ -219,7 +226,10 @@ def listed_sets(docs: DataFrame, lists: DataFrame, members: DataFrame, size: int
     rows = source.join(small(ids), source["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
     sets = rows.mapInArrow(full, fields(("digest", "binary"), ("sketch", "array<long>"), ("full", "binary")))
     known = small(wanted.select("set", "node"))
-    return sets.join(known, sets["digest"] == known["set"]).select("node", "sketch", "full").dropDuplicates(["node"])
+    found = staged(sets.join(known, sets["digest"] == known["set"]).select("node", "sketch", "full"), "dedup-sets")
+    # Rows that repeat a doc_id and its set are few, mostly none; only then are sets moved to drop them.
+    repeated = not found.groupBy("node").count().filter("count > 1").isEmpty()
+    return staged(found.dropDuplicates(["node"]), "dedup-sets") if repeated else found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +273,7 @@ def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, k: in
     members = sketched.groupBy("set").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.min(named).alias("node"))
     members = staged(members, "dedup-nodes")
     lists = staged(inverted_lists(sketched, members, percent, k), "dedup-lists")
-    sets = staged(listed_sets(docs, lists, members, size, k), "dedup-sets")
+    sets = listed_sets(docs, lists, members, size, k)
 
     likely = staged(estimated(head_pairs(lists, percent, k), sets, percent, k), "dedup-pairs")
     first = staged(verified(likely, sets, percent), "dedup-links")
