@@ -1,17 +1,20 @@
 """Byte-level BPE in Spark's higher-order functions.
 
-``encode``: an Arrow pass gathers rows into blocks of about BLOCK_CHARS characters, and lists the distinct
-words (matches of the pattern) that a block adds to its task's, with the place of every match among them. The distinct
-words are encoded by higher-order functions: a word is the array of its bytes' ids, and a fold over it merges
-the neighbours of lowest rank, looked up in a literal rank map, until none is left. ``decode`` folds
-a word's ids into bytes by concatenating literal binary pieces. A last Arrow pass puts each text's ids together
-from its words. Nothing is shuffled; a word is encoded once a task, until
-the task has REMEMBERED words and starts anew.
-
-The rank map is dealt into slots by hash, as a lookup in one large map literal would scan it. A word that is a
-piece of the vocabulary as a whole has that one id, as in the tiktoken library.
-Words of more than LONGEST bytes would take the fold a time that grows with the square of their length:
-they go to the tiktoken library in the first pass and meet the others in the last.
+1. ``segments``: an Arrow pass reads the texts of a task once. It numbers the distinct words (matches of the
+   pattern) and writes each text as the numbers of its words, compressed; the words go to buckets by hash.
+2. ``distinct``: a word that several segments have meets itself in its bucket, so it is encoded once.
+3. The distinct words are encoded by higher-order functions: a word is the array of its bytes' ids, and a fold
+   merges the neighbours of lowest rank, looked up in a literal rank map, until none is left.
+   A second fold decodes the ids by concatenating literal binary pieces.
+4. ``gathered`` packs ids and bytes by segment, and ``joined`` puts each text together from its words.
+
+Words move as packed rows, a few bytes for each word of a segment, and the numbered texts twice; texts do not.
+A segment ends after REMEMBERED words or SEGMENT_CHARS characters, so what a task holds is bounded.
+
+The rank map is dealt into slots by hash, as a lookup in one large map literal would scan it. Words of more than
+LONGEST bytes are first cut where two neighbouring bytes are part of no piece of the vocabulary: no merge can
+cross there. A pair that occurs MANY times in a word is merged at all its places in one step, unless that makes a
+pair of a lower rank, which has to go first. Both keep the result and save time on very long words.
 
 Defined results: a null text is an empty one and has no ids; repeated rows are encoded one by one; bytes of
 decoded ids equal the text's UTF-8 bytes.
@@ -23,26 +26,33 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fields, texts
-from .secrets import encoder, vocabulary
+from .secrets import vocabulary
 
-BLOCK_CHARS = 1_000_000
-#: Words that a task remembers before it starts anew.
+#: Distinct words and characters that a segment has at most, and characters of a row of numbered texts.
 REMEMBERED = 300_000
-#: Bytes of a word that the fold takes.
+SEGMENT_CHARS = 64_000_000
+BLOCK_CHARS = 4_000_000
+#: Bytes of a word up to which it is not looked at for places to cut.
 LONGEST = 64
+#: Places of one pair from which on they are merged in one step.
+MANY = 64
 #: Slots of the rank map, a prime number.
 SLOTS = 131_071
 
-_shared: dict = {}
+WORDS, TEXTS = 0, 1
+ROW = (("kind", "int"), ("key", "long"), ("segment", "long"), ("doc_ids", "array<long>"), ("a", "binary"), ("b", "binary"), ("c", "binary"), ("d", "binary"))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,22 +60,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def pair_table(ranks: dict[bytes, int], slots: int = SLOTS) -> Column:
-    """The rank map as a literal, struct<k: array<array<bigint>>, v: array<array<int>>>.
+def rank_map(ranks: dict[bytes, int], slots: int = SLOTS) -> Column:
+    """The rank map as a literal, array<array<bigint>>.
 
-    A pair of pieces (ids a, b) that join to a piece of the vocabulary has the key a * 2**16 + b and is found in
-    slot key mod SLOTS: its place among that slot's keys in k is that of its rank in v. Every way to cut a
-    piece into two pieces is a pair."""
-    keys: list[list[int]] = [[] for _ in range(slots)]
-    values: list[list[int]] = [[] for _ in range(slots)]
+    A pair of pieces (ids a, b) that join to a piece of the vocabulary has the key (a + 1) * 2**32 + b, greater than
+    any rank, and stands in slot key mod ``slots``: null, key, rank, key, rank ... Every way to cut a piece into two
+    pieces is a pair."""
+    table: list[list[int | None]] = [[] for _ in range(slots)]
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if a is not None and b is not None:
-                key = (a << 16) + b
-                keys[key % slots].append(key)
-                values[key % slots].append(rank)
-    return F.from_json(F.lit(json.dumps({"k": keys, "v": values}, separators=(",", ":"))), "struct<k:array<array<bigint>>,v:array<array<int>>>")
+                key = (a + 1 << 32) + b
+                slot = table[key % slots]
+                slot += [key, rank] if slot else [None, key, rank]
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<bigint>>")
 
 
 def pieces(ranks: dict[bytes, int]) -> Column:
@@ -83,69 +92,143 @@ def _let(value: Column, body) -> Column:
 
 def pair_rank(a: Column, b: Column, table: Column) -> Column:
     """The rank that ids a and b join to, or null."""
-    key = a.cast("bigint") * 65536 + b
 
-    def found(k: Column) -> Column:
-        slot = (k % SLOTS).cast("int")
-        return F.get(F.get(table["v"], slot), (F.array_position(F.get(table["k"], slot), k) - 1).cast("int"))
+    def found(key: Column) -> Column:
+        # A key's place counts from one, so it is the index of the rank after it; without the key, of the null.
+        return _let(F.get(table, (key % SLOTS).cast("int")), lambda slot: F.get(slot, F.array_position(slot, key).cast("int")))
 
-    return _let(key, found)
+    return _let((a + 1) * 4294967296 + b, found)
 
 
 def encode_word(word: Column, table: Column) -> Column:
-    """array<int> of the ids of a word given as the ids of its bytes. The state of the fold is the ids t and the
+    """array<bigint> of the ids of a word given as the ids of its bytes. The state of the fold is the ids t and the
     rank r of each id joined to the next; a step joins the first pair of the lowest rank, whose rank is the
-    new id, and looks up its two new neighbours only."""
-    size = F.size(word)
-    ranks = F.transform(F.slice(word, 1, size - 1), lambda x, i: pair_rank(x, F.get(word, i + 1), table))
-    start = F.struct(word.alias("t"), ranks.alias("r"))
-    nothing = F.array().cast("array<int>")
-
-    def merged(s: Column, i: Column, m: Column) -> Column:
+    new id, and looks up its two new neighbours only. Without a pair to join, r is empty."""
+    nothing = F.array().cast("array<bigint>")
+
+    def ranks(t: Column) -> Column:
+        return F.transform(F.slice(t, 1, F.size(t) - 1), lambda x, i: pair_rank(x, F.get(t, i + 1), table))
+
+    def first_place(t: Column, r: Column, m: Column) -> Column:
+        def merged(i: Column) -> Column:
+            return F.struct(
+                F.concat(F.slice(t, 1, i - 1), F.array(m), F.slice(t, i + 2, F.size(t))).alias("t"),
+                F.concat(
+                    F.slice(r, 1, F.greatest(i - 2, F.lit(0))),
+                    F.when(i > 1, F.array(pair_rank(F.get(t, i - 2), m, table))).otherwise(nothing),
+                    F.when(i < F.size(r), F.array(pair_rank(m, F.get(t, i + 1), table))).otherwise(nothing),
+                    F.slice(r, i + 2, F.size(r)),
+                ).alias("r"),
+            )
+
+        return _let(F.array_position(r, m).cast("int"), merged)
+
+    def all_places(t: Column, r: Column, m: Column) -> Column:
+        """Merges at all places from left to right, or at the first one if that makes a pair of lower rank."""
+        signs = F.array_join(F.transform(r, lambda x: F.when(x.eqNullSafe(m), F.lit("1")).otherwise(F.lit("0"))), "")
+        # Places that overlap: the left one counts.
+        signs = F.split(F.concat(F.regexp_replace(signs, "11", "10"), F.lit("0")), "")
+        is_first = lambda s, i: F.coalesce(F.get(s, i) == "1", F.lit(False))
+
+        def chosen(s: Column) -> Column:
+            new = F.filter(F.transform(t, lambda x, i: F.when(is_first(s, i), m).when(is_first(s, i - 1), F.lit(-1)).otherwise(x)), lambda x: x >= 0)
+            # A new id stood beside the next place before that was merged.
+            between = F.transform(F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: is_first(s, i) & is_first(s, i + 2)), lambda i: pair_rank(m, F.get(t, i + 2), table))
+
+            def safe(new: Column) -> Column:
+                return _let(ranks(new), lambda r2: F.when(F.coalesce(F.array_min(F.concat(r2, between)) > m, F.lit(True)), F.struct(new.alias("t"), r2.alias("r"))).otherwise(first_place(t, r, m)))
+
+            return F.when(F.size(new) > 1, _let(new, safe)).otherwise(F.struct(new.alias("t"), nothing.alias("r")))
+
+        return _let(signs, chosen)
+
+    def joined(s: Column, m: Column) -> Column:
         t, r = s["t"], s["r"]
-        return F.struct(
-            F.concat(F.slice(t, 1, i - 1), F.array(m), F.slice(t, i + 2, F.lit(LONGEST))).alias("t"),
-            F.concat(
-                F.slice(r, 1, F.greatest(i - 2, F.lit(0))),
-                F.when(i > 1, F.array(pair_rank(F.get(t, i - 2), m, table))).otherwise(nothing),
-                F.when(i < F.size(r), F.array(pair_rank(m, F.get(t, i + 1), table))).otherwise(nothing),
-                F.slice(r, i + 2, F.lit(LONGEST)),
-            ).alias("r"),
-        )
+        often = (F.size(r) >= MANY) & (F.size(r) - F.size(F.array_remove(r, m)) >= MANY)
+        return F.when(m.isNull(), F.struct(t.alias("t"), nothing.alias("r"))).when(often, all_places(t, r, m)).otherwise(first_place(t, r, m))
 
     def step(s: Column, _: Column) -> Column:
-        place = lambda m: F.array_position(s["r"], m).cast("int")
-        return _let(F.array_min(s["r"]), lambda m: F.when(m.isNull(), s).otherwise(_let(place(m), lambda i: merged(s, i, m))))
+        return F.when(F.size(s["r"]) == 0, s).otherwise(_let(F.array_min(s["r"]), lambda m: joined(s, m)))
+
+    start = F.struct(word.alias("t"), ranks(word).alias("r"))
+    return F.when(F.size(word) > 1, F.aggregate(F.slice(word, 1, F.size(word) - 1), start, step)["t"]).otherwise(word)
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The merges of one word, plainly."""
+    t = [word[i : i + 1] for i in range(len(word))]
+    while len(t) > 1:
+        rank, i = min((ranks.get(t[i] + t[i + 1], 1 << 40), i) for i in range(len(t) - 1))
+        if rank == 1 << 40:
+            break
+        t[i : i + 2] = [t[i] + t[i + 1]]
+    return t
 
-    return F.when(size > 1, F.aggregate(F.slice(word, 1, size - 1), start, step)["t"]).otherwise(word)
+
+def encoded(word: Column, ranks: dict[bytes, int]) -> Column:
+    """``encode_word``; a word that is a piece of the vocabulary has that one id, also where the merges do not lead
+    to it (in the usual vocabularies they always do)."""
+    known = _let(rank_map(ranks), lambda table: encode_word(word, table))
+    for piece, rank in ranks.items():
+        if len(piece) > 1 and len(merged(piece, ranks)) > 1:
+            known = F.when(word == F.array(*(F.lit(ranks[piece[i : i + 1]]).cast("bigint") for i in range(len(piece)))), F.array(F.lit(rank).cast("bigint"))).otherwise(known)
+    return known
 
 
 def decode_word(ids: Column, by_id: Column) -> Column:
     """The bytes of ids: their binary pieces, one after the other."""
-    return F.aggregate(ids, F.lit(b""), lambda got, i: F.concat(got, F.get(by_id, i)))
+    return F.aggregate(ids, F.lit(b""), lambda got, i: F.concat(got, F.get(by_id, i.cast("int"))))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Small whole numbers, seven bits a byte and compressed."""
+    wide = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14) + (numbers >= 1 << 21) + (numbers >= 1 << 28)
+    out = np.empty((len(numbers), 5), np.uint8)
+    for k in range(5):
+        out[:, k] = (numbers >> np.uint32(7 * k)) & np.uint32(127) | np.where(wide > k + 1, 128, 0)
+    return zstandard.ZstdCompressor(level=3).compress(out[np.arange(5)[None] < wide[:, None]].tobytes())
 
 
-class _Block:
-    """Distinct words of a block, and of each row the places of its words among them."""
+def unpacked(data: bytes) -> np.ndarray:
+    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    ends = np.flatnonzero(b < 128)
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))[: len(ends)]
+    out = (b[starts] & 127).astype(np.int64)
+    for k in range(1, 5):
+        more = np.flatnonzero(ends - starts >= k)
+        out[more] |= (b[starts[more] + k] & 127).astype(np.int64) << (7 * k)
+    return out
 
-    def __init__(self, pattern, enc, ranks: dict[bytes, int]):
-        self.pattern, self.enc, self.ranks = pattern, enc, ranks
-        self.byte_ids = [ranks[bytes([x])] for x in range(256)]
+
+class _Segment:
+    """Distinct words, numbered as they come, and the texts as numbers of words."""
+
+    def __init__(self, pattern: str, neighbours: frozenset[bytes]):
+        self.pattern, self.neighbours = regex.compile(pattern), neighbours
         self.start()
 
     def start(self) -> None:
-        """Forget all words: the first block of a task, and then whenever there are too many."""
-        self.words: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
         self.chunks: dict[str, bytes] = {}
-        self.sent, self.anew = 0, True
+        self.blocks: list[tuple] = []
+        self.all_chars = 0
         self.empty()
 
     def empty(self) -> None:
         self.ids, self.rows, self.chars = [], [], 0
 
-    def place(self, words: list[str]) -> bytes:
-        known = self.words
-        return np.array([known.setdefault(w, len(known)) for w in words], "<u4").tobytes()
+    def cut(self, word: bytes) -> list[bytes]:
+        """Parts of a long word that no merge joins."""
+        at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.neighbours), len(word)]
+        return [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def place(self, found: list[str]) -> bytes:
+        known, out = self.words, []
+        for w in found:
+            coded = w.encode()
+            for part in (coded,) if len(coded) <= LONGEST else self.cut(coded):
+                out.append(known.setdefault(part, len(known)))
+        return np.array(out, "<u4").tobytes()
 
     def add(self, doc_id: int | None, text: str) -> None:
         if ODD_SPACE.search(text):
@@ -162,77 +245,218 @@ class _Block:
         self.ids.append(doc_id)
         self.rows.append(rows)
         self.chars += len(text)
+        if self.chars >= BLOCK_CHARS:
+            self.close_block()
+
+    def close_block(self) -> None:
+        if self.rows:
+            counts = np.array([len(r) // 4 for r in self.rows], np.uint32)
+            self.blocks.append((self.ids, packed(counts), packed(np.frombuffer(b"".join(self.rows), "<u4"))))
+            self.all_chars += self.chars
+            self.empty()
+
+    def full(self) -> bool:
+        return len(self.words) > REMEMBERED or self.all_chars + self.chars > SEGMENT_CHARS
+
+    def batches(self, name: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """Its words by bucket and its texts. The segment's key follows from the task and from the words in
+        their order, so rows of a rerun in another order cannot be taken for these."""
+        self.close_block()
+        words = list(self.words)
+        key = xxhash.xxh3_64_intdigest(b"\0".join(words), seed=name) >> 1
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+        rows = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            at = order[a:b]
+            own = [words[i] for i in at.tolist()]
+            text = zstandard.ZstdCompressor(level=3).compress(b"".join(own))
+            rows.append((WORDS, int(bucket[at[0]]), key, None, text, packed(np.array([len(w) for w in own], np.uint32)), packed(np.diff(at, prepend=0).astype(np.uint32)), None))
+        rows += [(TEXTS, key, key, ids, counts, places, None, None) for ids, counts, places in self.blocks]
+        self.start()
+        for k in range(0, len(rows), 16):
+            yield batch_of(rows[k : k + 16])
+
+
+KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
-    def batch(self) -> pa.RecordBatch:
-        coded = [w.encode("utf-8", "surrogatepass") for w in islice(self.words, self.sent, None)]
-        ranks, one = self.ranks, self.byte_ids
-        whole = [ranks.get(w) for w in coded]
-        short = [[r] if r is not None else [one[x] for x in w] if len(w) <= LONGEST else None for r, w in zip(whole, coded, strict=True)]
-        long = [None if r is not None or len(w) <= LONGEST else np.array(self.enc.encode_ordinary(w.decode()), "<u4").tobytes() for r, w in zip(whole, coded, strict=True)]
-        kinds = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.binary())]
-        out = pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((self.anew, self.ids, self.rows, short, long), kinds, strict=True)], names=["anew", "doc_ids", "rows", "words", "long_ids"])
-        self.sent, self.anew = len(self.words), False
-        if self.sent > REMEMBERED:
-            self.start()
-        self.empty()
-        return out
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), ROW, strict=True)], names=[n for n, _ in ROW])
 
 
 #: A space that white space follows or that ends the text.
 ODD_SPACE = regex.compile(r" (?:\s|\Z)")
 
 
-def blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def segments(docs: DataFrame, ranks: dict[bytes, int], buckets: int) -> DataFrame:
+    """Rows of kind WORDS (key: bucket; a, b, c: words, their lengths, steps between their numbers) and of
+    kind TEXTS (key: segment; a, b: words of each text, their numbers)."""
     import public_tokenizers
 
-    pattern = public_tokenizers.PATTERN
+    pattern, neighbours = public_tokenizers.PATTERN, frozenset(w[i : i + 2] for w in ranks for i in range(len(w) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(regex.compile(pattern), encoder(path), read_ranks(path))
+        context = TaskContext.get()
+        name, segment = context.partitionId() if context else 0, _Segment(pattern, neighbours)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                block.add(doc_id, text)
-                if block.chars >= block_chars:
-                    yield block.batch()
-        if block.rows:
-            yield block.batch()
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                segment.add(doc_id, text.as_py())
+                if segment.full():
+                    yield from segment.batches(name, buckets)
+        yield from segment.batches(name, buckets)
 
-    return texts(docs).mapInArrow(run, fields(("anew", "boolean"), ("doc_ids", "array<long>"), ("rows", "array<binary>"), ("words", "array<array<int>>"), ("long_ids", "array<binary>")))
+    return texts(docs).mapInArrow(run, fields(*ROW))
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) and decoded bytes of each text."""
-    path = tokenizer or vocabulary()
-    ranks = read_ranks(path)
-    # Each literal is bound once, outside the loop over words.
-    encoded = _let(pair_table(ranks), lambda table: F.transform("words", lambda w: F.when(w.isNotNull(), encode_word(w, table))))
-    decoded = _let(pieces(ranks), lambda by_id: F.transform("ids", lambda i: F.when(i.isNotNull(), decode_word(i, by_id))))
-    both = blocks(docs, path, block_chars).select("anew", "doc_ids", "rows", "long_ids", encoded.alias("ids")).withColumn("decoded", decoded)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id, packed, plain = None, [], []
+#: A word's place in a segment: the words it stands for.
+USE = np.dtype([("segment", "<i8"), ("at", "<u4")])
+
+
+def distinct(rows: DataFrame, byte_ids: list[int]) -> DataFrame:
+    """Each word of a bucket once: ``word``, the ids of its bytes, and ``uses``, its places in segments. Rows of other kinds
+    go through. Rows come sorted by kind and bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.array(byte_ids, np.int64)
+        bucket, words, places, uses = None, {}, [], []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if not words:
+                return
+            all_places, all_uses = np.concatenate(places), np.concatenate(uses)
+            order = np.argsort(all_places, kind="stable")
+            held = np.concatenate(([0], np.cumsum(np.bincount(all_places, minlength=len(words))))).astype(np.int32) * USE.itemsize
+            used = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(held), pa.py_buffer(all_uses[order].tobytes())])
+            ends = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(table[np.frombuffer(b"".join(words), np.uint8)]))
+            n = len(words)
+            empty = [pa.nulls(n, KINDS[kind]) for _, kind in ROW]
+            empty[0] = pa.array(np.full(n, WORDS, np.int32))
+            whole = pa.RecordBatch.from_arrays([*empty, ids, used], names=[*(c for c, _ in ROW), "word", "uses"])
+            for k in range(0, n, 5000):
+                yield whole.slice(k, 5000)
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                if batch.column("anew")[k].as_py():
-                    packed, plain = [], []
-                known = len(packed)
-                doc_ids, rows = batch.column("doc_ids")[k].values, batch.column("rows")[k].values
-                ids, long_ids = batch.column("ids")[k].values, batch.column("long_ids")[k].values.to_pylist()
-                flat, bounds = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy()
-                packed += [flat[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                plain += batch.column("decoded")[k].values.to_pylist()
-                for w, own in enumerate(long_ids, known):
-                    if own is not None:
-                        by_id = by_id or {v: p for p, v in read_ranks(path).items()}
-                        packed[w], plain[w] = own, b"".join(by_id[i] for i in np.frombuffer(own, "<u4").tolist())
-                out_ids, out_plain = [], []
-                for row in rows.to_pylist():
-                    at = np.frombuffer(row, "<u4").tolist()
-                    out_ids.append(b"".join(map(packed.__getitem__, at)))
-                    out_plain.append(b"".join(map(plain.__getitem__, at)))
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(out_ids, pa.binary()), pa.array(out_plain, pa.binary())], names=["doc_id", "ids", "decoded"])
-
-    return both.mapInArrow(join, fields(("doc_id", "long"), ("ids", "binary"), ("decoded", "binary")))
+            for k, (kind, key) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True)):
+                if (kind, key) != bucket:
+                    yield from flushed()
+                    bucket, words, places, uses = (kind, key), {}, [], []
+                if kind == TEXTS:
+                    one = batch.slice(k, 1)
+                    yield pa.RecordBatch.from_arrays([*one.columns, pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary())], names=[*one.schema.names, "word", "uses"])
+                    continue
+                ends = np.concatenate(([0], np.cumsum(unpacked(batch.column("b")[k].as_py())))).tolist()
+                text, at = zstandard.ZstdDecompressor().decompress(batch.column("a")[k].as_py()), np.cumsum(unpacked(batch.column("c")[k].as_py()))
+                places.append(np.array([words.setdefault(text[x:y], len(words)) for x, y in zip(ends[:-1], ends[1:], strict=True)], np.int64))
+                own = np.empty(len(at), USE)
+                own["segment"], own["at"] = batch.column("segment")[k].as_py(), at
+                uses.append(own)
+        yield from flushed()
+
+    return rows.mapInArrow(run, fields(*ROW, ("word", "array<long>"), ("uses", "binary")))
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Ids and decoded bytes of words packed by segment: key; a: places, b: ids of each, c: ids, d: decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pc.equal(batch.column("kind"), WORDS)
+            rest = batch.filter(pc.invert(own))
+            if rest.num_rows:
+                yield rest.select([n for n, _ in ROW])
+            batch = batch.filter(own)
+            if not batch.num_rows:
+                continue
+            used = pa.chunked_array([batch.column("uses")]).combine_chunks()
+            use = np.concatenate([np.frombuffer(u.as_buffer(), USE) for u in used])
+            row = np.repeat(np.arange(batch.num_rows), pc.binary_length(used).to_numpy() // USE.itemsize)
+            order = np.lexsort((use["at"], use["segment"]))
+            use, row = use[order], row[order]
+            bounds = np.flatnonzero(np.concatenate(([True], use["segment"][1:] != use["segment"][:-1], [True])))
+            out = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                mine = pa.array(row[a:b])
+                ids, plain = batch.column("ids").take(mine), batch.column("decoded").take(mine)
+                lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.uint32)
+                sizes = packed(pc.binary_length(plain).to_numpy(zero_copy_only=False).astype(np.uint32))
+                decoded = zstandard.ZstdCompressor(level=3).compress(b"".join(plain.to_pylist()))
+                places = packed(np.diff(use["at"][a:b].astype(np.int64), prepend=0).astype(np.uint32))
+                head = b"".join(len(x).to_bytes(4, "little") + x for x in (places, sizes))
+                out.append((WORDS, int(use["segment"][a]), None, None, head, packed(lengths), packed(ids.flatten().to_numpy().astype(np.uint32)), decoded))
+            yield batch_of(out)
+
+    return rows.mapInArrow(run, fields(*ROW))
+
+
+def _binary(lengths: np.ndarray, data: bytes) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+class _Table:
+    """Ids and bytes of a segment's words by number."""
+
+    def __init__(self):
+        self.at, self.ids, self.plain, self.ready = [], [], [], False
+
+    def add(self, head: bytes, lengths: bytes, ids: bytes, decoded: bytes) -> None:
+        n = int.from_bytes(head[:4], "little")
+        places, sizes = head[4 : 4 + n], head[8 + n :]
+        self.at.append(np.cumsum(unpacked(places)))
+        self.ids.append(_binary(4 * unpacked(lengths), unpacked(ids).astype("<u4").tobytes()))
+        self.plain.append(_binary(unpacked(sizes), zstandard.ZstdDecompressor().decompress(decoded)))
+
+    def finish(self) -> None:
+        at = np.concatenate(self.at) if self.at else np.zeros(0, np.int64)
+        order = np.argsort(at)
+        if len(at) and not np.array_equal(at[order], np.arange(len(at))):
+            raise RuntimeError("a segment's words are not whole: its texts were numbered anew in another order")
+        take = lambda parts: pa.concat_arrays(parts).take(pa.array(order)) if parts else pa.array([], pa.large_binary())
+        self.ids, self.plain, self.ready = take(self.ids), take(self.plain), True
+
+    def text(self, which: pa.Array, places: pa.Array, ends: np.ndarray) -> pa.Array:
+        """The words of texts that end before the places ``ends``, put together."""
+        if not len(places):
+            return pa.array([b""] * (len(ends) - 1), pa.binary())
+        words = which.take(places)
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)[ends]
+        return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(offsets.copy()), words.buffers()[2]]).cast(pa.binary())
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """doc_id, ids and decoded of each text. Rows come sorted by key and kind: a segment's words, then its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, table = None, _Table()
+        for batch in batches:
+            for k, (kind, key) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True)):
+                if key != held:
+                    held, table = key, _Table()
+                if kind == WORDS:
+                    table.add(*(batch.column(c)[k].as_py() for c in "abcd"))
+                    continue
+                if not table.ready:
+                    table.finish()
+                ends = np.concatenate(([0], np.cumsum(unpacked(batch.column("a")[k].as_py())))).astype(np.int64)
+                places = pa.array(unpacked(batch.column("b")[k].as_py()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, table.text(table.ids, places, ends), table.text(table.plain, places, ends)], names=["doc_id", "ids", "decoded"])
+
+    return rows.mapInArrow(run, fields(("doc_id", "long"), ("ids", "binary"), ("decoded", "binary")))
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, buckets: int | None = None) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit) and decoded bytes of each text."""
+    ranks = read_ranks(tokenizer or vocabulary())
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbered = segments(docs, ranks, buckets or parts).repartition(parts, "key", "kind").sortWithinPartitions("kind", "key")
+    once = distinct(numbered, [ranks[bytes([x])] for x in range(256)])
+    names = [n for n, _ in ROW]
+    coded = once.select(*names, "uses", F.when(F.col("word").isNotNull(), encoded(F.col("word"), ranks)).alias("ids"))
+    plain = coded.withColumn("decoded", F.when(F.col("ids").isNotNull(), _let(pieces(ranks), lambda by_id: decode_word(F.col("ids"), by_id))))
+    return joined(gathered(plain).repartition(parts, "key").sortWithinPartitions("key", "kind"))
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -172,18 +172,35 @@ def test_classifiers_learn_and_take_odd_rows(spark, docs, empty):
     assert mil_quality.score(docs, model).count() == docs.count() and mil_quality.score(empty, model).count() == 0
 
 
-def test_byte_bpe_equals_the_library(docs, empty):
+def test_byte_bpe_equals_the_library(spark, docs, empty, monkeypatch):
     enc = secrets.encoder(secrets.vocabulary())
-    for chars in (10, 1_000_000):
-        got = byte_bpe.encode(docs, block_chars=chars).collect()
-        assert len(got) == docs.count()
-        wanted = {(r.doc_id, r.text or "") for r in docs.collect()}
-        assert {(r.doc_id, bytes(r.decoded).decode()) for r in got} == wanted
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    long = ["a" * 5_000, "ab" * 1_000, " " * 3_000, "\n" * 300, "=" * 999, "aaab" * 100, "".join(rng.choice(list(letters), 4_000)), "".join(rng.choice(list("etaoinshr"), 2_000)), "漢字仮名交じり文" * 200, "é" * 700, "the" * 150, "1" * 2_500]
+    more = spark.createDataFrame([(100 + k, t) for k, t in enumerate(long)] + [(200, long[0])], "doc_id long, text string")
+    table = docs.select("doc_id", "text").unionByName(more).repartition(3)
+    wanted = sorted((str(r.doc_id), r.text or "") for r in table.collect())
+    for segment, block in ((300_000, 4_000_000), (20, 50)):
+        monkeypatch.setattr(byte_bpe, "REMEMBERED", segment)
+        monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", block)
+        got = byte_bpe.encode(table).collect()
+        assert sorted((str(r.doc_id), bytes(r.decoded).decode()) for r in got) == wanted
         for r in got:
             assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(bytes(r.decoded).decode())
     assert byte_bpe.encode(empty).count() == 0
 
 
+def test_byte_bpe_of_many_places(spark):
+    """Merges at many places in one step equal the plain merges, for a vocabulary with awkward ranks too."""
+    rng = np.random.default_rng(4)
+    awkward = {bytes([x]): x for x in range(256)} | {w.encode(): 256 + k for k, w in enumerate(["abc", "ab", "ba", "aa", "bab", "aab", "ca", "abab", "cab"])}
+    words = ["ab" * 200, "aab" * 150, "abc" * 100, *("".join(rng.choice(list("abc"), 400)) for _ in range(20))]
+    for ranks in (awkward, byte_bpe.read_ranks(secrets.vocabulary())):
+        table = spark.createDataFrame([(k, [ranks[bytes([x])] for x in w.encode()]) for k, w in enumerate(words)], "k int, word array<long>")
+        got = {r.k: r.ids for r in table.select("k", byte_bpe.encoded(F.col("word"), ranks).alias("ids")).collect()}
+        assert got == {k: [ranks[p] for p in byte_bpe.merged(w.encode(), ranks)] for k, w in enumerate(words)}
+
+
 def test_spotsigs(docs, empty):
     rows = sorted(docs.dropDuplicates(["doc_id"]).collect(), key=lambda r: -(r.doc_id if r.doc_id is not None else -1))
     got = {r.doc_id: r for r in spotsigs.edits(docs.dropDuplicates(["doc_id"])).collect()}
