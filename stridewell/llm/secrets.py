@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, texts
+from .common import fields, texts, workers_import_this
 
 #: The three base patterns and the least length of what they match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -84,10 +84,14 @@ def identifier(run: str, enc, max_efficiency: float = MAX_EFFICIENCY) -> bool:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], enc, max_efficiency: float = MAX_EFFICIENCY) -> list[tuple[int, int, int]]:
-    found = []
+    found, at, reach = [], 0, 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, _, e in taken) or known(m[0]):
+        # Both lists are in order: ``reach`` is the farthest end of a taken span that starts before this run's end.
+        while at < len(taken) and taken[at][0] < b:
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach > a or known(m[0]):
             continue
         if not efficient(m[0], enc, max_efficiency) and not identifier(m[0], enc, max_efficiency):
             found.append((a, 3, b))
@@ -134,17 +138,26 @@ def redacted(text: str, enc, max_efficiency: float = MAX_EFFICIENCY) -> str:
 
 def redact(docs: DataFrame, tokenizer: str | None = None, max_efficiency: float = MAX_EFFICIENCY) -> DataFrame:
     """The documents, same columns and order of columns, with secrets replaced in ``text``. Where there is an
-    ``n_chars``, it follows the new text. Null texts stay null."""
+    ``n_chars``, it follows the new text. Null texts stay null. A task holds one Arrow batch and the strings of
+    256 texts."""
     path = tokenizer or vocabulary()
-    texts(docs)
+    workers_import_this(docs.sparkSession)
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    at_text, at_chars = out.columns.index("text"), out.columns.index("n_chars") if "n_chars" in out.columns else None
 
-    @F.pandas_udf("string")
-    def clean(column):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        return column.map(lambda t: None if t is None else redacted(t, enc, max_efficiency))
-
-    out = docs.withColumn("text", clean(F.col("text").cast("string")))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                clean = [None if t is None else redacted(t, enc, max_efficiency) for t in batch.column(at_text).to_pylist()]
+                columns = list(batch.columns)
+                columns[at_text] = pa.array(clean, columns[at_text].type)
+                if at_chars is not None:
+                    columns[at_chars] = pa.array([None if t is None else len(t) for t in clean], pa.int64()).cast(columns[at_chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return out.mapInArrow(run, out.schema)
 
 
 def digests(spans: DataFrame) -> DataFrame:

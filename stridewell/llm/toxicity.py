@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, fold, texts
+from .common import fields, fold, texts, workers_import_this
 
 BITS = 22
 #: Most labelled rows that the model is fitted on; their features fit one task.
@@ -211,17 +211,20 @@ def score(docs: DataFrame, model: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents, same columns, with a score under the threshold; scored in place, no text is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(fit(docs, labels)))
+    """The documents, same columns, with a score under the threshold; scored in place, no text is shuffled. A
+    task holds one Arrow batch and the strings of 512 texts."""
+    workers_import_this(docs.sparkSession)
+    shared, at_text = docs.sparkSession.sparkContext.broadcast(fitted(fit(docs, labels))), docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scored(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for column in columns:
-            found = [scorer.scores(column.iloc[a : a + 512].tolist()) for a in range(0, len(column), 512)]
-            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                found = [t or "" for t in batch.column(at_text).cast(pa.string()).to_pylist()]
+                yield batch.filter(pa.array(scorer.scores(found) < threshold))
 
-    return docs.filter(scored(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
