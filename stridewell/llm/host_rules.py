@@ -14,14 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_name, staged
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host is refused where its shrunken failure rate is at least this.
-HOST_RATE = 0.8
+#: A host is refused where its shrunken failure rate, less DEVIATIONS of its standard deviations, is over HOST_RATE and
+#: over so many TIMES the rate of all documents: beyond doubt most of its documents fail, and far more than elsewhere.
+HOST_RATE = 0.5
+DEVIATIONS = 2.0
+TIMES = 2.0
 #: Prior where the hosts' rates cannot be told apart or there is one host.
 FLAT_PRIOR = (1.0, 1.0)
 
@@ -106,10 +109,11 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def host_verdicts(measured: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
-    """host, its documents and failures, the shrunken rate and the verdict.
+    """host, its documents and failures, the shrunken rate, its lower bound and the verdict.
 
     Rates p_i = f_i / n_i over all hosts with at least two documents give mean m and variance v; the beta
-    prior has strength s = m (1 - m) / v - 1 (at least 1), and the rate is (f + m s) / (n + s)."""
+    prior has strength s = m (1 - m) / v - 1 (at least 1), and the rate is r = (f + m s) / (n + s), the mean of
+    a beta distribution with the variance r (1 - r) / (n + s + 1)."""
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
     several = F.col("host_docs") >= 2
@@ -121,16 +125,15 @@ def host_verdicts(measured: DataFrame, host_rate: float = HOST_RATE) -> DataFram
         F.col("m"),
         F.when((F.col("v") > 0) & (F.col("m") > 0) & (F.col("m") < 1), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)).alias("s"),
     )
+    overall = F.coalesce(F.col("m"), F.lit(0.0)).alias("overall")
     alpha = F.coalesce(F.col("m") * F.col("s"), F.lit(FLAT_PRIOR[0]))
     beta = F.coalesce((1 - F.col("m")) * F.col("s"), F.lit(FLAT_PRIOR[1]))
     # The prior is one row: an aggregate without keys.
-    return hosts.join(F.broadcast(prior.select(alpha.alias("a"), beta.alias("b"), F.lit(1).alias("one"))), F.lit(1) == F.col("one")).select(
-        "host",
-        "host_docs",
-        "host_failed",
-        ((F.col("host_failed") + F.col("a")) / (F.col("host_docs") + F.col("a") + F.col("b"))).alias("host_rate"),
-        ((F.col("host_failed") + F.col("a")) / (F.col("host_docs") + F.col("a") + F.col("b")) >= host_rate).alias("host_refused"),
-    )
+    known = hosts.join(F.broadcast(prior.select(alpha.alias("a"), beta.alias("b"), overall, F.lit(1).alias("one"))), F.lit(1) == F.col("one"))
+    weight, shrunk = F.col("host_docs") + F.col("a") + F.col("b"), F.col("host_rate")
+    rated = known.withColumn("host_rate", (F.col("host_failed") + F.col("a")) / weight)
+    low = shrunk - F.lit(DEVIATIONS) * F.sqrt(shrunk * (1 - shrunk) / (weight + 1))
+    return rated.select("host", "host_docs", "host_failed", "host_rate", low.alias("host_low"), (low > F.greatest(F.lit(host_rate), TIMES * F.col("overall"))).alias("host_refused"))
 
 
 def apply_rules(docs: DataFrame, host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
@@ -144,10 +147,12 @@ def apply_rules(docs: DataFrame, host: str = "source", host_rate: float = HOST_R
 
 def keep_documents(docs: DataFrame, host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
     """The documents, all their columns, that base rule and host verdict keep. Verdicts are short rows by
-    doc_id and hash of the text; the documents meet them once."""
-    kept = apply_rules(docs, host, host_rate).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    doc_id, hash of the text and host; the documents meet them once."""
+    id_, hash_, host_ = (free_name(docs, x) for x in ("kept_id", "kept_hash", "kept_host"))
+    kept = apply_rules(docs, host, host_rate).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("host").alias(host_)).distinct()
     own_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")) & (own_hash == F.col("_kept_hash")), "left_semi")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (own_hash == F.col(hash_)) & docs[host].cast("string").eqNullSafe(F.col(host_))
+    return docs.join(kept, same, "left_semi")
 
 
 def op10_host_rules(spark, sf_dir: str) -> DataFrame:

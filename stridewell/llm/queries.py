@@ -50,7 +50,8 @@ s AS (SELECT source, count(*) AS n, sum(m.base_failed::INT) AS x FROM documents
 z AS (SELECT sum(x) / sum(n) AS m, var_pop(CASE WHEN n >= 2 THEN x / n END) AS v FROM s),
 q AS (SELECT m, CASE WHEN v > 0 AND m > 0 AND m < 1 THEN greatest(1.0, m * (1 - m) / v - 1) END AS t FROM z),
 a AS (SELECT coalesce(m * t, 1.0) AS a, coalesce((1 - m) * t, 1.0) AS b FROM q),
-h AS (SELECT source, (x + a) / (n + a + b) >= 0.8 AS refused FROM s, a)
+y AS (SELECT source, (x + a) / (n + a + b) AS r, n + a + b AS u, m FROM s, a, z),
+h AS (SELECT source, r - 2.0 * sqrt(r * (1 - r) / (u + 1)) > greatest(0.5, 2.0 * m) AS refused FROM y)
 SELECT b.*, NOT base_failed AND NOT coalesce(refused, false) AS kept
 FROM b JOIN documents d USING (doc_id) LEFT JOIN h ON d.source IS NOT DISTINCT FROM h.source
 """
