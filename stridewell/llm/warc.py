@@ -3,19 +3,25 @@
 ``WarcDataSource`` (format "warc") writes records with their payloads and reads archives back. A writing
 task makes one file; the driver's commit lists the files that count in a manifest with record-aligned offsets
 every SPLIT_BYTES, so a task that ran twice leaves nothing that readers see. Reading plans one partition for
-each such range; filters on record type and header columns are pushed down, headers are parsed first, and
-the payload of a record that no filter keeps (or of any record with option payload=false) is skipped with a
-seek and never decoded.
+each such range; in a folder without a manifest, one for each .warc and .warc.gz file. Filters on record type and
+header columns are pushed down, headers are parsed first, and the payload of a record that no filter keeps (or
+of any record with option payload=false) is skipped and never decoded.
 
-Archives are compressed as the format asks, in gzip members: one for the headers of a record, one for its
-block. A header field holds the stored size of the block, so it can still be skipped unread.
+Compressed archives hold one gzip member a record, as the format asks. The member's header says in an extra field
+how long the member is (RFC 1952 leaves such fields to the writer; other readers pass over them), so a reader
+unpacks the head of a record and seeks to the next. In archives of others the members are unpacked to
+their ends, and payloads that nobody asks for are dropped unseen.
 
 Options: path (a folder that all executors reach; file:, hdfs:, s3: and what else pyarrow opens), payload,
 compression (gzip or none).
 
+Columns: of an HTTP response the payload is the body, unchunked; of other records it is the block; of revisits null.
+full_payload_bytes is the payload's length, of a revisit or a skipped payload the header's word for it, else null.
+
 Defined results: a null html is an empty payload; a null url leaves out WARC-Target-URI and reads back as
 null; line breaks in a url are percent-encoded; rows that share the largest page_id of a payload are all
-responses; a null page_id counts as smaller than any other; an empty table gives an archive without files.
+responses; a null page_id counts as smaller than any other; an empty table gives an archive without files; rows
+that repeat page_id and payload repeat the record id.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,6 +51,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: The date that pages without one get, and the record id of a page.
 UNDATED = "1970-01-01T00:00:00Z"
 PAGE_ID = "urn:x-page:"
+#: Our header field for the length of a payload, which a revisit does not hold.
+PAYLOAD_LENGTH = "X-Full-Payload-Length"
 HEADERS = {
     "record_type": "WARC-Type",
     "record_id": "WARC-Record-ID",
@@ -70,28 +80,32 @@ def _http(payload: bytes) -> bytes:
 def record(kind: str, record_id: str, uri: str | None, date: str, payload: bytes, refers_to: str | None, gzip: bool = False) -> bytes:
     """One record; a revisit keeps digest and length of its payload but not the payload."""
     block = _http(payload) + (b"" if kind == "revisit" else payload)
-    stored = zipped(block + b"\r\n\r\n") if gzip else block + b"\r\n\r\n"
     head = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<{record_id}>"),
         ("WARC-Target-URI", uri and uri.replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Date", date),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
-        ("X-Full-Payload-Length", str(len(payload))),
+        (PAYLOAD_LENGTH, str(len(payload))),
         ("WARC-Profile", REVISIT_PROFILE if kind == "revisit" else None),
         ("WARC-Refers-To", f"<{refers_to}>" if refers_to else None),
-        ("X-Stored-Block-Length", str(len(stored))),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in head if v is not None), f"Content-Length: {len(block)}", "", ""]
-    written = "\r\n".join(lines).encode()
-    return (zipped(written) if gzip else written) + stored
+    written = "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+    return zipped(written) if gzip else written
 
 
 def zipped(data: bytes) -> bytes:
-    """One gzip member."""
-    packer = zlib.compressobj(1, wbits=31)
-    return packer.compress(data) + packer.flush()
+    """One gzip member whose extra field "SL" holds the length of the member."""
+    packer = zlib.compressobj(1, wbits=-15)
+    body = packer.compress(data) + packer.flush()
+    size = MEMBER_HEAD.size + len(body) + 8
+    return MEMBER_HEAD.pack(0x1F, 0x8B, 8, 4, 0, 0, 255, 8, b"SL", 4, size) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+#: Fixed values, RFC 1952: magic, method, flag of the extra field, time, flags, system; length of the field, its name and length.
+MEMBER_HEAD = struct.Struct("<BBBBIBBH2sHI")
 
 
 @dataclass
@@ -127,8 +141,9 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written]) -> None:
         files, folder = opened(self.path)
         files.create_dir(folder, recursive=True)
+        known = listed(files, folder) or []
         with files.open_output_stream(f"{folder}/{MANIFEST}") as out:
-            out.write(json.dumps([[m.file, m.size, m.splits] for m in messages if m and m.file]).encode())
+            out.write(json.dumps(known + [[m.file, m.size, m.splits] for m in messages if m and m.file]).encode())
 
     def abort(self, messages: list[Written]) -> None:
         files, folder = opened(self.path)
@@ -144,6 +159,14 @@ class Range(InputPartition):
     end: int
 
 
+def listed(files: fs.FileSystem, folder: str) -> list[list] | None:
+    """The manifest's files with sizes and splits; None without a manifest."""
+    if files.get_file_info(f"{folder}/{MANIFEST}").type == fs.FileType.NotFound:
+        return None
+    with files.open_input_stream(f"{folder}/{MANIFEST}") as written:
+        return json.loads(written.read())
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, payload: bool):
         self.path, self.payload, self.tests = path, payload, []
@@ -159,8 +182,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         files, folder = opened(self.path)
-        with files.open_input_stream(f"{folder}/{MANIFEST}") as listed:
-            written = json.loads(listed.read())
+        written = listed(files, folder)
+        if written is None:
+            found = files.get_file_info(fs.FileSelector(folder, recursive=True))
+            named = [(f.path[len(folder) :].lstrip("/"), f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith((".warc", ".warc.gz"))]
+            written = [[name, size, [0]] for name, size in sorted(named) if size]
         return [Range(file, a, b) for file, size, splits in written for a, b in zip(splits, [*splits[1:], size], strict=True)]
 
     def kept(self, head: dict[str, str]) -> bool:
@@ -174,23 +200,25 @@ class WarcReader(DataSourceReader):
         if partition is None:
             return
         files, folder = opened(self.path)
-        rows, held, gzip = [], 0, partition.file.endswith(".gz")
+        rows, held = [], 0
         with files.open_input_file(f"{folder}/{partition.file}") as raw:
             raw.seek(partition.start)
-            stream = Buffered(raw)
-            while stream.at < partition.end - partition.start:
-                head = headers(stream.member() if gzip else stream.until(b"\r\n\r\n"))
+            source = Buffered(raw)
+            records = members(source, partition.end - partition.start) if partition.file.lower().endswith(".gz") else plain(source, partition.end - partition.start)
+            for stream in records:
+                head = headers(stream.until(b"\r\n\r\n"))
                 length, payload = int(head["content-length"]), None
-                stored = int(head.get("x-stored-block-length", length + 4))
+                full = int(head[PAYLOAD_LENGTH.lower()]) if PAYLOAD_LENGTH.lower() in head else None
                 if not self.kept(head):
-                    stream.skip(stored)
+                    stream.skip(length + 4)
                     continue
-                if self.payload and head["warc-type"] == "response":
-                    block = (zlib.decompress(stream.take(stored), 31) if gzip else stream.take(stored))[:length]
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
+                if self.payload and head.get("warc-type") != "revisit":
+                    payload = body(head, stream.take(length))
+                    full = len(payload)
+                    stream.skip(4)
                 else:
-                    stream.skip(stored)
-                rows.append([*(head.get(h.lower()) for h in HEADERS.values()), int(head["x-full-payload-length"]), payload])
+                    stream.skip(length + 4)
+                rows.append([*(head.get(h.lower()) for h in HEADERS.values()), full, payload])
                 held += len(payload or b"") + 200
                 if held >= BATCH_BYTES:
                     yield batched(rows)
@@ -199,49 +227,130 @@ class WarcReader(DataSourceReader):
             yield batched(rows)
 
 
+def plain(source: Buffered, size: int) -> Iterator[Buffered]:
+    """The stream at each record of an archive that is not compressed."""
+    while source.at < size:
+        yield source
+
+
+def members(source: Buffered, size: int) -> Iterator[Buffered]:
+    """The unpacked stream at each record. Members that say their length are left without a look at what was not
+    asked for; several records of one member follow each other in its stream."""
+    while source.at < size:
+        start, head = source.at, source.take(min(MEMBER_HEAD.size, size - source.at))
+        fields_ = MEMBER_HEAD.unpack(head) if len(head) == MEMBER_HEAD.size else ()
+        known = fields_[-1] if fields_ and fields_[3] == 4 and fields_[7:10] == (8, b"SL", 4) else None
+        member = Member(source, head)
+        stream = Buffered(member)
+        if known:
+            yield stream
+            source.skip(start + known - source.at)
+            continue
+        while stream.more():
+            yield stream
+
+
+class Member:
+    """Unpacked bytes of the gzip member that ``source`` is at; ``head`` are its first bytes."""
+
+    def __init__(self, source: Buffered, head: bytes):
+        self.source, self.unpack = source, zlib.decompressobj(31)
+        self.out = self.unpack.decompress(head)
+        source.back(self.unpack.unused_data)
+
+    def read(self, n: int) -> bytes:
+        """Some bytes, about ``n`` at most; none at the member's end."""
+        while not self.out and not self.unpack.eof:
+            given = self.source.some(4096)
+            self.out = self.unpack.decompress(given)
+            self.source.back(self.unpack.unused_data)
+        out, self.out = self.out, b""
+        return out
+
+
+def body(head: dict[str, str], block: bytes) -> bytes:
+    """The payload of a record: of HTTP messages what follows their header, in one piece."""
+    if not head.get("content-type", "").lower().startswith("application/http"):
+        return block
+    before, mark, payload = block.partition(b"\r\n\r\n")
+    if not mark:
+        return b""
+    if not re.search(rb"\r\ntransfer-encoding:[^\r]*\bchunked\b", before, re.IGNORECASE):
+        return payload
+    out, at = [], 0
+    while m := CHUNK.match(payload, at):
+        n = int(m[1], 16)
+        if not n:
+            break
+        out.append(payload[m.end() : m.end() + n])
+        at = m.end() + n + 2
+    return b"".join(out) if out or CHUNK.match(payload) else payload
+
+
+#: The line before a chunk of an HTTP body.
+CHUNK = re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r\n")
+
+
 def batched(rows: list[list]) -> pa.RecordBatch:
     kinds = [pa.string()] * len(HEADERS) + [pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*HEADERS, "full_payload_bytes", "payload"])
 
 
 class Buffered:
-    """Forward reads over a seekable file; what is skipped beyond the buffer is never read."""
+    """Forward reads over a file or member; of a seekable file, what is skipped beyond the buffer is never read."""
 
     def __init__(self, raw, size: int = 1 << 18):
         self.raw, self.size, self.have, self.pos, self.at = raw, size, b"", 0, 0
 
+    def more(self) -> bool:
+        """Whether bytes are left."""
+        if self.pos == len(self.have):
+            self.have, self.pos = self.raw.read(self.size), 0
+        return self.pos < len(self.have)
+
     def take(self, n: int) -> bytes:
-        if len(self.have) - self.pos < n:
-            rest = self.have[self.pos :]
-            self.have, self.pos = rest + self.raw.read(max(self.size, n - len(rest))), 0
-        out = self.have[self.pos : self.pos + n]
-        if len(out) < n:
-            raise EOFError("a WARC record is cut short")
-        self.pos += n
-        self.at += n
-        return out
+        parts, have = [], 0
+        while have < n:
+            if not self.more():
+                raise EOFError("a WARC record is cut short")
+            part = self.have[self.pos : self.pos + n - have]
+            self.pos += len(part)
+            self.at += len(part)
+            have += len(part)
+            parts.append(part)
+        return parts[0] if len(parts) == 1 else b"".join(parts)
+
+    def some(self, n: int) -> bytes:
+        """Up to ``n`` bytes, one at least."""
+        if not self.more():
+            raise EOFError("a gzip member is cut short")
+        return self.take(min(n, len(self.have) - self.pos))
+
+    def back(self, data: bytes) -> None:
+        """Takes back the last bytes that it gave."""
+        n = len(data)
+        if n <= self.pos:
+            self.pos -= n
+        else:
+            self.have, self.pos = data + self.have[self.pos :], 0
+        self.at -= n
 
     def skip(self, n: int) -> None:
         inside = min(n, len(self.have) - self.pos)
         self.pos += inside
         self.at += n
         if n > inside:
-            self.raw.seek(self.raw.tell() + n - inside)
-
-    def member(self) -> bytes:
-        """The next gzip member, unpacked."""
-        unpack, out = zlib.decompressobj(31), b""
-        while not unpack.eof:
-            if self.pos == len(self.have):
-                self.have, self.pos = self.raw.read(self.size), 0
-                if not self.have:
-                    raise EOFError("a WARC header is cut short")
-            given = self.have[self.pos : self.pos + 4096]
-            out += unpack.decompress(given)
-            used = len(given) - len(unpack.unused_data)
-            self.pos += used
-            self.at += used
-        return out
+            if hasattr(self.raw, "seek"):
+                self.raw.seek(self.raw.tell() + n - inside)
+            else:
+                self.drop(n - inside)
+
+    def drop(self, n: int) -> None:
+        """Unpacked bytes pass unseen; a member may end with its record's block."""
+        while n > 0 and self.more():
+            step = min(n, len(self.have) - self.pos)
+            self.pos += step
+            n -= step
 
     def until(self, mark: bytes) -> bytes:
         while (end := self.have.find(mark, self.pos)) < 0:
@@ -254,13 +363,20 @@ class Buffered:
 
 def headers(written: bytes) -> dict[str, str]:
     """Header fields by lower-case name; digests and ids without their marks."""
-    lines = written[:-4].decode().split("\r\n")
+    lines = written[:-4].decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:80]!r}")
-    head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+    head, last = {}, ""
+    for line in lines[1:]:
+        if line[:1] in " \t" and last:  # a field that goes on
+            head[last] += " " + line.strip()
+            continue
+        name, _, value = line.partition(":")
+        last = name.strip().lower()
+        head[last] = value.strip()
     for k in ("warc-record-id", "warc-refers-to"):
         if k in head:
-            head[k] = head[k][1:-1]
+            head[k] = head[k].removeprefix("<").removesuffix(">")
     if "warc-payload-digest" in head:
         head["warc-payload-digest"] = head["warc-payload-digest"].removeprefix("sha1:")
     return head
@@ -301,11 +417,11 @@ def page_records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     joined = base.withColumn("_own", F.sha1("payload")).join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha1")), "left")
     return joined.select(
         F.when(F.col("response_id").isNull(), "response").otherwise("revisit").alias("record_type"),
-        F.concat(F.lit(PAGE_ID), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"),
+        F.concat(F.lit(PAGE_ID), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("_own")).alias("record_id"),
         F.col("url").alias("target_uri"),
         F.lit(UNDATED).alias("date"),
         "payload",
-        F.concat(F.lit(PAGE_ID), F.col("response_id").cast("string")).alias("refers_to"),
+        F.concat(F.lit(PAGE_ID), F.col("response_id").cast("string"), F.lit(":"), F.col("_own")).alias("refers_to"),
     )
 
 
@@ -332,7 +448,7 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     revisits come from their headers."""
     path = shared_path(spark, "warc")
     write(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    page = lambda c: F.expr(f"try_cast(substr({c}, {len(PAGE_ID) + 1}) AS bigint)")
+    page = lambda c: F.expr(f"try_cast(split_part({c}, ':', 3) AS bigint)")
     back = read(spark, path)
     own = F.col("record_type") == "response"
     return back.select(
