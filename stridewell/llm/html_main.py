@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fields, workers_import_this
 
-#: Most pages that weights are learnt from: those with the smallest hashed page_id.
+#: Most pages that weights are learnt from: those with the smallest hashes.
 SAMPLE = 2_000
 SCALE, LEAST, MOST = 4.0, 0.05, 60.0
 #: A tag that neither labelled pages nor DEFAULT have costs this; a left-out element costs LEAST.
@@ -269,8 +269,13 @@ def tag_counts(page: str) -> tuple[Counter, Counter] | None:
 
 
 def learn_weights(pages: DataFrame, most: int = SAMPLE) -> dict[str, float]:
-    """Tag weights from at most ``most`` marked pages; only counts of known element names reach the driver."""
-    sample = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]")).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(most)
+    """Tag weights from at most ``most`` different marked pages; only counts of known element names reach the
+    driver. Hashes are ranked first, so only the chosen pages move."""
+    html_text = F.col("html").cast("string")
+    marked = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]")).select(F.xxhash64(html_text).alias("own"), html_text.alias("html"))
+    chosen = marked.select(F.col("own").alias("rank")).distinct().orderBy("rank").limit(most)
+    # Bounded by ``most`` numbers.
+    sample = marked.join(F.broadcast(chosen), F.col("own") == F.col("rank"), "left_semi").dropDuplicates(["own"]).select("html")
     named = sorted(BLOCKS | INLINE | BOILERPLATE | VOID)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
