@@ -1,10 +1,10 @@
 """SpotSigs fingerprints (Theobald, Siddharth and Paepcke 2008).
 
-A signature is an anchor (a common word of the text's language) with the next CHAIN content words after it.
-A text's fingerprint is the set of its signatures, each a 32-bit hash, written as sorted hexadecimal numbers;
-a text with fewer than FEWEST anchored signatures also gets those of its words and neighbouring pairs, one of
-fewer than FEWEST words those of its runs of four characters, and one without words a signature of the
-whole text, so no fingerprint of a text with characters is empty.
+A signature is an anchor (a common word of the text's language) with the next CHAIN content words after it; the
+last anchors of a text have the content words that are left, one at least. A text's fingerprint is the set of
+its signatures, each a 32-bit hash, written as sorted hexadecimal numbers. In a text without any signature each
+word counts as an anchor, with the words that are left after it, if any; a text without words has a
+signature of its own, so no fingerprint of a text with characters is empty.
 
 Two fingerprints are compared by Jaccard similarity. ``near_pairs`` partitions sets by length: sets whose
 lengths differ by more than the threshold cannot be alike, so they never meet, and within a partition only sets
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import fields, texts
 
 CHAIN = 3
-FEWEST = 8
 REMEMBERED = 600_000
 MARKS = ".,;:!?\"'()[]{}<>|*#$%&-_/\\`~+=@^…«»„“”‚‘’–—"
 #: Anchors, common words of English, French, German and Spanish.
@@ -41,8 +40,8 @@ ANCHORS = frozenset(
 )
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BUCKET_DOCS = 2_000
-#: Most buckets; beyond, buckets hold more rows, which are sorted with spill.
-BUCKETS = 20_000
+#: Most buckets, as their bounds go to the driver; beyond, buckets hold more rows, which are sorted with spill.
+BUCKETS = 200_000
 
 _shared: dict = {}
 
@@ -70,20 +69,17 @@ def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
     h = h[h != 0]
     if not len(h):
         return np.array([xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))], np.uint32) if text else np.zeros(0, np.uint32)
-    anchors = np.flatnonzero(h & np.uint64(1))
     content = np.flatnonzero(~h & np.uint64(1))
-    first = np.searchsorted(content, anchors)
-    whole = first + chain <= len(content)
-    anchors, first = anchors[whole], first[whole]
+    anchors = np.flatnonzero(h & np.uint64(1))
+    anchors = anchors[np.searchsorted(content, anchors) < len(content)]
+    if not len(anchors):
+        content = anchors = np.arange(len(h))
+    first = np.searchsorted(content, anchors, side="right")
     with np.errstate(over="ignore"):
         sig = h[anchors] * MIX[0]
         for k in range(chain):
-            sig = (sig ^ h[content[first + k]]) * MIX[1]
-        if len(sig) < FEWEST:
-            grams = [h * MIX[0], (h[:-1] * MIX[1] ^ h[1:]) * MIX[0]]
-            if len(h) < FEWEST:
-                grams.append(np.array([xxhash.xxh3_64_intdigest(text[k : k + 4].encode("utf-8", "surrogatepass")) for k in range(max(1, len(text) - 3))], np.uint64))
-            sig = np.concatenate((sig, *grams))
+            there = np.flatnonzero(first + k < len(content))
+            sig[there] = (sig[there] ^ h[content[first[there] + k]]) * MIX[1]
     return np.unique((sig >> np.uint64(32)).astype(np.uint32))
 
 
