@@ -1,6 +1,7 @@
 """Training-data operators against brute force, and their defined results on odd rows."""
 
 import base64
+import gzip
 import hashlib
 import zlib
 
@@ -147,7 +148,8 @@ def test_warc_round_trip(spark, tmp_path):
         path = f"{tmp_path}/{compression}"
         warc.write(warc.page_records(pages), path, compression)
         got = {(r.record_id, r.record_type, r.refers_to, r.full_payload_bytes) for r in warc.read(spark, path).collect()}
-        assert ("urn:x-page:1", "revisit", "urn:x-page:5", 11) in got and ("urn:x-page:7", "response", None, 0) in got and len(got) == 6
+        name = lambda page_id, payload: f"urn:x-page:{page_id}:{hashlib.sha1(payload.encode()).hexdigest()}"
+        assert (name(1, "<p>same</p>"), "revisit", name(5, "<p>same</p>"), 11) in got and (name(7, ""), "response", None, 0) in got and len(got) == 6
         only = warc.read(spark, path).filter("record_type = 'response' AND record_id LIKE 'urn:x-page:8%'").collect()
         assert [bytes(r.payload).decode() for r in only] == ["é" * 1000]
         assert only[0].payload_digest == base64.b32encode(hashlib.sha1(("é" * 1000).encode()).digest()).decode()
@@ -155,6 +157,46 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, f"{tmp_path}/none_at_all").count() == 0
 
 
+def foreign(payloads: list[bytes], chunked: bool = False) -> list[bytes]:
+    """Records as other writers write them."""
+    out = [b"WARC/1.0\r\nwarc-type:warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nContent-Type: application/warc-fields\r\nContent-Length: 12\r\n\r\nsoftware: x\n\r\n\r\n"]
+    for k, p in enumerate(payloads, 1):
+        head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + (b"Transfer-Encoding: chunked\r\n\r\n" if chunked else b"\r\n")
+        block = head + (b"%x\r\n%s\r\n" % (len(p[:7]), p[:7]) + b"%X;x=y\r\n%s\r\n0\r\n\r\n" % (len(p[7:]), p[7:]) if chunked else p)
+        out.append(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%d>\r\nWARC-Target-URI: http://h/%d\r\nContent-Type: application/http;\r\n msgtype=response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, k, len(block), block))
+    return out
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    payloads = [b"<p>one page</p>", bytes(range(256)) * 3_000, b"eight by", b"\r\n\r\n and more"]
+    for chunked in (False, True):
+        records = foreign(payloads, chunked)
+        for name, data in {"a.warc": b"".join(records), "b.warc.gz": b"".join(map(gzip.compress, records)), "c.warc.gz": gzip.compress(b"".join(records))}.items():
+            folder = tmp_path / f"{name}-{chunked}"
+            folder.mkdir()
+            (folder / name).write_bytes(data)
+            rows = {r.record_id: r for r in warc.read(spark, str(folder)).collect()}
+            assert [bytes(rows[f"urn:uuid:{k}"].payload) for k in range(1, 5)] == payloads and bytes(rows["urn:uuid:0"].payload) == b"software: x\n"
+            assert [(r.record_id, r.full_payload_bytes, r.payload) for r in warc.read(spark, str(folder), payload=False).filter("target_uri = 'http://h/3'").collect()] == [("urn:uuid:3", None, None)]
+    own = warc.zipped(b"x" * 1000)
+    assert gzip.decompress(own) == b"x" * 1000 and len(own) == warc.MEMBER_HEAD.unpack(own[: warc.MEMBER_HEAD.size])[-1]
+
+
+def test_warc_revisits_by_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(0, 60)) if rng.random() < 0.9 else None, "u", str(rng.choice(["", "a", "b", "c" * 50_000, f"own{k}"]))) for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_own", F.lit("clash")).repartition(3)
+    warc.write(warc.page_records(pages), str(tmp_path))
+    warc.write(warc.page_records(pages.limit(0)), str(tmp_path))
+    largest = {}
+    for i, _, html in rows:
+        if i is not None:
+            largest[html] = max(i, largest.get(html, i))
+    wanted = sorted((str(i), len(html), "revisit" if html in largest and (i is None or i < largest[html]) else "response") for i, _, html in rows)
+    got = sorted((r.record_id.split(":")[2] or "None", r.full_payload_bytes, r.record_type) for r in warc.read(spark, str(tmp_path)).collect())
+    assert got == wanted
+
+
 def test_classifiers_learn_and_take_odd_rows(spark, docs, empty):
     rows = [(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(60)) + (" dreadful" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(300)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
