@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,9 @@ from .secrets import vocabulary
 REMEMBERED = 300_000
 SEGMENT_CHARS = 64_000_000
 BLOCK_CHARS = 4_000_000
+#: Chunks between spaces whose words a task remembers, and uses of words that are packed together.
+CHUNKS = 100_000
+USES = 1_000_000
 #: Bytes of a word up to which it is not looked at for places to cut.
 LONGEST = 64
 #: Places of one pair from which on they are merged in one step.
@@ -77,6 +81,17 @@ def rank_map(ranks: dict[bytes, int], slots: int = SLOTS) -> Column:
     return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<bigint>>")
 
 
+def first_ranks(ranks: dict[bytes, int]) -> tuple[Column, int]:
+    """The part of the rank map that a word starts with, as a literal array<bigint>: the rank of the single bytes
+    with ids a and b stands at a * wide + b, where ``wide`` is the second result."""
+    wide = max(ranks[bytes([x])] for x in range(256)) + 1
+    table: list[int | None] = [None] * wide**2
+    for a in range(256):
+        for b in range(256):
+            table[ranks[bytes([a])] * wide + ranks[bytes([b])]] = ranks.get(bytes([a, b]))
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<bigint>"), wide
+
+
 def pieces(ranks: dict[bytes, int]) -> Column:
     """array<binary>: the bytes of each id, a literal."""
     by_id = [""] * (max(ranks.values()) + 1)
@@ -92,15 +107,12 @@ def _let(value: Column, body) -> Column:
 
 def pair_rank(a: Column, b: Column, table: Column) -> Column:
     """The rank that ids a and b join to, or null."""
+    key = (a + 1) * 4294967296 + b
+    # A key's place counts from one, so it is the index of the rank after it; without the key, of the null.
+    return _let(F.get(table, (key % SLOTS).cast("int")), lambda slot: F.get(slot, F.array_position(slot, key).cast("int")))
 
-    def found(key: Column) -> Column:
-        # A key's place counts from one, so it is the index of the rank after it; without the key, of the null.
-        return _let(F.get(table, (key % SLOTS).cast("int")), lambda slot: F.get(slot, F.array_position(slot, key).cast("int")))
-
-    return _let((a + 1) * 4294967296 + b, found)
 
-
-def encode_word(word: Column, table: Column) -> Column:
+def encode_word(word: Column, table: Column, first: Column, wide: int) -> Column:
     """array<bigint> of the ids of a word given as the ids of its bytes. The state of the fold is the ids t and the
     rank r of each id joined to the next; a step joins the first pair of the lowest rank, whose rank is the
     new id, and looks up its two new neighbours only. Without a pair to join, r is empty."""
@@ -150,7 +162,8 @@ def encode_word(word: Column, table: Column) -> Column:
     def step(s: Column, _: Column) -> Column:
         return F.when(F.size(s["r"]) == 0, s).otherwise(_let(F.array_min(s["r"]), lambda m: joined(s, m)))
 
-    start = F.struct(word.alias("t"), ranks(word).alias("r"))
+    pairs = F.transform(F.slice(word, 1, F.size(word) - 1), lambda x, i: F.get(first, (x * wide + F.get(word, i + 1)).cast("int")))
+    start = F.struct(word.alias("t"), pairs.alias("r"))
     return F.when(F.size(word) > 1, F.aggregate(F.slice(word, 1, F.size(word) - 1), start, step)["t"]).otherwise(word)
 
 
@@ -168,7 +181,8 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 def encoded(word: Column, ranks: dict[bytes, int]) -> Column:
     """``encode_word``; a word that is a piece of the vocabulary has that one id, also where the merges do not lead
     to it (in the usual vocabularies they always do)."""
-    known = _let(rank_map(ranks), lambda table: encode_word(word, table))
+    first, wide = first_ranks(ranks)
+    known = _let(rank_map(ranks), lambda table: _let(first, lambda pairs: encode_word(word, table, pairs, wide)))
     for piece, rank in ranks.items():
         if len(piece) > 1 and len(merged(piece, ranks)) > 1:
             known = F.when(word == F.array(*(F.lit(ranks[piece[i : i + 1]]).cast("bigint") for i in range(len(piece)))), F.array(F.lit(rank).cast("bigint"))).otherwise(known)
@@ -181,27 +195,40 @@ def decode_word(ids: Column, by_id: Column) -> Column:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Small whole numbers, seven bits a byte and compressed."""
-    wide = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14) + (numbers >= 1 << 21) + (numbers >= 1 << 28)
-    out = np.empty((len(numbers), 5), np.uint8)
-    for k in range(5):
-        out[:, k] = (numbers >> np.uint32(7 * k)) & np.uint32(127) | np.where(wide > k + 1, 128, 0)
-    return zstandard.ZstdCompressor(level=3).compress(out[np.arange(5)[None] < wide[:, None]].tobytes())
+    """Whole numbers under 2**35, seven bits a byte: all first bytes, then the second ones of the numbers that
+    have them, and so on, each compressed by itself."""
+    frames, left, packer = [], numbers.astype(np.int64), zstandard.ZstdCompressor(level=3)
+    while len(left):
+        more = left >> 7
+        frames.append(packer.compress((left & 127 | np.where(more > 0, 128, 0)).astype(np.uint8).tobytes()))
+        left = more[more > 0]
+    return b"".join(len(f).to_bytes(4, "little") + f for f in frames)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    ends = np.flatnonzero(b < 128)
-    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))[: len(ends)]
-    out = (b[starts] & 127).astype(np.int64)
-    for k in range(1, 5):
-        more = np.flatnonzero(ends - starts >= k)
-        out[more] |= (b[starts[more] + k] & 127).astype(np.int64) << (7 * k)
+    out, at, place, shift, unpacker = np.zeros(0, np.int64), None, 0, 0, zstandard.ZstdDecompressor()
+    while place < len(data):
+        end = place + 4 + int.from_bytes(data[place : place + 4], "little")
+        b = np.frombuffer(unpacker.decompress(data[place + 4 : end]), np.uint8)
+        if at is None:
+            out, at = (b & 127).astype(np.int64), np.arange(len(b))
+        else:
+            out[at] |= (b & 127).astype(np.int64) << shift
+        at, place, shift = at[b >= 128], end, shift + 7
     return out
 
 
+class _Chunks(dict):
+    def __init__(self, made):
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.made(chunk)
+
+
 class _Segment:
-    """Distinct words, numbered as they come, and the texts as numbers of words."""
+    """Distinct words, numbered as they come and at the end by frequency, and the texts as numbers of words."""
 
     def __init__(self, pattern: str, neighbours: frozenset[bytes]):
         self.pattern, self.neighbours = regex.compile(pattern), neighbours
@@ -209,7 +236,7 @@ class _Segment:
 
     def start(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks(self.chunk)
         self.blocks: list[tuple] = []
         self.all_chars = 0
         self.empty()
@@ -228,7 +255,18 @@ class _Segment:
             coded = w.encode()
             for part in (coded,) if len(coded) <= LONGEST else self.cut(coded):
                 out.append(known.setdefault(part, len(known)))
-        return np.array(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def chunk(self, chunk: str) -> bytes:
+        """Places of what stands between two spaces, with the space before it."""
+        if chunk.isascii() and chunk.isalpha() and len(chunk) < LONGEST:
+            got = struct.pack("<I", self.words.setdefault(b" " + chunk.encode(), len(self.words)))
+        else:
+            got = self.place(self.pattern.findall(" " + chunk))
+        if len(self.chunks) >= CHUNKS:
+            self.chunks.clear()
+        self.chunks[chunk] = got
+        return got
 
     def add(self, doc_id: int | None, text: str) -> None:
         if ODD_SPACE.search(text):
@@ -236,12 +274,7 @@ class _Segment:
         else:
             # A space before a visible character starts a word, so the text may be cut there.
             first, *rest = text.split(" ")
-            chunks, out = self.chunks, [self.place(self.pattern.findall(first))]
-            for c in rest:
-                if (got := chunks.get(c)) is None:
-                    got = chunks[c] = self.place(self.pattern.findall(" " + c))
-                out.append(got)
-            rows = b"".join(out)
+            rows = self.place(self.pattern.findall(first)) + b"".join(map(self.chunks.__getitem__, rest))
         self.ids.append(doc_id)
         self.rows.append(rows)
         self.chars += len(text)
@@ -251,7 +284,7 @@ class _Segment:
     def close_block(self) -> None:
         if self.rows:
             counts = np.array([len(r) // 4 for r in self.rows], np.uint32)
-            self.blocks.append((self.ids, packed(counts), packed(np.frombuffer(b"".join(self.rows), "<u4"))))
+            self.blocks.append((self.ids, packed(counts), np.frombuffer(b"".join(self.rows), "<u4")))
             self.all_chars += self.chars
             self.empty()
 
@@ -262,7 +295,13 @@ class _Segment:
         """Its words by bucket and its texts. The segment's key follows from the task and from the words in
         their order, so rows of a rerun in another order cannot be taken for these."""
         self.close_block()
+        # Frequent words get the small numbers, which take less room.
+        often = sum((np.bincount(places, minlength=len(self.words)) for _, _, places in self.blocks), np.zeros(len(self.words), np.int64))
+        by_number = np.argsort(-often, kind="stable")
+        number = np.empty(len(by_number), np.int64)
+        number[by_number] = np.arange(len(by_number))
         words = list(self.words)
+        words = [words[i] for i in by_number.tolist()]
         key = xxhash.xxh3_64_intdigest(b"\0".join(words), seed=name) >> 1
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
@@ -273,7 +312,7 @@ class _Segment:
             own = [words[i] for i in at.tolist()]
             text = zstandard.ZstdCompressor(level=3).compress(b"".join(own))
             rows.append((WORDS, int(bucket[at[0]]), key, None, text, packed(np.array([len(w) for w in own], np.uint32)), packed(np.diff(at, prepend=0).astype(np.uint32)), None))
-        rows += [(TEXTS, key, key, ids, counts, places, None, None) for ids, counts, places in self.blocks]
+        rows += [(TEXTS, key, key, ids, counts, packed(number[places]), None, None) for ids, counts, places in self.blocks]
         self.start()
         for k in range(0, len(rows), 16):
             yield batch_of(rows[k : k + 16])
@@ -359,34 +398,43 @@ def distinct(rows: DataFrame, byte_ids: list[int]) -> DataFrame:
 
 
 def gathered(rows: DataFrame) -> DataFrame:
-    """Ids and decoded bytes of words packed by segment: key; a: places, b: ids of each, c: ids, d: decoded."""
+    """Ids and decoded bytes of words packed by segment, about USES uses of words at a time: key; a: places and
+    lengths of the decoded bytes, b: how many ids each has, c: ids, d: decoded."""
+
+    def packed_rows(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        column = lambda c: pa.concat_arrays([b.column(c) for b in batches])
+        used, coded, decoded = column("uses"), column("ids"), column("decoded")
+        use = np.frombuffer(b"".join(used.to_pylist()), USE)
+        row = np.repeat(np.arange(len(used)), pc.binary_length(used).to_numpy() // USE.itemsize)
+        order = np.lexsort((use["at"], use["segment"]))
+        use, row = use[order], row[order]
+        bounds = np.flatnonzero(np.concatenate(([True], use["segment"][1:] != use["segment"][:-1], [True])))
+        out = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            mine = pa.array(row[a:b])
+            ids, plain = coded.take(mine), decoded.take(mine)
+            places = packed(np.diff(use["at"][a:b].astype(np.int64), prepend=0))
+            sizes = packed(pc.binary_length(plain).to_numpy())
+            head = b"".join(len(x).to_bytes(4, "little") + x for x in (places, sizes))
+            text = zstandard.ZstdCompressor(level=3).compress(b"".join(plain.to_pylist()))
+            out.append((WORDS, int(use["segment"][a]), None, None, head, packed(pc.list_value_length(ids).to_numpy()), packed(ids.flatten().to_numpy()), text))
+        return batch_of(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, uses = [], 0
         for batch in batches:
             own = pc.equal(batch.column("kind"), WORDS)
-            rest = batch.filter(pc.invert(own))
+            rest, mine = batch.filter(pc.invert(own)), batch.filter(own)
             if rest.num_rows:
                 yield rest.select([n for n, _ in ROW])
-            batch = batch.filter(own)
-            if not batch.num_rows:
-                continue
-            used = pa.chunked_array([batch.column("uses")]).combine_chunks()
-            use = np.concatenate([np.frombuffer(u.as_buffer(), USE) for u in used])
-            row = np.repeat(np.arange(batch.num_rows), pc.binary_length(used).to_numpy() // USE.itemsize)
-            order = np.lexsort((use["at"], use["segment"]))
-            use, row = use[order], row[order]
-            bounds = np.flatnonzero(np.concatenate(([True], use["segment"][1:] != use["segment"][:-1], [True])))
-            out = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                mine = pa.array(row[a:b])
-                ids, plain = batch.column("ids").take(mine), batch.column("decoded").take(mine)
-                lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.uint32)
-                sizes = packed(pc.binary_length(plain).to_numpy(zero_copy_only=False).astype(np.uint32))
-                decoded = zstandard.ZstdCompressor(level=3).compress(b"".join(plain.to_pylist()))
-                places = packed(np.diff(use["at"][a:b].astype(np.int64), prepend=0).astype(np.uint32))
-                head = b"".join(len(x).to_bytes(4, "little") + x for x in (places, sizes))
-                out.append((WORDS, int(use["segment"][a]), None, None, head, packed(lengths), packed(ids.flatten().to_numpy().astype(np.uint32)), decoded))
-            yield batch_of(out)
+            if mine.num_rows:
+                held.append(mine.select(["uses", "ids", "decoded"]))
+                uses += pc.sum(pc.binary_length(mine.column("uses"))).as_py() // USE.itemsize
+            if uses >= USES:
+                yield packed_rows(held)
+                held, uses = [], 0
+        if held:
+            yield packed_rows(held)
 
     return rows.mapInArrow(run, fields(*ROW))
 
