@@ -186,45 +186,36 @@ def rest_pairs(lists: DataFrame, components: DataFrame, percent: int, k: int) ->
 
 
 def estimated(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch does not rule them out."""
+    """Pairs (a, b) whose union sketch does not rule them out. Row by row in the JVM: sketches are wide, and an
+    Arrow batch would hold thousands of them."""
     own = sets.select("node", "sketch")
     both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
-    asked = least_overlap(percent, k)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            likely = []
-            for x, y, na, nb in zip(*(batch.column(c) for c in ("sa", "sb")), *(batch.column(c).to_pylist() for c in ("na", "nb")), strict=True):
-                p, q = x.values.to_numpy(), y.values.to_numpy()
-                common = np.intersect1d(p, q, assume_unique=True)
-                if na <= k and nb <= k:
-                    likely.append(100 * len(common) >= percent * (na + nb - len(common)))
-                else:
-                    union = np.union1d(p, q)[:k]
-                    likely.append(np.searchsorted(common, union[-1], side="right") >= min(asked, len(union)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(likely, pa.bool_()))
-
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(compare, fields(("a", "long"), ("b", "long")))
+    # The intersection keeps the order of the first sketch, which is sorted.
+    both = both.select("a", "b", "na", "nb", F.array_intersect("sa", "sb").alias("common"), F.slice(F.array_sort(F.array_union("sa", "sb")), 1, F.lit(k)).alias("union"))
+    shared = F.size(F.array_intersect("common", "union"))
+    exact = 100 * F.size("common") >= percent * (F.col("na") + F.col("nb") - F.size("common"))
+    whole = (F.col("na") <= k) & (F.col("nb") <= k)
+    return both.filter(F.when(whole, exact).otherwise(shared >= F.least(F.lit(least_overlap(percent, k)), F.size("union")))).select("a", "b")
 
 
 def listed_sets(docs: DataFrame, lists: DataFrame, members: DataFrame, size: int, k: int) -> DataFrame:
-    """node, sketch and full set (bytes) of the nodes in ``lists``. Texts are read again for them alone, found by
+    """node, sketch and full set of the nodes in ``lists``. Texts are read again for them alone, found by
     doc_id; as rows may share one, their sets are told apart by digest."""
     wanted = staged(members.join(lists.select("node").distinct(), "node", "left_semi").select("least_id", "set", "node"), "dedup-wanted")
     ids = wanted.select(F.col("least_id").alias("_id")).distinct()
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                sets = [shingles(t, size) for t in whole.slice(at, 256).column("text").cast(pa.binary()).to_pylist()]
+            for at in range(0, whole.num_rows, 64):
+                sets = [shingles(t, size) for t in whole.slice(at, 64).column("text").cast(pa.binary()).to_pylist()]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 first = list({d: i for i, d in enumerate(digests)}.values())
-                columns = [pa.array([digests[i] for i in first], pa.binary()), pa.array([sets[i][:k] for i in first], pa.list_(pa.int64())), pa.array([sets[i].tobytes() for i in first], pa.binary())]
+                columns = [pa.array([digests[i] for i in first], pa.binary()), pa.array([sets[i][:k] for i in first], pa.list_(pa.int64())), pa.array([sets[i] for i in first], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["digest", "sketch", "full"])
 
     source = texts(docs)
     rows = source.join(small(ids), source["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = rows.mapInArrow(full, fields(("digest", "binary"), ("sketch", "array<long>"), ("full", "binary")))
+    sets = rows.mapInArrow(full, fields(("digest", "binary"), ("sketch", "array<long>"), ("full", "array<long>")))
     known = small(wanted.select("set", "node"))
     found = staged(sets.join(known, sets["digest"] == known["set"]).select("node", "sketch", "full"), "dedup-sets")
     # Rows that repeat a doc_id and its set are few, mostly none; only then are sets moved to drop them.
@@ -233,20 +224,11 @@ def listed_sets(docs: DataFrame, lists: DataFrame, members: DataFrame, size: int
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar."""
+    """Pairs whose full sets are similar; row by row in the JVM, as full sets may be very long."""
     own = sets.select("node", "full")
     both = pairs.join(own.toDF("a", "fa"), "a").join(own.toDF("b", "fb"), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "fa", "fb").mapInArrow(compare, fields(("a", "long"), ("b", "long")))
+    common = both.select("a", "b", F.size("fa").alias("na"), F.size("fb").alias("nb"), F.size(F.array_intersect("fa", "fb")).alias("common"))
+    return common.filter(100 * F.col("common").cast("long") >= percent * (F.col("na") + F.col("nb") - F.col("common")).cast("long")).select("a", "b")
 
 
 def connected(links: DataFrame) -> DataFrame:
