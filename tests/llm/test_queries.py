@@ -128,7 +128,7 @@ def pipeline_rows(spark):
     near = clean(3).split()
     near[69] = "edited"
     rows = [(k, clean(k)) for k in range(20)]
-    rows += [(30, " ".join(near)), (31, clean(4).upper()), (32, clean(5) + ' api_key = "abcdefghijkl123"'), (33, "short"), (34, None), (35, ""), (36, clean(36) + " vile" * 3), (36, clean(37)), (None, clean(38)), (None, clean(39)), (40, "same " * 200)]
+    rows += [(30, " ".join(near)), (31, clean(4).upper()), (32, clean(32) + ' api_key = "abcdefghijkl123"'), (33, "short"), (34, None), (35, ""), (36, clean(36) + " vile" * 3), (36, clean(37)), (None, clean(38)), (None, clean(39)), (40, "same " * 200)]
     return spark.createDataFrame([(i, t, "en", "h", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int").withColumn("kept_id", F.lit(7)).repartition(3)
 
 
