@@ -38,16 +38,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, texts
+from .common import fields, release_memory, texts
 from .secrets import vocabulary
 
 #: Distinct words and characters that a segment has at most, and characters of a row of numbered texts.
 REMEMBERED = 300_000
 SEGMENT_CHARS = 64_000_000
 BLOCK_CHARS = 4_000_000
-#: Chunks between spaces whose words a task remembers, and uses of words that are packed together.
-CHUNKS = 100_000
-USES = 1_000_000
+#: Uses of words that are packed together.
+USES = 400_000
+#: Chunks between spaces that are a word, of letters that any Unicode version has as such, or one with a mark.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{1,30}$"
+MARKED = LETTERS[:-1] + "[.,;:!?]$"
 #: Bytes of a word up to which it is not looked at for places to cut.
 LONGEST = 64
 #: Places of one pair from which on they are merged in one step.
@@ -218,15 +220,6 @@ def unpacked(data: bytes) -> np.ndarray:
     return out
 
 
-class _Chunks(dict):
-    def __init__(self, made):
-        super().__init__()
-        self.made = made
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.made(chunk)
-
-
 class _Segment:
     """Distinct words, numbered as they come and at the end by frequency, and the texts as numbers of words."""
 
@@ -235,58 +228,79 @@ class _Segment:
         self.start()
 
     def start(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.chunks = _Chunks(self.chunk)
+        self.words: dict[str, int] = {}
         self.blocks: list[tuple] = []
         self.all_chars = 0
         self.empty()
 
     def empty(self) -> None:
-        self.ids, self.rows, self.chars = [], [], 0
-
-    def cut(self, word: bytes) -> list[bytes]:
-        """Parts of a long word that no merge joins."""
-        at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.neighbours), len(word)]
-        return [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def place(self, found: list[str]) -> bytes:
-        known, out = self.words, []
-        for w in found:
-            coded = w.encode()
-            for part in (coded,) if len(coded) <= LONGEST else self.cut(coded):
-                out.append(known.setdefault(part, len(known)))
-        return struct.pack(f"<{len(out)}I", *out)
-
-    def chunk(self, chunk: str) -> bytes:
-        """Places of what stands between two spaces, with the space before it."""
-        if chunk.isascii() and chunk.isalpha() and len(chunk) < LONGEST:
-            got = struct.pack("<I", self.words.setdefault(b" " + chunk.encode(), len(self.words)))
-        else:
-            got = self.place(self.pattern.findall(" " + chunk))
-        if len(self.chunks) >= CHUNKS:
-            self.chunks.clear()
-        self.chunks[chunk] = got
-        return got
+        self.ids, self.texts, self.chars = [], [], 0
+
+    def cut(self, word: str) -> list[str]:
+        """Parts of a long word that no merge joins; bytes that are no whole character become surrogates."""
+        coded = word.encode()
+        at = [0, *(i for i in range(1, len(coded)) if coded[i - 1 : i + 1] not in self.neighbours), len(coded)]
+        return [coded[a:b].decode("utf-8", "surrogateescape") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def place(self, text: str) -> bytes:
+        """Numbers of the words of a piece of text."""
+        known, found = self.words, self.pattern.findall(text)
+        if len(text) > LONGEST // 4:
+            found = [part for w in found for part in ((w,) if len(w.encode()) <= LONGEST else self.cut(w))]
+        return struct.pack(f"<{len(found)}I", *[known.setdefault(w, len(known)) for w in found])
 
     def add(self, doc_id: int | None, text: str) -> None:
-        if ODD_SPACE.search(text):
-            rows = self.place(self.pattern.findall(text))
-        else:
-            # A space before a visible character starts a word, so the text may be cut there.
-            first, *rest = text.split(" ")
-            rows = self.place(self.pattern.findall(first)) + b"".join(map(self.chunks.__getitem__, rest))
         self.ids.append(doc_id)
-        self.rows.append(rows)
+        self.texts.append(text)
         self.chars += len(text)
         if self.chars >= BLOCK_CHARS:
             self.close_block()
 
     def close_block(self) -> None:
-        if self.rows:
-            counts = np.array([len(r) // 4 for r in self.rows], np.uint32)
-            self.blocks.append((self.ids, packed(counts), np.frombuffer(b"".join(self.rows), "<u4")))
-            self.all_chars += self.chars
-            self.empty()
+        """Numbers the words of the texts since the last block. A space before a visible character starts a word,
+        so such texts are cut there, and each different chunk is looked at once."""
+        if not self.texts:
+            return
+        plain = [ODD_SPACE.search(t) is None for t in self.texts]
+        cut = pc.split_pattern(pa.array([t if p else "" for t, p in zip(self.texts, plain, strict=True)], pa.large_string()), " ")
+        starts, values = cut.offsets.to_numpy()[:-1], cut.values
+        later = np.ones(len(values), bool)
+        later[starts] = False
+        coded = values.filter(pa.array(later)).dictionary_encode()
+        # What comes before the first space, or the whole of a text that is not cut, has a number of its own.
+        size, flat = self.numbered(coded.dictionary, [t.partition(" ")[0] if p else t for t, p in zip(self.texts, plain, strict=True)])
+        which = np.empty(len(values), np.int64)
+        which[later] = coded.indices.to_numpy()
+        which[starts] = len(coded.dictionary) + np.arange(len(starts))
+        begin, counts = np.cumsum(size) - size, size[which]
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        places = flat[np.repeat(begin[which], counts) + within].astype(np.uint32)
+        self.blocks.append((self.ids, packed(np.add.reduceat(counts, starts)), places))
+        self.all_chars += self.chars
+        self.empty()
+
+    def numbered(self, chunks: pa.Array, heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each chunk, with a space before it, and then each head has, and their numbers in turn.
+        Chunks of letters are words, and a mark after them is one; the pattern is for the others."""
+        known, names = self.words, chunks.to_pylist()
+        word, marked = (pc.match_substring_regex(chunks, p).to_numpy(zero_copy_only=False) for p in (LETTERS, MARKED))
+        own = [known.setdefault(" " + names[i], len(known)) for i in np.flatnonzero(word).tolist()]
+        before = [known.setdefault(" " + names[i][:-1], len(known)) for i in np.flatnonzero(marked).tolist()]
+        mark = [known.setdefault(names[i][-1], len(known)) for i in np.flatnonzero(marked).tolist()]
+        others = np.flatnonzero(~word & ~marked)
+        found = [self.place(" " + names[i]) for i in others.tolist()] + list(map(self.place, heads))
+        size = np.ones(len(names) + len(heads), np.int64)
+        size[np.flatnonzero(marked)] = 2
+        rest = np.concatenate((others, len(names) + np.arange(len(heads))))
+        size[rest] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begin = np.empty(size.sum(), np.int64), np.cumsum(size) - size
+        flat[begin[: len(names)][word]] = own
+        flat[begin[: len(names)][marked]] = before
+        flat[begin[: len(names)][marked] + 1] = mark
+        place = np.ones(len(flat), bool)
+        place[begin[: len(names)][word]] = place[begin[: len(names)][marked]] = place[begin[: len(names)][marked] + 1] = False
+        flat[place] = np.frombuffer(b"".join(found), "<u4")
+        return size, flat
 
     def full(self) -> bool:
         return len(self.words) > REMEMBERED or self.all_chars + self.chars > SEGMENT_CHARS
@@ -301,7 +315,7 @@ class _Segment:
         number = np.empty(len(by_number), np.int64)
         number[by_number] = np.arange(len(by_number))
         words = list(self.words)
-        words = [words[i] for i in by_number.tolist()]
+        words = [words[i].encode("utf-8", "surrogateescape") for i in by_number.tolist()]
         key = xxhash.xxh3_64_intdigest(b"\0".join(words), seed=name) >> 1
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
@@ -344,7 +358,9 @@ def segments(docs: DataFrame, ranks: dict[bytes, int], buckets: int) -> DataFram
                 segment.add(doc_id, text.as_py())
                 if segment.full():
                     yield from segment.batches(name, buckets)
+            release_memory()
         yield from segment.batches(name, buckets)
+        release_memory()
 
     return texts(docs).mapInArrow(run, fields(*ROW))
 
@@ -433,8 +449,10 @@ def gathered(rows: DataFrame) -> DataFrame:
             if uses >= USES:
                 yield packed_rows(held)
                 held, uses = [], 0
+                release_memory()
         if held:
             yield packed_rows(held)
+        release_memory()
 
     return rows.mapInArrow(run, fields(*ROW))
 

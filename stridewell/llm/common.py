@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +23,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, a laptop), a new local folder is set as checkpoint folder."""
+    Where the session has none and runs on this machine alone (tests, a laptop), a new local folder is set as
+    checkpoint folder; on a cluster that would be a folder of each executor's own, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if found:
             found = os.path.dirname(found.rstrip("/"))
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             found = tempfile.mkdtemp(prefix="spark-shared-")
             spark.sparkContext.setCheckpointDir(found)
@@ -72,6 +79,13 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def release_memory() -> None:
+    """Gives memory that a Python worker has freed back to the system: later stages use the worker again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(column: str, n: int) -> F.Column:
     """crc32 of a key written as text, modulo n; a null key falls in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)), F.lit(0)).cast("int")
