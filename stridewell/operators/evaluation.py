@@ -114,6 +114,12 @@ def rank_pair(scores: DataFrame, metric: str) -> DataFrame:
     return both
 
 
+def placed(scores: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``place`` of each feature by score, best first, ties by name."""
+    own = Window.partitionBy(*keys).orderBy(F.desc(by), "feature")
+    return scores.withColumn("place", F.row_number().over(own))
+
+
 def relevance_redundancy(feat: DataFrame, relevance: float = 0.0, redundancy: float = 0.5) -> DataFrame:
     """Features kept: |r| with the label >= relevance, then from pairs with |r| > redundancy in order of name the
     greedy rule drops one. Pairs are made per row key, so memory is that of a row's features."""

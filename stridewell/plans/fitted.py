@@ -110,40 +110,6 @@ for _name in ("src_configs", "snk_configs"):
     QUERIES[_name] = trip_configs
     ORACLE_SQL[_name] = f"WITH {FEATURE_ROWS} SELECT DISTINCT task AS label, feature FROM feat"
 
-# -- p values and rankings ------------------------------------------------------------------------------------------------------------
-
-
-def f_with_p(spark, d):
-    f = features(spark, d)
-    n = f.groupBy(*TF).agg(F.count("value").alias("n"), F.count_distinct("y").alias("k"))
-    return rounded(E.anova_f(f, TF).join(n, TF).select(*TF, "f", L.p_value(L.f_tail, F.col("f"), F.col("k") - 1, F.col("n") - F.col("k")).alias("p")))
-
-
-QUERIES["scr_pvalue"] = f_with_p
-
-
-def ranked(spark, d):
-    f = features(spark, d)
-    lists = [E.rank_pair(E.correlation(f, TF, "value", "y", "r"), "r"), E.rank_pair(E.spearman(f, TF), "rho"), E.rank_pair(E.ks_two_sample(f, TF), "d"), E.rank_pair(E.anova_f(f, TF), "f")]
-    own = Window.partitionBy("ranking").orderBy(F.desc("score"), "feature")
-    union = None
-    for k, r in enumerate(lists):
-        one = r.withColumn("ranking", F.lit(k))
-        union = one if union is None else union.unionByName(one)
-    return union.withColumn("place", F.row_number().over(own))
-
-
-QUERIES["scr_rank_merge"] = lambda spark, d: ranked(spark, d).groupBy("feature").agg(F.count("*").alias("appearances"), F.round(F.avg("place"), 6).alias("mean_place")).orderBy(F.desc("appearances"), "mean_place", "feature").limit(100)
-QUERIES["scr_token_topk"] = lambda spark, d: ranked(spark, d).filter("place <= 100").select("ranking", F.explode(F.split("feature", "_")).alias("token")).groupBy("ranking", "token").agg(F.count("*").alias("n"))
-
-
-def corrected(spark, d):
-    t = E.paired_t(design(spark, d))
-    return rounded(t.select("x", "y", "t", L.p_value(L.t_tail, F.col("t"), F.col("df")).alias("p")))
-
-
-QUERIES["scr_meta_numeric"] = corrected
-
 # -- models ---------------------------------------------------------------------------------------------------------------------------------
 COLUMNS = list(FEATURES)
 TRAIN, TEST = "pid % 5 <> 0", "pid % 5 = 0"

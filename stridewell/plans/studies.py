@@ -58,20 +58,10 @@ pred("rsh_indicators", lambda p: p.select("label").distinct().select("label", F.
 QUERIES["rsh_combos"] = lambda spark, d: table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).filter("k BETWEEN 1 AND 7").withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(15))))
 ORACLE_SQL["rsh_combos"] = "SELECT n_nationkey AS k, m::INT AS m FROM nation, range(1, 16) r(m) WHERE n_nationkey BETWEEN 1 AND 7"
 
-# -- screening ----------------------------------------------------------------------------------------------------------------
-FSQL = ", g AS (SELECT task, feature, y, count(value) AS n, sum(value) AS s, sum(value * value) AS q FROM feat GROUP BY ALL), t AS (SELECT task, feature, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b, count(*) AS k FROM g GROUP BY ALL) SELECT task, feature, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 4) AS f FROM t WHERE k > 1 UNION ALL SELECT task, feature, NULL FROM t WHERE k = 1"
-feat("scr_anova_f", lambda f: E.anova_f(f, TF), FSQL, 4)
-feat("scr_pearson", lambda f: E.correlation(f, TF, "value", "y", "r"), "SELECT task, feature, round(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0), 5) AS r FROM feat GROUP BY ALL", 5)
-feat("scr_point_biserial", lambda f: E.correlation(f, TF, "value", "y", "r").join(f.groupBy(*TF).agg(F.count("*").alias("n")), TF).select(*TF, (F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))).alias("t")), ", c AS (SELECT task, feature, count(*) AS n, covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0) AS r FROM feat GROUP BY ALL) SELECT task, feature, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM c", 4)
-RANKS = ", k AS (SELECT task, feature, rank() OVER (PARTITION BY task, feature ORDER BY value) + (count(*) OVER (PARTITION BY task, feature, value) - 1) / 2 AS a, rank() OVER (PARTITION BY task, feature ORDER BY y) + (count(*) OVER (PARTITION BY task, feature, y) - 1) / 2 AS b FROM feat)"
-feat("scr_spearman", lambda f: E.spearman(f, TF), f"{RANKS} SELECT task, feature, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 5) AS rho FROM k GROUP BY ALL", 5)
-feat("scr_ks2", lambda f: E.ks_two_sample(f, TF), ", c AS (SELECT task, feature, abs(sum((y = 1)::INT) OVER u / nullif(sum((y = 1)::INT) OVER p, 0) - sum((y = 0)::INT) OVER u / nullif(sum((y = 0)::INT) OVER p, 0)) AS g FROM feat WINDOW u AS (PARTITION BY task, feature ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY task, feature)) SELECT task, feature, round(max(g), 6) AS d FROM c GROUP BY ALL")
+# -- screening (more in screens.py) ---------------------------------------------------------------------------------------------
 feat("scr_rank_pair", lambda f: E.rank_pair(E.correlation(f, TF, "value", "y", "r"), "r"), ", r AS (SELECT task, feature, abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) AS r FROM feat GROUP BY ALL) SELECT o.feature, round(CASE WHEN o.r <= 0 OR f.r <= 0 THEN 0 ELSE 2 * o.r * f.r / (o.r + f.r) END, 5) AS score FROM r o JOIN r f USING (feature) WHERE o.task = 'O' AND f.task = 'F' AND o.r IS NOT NULL AND f.r IS NOT NULL", 5)
 feat("jn_signif_intersect", lambda f: E.correlation(f, TF, "value", "y", "r").filter("task = 'O' AND abs(r) >= 0.01").select("feature").intersect(E.correlation(f, TF, "value", "y", "r").filter("task = 'F' AND abs(r) >= 0.01").select("feature")), ", r AS (SELECT task, feature, abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) AS r FROM feat GROUP BY ALL) SELECT feature FROM r WHERE task = 'O' AND r >= 0.01 INTERSECT SELECT feature FROM r WHERE task = 'F' AND r >= 0.01")
-feat("scr_token_dist", lambda f: f.select(F.explode(F.split("feature", "_")).alias("token")).groupBy("token").agg(F.count("*").alias("n")), ", s AS (SELECT unnest(string_split(feature, '_')) AS token FROM feat) SELECT token, count(*) AS n FROM s GROUP BY token")
 feat("scr_rel_red", lambda f: E.relevance_redundancy(f))
-QUERIES["scr_chi2"] = lambda spark, d: rounded(E.chi_square(table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_mktsegment", "o_orderpriority"), 4)
-ORACLE_SQL["scr_chi2"] = "WITH x AS (SELECT c_mktsegment AS a, o_orderpriority AS b FROM orders JOIN customer ON o_custkey = c_custkey), n AS (SELECT a, b, count(*) AS n FROM x GROUP BY ALL), r AS (SELECT a, count(*) AS r FROM x GROUP BY a), c AS (SELECT b, count(*) AS c FROM x GROUP BY b), t AS (SELECT count(*) AS t FROM x) SELECT round(sum((coalesce(n, 0) - r * c / t) ** 2 / (r * c / t)), 4) AS statistic, ((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM c) - 1) AS df FROM r CROSS JOIN c CROSS JOIN t LEFT JOIN n USING (a, b)"
 
 # -- evaluation ---------------------------------------------------------------------------------------------------------------
 PK = ["label", "fold", "task"]
