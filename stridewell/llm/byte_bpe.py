@@ -44,7 +44,7 @@ from .secrets import vocabulary
 #: Distinct words and characters that a segment has at most, and characters of a row of numbered texts.
 REMEMBERED = 300_000
 SEGMENT_CHARS = 64_000_000
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Uses of words that are packed together.
 USES = 400_000
 #: Chunks between spaces that are a word, of letters that any Unicode version has as such, or one with a mark.
