@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -82,9 +84,16 @@ def angular_velocity(df: DataFrame, keys: list[str], shift: int = 1) -> DataFram
     return made.select(*df.columns, *(F.try_divide(F.col("_r")[c], F.col("_dt")).alias(f"w{c}") for c in "xyz"))
 
 
-def savitzky_golay(df: DataFrame, keys: list[str], x: str = "x", half: int = 2, deriv: int = 1, out: str = "sg") -> DataFrame:
+def time_step(keys: list[str], t: str = "t") -> Column:
+    """Time for a step of one sample: half the way between both neighbours, at the ends to the only one."""
+    before, after = previous(t, keys), following(t, keys)
+    return (F.coalesce(after, F.col(t)) - F.coalesce(before, F.col(t))) / F.when(before.isNotNull() & after.isNotNull(), 2.0).otherwise(1.0)
+
+
+def savitzky_golay(df: DataFrame, keys: list[str], x: str = "x", half: int = 2, deriv: int = 1, out: str = "sg", per_time: bool = True) -> DataFrame:
     """Derivative of the quadratic fitted to 2 * half + 1 samples around each row, as sums over the window of x,
-    k x and k^2 x; rows within ``half`` of an edge use the polynomial of the first or last whole window."""
+    k x and k^2 x; rows within ``half`` of an edge use the polynomial of the first or last whole window. With
+    ``per_time`` it is divided by ``time_step`` once, for either derivative."""
     own = order(keys)
     base = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("_n") >= 2 * half + 1)
     centre = F.least(F.greatest(F.col("idx"), F.lit(half)), F.col("_n") - 1 - half)
@@ -103,9 +112,26 @@ def savitzky_golay(df: DataFrame, keys: list[str], x: str = "x", half: int = 2,
     pick = lambda c: F.when(i < half, edge(c, F.lit(half))).when(i >= F.col("_n") - half, edge(c, F.col("_n") - 1 - half)).otherwise(F.col(c))
     off = i - centre
     value = pick("_b") + 2 * pick("_c") * off if deriv == 1 else 2 * pick("_c")
+    value = F.try_divide(value, time_step(keys)) if per_time else value
     return fits.withColumn(out, value).drop("_n", "_s0", "_s1", "_s2", "_b", "_c")
 
 
+def angular_rate(df: DataFrame, keys: list[str]) -> DataFrame:
+    """wx, wy, wz: rotation vector from each row's predecessor over the time between; no row for the first."""
+    base = quaternion(df).select("*", previous("q", keys).alias("_q"), (F.col("t") - previous("t", keys)).alias("_dt"))
+    made = base.filter("_q IS NOT NULL").withColumn("_r", Q.rotation_vector(Q.times(Q.inverse(F.col("_q")), F.col("q"))))
+    return made.select(*df.columns, *(F.try_divide(F.col("_r")[c], F.col("_dt")).alias(f"w{c}") for c in "xyz"))
+
+
+def smoothed_rate(df: DataFrame, keys: list[str], half: int = 2, deriv: int = 1) -> DataFrame:
+    """keys, idx, sx, sy, sz: ``angular_rate`` smoothed sample by sample; the first row repeats the second."""
+    rate = angular_rate(df, keys).withColumn("idx", F.col("idx") - 1)
+    for c in "xyz":
+        rate = savitzky_golay(rate, keys, f"w{c}", half, deriv, out=f"s{c}", per_time=False)
+    rate = rate.select(*keys, (F.col("idx") + 1).alias("idx"), "sx", "sy", "sz")
+    return rate.unionByName(rate.filter("idx = 1").withColumn("idx", F.lit(0).cast("long")))
+
+
 def step_lengths(df: DataFrame, keys: list[str]) -> Column:
     """Distance to the previous position."""
     return F.sqrt(sum(((F.col(c) - previous(c, keys)) ** 2 for c in ("py", "pz")), (F.col("px") - previous("px", keys)) ** 2))
@@ -156,31 +182,25 @@ def pair_dispersion(df: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.avg(Q.geodesic(F.col("q"), F.col("_q"))).alias("value"), F.count("*").alias("n_pairs"))
 
 
-def adaptive_filter(df: DataFrame, keys: list[str], slow: float = 0.1, fast: float = 0.9) -> DataFrame:
-    """Recursive smoothing of quaternions: each output is between the last one and the sample, by a gain that
-    rises with the angular speed. Recursive within a session, parallel across sessions; columns sx to sw."""
+def adaptive_filter(df: DataFrame, keys: list[str], least: float = 0.05, most: float = 0.5, slow: float = 0.5, fast: float = 5.0) -> DataFrame:
+    """Recursive smoothing of quaternions: each output lies between the last one and the sample. The share of the
+    way is ``least`` for turns up to ``slow`` degrees, ``most`` from ``fast`` degrees on, and linear between. The
+    first row is kept as measured; a zero quaternion counts as the last output. Recursive within a session,
+    parallel across sessions; columns sx to sw."""
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "idx long, sx double, sy double, sz double, sw double"])
+    low, high = np.deg2rad(slow), np.deg2rad(fast)
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        q, t = pdf[["qx", "qy", "qz", "qw"]].to_numpy(), pdf["t"].to_numpy()
-        out, last = np.empty_like(q), None
-        for k in range(len(q)):
-            own = q[k]
-            size = np.linalg.norm(own)
-            own = own / size if size > 1e-12 else last if last is not None else np.array([0.0, 0.0, 0.0, 1.0])
-            if last is None:
-                last = own
-            else:
-                cos = float(last @ own)
-                own, cos = (-own, -cos) if cos < 0 else (own, cos)
-                turn = np.arccos(min(1.0, cos))
-                dt = t[k] - t[k - 1]
-                speed = 2 * turn / dt if dt > 0 else 0.0
-                gain = slow + (fast - slow) * speed / (1 + speed)
-                mixed = last + gain * (own - last) if cos > 0.9995 else (np.sin((1 - gain) * turn) * last + np.sin(gain * turn) * own) / np.sin(turn)
-                last = mixed / np.linalg.norm(mixed)
-            out[k] = last
+        q = pdf[["qx", "qy", "qz", "qw"]].to_numpy()
+        out = np.empty_like(q)
+        out[:1] = q[:1]
+        for k in range(1, len(q)):
+            last, own = out[k - 1], q[k] if np.linalg.norm(q[k]) else out[k - 1]
+            sizes = np.linalg.norm(last) * np.linalg.norm(own)
+            turn = 2 * np.arccos(min(1.0, abs(float(last @ own)) / sizes)) if sizes else 0.0
+            share = least + (most - least) * min(1.0, max(0.0, (turn - low) / (high - low)))
+            out[k] = between(last, own, share)
         got = pdf[[*keys, "idx"]].copy()
         got[["sx", "sy", "sz", "sw"]] = out
         return got
@@ -188,9 +208,22 @@ def adaptive_filter(df: DataFrame, keys: list[str], slow: float = 0.1, fast: flo
     return df.groupBy(*keys).applyInPandas(smooth, schema)
 
 
+def between(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Unit quaternion at a share of the shorter way from a to b; on the chord where they all but agree."""
+    a, b = (v / (np.linalg.norm(v) or 1.0) for v in (a, b))
+    cos = float(a @ b)
+    b, cos = (-b, -cos) if cos < 0 else (b, cos)
+    if cos > 0.9995:
+        mixed = a + share * (b - a)
+    else:
+        turn = np.arccos(cos)
+        mixed = (np.sin((1 - share) * turn) * a + np.sin(share * turn) * b) / np.sin(turn)
+    return mixed / (np.linalg.norm(mixed) or 1.0)
+
+
 def hull_volume(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, value: volume of the convex hull of positions, null under four points or in a plane. A
-    segment's distinct points fit a task."""
+    """keys, value: volume of the convex hull of positions, null under four points or in a plane. The hull of a
+    group is that of its parts' hulls: each task keeps only the corners of its own points before they meet."""
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "value double"])
 
     def volume(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,11 +231,37 @@ def hull_volume(df: DataFrame, keys: list[str]) -> DataFrame:
         out["value"] = convex_volume(pdf[["px", "py", "pz"]].dropna().to_numpy())
         return out
 
-    return df.select(*keys, "px", "py", "pz").distinct().groupBy(*keys).applyInPandas(volume, schema)
+    points = df.select(*keys, "px", "py", "pz")
+
+    def corners(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for _, own in part.groupby(keys, dropna=False):
+                yield own[hull_corners(own[["px", "py", "pz"]].to_numpy())]
+
+    return points.mapInPandas(corners, points.schema).groupBy(*keys).applyInPandas(volume, schema)
+
+
+def hull_corners(points: np.ndarray) -> np.ndarray:
+    """True for the points that may be corners of the hull; all of them where there is no solid hull."""
+    solid = ~np.isnan(points).any(1)
+    faces = hull_faces(points[solid])
+    if faces is None:
+        return np.ones(len(points), bool)
+    kept = {tuple(v) for v in faces.reshape(-1, 3).tolist()}
+    return np.array([tuple(v) in kept for v in points.tolist()], bool)
 
 
 def convex_volume(points: np.ndarray) -> float | None:
-    """Incremental hull: faces as outward triangles; a point outside replaces the faces that it sees."""
+    faces = hull_faces(points)
+    if faces is None:
+        return None
+    tri = faces - faces.reshape(-1, 3).mean(0)
+    return float(abs(np.einsum("ij,ij->i", tri[:, 0], np.cross(tri[:, 1], tri[:, 2])).sum()) / 6)
+
+
+def hull_faces(points: np.ndarray) -> np.ndarray | None:
+    """Outward triangles (n, 3, 3) of the hull, None under four points or in a plane. Incremental: a point outside
+    replaces the faces that it sees."""
     p = np.unique(points, axis=0)
     if len(p) < 4:
         return None
@@ -232,8 +291,7 @@ def convex_volume(points: np.ndarray) -> float | None:
             for x, y in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0])):
                 edges[(tuple(x), tuple(y))] = (x, y)
         faces = [tuple(f) for f in tri[~seen]] + [(x, y, v) for (kx, ky), (x, y) in edges.items() if (ky, kx) not in edges]
-    tri = np.array(faces) - middle
-    return float(abs(np.einsum("ij,ij->i", tri[:, 0], np.cross(tri[:, 1], tri[:, 2])).sum()) / 6)
+    return np.array(faces)
 
 
 def spectrum(df: DataFrame, keys: list[str], rate: float = 90.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fitted, motion, screens, studies
+from . import bundles, fitted, motion, screens, studies
 
-QUERIES: dict = {**motion.QUERIES, **studies.QUERIES, **fitted.QUERIES, **screens.QUERIES}
-ORACLE_SQL: dict[str, str] = {**motion.ORACLE_SQL, **studies.ORACLE_SQL, **fitted.ORACLE_SQL, **screens.ORACLE_SQL}
+QUERIES: dict = {**motion.QUERIES, **bundles.QUERIES, **studies.QUERIES, **fitted.QUERIES, **screens.QUERIES}
+ORACLE_SQL: dict[str, str] = {**motion.ORACLE_SQL, **bundles.ORACLE_SQL, **studies.ORACLE_SQL, **fitted.ORACLE_SQL, **screens.ORACLE_SQL}

@@ -27,23 +27,6 @@ def add(name: str, query, sql: str | None = None) -> None:
         ORACLE_SQL[name] = sql
 
 
-def coarse(name: str, digits: int = 3) -> None:
-    """Fewer digits where sums in another order move the last ones."""
-    query = QUERIES[name]
-    QUERIES[name] = lambda spark, d: rounded(query(spark, d), digits)
-    again = ", ".join(f"round({c}, {digits}) AS {c}" for c in FRACTIONS[name])
-    ORACLE_SQL[name] = f"SELECT * REPLACE ({again}) FROM ({ORACLE_SQL[name]})"
-
-
-#: Columns with fractions of the queries that are compared with fewer digits.
-FRACTIONS = {
-    "rsm_interpolate": ["x"],
-    "agg_interval": ["mean_duration", "total_duration", "shortest_start", "longest_start"],
-    "agg_duration": ["longest", "mean"],
-    "agg_cross_step": ["mean", "std"],
-}
-
-
 def rec(name: str, body, sql: str | None = None, digits: int = 6) -> None:
     add(name, lambda spark, d: rounded(body(recording(spark, d)), digits), f"WITH {RECORDING} {sql}" if sql else None)
 
@@ -158,16 +141,58 @@ acc AS (SELECT pid, idx, t, n, CASE WHEN idx < 1 THEN (c - 2 * f1 + f2) ELSE CAS
 pts("kin_lin_acc", lambda p: M.acceleration(p, KEY, "px", 1).select("pid", "idx", "a"), f"{ACC} SELECT pid, idx, round(a, 5) AS a FROM acc", 5)
 pts("kin_lin_jerk", lambda p: M.jerk(p, KEY, "px", 1).select("pid", "idx", "j"), f"{ACC}, jj AS (SELECT *, lag(a) OVER w AS ab, lead(a) OVER w AS af FROM acc WINDOW w AS (PARTITION BY pid ORDER BY idx)) SELECT pid, idx, round(CASE WHEN idx < 1 THEN (af - a) * 10 WHEN idx >= n - 1 THEN (a - ab) * 10 ELSE (af - ab) * 5 END, 4) AS j FROM jj", 4)
 pts("kin_magnitude", lambda p: p.select("pid", "idx", F.sqrt(F.col("px") ** 2 + F.col("py") ** 2 + F.col("pz") ** 2).alias("m")), "SELECT pid, idx, round(sqrt(px * px + py * py + pz * pz), 6) AS m FROM pt")
-SG = """, u AS (SELECT pid, idx, count(*) OVER (PARTITION BY pid) AS n, (-2 * lag(px, 2) OVER w - lag(px, 1) OVER w + lead(px, 1) OVER w + 2 * lead(px, 2) OVER w) / 10.0 AS b,
-  (5 * (4 * lag(px, 2) OVER w + lag(px, 1) OVER w + lead(px, 1) OVER w + 4 * lead(px, 2) OVER w) - 10 * (lag(px, 2) OVER w + lag(px, 1) OVER w + px + lead(px, 1) OVER w + lead(px, 2) OVER w)) / 70.0 AS c FROM pt WINDOW w AS (PARTITION BY pid ORDER BY idx))
-SELECT a.pid, a.idx, round(m.b + 2 * m.c * (a.idx - m.idx), 6) AS sg FROM u a JOIN u m ON m.pid = a.pid AND m.idx = least(greatest(a.idx, 2), a.n - 3) WHERE a.n >= 5"""
-pts("kin_sg_linear", lambda p: M.savitzky_golay(p, KEY, "px").select("pid", "idx", "sg"), SG)
+#: Slope and curve of the quadratic through five samples, at the row or the nearest row with a whole window.
+SG_U = """u AS (SELECT pid, idx, count(*) OVER (PARTITION BY pid) AS n, t, lag(t) OVER w AS t0, lead(t) OVER w AS t1,
+  (-2 * lag({x}, 2) OVER w - lag({x}, 1) OVER w + lead({x}, 1) OVER w + 2 * lead({x}, 2) OVER w) / 10.0 AS b,
+  (5 * (4 * lag({x}, 2) OVER w + lag({x}, 1) OVER w + lead({x}, 1) OVER w + 4 * lead({x}, 2) OVER w)
+    - 10 * (lag({x}, 2) OVER w + lag({x}, 1) OVER w + {x} + lead({x}, 1) OVER w + lead({x}, 2) OVER w)) / 70.0 AS c
+  FROM {source} WINDOW w AS (PARTITION BY pid ORDER BY idx)),
+sg AS (SELECT a.pid, a.idx, m.b + 2 * m.c * (a.idx - m.idx) AS sg,
+  (coalesce(a.t1, a.t) - coalesce(a.t0, a.t)) / CASE WHEN a.t0 IS NULL OR a.t1 IS NULL THEN 1.0 ELSE 2.0 END AS dt
+  FROM u a JOIN u m ON m.pid = a.pid AND m.idx = least(greatest(a.idx, 2), a.n - 3) WHERE a.n >= 5)"""
+pts(
+    "kin_sg_linear",
+    lambda p: M.savitzky_golay(p, KEY, "px").select("pid", "idx", "sg"),
+    f", {SG_U.format(x='px', source='pt')} SELECT pid, idx, round(sg / dt, 6) AS sg FROM sg",
+)
 pts("kin_ang_vel", lambda p: M.angular_velocity(p, KEY).select("pid", "idx", F.sqrt(F.col("wx") ** 2 + F.col("wy") ** 2 + F.col("wz") ** 2).alias("rate")), """, z AS (SELECT *, count(*) OVER (PARTITION BY pid) AS n FROM pt),
 e AS (SELECT a.pid, a.idx, b.t - c.t AS dt, abs(b.qx * c.qx + b.qy * c.qy + b.qz * c.qz + b.qw * c.qw) AS d FROM z a JOIN z b ON b.pid = a.pid AND b.idx = least(a.idx + 1, a.n - 1) JOIN z c ON c.pid = a.pid AND c.idx = greatest(a.idx - 1, 0))
 SELECT pid, idx, round(2 * acos(least(1.0, d)) / dt, 5) AS rate FROM e""", 5)
-pts("kin_ang_acc", lambda p: M.acceleration(M.angular_velocity(p, KEY), KEY, "wx").select("pid", "idx", "a"))
-pts("kin_ang_jerk", lambda p: M.jerk(M.angular_velocity(p, KEY), KEY, "wx").select("pid", "idx", "j"))
-pts("kin_sg_angular", lambda p: M.savitzky_golay(M.angular_velocity(p, KEY), KEY, "wx").select("pid", "idx", "sg"))
+#: Rotation vectors from row c to row b over their time, the quaternion of the shorter way.
+TURN = """d AS (SELECT pid, idx, n, t, dt, cw * bw + cx * bx + cy * by_ + cz * bz AS w,
+  cw * bx - cx * bw - cy * bz + cz * by_ AS x, cw * by_ - cy * bw - cz * bx + cx * bz AS y, cw * bz - cz * bw - cx * by_ + cy * bx AS z FROM e),
+g AS (SELECT *, sqrt(x * x + y * y + z * z) AS s FROM d),
+wv AS (SELECT pid, idx, n, t, CASE WHEN s < 1e-12 THEN 2 ELSE sign(w + 1e-300) * 2 * atan2(s, abs(w)) / s END / dt * x AS wx,
+  CASE WHEN s < 1e-12 THEN 2 ELSE sign(w + 1e-300) * 2 * atan2(s, abs(w)) / s END / dt * y AS wy,
+  CASE WHEN s < 1e-12 THEN 2 ELSE sign(w + 1e-300) * 2 * atan2(s, abs(w)) / s END / dt * z AS wz FROM g)"""
+SIDES = "b.qx AS bx, b.qy AS by_, b.qz AS bz, b.qw AS bw, c.qx AS cx, c.qy AS cy, c.qz AS cz, c.qw AS cw"
+ANGULAR = f""", z AS (SELECT *, count(*) OVER (PARTITION BY pid) AS n FROM pt),
+e AS (SELECT a.pid, a.idx, a.n, a.t, b.t - c.t AS dt, {SIDES} FROM z a JOIN z b ON b.pid = a.pid AND b.idx = least(a.idx + 1, a.n - 1) JOIN z c ON c.pid = a.pid AND c.idx = greatest(a.idx - 1, 0)),
+{TURN}"""
+#: Three-point second differences and one-step slopes at 0.1 seconds a sample.
+ACC3 = "CASE WHEN idx < 1 THEN {c} - 2 * lead({c}) OVER w + lead({c}, 2) OVER w WHEN idx >= n - 1 THEN lag({c}, 2) OVER w - 2 * lag({c}) OVER w + {c} ELSE lag({c}) OVER w - 2 * {c} + lead({c}) OVER w END * 100"
+SLOPE = "CASE WHEN idx < 1 THEN (lead({c}) OVER w - {c}) * 10 WHEN idx >= n - 1 THEN ({c} - lag({c}) OVER w) * 10 ELSE (lead({c}) OVER w - lag({c}) OVER w) * 5 END"
+ORDERED = "WINDOW w AS (PARTITION BY pid ORDER BY idx)"
+ANGULAR_ACC = f"{ANGULAR}, aa AS (SELECT pid, idx, n, {', '.join(ACC3.format(c=f'w{c}') + f' AS a{c}' for c in 'xyz')} FROM wv {ORDERED})"
+
+
+def angular(p, derive, name: str):
+    """``derive`` applied to the three components of the angular velocity."""
+    out = M.angular_velocity(p, KEY)
+    for c in "xyz":
+        out = derive(out, KEY, f"w{c}", out=f"{name}{c}")
+    return out.select("pid", "idx", *(f"{name}{c}" for c in "xyz"))
+
+
+pts("kin_ang_acc", lambda p: angular(p, M.acceleration, "a"), f"{ANGULAR_ACC} SELECT pid, idx, {', '.join(f'round(a{c}, 4) AS a{c}' for c in 'xyz')} FROM aa", 4)
+pts("kin_ang_jerk", lambda p: angular(p, M.jerk, "j"), f"{ANGULAR_ACC} SELECT pid, idx, {', '.join(f'round({SLOPE.format(c=f'a{c}')}, 3) AS j{c}' for c in 'xyz')} FROM aa {ORDERED}", 3)
+RATE = f""", e AS (SELECT b.pid, b.idx - 1 AS idx, 0 AS n, b.t, b.t - c.t AS dt, {SIDES} FROM pt b JOIN pt c ON c.pid = b.pid AND c.idx = b.idx - 1), {TURN}"""
+pts(
+    "kin_sg_angular",
+    lambda p: M.smoothed_rate(p, KEY).select("pid", "idx", F.col("sx").alias("sg")),
+    f"{RATE}, {SG_U.format(x='wx', source='wv')} SELECT pid, idx + 1 AS idx, round(sg, 5) AS sg FROM sg UNION ALL SELECT pid, 0, round(sg, 5) FROM sg WHERE idx = 0",
+    5,
+)
 own_q = lambda p: M.quaternion(p).withColumn("b", S.previous("q", KEY))
 PAIRQ = ", z AS (SELECT *, lag(qx) OVER w AS bx, lag(qy) OVER w AS by_, lag(qz) OVER w AS bz, lag(qw) OVER w AS bw FROM pt WINDOW w AS (PARTITION BY pid ORDER BY idx)), g AS (SELECT pid, idx, CASE WHEN bw IS NOT NULL THEN 2 * acos(least(1.0, abs(qx * bx + qy * by_ + qz * bz + qw * bw))) END AS g FROM z)"
 pts("kin_geodesic", lambda p: own_q(p).select("pid", "idx", Q.geodesic(F.col("q"), F.col("b")).alias("g")), f"{PAIRQ} SELECT pid, idx, round(g, 6) AS g FROM g")
@@ -208,6 +233,3 @@ rec(
     lambda r: S.intervals(S.runs(r, KEY, F.col("kind") == "click"), KEY).select("pid", F.lit("on").alias("side"), "n_runs").unionByName(S.intervals(S.runs(r, KEY, F.col("kind") != "click"), KEY).select("pid", F.lit("off").alias("side"), "n_runs")),
     f", {RUNS} SELECT pid, CASE WHEN on_ = 1 THEN 'on' ELSE 'off' END AS side, count(DISTINCT run) AS n_runs FROM isl GROUP BY pid, on_",
 )
-
-for _name in FRACTIONS:
-    coarse(_name)
