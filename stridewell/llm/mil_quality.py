@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, fold, texts
+from .common import fields, fold, release_memory, texts, tidy
 from .toxicity import labelled_sample
 
 PASSAGE = 64
@@ -39,6 +39,11 @@ REMEMBERED = 400_000
 _shared: dict = {}
 
 
+def forget() -> None:
+    """Drops what this Python worker has remembered."""
+    _shared.clear()
+
+
 def word_kind(word: str) -> list[float]:
     """Traits of one word: length, case, digits, symbols, marks, then signed hash places."""
     n = len(word)
@@ -162,6 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         p = learn([encode(t) for t in pdf["text"]], pdf["y"].to_numpy(float))
+        forget()
+        release_memory()
         return pd.DataFrame({k: [np.asarray(p[k], float).ravel()] for k in NAMES})
 
     out = fields(*((k, "array<double>") for k in NAMES))
@@ -190,7 +197,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
                     scores = forward(p, (np.concatenate(bags) - p["mean"]) / p["sd"], np.repeat(np.arange(len(bags)), sizes), starts)[0]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.asarray(scores, float))], names=["doc_id", "score"])
 
-    return texts(docs).mapInArrow(run, fields(("doc_id", "long"), ("score", "double")))
+    return texts(docs).mapInArrow(tidy(run, forget), fields(("doc_id", "long"), ("score", "double")))
 
 
 def op6_mil_quality(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, free_name, small, staged, texts
+from .common import fields, free_name, small, staged, texts, tidy
 
 WORDS = 5
 PERCENT = 80
@@ -51,6 +51,11 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _shared: dict = {}
 
 
+def forget() -> None:
+    """Drops what this Python worker has remembered."""
+    _shared.clear()
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
@@ -97,7 +102,7 @@ def sketches(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
                 columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set", "sketch"])
 
-    return texts(docs).mapInArrow(run, fields(("doc_id", "long"), ("n_shingles", "long"), ("set", "binary"), ("sketch", "array<long>")))
+    return texts(docs).mapInArrow(tidy(run, forget), fields(("doc_id", "long"), ("n_shingles", "long"), ("set", "binary"), ("sketch", "array<long>")))
 
 
 def least_overlap(percent: int, k: int) -> int:
@@ -216,7 +221,7 @@ def listed_sets(docs: DataFrame, lists: DataFrame, members: DataFrame, size: int
 
     source = texts(docs)
     rows = source.join(small(ids), source["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = rows.mapInArrow(full, fields(("digest", "binary"), ("sketch", "array<long>"), ("full", "array<long>")))
+    sets = rows.mapInArrow(tidy(full, forget), fields(("digest", "binary"), ("sketch", "array<long>"), ("full", "array<long>")))
     known = small(wanted.select("set", "node"))
     found = staged(sets.join(known, sets["digest"] == known["set"]).select("node", "sketch", "full"), "dedup-sets")
     # Rows that repeat a doc_id and its set are few, mostly none; only then are sets moved to drop them.
@@ -293,7 +298,9 @@ def keep_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
 
     @F.pandas_udf("binary")
     def digest(column):
-        return column.map(lambda t: xxhash.xxh3_128_digest(shingles(t.encode(), size).tobytes()))
+        found = column.map(lambda t: xxhash.xxh3_128_digest(shingles(t.encode(), size).tobytes()))
+        forget()
+        return found
 
     own = docs["doc_id"].cast("long")
     one = docs.join(ids.filter("NOT several"), own.eqNullSafe(F.col(id_)), "left_semi")

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fields, staged, texts
+from .common import fields, staged, texts, tidy
 
 WINDOW = 2048
 #: The id that closes a document.
 CLOSING = 1
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Third lengths tried for each pair, and fourth ones for each triple.
 BREADTH = (12, 3)
 NNLS_STEPS = 300
@@ -41,6 +41,11 @@ PIECES_A_TASK = 5_000
 _workers: dict = {}
 
 
+def forget() -> None:
+    """Drops what this Python worker has remembered."""
+    _workers.clear()
+
+
 class _Chunks(dict):
     """Packed ids of a chunk of text without spaces. The tokenizer drops white space and never joins
     characters across it, so a text's ids are those of its chunks in order.
@@ -120,7 +125,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW
                     crcs.append([zlib.crc32(ids[a : a + 4 * window]) for a in range(0, len(ids), 4 * window)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
 
-    return texts(docs).mapInArrow(run, fields(("doc_id", "long"), ("doc_tokens", "long"), ("crcs", "array<long>")))
+    return texts(docs).mapInArrow(tidy(run, forget), fields(("doc_id", "long"), ("doc_tokens", "long"), ("crcs", "array<long>")))
 
 
 def combinations(hist: np.ndarray, window: int) -> list[tuple[int, ...]]:

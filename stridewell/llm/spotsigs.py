@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fields, texts
+from .common import fields, texts, tidy
 
 CHAIN = 3
 REMEMBERED = 600_000
@@ -46,6 +46,11 @@ BUCKETS = 200_000
 _shared: dict = {}
 
 
+def forget() -> None:
+    """Drops what this Python worker has remembered."""
+    _shared.clear()
+
+
 class _Words(dict):
     """Hash of a word without marks in lower case; odd for anchors, even for content, 0 for nothing."""
 
@@ -109,7 +114,7 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
             sigs = [signatures(t, chain) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([written(s) for s in sigs]), pa.array([len(s) for s in sigs], pa.int64())], names=["doc_id", "fingerprint", "n_signatures"])
 
-    return texts(docs).mapInArrow(run, fields(("doc_id", "long"), ("fingerprint", "string"), ("n_signatures", "long")))
+    return texts(docs).mapInArrow(tidy(run, forget), fields(("doc_id", "long"), ("fingerprint", "string"), ("n_signatures", "long")))
 
 
 def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -199,7 +204,7 @@ def edits(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return ordered.mapInArrow(run, fields(*zip(names, ("long", "long", "string", "string", "string", "double", "double"), strict=True)))
+    return ordered.mapInArrow(tidy(run, forget), fields(*zip(names, ("long", "long", "string", "string", "string", "double", "double"), strict=True)))
 
 
 def op8_spotsigs(spark, sf_dir: str) -> DataFrame:

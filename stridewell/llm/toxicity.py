@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, fold, texts, workers_import_this
+from .common import fields, fold, release_memory, texts, tidy, workers_import_this
 
 BITS = 22
 #: Most labelled rows that the model is fitted on; their features fit one task.
@@ -43,6 +43,11 @@ MARKS = ".,;:!?\"'()[]{}<>|*#$%&-_/\\`~+=@^…«»„“”‚‘’–—"
 _shared: dict = {}
 
 
+def forget() -> None:
+    """Drops what this Python worker has remembered."""
+    _shared.clear()
+
+
 class _Words(dict):
     """Row of a word in ``table``: hashes of its lower-case form without marks and of that form's first
     STEMS letters (0 where it is no longer than that); row 0 is for what has no letters."""
@@ -183,6 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [np.unique(places(word_hashes(t), bits)) for t in pdf["text"]]
         at, w, bias = ftrl(rows, pdf["y"].to_numpy(float), bits)
+        del rows
+        forget()
+        release_memory()
         return pd.DataFrame({"places": [at.astype(np.int32)], "weights": [w.astype(np.float32)], "bias": [float(bias)]})
 
     return labelled_sample(docs, labels, label, folds, held_out, most).groupBy(F.lit(1).alias("one")).applyInPandas(train, out)
@@ -207,7 +215,7 @@ def score(docs: DataFrame, model: DataFrame, bits: int = BITS) -> DataFrame:
                 batch = whole.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.scores(batch.column("text").to_pylist()))], names=["doc_id", "score"])
 
-    return texts(docs).mapInArrow(run, fields(("doc_id", "long"), ("score", "double")))
+    return texts(docs).mapInArrow(tidy(run, forget), fields(("doc_id", "long"), ("score", "double")))
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -224,7 +232,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
                 found = [t or "" for t in batch.column(at_text).cast(pa.string()).to_pylist()]
                 yield batch.filter(pa.array(scorer.scores(found) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, forget), docs.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
