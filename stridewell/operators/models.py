@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,23 +49,6 @@ def classify(train: DataFrame, test: DataFrame, columns: list[str], reg: float =
     return model.transform(assembler.transform(test)).drop("_v", "rawPrediction").withColumn("yhat", F.col("yhat").cast("int"))
 
 
-def logistic_effects(df: DataFrame, columns: list[str]) -> DataFrame:
-    """term, estimate of a binomial regression of y on columns."""
-    vec = VectorAssembler(inputCols=columns, outputCol="_v").transform(df)
-    model = GeneralizedLinearRegression(family="binomial", featuresCol="_v", labelCol="y", maxIter=25, regParam=1e-6).fit(vec)
-    rows = [("intercept", float(model.intercept)), *((c, float(v)) for c, v in zip(columns, model.coefficients, strict=True))]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double")
-
-
-def shuffled(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """df with one column dealt anew over its rows, within salted groups, so no task sees all rows."""
-    groups = 64
-    salted = df.withColumn("_g", F.pmod(F.xxhash64("pid", F.lit(seed)), F.lit(groups)))
-    own, dealt = Window.partitionBy("_g").orderBy("pid"), Window.partitionBy("_g").orderBy(F.xxhash64("pid", F.lit(seed + 1)), "pid")
-    values = salted.select("_g", F.row_number().over(dealt).alias("_k"), F.col(column).alias("_new"))
-    return salted.withColumn("_k", F.row_number().over(own)).join(values, ["_g", "_k"]).withColumn(column, F.col("_new")).drop("_g", "_k", "_new")
-
-
 # -- tails of distributions ---------------------------------------------------------------------------------------------------
 def _beta_cf(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function by Lentz's method."""

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import models as L
 from ..operators import motion as M
+from ..operators import search as N
 from ..sources import files as S
 from .frames import FEATURE_ROWS, FEATURES, RECORDING, design, features, path, predictions, recording
 from .motion import rounded
@@ -26,13 +29,21 @@ def wide(spark, d):
 
 
 def folder(spark, name):
-    """A new folder for a round trip, in the folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
+    """A new folder for a round trip, in the folder that driver and executors share. Where the session names none and
+    runs on this machine alone, it is a local one; on a cluster that is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='spark-shared-')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df, name):
+    """``df`` written once in the shared folder and read back."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def trip_csv(spark, d):
     out, rec = folder(spark, "csv"), recording(spark, d).select("pid", "idx", F.round("t", 3).alias("t"), "x")
     S.write_by_key(rec, out, ["pid"])
@@ -137,26 +148,41 @@ def classified(spark, d, train=TRAIN, test=TEST):
 QUERIES["mdl_classifier"] = classified
 
 
-def nested(spark, d):
-    out = None
-    for fold in range(3):
-        one = classified(spark, d, f"pid % 3 <> {fold}", f"pid % 3 = {fold}").withColumn("fold", F.lit(fold))
-        out = one if out is None else out.unionByName(one)
-    return E.metrics(E.confusion(out, ["fold"]), ["fold"])
+def searched(spark, d) -> tuple[N.Search, DataFrame]:
+    """All folds and trials over the wide features, and the rows with their folds (written once)."""
+    # Rounded, so that the order in which means were added up cannot turn a fit.
+    rows = staged(N.with_folds(wide(spark, d).na.drop().withColumns({c: F.round(c, 6) for c in COLUMNS})), "folds")
+    return N.Search(rows, COLUMNS, N.trials(6)), rows
+
+
+QUERIES["mdl_group_folds"] = lambda spark, d: N.group_folds(wide(spark, d), 5)
+ORACLE_SQL["mdl_group_folds"] = f"""WITH {FEATURE_ROWS}, pp AS (SELECT pid, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM wide GROUP BY pid)
+SELECT pid, ((row_number() OVER (PARTITION BY n0, n1 ORDER BY md5('42-' || pid)) - 1 + n0 + 2 * n1) % 5)::INT AS fold FROM pp"""
+QUERIES["mdl_param_search"] = lambda spark, d: rounded(searched(spark, d)[0].trial_table(), 6)
+QUERIES["mdl_nested_cv"] = lambda spark, d: rounded(searched(spark, d)[0].nested(), 6)
+QUERIES["mdl_final_cv"] = lambda spark, d: rounded(searched(spark, d)[0].final(), 6)
+
+
+def component_drops(spark, d):
+    search, rows = searched(spark, d)
+    return rounded(search.component_importance(rows), 6)
+
+
+def feature_importance(spark, d):
+    search, rows = searched(spark, d)
+    return N.back_project(staged(search.component_importance(rows), "importance"), search.loadings())
 
 
-QUERIES["mdl_nested_cv"] = nested
+QUERIES["imp_permutation"] = component_drops
+QUERIES["imp_back_project"] = lambda spark, d: rounded(feature_importance(spark, d), 6)
+QUERIES["imp_fold_summary"] = lambda spark, d: rounded(N.fold_summary(feature_importance(spark, d), features(spark, d)), 6)
 
 
-def permuted(spark, d):
-    base = wide(spark, d).filter("task = 'O'")
-    fit = L.scaled(base, base, COLUMNS)
-    out = E.confusion(L.classify(fit, fit, COLUMNS), []).withColumn("feature", F.lit("none"))
-    for k, c in enumerate(COLUMNS):
-        one = E.confusion(L.classify(fit, L.shuffled(fit, c, 11 + k), COLUMNS), []).withColumn("feature", F.lit(c))
-        out = out.unionByName(one)
-    return E.metrics(out, ["feature"]).select("feature", "balanced_accuracy")
+def chosen_parameters(spark, d):
+    """parameter, chosen, n: how often the folds chose a value."""
+    picked = searched(spark, d)[0].trial_table().filter("chosen")
+    pairs = F.create_map(*(x for c in ("penalty", "gamma", "share") for x in (F.lit(c), F.round(c, 6).cast("string"))))
+    return picked.select(F.explode(pairs).alias("parameter", "chosen")).groupBy("parameter", "chosen").agg(F.count("*").alias("n"))
 
 
-QUERIES["imp_permutation"] = permuted
-QUERIES["res_glm"] = lambda spark, d: L.logistic_effects(L.scaled(wide(spark, d), wide(spark, d), COLUMNS), COLUMNS)
+QUERIES["met_param_counts"] = chosen_parameters

@@ -56,7 +56,6 @@ for _stat, _sql in STAT_SQL.items():
 _all = " UNION ALL ".join(f"SELECT pid, '{s}' AS stat, round({q}, 6) AS value FROM rec GROUP BY pid" for s, q in STAT_SQL.items())
 rec("agg_basic", lambda r: S.describe(r, KEY), _all)
 rec("seg_session", lambda r: r.groupBy("pid").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n")), "SELECT pid, round(min(t), 6) AS start_t, round(max(t), 6) AS end_t, count(*) AS n FROM rec GROUP BY pid")
-rec("agg_by_type", lambda r: S.describe(r, ["pid", "kind"], names=["mean", "max"]), "SELECT pid, kind, 'mean' AS stat, round(avg(x), 6) AS value FROM rec GROUP BY pid, kind UNION ALL SELECT pid, kind, 'max', round(max(x), 6) FROM rec GROUP BY pid, kind")
 
 # -- cleaning -----------------------------------------------------------------------------------------------------
 CLICKED = "tr AS (SELECT *, min(CASE WHEN kind = 'click' THEN idx END) OVER (PARTITION BY pid) AS s FROM rec)"
@@ -91,44 +90,17 @@ rec("seg_nearest_event", lambda r: G.event_at_extremum(r).select("pid", "max_t",
 rec("seg_type_code", lambda r: r.select("pid", "idx", G.type_code(F.col("kind"), ("click", "view", "purchase", "error", "signup")).alias("code")), "SELECT pid, idx, list_position(['click', 'view', 'purchase', 'error', 'signup'], kind) - 1 AS code FROM rec")
 RUNS = "m AS (SELECT *, (kind = 'click')::INT AS on_ FROM rec), ch AS (SELECT *, (on_ <> coalesce(lag(on_) OVER w, -1))::INT AS c FROM m WINDOW w AS (PARTITION BY pid ORDER BY idx)), isl AS (SELECT *, sum(c) OVER (PARTITION BY pid ORDER BY idx) AS run FROM ch)"
 rec("seg_runs", lambda r: S.runs(r, KEY, F.col("kind") == "click").select("pid", "start_idx", "n"), f", {RUNS} SELECT pid, min(idx) AS start_idx, count(*) AS n FROM isl WHERE on_ = 1 GROUP BY pid, run")
-for _name, _on in (("agg_trigger_on", 1), ("agg_trigger_off", 0)):
-    rec(
-        _name,
-        lambda r, on=_on: S.runs(r, KEY, (F.col("kind") == "click") == F.lit(bool(on))).groupBy("pid").agg(F.count("*").alias("n_runs"), F.sum(F.col("end_t") - F.col("start_t")).alias("total")),
-        f", {RUNS}, d AS (SELECT pid, max(t) - min(t) AS d FROM isl WHERE on_ = {_on} GROUP BY pid, run) SELECT pid, count(*) AS n_runs, round(sum(d), 6) AS total FROM d GROUP BY pid",
-    )
-rec(
-    "agg_interval",
-    lambda r: S.intervals(S.runs(r, KEY, F.col("kind") != "click"), KEY),
-    f", {RUNS}, d AS (SELECT pid, min(t) AS s, max(t) - min(t) AS d FROM isl WHERE on_ = 0 GROUP BY pid, run) SELECT pid, count(*) AS n_runs, round(avg(d), 6) AS mean_duration, round(sum(d), 6) AS total_duration, round(arg_min(s, struct_pack(d := d, s := s)), 6) AS shortest_start, round(arg_max(s, struct_pack(d := d, s := -s)), 6) AS longest_start FROM d GROUP BY pid",
-    4,
-)
-ORACLE_SQL["agg_interval"] = ORACLE_SQL["agg_interval"].replace(", 6)", ", 4)")
-rec("agg_duration", lambda r: G.durations(r), f"{LOG}, s AS (SELECT pid, step, event_t - coalesce(lag(event_t) OVER (PARTITION BY pid ORDER BY step), 0) AS d FROM lg) SELECT pid, round(max(d), 6) AS longest, arg_max(step, struct_pack(d := d, k := -step)) AS longest_step, round(avg(d), 6) AS mean FROM s GROUP BY pid")
-rec("agg_cross_step", lambda r: G.across_steps(r), f"{STEPS}, q AS (SELECT pid, step, avg(x) AS m FROM seg JOIN smp USING (pid) WHERE idx >= start_idx AND idx < end_idx GROUP BY pid, step) SELECT pid, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, arg_max(step, struct_pack(m := m, k := -step)) AS max_step FROM q GROUP BY pid")
-
 # -- extrema, peaks, pauses --------------------------------------------------------------------------------------------
 EXT = "e AS (SELECT pid, max(x) AS max_x, arg_max(t, struct_pack(x := x, k := -idx)) AS max_t, arg_max(idx, struct_pack(x := x, k := -idx)) AS max_idx, min(x) AS min_x, arg_max(t, struct_pack(x := -x, k := -idx)) AS min_t, min(t) AS start_t, max(t) AS end_t, avg(x) + stddev_pop(x) AS thr FROM rec GROUP BY pid)"
 rec("agg_extremum", lambda r: S.extremum(r, KEY).select("pid", "max_x", "max_t", "min_x", "min_t", F.try_divide(F.col("max_t") - F.col("start_t"), F.col("end_t") - F.col("start_t")).alias("max_share")), f", {EXT} SELECT pid, round(max_x, 6) AS max_x, round(max_t, 6) AS max_t, round(min_x, 6) AS min_x, round(min_t, 6) AS min_t, round((max_t - start_t) / (end_t - start_t), 6) AS max_share FROM e")
 rec("agg_time_to_ext", lambda r: S.extremum(r, KEY).select("pid", (F.col("max_t") - F.col("start_t")).alias("to_max"), (F.col("min_t") - F.col("start_t")).alias("to_min")), f", {EXT} SELECT pid, round(max_t - start_t, 6) AS to_max, round(min_t - start_t, 6) AS to_min FROM e")
-rec("agg_decay", lambda r: S.decay(r, KEY), f", {EXT} SELECT pid, round(min(CASE WHEN idx >= max_idx AND x < thr THEN t END) - any_value(max_t), 6) AS value FROM rec JOIN e USING (pid) GROUP BY pid")
 BEYOND = """, f AS (SELECT *, avg(x) OVER (PARTITION BY pid) AS m, stddev_pop(x) OVER (PARTITION BY pid) AS s FROM rec),
 z AS (SELECT f.*, factor, side, (CASE WHEN side = 'above' THEN x > m + factor * s ELSE x < m - factor * s END)::INT AS on_ FROM f, (VALUES (1.0::DOUBLE), (1.5), (2.0), (3.0)) a(factor), (VALUES ('above'), ('below')) b(side)),
 ch AS (SELECT *, (on_ <> coalesce(lag(on_) OVER w, -1))::INT AS c FROM z WINDOW w AS (PARTITION BY pid, factor, side ORDER BY idx)), isl AS (SELECT *, sum(c) OVER (PARTITION BY pid, factor, side ORDER BY idx) AS run FROM ch),
 d AS (SELECT pid, side, factor, max(t) - min(t) AS d FROM isl WHERE on_ = 1 GROUP BY pid, side, factor, run)
 SELECT pid, side, factor, round(sum(d), 6) AS value FROM d GROUP BY pid, side, factor"""
 rec("agg_dur_beyond", lambda r: S.time_beyond(r, KEY), BEYOND)
-PEAKS = ", n AS (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS q, avg(x) OVER (PARTITION BY pid) + stddev_pop(x) OVER (PARTITION BY pid) AS thr FROM rec WINDOW w AS (PARTITION BY pid ORDER BY idx)), pk AS (SELECT * FROM n WHERE x > p AND x > q AND x > thr)"
-rec("agg_peaks", lambda r: S.peak_rate(r, KEY), f"{PEAKS}, sp AS (SELECT pid, max(t) - min(t) AS span FROM rec GROUP BY pid), c AS (SELECT pid, count(*) AS n FROM pk GROUP BY pid) SELECT pid, coalesce(n, 0) AS n_peaks, round(coalesce(n, 0) / span, 6) AS per_second FROM sp LEFT JOIN c USING (pid)")
-rec("agg_peak_gaps", lambda r: S.peak_gaps(r, KEY), f"{PEAKS}, g AS (SELECT pid, t - lag(t) OVER (PARTITION BY pid ORDER BY idx) AS gap FROM pk) SELECT pid, round(avg(gap), 6) AS mean_gap, round(max(gap), 6) AS max_gap, round(min(gap), 6) AS min_gap FROM g WHERE gap IS NOT NULL GROUP BY pid")
-BAND = """, md AS (SELECT pid, median(x) AS med FROM rec GROUP BY pid), ma AS (SELECT pid, any_value(med) AS med, median(abs(x - med)) AS mad FROM rec JOIN md USING (pid) GROUP BY pid),
-z AS (SELECT rec.*, (abs(x - med) <= 0.5 * mad)::INT AS on_ FROM rec JOIN ma USING (pid)), ch AS (SELECT *, (on_ <> coalesce(lag(on_) OVER w, -1))::INT AS c FROM z WINDOW w AS (PARTITION BY pid ORDER BY idx)),
-isl AS (SELECT *, sum(c) OVER (PARTITION BY pid ORDER BY idx) AS run FROM ch), d AS (SELECT pid, max(t) - min(t) AS d FROM isl WHERE on_ = 1 GROUP BY pid, run)
-SELECT pid, count(*) AS n_runs, round(sum(d), 6) AS total FROM d GROUP BY pid"""
-rec("agg_band_runs", lambda r: S.band_runs(r, KEY), BAND)
 rec("agg_dist_1d", lambda r: r.withColumn("d", F.abs(F.col("x") - S.previous("x", KEY))).groupBy("pid").agg(F.sum("d").alias("value")), ", d AS (SELECT pid, abs(x - lag(x) OVER (PARTITION BY pid ORDER BY idx)) AS d FROM rec) SELECT pid, round(sum(d), 6) AS value FROM d GROUP BY pid")
-rec("agg_ts_domain", lambda r: M.spectrum(r, KEY))
-rec("agg_custom", lambda r: S.describe(r, KEY, names=["cv", "slope"]).unionByName(S.decay(r, KEY).select("pid", F.lit("decay").alias("stat"), "value")))
 
 # -- derivatives -----------------------------------------------------------------------------------------------------
 W = "WINDOW w AS (PARTITION BY pid ORDER BY idx)"
@@ -221,15 +193,3 @@ PAIRS = "pr AS (SELECT pid, px AS x1, lead(px) OVER w AS x2, py AS y1, lead(py)
 two = lambda p: p.select("pid", *(c for k in ("x", "y", "z") for c in (F.col(f"p{k}").alias(f"{k}1"), S.following(f"p{k}", KEY).alias(f"{k}2")))).filter("x2 IS NOT NULL")
 pts("agg_pair_dist_3d", lambda p: two(p).groupBy("pid").agg(F.avg(F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2 + (F.col("z1") - F.col("z2")) ** 2)).alias("mean")), f", {PAIRS} SELECT pid, round(avg(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2 + (z1 - z2) ** 2)), 6) AS mean FROM pr WHERE x2 IS NOT NULL GROUP BY pid")
 pts("agg_pair_dist_1d", lambda p: two(p).select("pid", F.explode(F.array(*(F.struct(F.lit(a + b).alias("axes"), F.abs(F.col(f"{a}1") - F.col(f"{b}2")).alias("d")) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")))).alias("e")).groupBy("pid", "e.axes").agg(F.avg("e.d").alias("mean")), f", {PAIRS}, e AS (SELECT pid, unnest([struct_pack(axes := 'xx', d := abs(x1 - x2)), struct_pack(axes := 'yy', d := abs(y1 - y2)), struct_pack(axes := 'zz', d := abs(z1 - z2)), struct_pack(axes := 'xy', d := abs(x1 - y2)), struct_pack(axes := 'xz', d := abs(x1 - z2)), struct_pack(axes := 'yz', d := abs(y1 - z2))]) AS e FROM pr WHERE x2 IS NOT NULL) SELECT pid, e.axes AS axes, round(avg(e.d), 6) AS mean FROM e GROUP BY ALL")
-long3 = lambda p, cols: p.unpivot(["pid", "idx"], list(cols), "axis", "x")
-AXES = lambda cols: " UNION ALL ".join(f"SELECT pid, '{c}' AS axis, '{s}' AS stat, round({q}, 6) AS value FROM (SELECT pid, idx, {c} AS x FROM pt) GROUP BY pid" for c in cols for s, q in STAT_SQL.items() if s in ("mean", "std", "range"))
-pts("agg_position", lambda p: S.describe(long3(p, ("px", "py", "pz")), ["pid", "axis"], names=["mean", "std", "range"]), AXES(("px", "py", "pz")))
-pts("agg_quat", lambda p: S.describe(long3(p, ("qx", "qy", "qz", "qw")), ["pid", "axis"], names=["mean", "std", "range"]), AXES(("qx", "qy", "qz", "qw")))
-pts("agg_motion", lambda p: S.describe(long3(M.velocity(p, KEY, "px", 2), ("v",)), ["pid", "axis"], names=["mean", "std", "range"]), f"{VEL} " + " UNION ALL ".join(f"SELECT pid, 'v' AS axis, '{s}' AS stat, round({STAT_SQL[s].replace('x)', 'v)')}, 6) AS value FROM vel GROUP BY pid" for s in ("mean", "std", "range")))
-SIX = ("px", "py", "pz", "qx", "qy", "qz")
-pts("agg_sixd", lambda p: S.describe(long3(p, SIX), ["pid", "axis"], names=["mean", "std", "range"]), AXES(SIX))
-rec(
-    "agg_trigger",
-    lambda r: S.intervals(S.runs(r, KEY, F.col("kind") == "click"), KEY).select("pid", F.lit("on").alias("side"), "n_runs").unionByName(S.intervals(S.runs(r, KEY, F.col("kind") != "click"), KEY).select("pid", F.lit("off").alias("side"), "n_runs")),
-    f", {RUNS} SELECT pid, CASE WHEN on_ = 1 THEN 'on' ELSE 'off' END AS side, count(DISTINCT run) AS n_runs FROM isl GROUP BY pid, on_",
-)

@@ -90,12 +90,8 @@ pred("res_class_weight", lambda p: p.groupBy("task", "y").agg(F.count("*").alias
 pred("res_participant_mean", lambda p: p.groupBy("pid", "label").agg(F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("m")), "SELECT pid, label, round(avg((y = yhat)::INT), 6) AS m FROM pred GROUP BY ALL")
 BIN = ", bn AS (SELECT pid AS subject, label || task AS condition, (avg((y = yhat)::INT) >= 0.5)::INT AS x FROM pred GROUP BY ALL)"
 binary = lambda p: p.groupBy(F.col("pid").alias("subject"), F.concat("label", "task").alias("condition")).agg((F.avg((F.col("y") == F.col("yhat")).cast("double")) >= 0.5).cast("int").alias("x"))
-pred("res_majority", binary, f"{BIN} SELECT * FROM bn")
-pred("res_mcnemar", lambda p: E.mcnemar(binary(p)), f"{BIN}, c AS (SELECT a.condition AS x, b.condition AS y, count(*) FILTER (a.x = 1 AND b.x = 0) AS b, count(*) FILTER (a.x = 0 AND b.x = 1) AS c FROM bn a JOIN bn b USING (subject) WHERE a.condition < b.condition GROUP BY ALL) SELECT x, y, b, c, round(coalesce((abs(b - c) - 1) ** 2 / nullif(b + c, 0), 0), 6) AS statistic FROM c")
-pred("res_cochran_q", lambda p: E.cochran_q(binary(p)), f"{BIN}, k AS (SELECT count(DISTINCT condition) AS k FROM bn), l AS (SELECT subject, sum(x) AS l FROM bn GROUP BY subject HAVING count(*) = (SELECT k FROM k)), g AS (SELECT condition, sum(x) AS g FROM bn JOIN l USING (subject) GROUP BY condition) SELECT round((SELECT (count(*) - 1) * (count(*) * sum(g * g) - sum(g) ** 2) FROM g) / (SELECT (SELECT k FROM k) * sum(l) - sum(l * l) FROM l), 6) AS q, (SELECT k - 1 FROM k) AS df")
 DELTA = f", o AS (SELECT label, pid, count(*) FILTER (y = 0 AND yhat = 0) AS tn, count(*) FILTER (y = 0 AND yhat = 1) AS fp, count(*) FILTER (y = 1 AND yhat = 0) AS fn, count(*) FILTER (y = 1 AND yhat = 1) AS tp FROM pred GROUP BY ALL), a AS (SELECT label, sum(tn)::BIGINT AS tn, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tp)::BIGINT AS tp FROM o GROUP BY label), w AS (SELECT label, {MCC} AS m FROM a), r AS (SELECT o.label, o.pid, a.tn - o.tn AS tn, a.fp - o.fp AS fp, a.fn - o.fn AS fn, a.tp - o.tp AS tp FROM o JOIN a USING (label)), z AS (SELECT label, pid, {MCC} AS m FROM r) SELECT label, pid, round(w.m - z.m, 6) AS delta FROM z JOIN w USING (label)"
 pred("res_delta_mcc", lambda p: E.delta_mcc(p, ["label"]), DELTA)
-pred("mdl_group_folds", lambda p: p.select("pid", (F.pmod(F.col("pid"), F.lit(5))).alias("fold")).distinct(), "SELECT DISTINCT pid, pid % 5 AS fold FROM pred")
 
 # -- designs --------------------------------------------------------------------------------------------------------------------
 RM = """, q AS (SELECT sum(value * value) AS q, sum(value) ** 2 / count(*) AS t, count(DISTINCT subject) AS ns, count(DISTINCT a) AS na, count(DISTINCT b) AS nb FROM dsg),
@@ -104,30 +100,12 @@ k AS (SELECT (SELECT sum(k) FROM (SELECT sum(value) ** 2 / count(*) AS k FROM ds
 e AS (SELECT 'a' AS source, a - t AS ss, as_ - a - s + t AS er, na - 1 AS df1, (na - 1) * (ns - 1) AS df2 FROM q, k UNION ALL SELECT 'b', b - t, bs - b - s + t, nb - 1, (nb - 1) * (ns - 1) FROM q, k
   UNION ALL SELECT 'a * b', ab - a - b + t, q - ab - as_ - bs + a + b + s - t, (na - 1) * (nb - 1), (na - 1) * (nb - 1) * (ns - 1) FROM q, k)
 SELECT source, df1, df2, round((ss / df1) / (er / df2), 3) AS f, round(ss / (ss + er), 3) AS np2 FROM e"""
-dsg("res_rm_anova", lambda g: E.rm_anova(g).select("source", "df1", "df2", "f", "np2"), RM, 3)
 PT = ", m AS (SELECT subject, a, avg(value) AS v FROM dsg GROUP BY ALL), p AS (SELECT x.a AS x, y.a AS y, avg(x.v - y.v) / (stddev_samp(x.v - y.v) / sqrt(count(*))) AS t, count(*) - 1 AS df, (avg(x.v) - avg(y.v)) / sqrt((var_samp(x.v) + var_samp(y.v)) / 2) AS cohen FROM m x JOIN m y USING (subject) WHERE x.a < y.a GROUP BY ALL)"
-dsg("res_pairwise", lambda g: E.paired_t(g), f"{PT} SELECT x, y, round(t, 5) AS t, df, round(cohen, 5) AS cohen FROM p", 5)
-pseudo = lambda g: E.paired_t(g).select(F.lit(1).alias("g"), "x", "y", F.exp(-F.abs("t")).alias("p"))
-dsg("res_holm", lambda g: E.holm(pseudo(g), ["g"]).select("x", "y", "p_holm"), f"{PT}, h AS (SELECT x, y, exp(-abs(t)) AS p FROM p), r AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p) + 1) * p AS s FROM h) SELECT x, y, round(least(1.0, max(s) OVER (ORDER BY p)), 5) AS p_holm FROM r", 5)
-dsg("res_bonf", lambda g: pseudo(g).select("x", "y", F.least(F.lit(1.0), F.col("p") * F.count("*").over(Window.partitionBy("g"))).alias("p_bonf")), f"{PT} SELECT x, y, round(least(1.0, exp(-abs(t)) * count(*) OVER ()), 5) AS p_bonf FROM p", 5)
-dsg("res_group_ci", lambda g: g.groupBy("a").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"), (1.96 * F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("ci")), "SELECT a, round(avg(value), 3) AS mean, round(stddev_samp(value), 3) AS sd, count(*) AS n, round(1.96 * stddev_samp(value) / sqrt(count(*)), 3) AS ci FROM dsg GROUP BY a", 3)
-dsg("res_pivot", lambda g: g.filter("b = 'F'").groupBy("subject").pivot("a", ["1-URGENT", "2-HIGH"]).agg(F.avg("value")).toDF("subject", "urgent", "high"), "SELECT subject, round(avg(CASE WHEN a = '1-URGENT' THEN value END), 3) AS urgent, round(avg(CASE WHEN a = '2-HIGH' THEN value END), 3) AS high FROM dsg WHERE b = 'F' GROUP BY subject", 3)
 
 # -- the rest of reshaping and summaries ----------------------------------------------------------------------------------------------
 feat("rsh_strip_suffix", lambda f: f.filter("task = 'O'").select(F.regexp_replace(F.concat_ws("_", "feature", "task"), "_[^_]*$", "").alias("base")).intersect(f.filter("task = 'F'").select(F.regexp_replace(F.concat_ws("_", "feature", "task"), "_[^_]*$", "").alias("base"))), "SELECT DISTINCT feature AS base FROM feat")
 feat("rsh_meta_align", lambda f: f.select("pid", F.regexp_replace(F.concat(F.when(F.col("task") == "O", "A-").otherwise("BRW-"), "feature"), "^[AB](RW)?-", "X$1-").alias("name"), "value"), "SELECT pid, CASE WHEN task = 'O' THEN 'X-' ELSE 'XRW-' END || feature AS name, round(value, 4) AS value FROM feat", 4)
-pred("met_param_counts", lambda p: p.select("label", "fold").distinct().select(F.explode(F.create_map(F.lit("fold"), F.col("fold").cast("string"), F.lit("label"), F.col("label"))).alias("parameter", "chosen")).groupBy("parameter", "chosen").agg(F.count("*").alias("n")), ", d AS (SELECT DISTINCT label, fold FROM pred), e AS (SELECT 'fold' AS parameter, fold::VARCHAR AS chosen FROM d UNION ALL SELECT 'label', label FROM d) SELECT parameter, chosen, count(*) AS n FROM e GROUP BY ALL")
 
 
-def back_projected(f):
-    """Loadings of features on components (here: their mean by task) times each component's importance."""
-    loading = f.groupBy("feature", F.col("task").alias("pc")).agg(F.avg("value").alias("w"))
-    importance = f.groupBy(F.col("task").alias("pc")).agg(F.avg("y").alias("imp"))
-    summed = loading.join(importance, "pc").groupBy("feature").agg(F.sum(F.abs("w") * F.col("imp")).alias("s"))
-    return summed.select("feature", F.try_divide(F.col("s"), F.sum("s").over(Window.partitionBy(F.lit(1)))).alias("importance"))
-
-
-feat("imp_back_project", back_projected, ", l AS (SELECT feature, task AS pc, avg(value) AS w FROM feat GROUP BY ALL), m AS (SELECT task AS pc, avg(y) AS imp FROM feat GROUP BY ALL), s AS (SELECT feature, sum(abs(w) * imp) AS s FROM l JOIN m USING (pc) GROUP BY feature) SELECT feature, round(s / sum(s) OVER (), 6) AS importance FROM s")
-feat("imp_fold_summary", lambda f: f.groupBy("feature", (F.col("pid") % 5).alias("fold")).agg(F.avg("value").alias("imp")).groupBy("feature").agg(F.avg("imp").alias("mean"), F.stddev_pop("imp").alias("std")), ", i AS (SELECT feature, pid % 5 AS fold, avg(value) AS imp FROM feat GROUP BY ALL) SELECT feature, round(avg(imp), 3) AS mean, round(stddev_pop(imp), 3) AS std FROM i GROUP BY feature", 3)
 QUERIES["src_metadata"] = lambda spark, d: rounded(table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("score")), 2)
 ORACLE_SQL["src_metadata"] = "SELECT c_custkey AS pid, c_mktsegment AS segment, round(c_acctbal, 2) AS score FROM customer"
