@@ -81,10 +81,17 @@ d AS (SELECT pid, on_, min(t) AS s, max(t) - min(t) AS d FROM isl GROUP BY pid,
 tb AS (SELECT pid, CASE WHEN on_ = 1 THEN 'on' ELSE 'off' END AS side, count(*) AS n_runs, round(count(*) / nullif(any_value(span), 0), 5) AS per_second, round(sum(d), 5) AS total, round(avg(d), 5) AS mean,
   round(stddev_pop(d), 5) AS std, round(min(d), 5) AS shortest, round(max(d), 5) AS longest, round(arg_min(s - t0, struct_pack(d := d, s := s)), 5) AS shortest_start,
   round(arg_max(s - t0, struct_pack(d := d, s := -s)), 5) AS longest_start FROM d JOIN sp USING (pid) GROUP BY pid, on_)"""
-CLICK = F.col("kind") == "click"
-rec("agg_trigger", lambda r: B.run_table(r, KEY, {"on": CLICK, "off": ~CLICK}), f"{TABLE} SELECT * FROM tb")
-for _name, _side, _mask in (("agg_trigger_on", "on", CLICK), ("agg_trigger_off", "off", ~CLICK), ("agg_interval", "off", ~CLICK)):
-    rec(_name, lambda r, s=_side, m=_mask: B.run_table(r, KEY, {s: m}), f"{TABLE} SELECT * FROM tb WHERE side = '{_side}'")
+
+
+def sides(*names: str) -> dict:
+    """Masks of the runs: on where the trigger is pressed, off where it is not."""
+    pressed = F.col("kind") == "click"
+    return {name: pressed if name == "on" else ~pressed for name in names}
+
+
+rec("agg_trigger", lambda r: B.run_table(r, KEY, sides("on", "off")), f"{TABLE} SELECT * FROM tb")
+for _name, _side in (("agg_trigger_on", "on"), ("agg_trigger_off", "off"), ("agg_interval", "off")):
+    rec(_name, lambda r, s=_side: B.run_table(r, KEY, sides(s)), f"{TABLE} SELECT * FROM tb WHERE side = '{_side}'")
 
 # -- sessions, steps --------------------------------------------------------------------------------------------------------
 DURATION = f"""{LOG}, stp AS (SELECT pid, step AS idx, event_t - coalesce(lag(event_t) OVER (PARTITION BY pid ORDER BY step), 0) AS x FROM lg),
