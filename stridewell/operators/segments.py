@@ -48,8 +48,16 @@ def steps(rec: DataFrame) -> DataFrame:
 
 
 def interval(sampled: DataFrame, segs: DataFrame, keys: list[str]) -> DataFrame:
-    """Samples with the segment that holds them, [start_idx, end_idx)."""
-    return sampled.join(segs, keys).filter((F.col("idx") >= F.col("start_idx")) & (F.col("idx") < F.col("end_idx")))
+    """Samples with the segment that holds them, [start_idx, end_idx). Segments follow each other without overlap, so
+    starts and samples are laid on one axis and each sample takes the last start before it: a sort by key instead
+    of every sample with every segment. Segments without a sample take no part in the axis."""
+    held = segs.filter(F.col("start_idx") < F.col("end_idx"))
+    names = [c for c in segs.columns if c not in keys]
+    starts = held.select(*keys, F.col("start_idx").alias("_at"), F.struct(*names).alias("_seg"), F.lit(None).cast(sampled.select(F.struct(*sampled.columns)).schema[0].dataType).alias("_row"))
+    rows = sampled.select(*keys, F.col("idx").alias("_at"), F.lit(None).cast(starts.schema["_seg"].dataType).alias("_seg"), F.struct(*sampled.columns).alias("_row"))
+    own = Window.partitionBy(*keys).orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    laid = starts.unionByName(rows).withColumn("_in", F.last("_seg", ignorenulls=True).over(own)).filter("_row IS NOT NULL")
+    return laid.filter(F.col("_row.idx") < F.col("_in.end_idx")).select(*(F.col("_row")[c].alias(c) for c in sampled.columns), *(F.col("_in")[c].alias(c) for c in names))
 
 
 def substeps(rec: DataFrame) -> DataFrame:
@@ -62,6 +70,13 @@ def tail(rec: DataFrame) -> DataFrame:
     return samples(rec).join(last, "pid").filter(F.col("t") >= F.col("_last")).drop("_last")
 
 
+def tail_from_nearest(rec: DataFrame) -> DataFrame:
+    """Samples from the one nearest to the last event on."""
+    last = event_log(rec).groupBy("pid").agg(F.max("event_t").alias("event_t"), F.max("step").alias("step"))
+    start = nearest(last, samples(rec), KEYS).select("pid", F.col("idx").alias("_start"))
+    return samples(rec).join(start, "pid").filter(F.col("idx") >= F.col("_start")).drop("_start")
+
+
 def event_at_extremum(rec: DataFrame) -> DataFrame:
     """pid, max_t, step of the event nearest to the session's largest value, the earlier step on ties."""
     top = extremum(rec, KEYS).select("pid", "max_t")
