@@ -36,6 +36,11 @@ def velocity(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, mode:
     inner = {"central": middle, "forward": ahead, "backward": back}[mode]
     value = F.when(i < shift, ahead).when(i >= F.col("_n") - shift, back).otherwise(inner)
     made = df.withColumn("_n", n).filter(F.col("_n") > 2 * shift).withColumn("_v", value)
+    return held_by_block(made, keys, shift, stride, out)
+
+
+def held_by_block(made: DataFrame, keys: list[str], shift: int, stride: int, out: str) -> DataFrame:
+    """``_v`` as ``out``, held over blocks of ``stride`` rows."""
     if stride == 1:
         return made.withColumn(out, F.col("_v")).drop("_n", "_v")
     held = made.withColumn("_a", anchor(F.col("_n"), shift, stride))
@@ -47,7 +52,7 @@ def second(p0: Column, p1: Column, p2: Column, d1: Column, d2: Column) -> Column
     return F.try_divide(2 * (p0 * d2 - p1 * (d1 + d2) + p2 * d1), d1 * d2 * (d1 + d2))
 
 
-def acceleration(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, out: str = "a", compat: bool = False) -> DataFrame:
+def acceleration(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, out: str = "a", compat: bool = False, stride: int = 1) -> DataFrame:
     """Three-point second differences; the edges use the stencil that reaches inwards. ``compat`` weighs the
     leading edge as p0 (d1 + d2) - p1 d2 - p2 d1, which does not vanish on straight lines."""
     n = F.count("*").over(Window.partitionBy(*keys))
@@ -61,11 +66,11 @@ def acceleration(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, o
 
     i = F.col("idx")
     value = F.when(i < shift, stencil(0, shift, 2 * shift)).when(i >= F.col("_n") - shift, stencil(-2 * shift, -shift, 0)).otherwise(stencil(-shift, 0, shift))
-    return df.withColumn("_n", n).filter(F.col("_n") > 2 * shift).withColumn(out, value).drop("_n")
+    return held_by_block(df.withColumn("_n", n).filter(F.col("_n") > 2 * shift).withColumn("_v", value), keys, shift, stride, out)
 
 
-def jerk(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, out: str = "j") -> DataFrame:
-    return velocity(acceleration(df, keys, x, shift, "_acc"), keys, "_acc", shift, out=out).drop("_acc")
+def jerk(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, out: str = "j", stride: int = 1) -> DataFrame:
+    return velocity(acceleration(df, keys, x, shift, "_acc"), keys, "_acc", shift, stride=stride, out=out).drop("_acc")
 
 
 def quaternion(df: DataFrame) -> DataFrame:
@@ -147,12 +152,16 @@ def path_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.agg(total.alias("total"), net.alias("net"), F.coalesce(F.try_divide(net, total), F.lit(0.0)).alias("efficiency"), (side("px") * side("py") * side("pz")).alias("box"))
 
 
-def reversals(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, per_second: turns of more than a right angle between neighbouring steps."""
+def reversals(df: DataFrame, keys: list[str], seconds: float | None = None) -> DataFrame:
+    """keys, n, per_second: turns of more than a right angle between neighbouring steps, of the first ``seconds`` alone where
+    they are given."""
     d = {c: F.col(c) - previous(c, keys) for c in ("px", "py", "pz")}
     moved = df.select(*keys, "idx", "t", *(v.alias(f"d{c}") for c, v in d.items()))
     turn = sum((F.col(f"d{c}") * previous(f"d{c}", keys) for c in ("py", "pz")), F.col("dpx") * previous("dpx", keys))
-    grouped = moved.withColumn("_turn", turn).groupBy(*keys)
+    turned = moved.withColumn("_turn", turn)
+    if seconds is not None:
+        turned = turned.withColumn("_t0", F.min("t").over(Window.partitionBy(*keys))).filter(F.col("t") <= F.col("_t0") + seconds)
+    grouped = turned.groupBy(*keys)
     return grouped.agg(F.count_if(F.col("_turn") < 0).alias("n"), F.try_divide(F.count_if(F.col("_turn") < 0), F.max("t") - F.min("t")).alias("per_second"))
 
 
@@ -173,13 +182,17 @@ def rotation_total(df: DataFrame, keys: list[str]) -> DataFrame:
     return q.withColumn("_g", Q.geodesic(F.col("q"), previous("q", keys))).groupBy(*keys).agg(F.sum("_g").alias("value"))
 
 
+def sample_pairs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, i, j, angle: all pairs of samples i < j of a segment with their geodesic distance. The cost is the square of
+    a segment's length, so keys are those of bounded segments, never of sessions."""
+    q = quaternion(df).select(*keys, F.col("idx").alias("i"), "q")
+    other = q.select(*keys, F.col("i").alias("j"), F.col("q").alias("_q"))
+    return q.join(other, keys).filter(F.col("i") < F.col("j")).select(*keys, "i", "j", Q.geodesic(F.col("q"), F.col("_q")).alias("angle"))
+
+
 def pair_dispersion(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, value, n_pairs: mean geodesic distance over all pairs of samples within a segment. The definition is
-    over all pairs, so its cost is the square of a segment's length; segments, not sessions, are meant."""
-    q = quaternion(df).select(*keys, "idx", "q")
-    other = q.select(*keys, F.col("idx").alias("_j"), F.col("q").alias("_q"))
-    pairs = q.join(other, keys).filter(F.col("idx") < F.col("_j"))
-    return pairs.groupBy(*keys).agg(F.avg(Q.geodesic(F.col("q"), F.col("_q"))).alias("value"), F.count("*").alias("n_pairs"))
+    """keys, value, n_pairs: mean geodesic distance over all pairs of samples of a segment."""
+    return sample_pairs(df, keys).groupBy(*keys).agg(F.avg("angle").alias("value"), F.count("*").alias("n_pairs"))
 
 
 def adaptive_filter(df: DataFrame, keys: list[str], least: float = 0.05, most: float = 0.5, slow: float = 0.5, fast: float = 5.0) -> DataFrame:

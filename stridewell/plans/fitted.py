@@ -1,4 +1,4 @@
-"""Queries over fitted models, p values and rankings, and round trips of sources and sinks."""
+"""Queries over fitted models and their selection, and round trips of sources and sinks."""
 
 from __future__ import annotations
 
@@ -9,18 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation as E
 from ..operators import models as L
-from ..operators import motion as M
 from ..operators import search as N
 from ..sources import files as S
-from .frames import FEATURE_ROWS, FEATURES, RECORDING, design, features, path, predictions, recording
+from .frames import FEATURE_ROWS, FEATURES, RECORDING, features, recording
 from .motion import rounded
-from .studies import PREDICTIONS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-TF = ["task", "feature"]
 
 
 def wide(spark, d):
@@ -78,35 +74,6 @@ QUERIES["src_batches"] = trip_batches
 ORACLE_SQL["src_batches"] = f"WITH {FEATURE_ROWS} SELECT pid, feature, CASE WHEN task = 'O' THEN 1 ELSE 0 END AS a FROM feat"
 
 
-def trip_fold_results(spark, d):
-    out = folder(spark, "folds")
-    predictions(spark, d).write.partitionBy("label").parquet(out)
-    return spark.read.parquet(out).groupBy("label").agg(F.count("*").alias("n"))
-
-
-QUERIES["src_fold_results"] = trip_fold_results
-ORACLE_SQL["src_fold_results"] = f"WITH {PREDICTIONS} SELECT label, count(*) AS n FROM pred GROUP BY label"
-
-
-def trip_strides(spark, d):
-    out, p = folder(spark, "strides"), path(spark, d)
-    strided = [M.velocity(p, ["pid"], "px", 2, stride=k).select("pid", "idx", "v", F.lit(k).alias("stride")) for k in (1, 3, 9)]
-    strided[0].unionByName(strided[1]).unionByName(strided[2]).write.partitionBy("stride").parquet(out)
-    return rounded(spark.read.parquet(out).filter("stride = 3").select("pid", "idx", "v", F.col("stride").cast("int").alias("stride")))
-
-
-QUERIES["src_multi_stride"] = trip_strides
-
-
-def trip_ranking(spark, d):
-    out = folder(spark, "ranking")
-    S.write_ranking(E.rank_pair(E.correlation(features(spark, d), TF, "value", "y", "r"), "r"), out, "score")
-    return rounded(spark.read.schema("feature string, score double").option("header", True).csv(out), 5)
-
-
-QUERIES["snk_ranking"] = trip_ranking
-
-
 def labelled_features(spark, d):
     return features(spark, d).select(F.col("task").alias("label"), "feature").distinct()
 

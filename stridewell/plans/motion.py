@@ -84,8 +84,6 @@ STEPS = f"{NEAREST}, seg AS (SELECT pid, step, coalesce(lag(idx) OVER (PARTITION
 rec("seg_step", lambda r: G.steps(r).select("pid", "step", "start_idx", "end_idx"), f"{STEPS} SELECT pid, step, start_idx, end_idx FROM seg")
 rec("jn_interval", lambda r: G.interval(G.samples(r), G.steps(r), KEY).groupBy("pid", "step").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x")), f"{STEPS} SELECT pid, step, count(*) AS n, round(sum(x), 6) AS sum_x FROM seg JOIN smp USING (pid) WHERE idx >= start_idx AND idx < end_idx GROUP BY pid, step")
 rec("seg_substep", lambda r: G.substeps(r).select("pid", "step", "start_t", "end_t"), f"{LOG} SELECT pid, step, round(coalesce(lag(event_t) OVER (PARTITION BY pid ORDER BY step), 0), 6) AS start_t, round(event_t, 6) AS end_t FROM lg")
-rec("seg_type", lambda r: r.groupBy("pid", "kind").agg(F.array_sort(F.collect_list("idx")).alias("i")).select("pid", "kind", F.size("i").alias("n"), F.element_at("i", 1).alias("first_idx")), "SELECT pid, kind, count(*)::INT AS n, min(idx) AS first_idx FROM rec GROUP BY pid, kind")
-rec("seg_tail", lambda r: G.tail(r).groupBy("pid").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx")), f"{LOG} , e AS (SELECT pid, max(event_t) AS e FROM lg GROUP BY pid) SELECT pid, count(*) AS n, min(idx) AS first_idx FROM smp JOIN e USING (pid) WHERE t >= e GROUP BY pid")
 rec("seg_nearest_event", lambda r: G.event_at_extremum(r).select("pid", "max_t", "step"), f"{LOG}, m AS (SELECT pid, arg_max(t, struct_pack(x := x, k := -idx)) AS max_t FROM rec GROUP BY pid), c AS (SELECT pid, max_t, step, row_number() OVER (PARTITION BY pid ORDER BY abs(event_t - max_t), step) AS rn FROM m JOIN lg USING (pid)) SELECT pid, round(max_t, 6) AS max_t, step FROM c WHERE rn = 1")
 rec("seg_type_code", lambda r: r.select("pid", "idx", G.type_code(F.col("kind"), ("click", "view", "purchase", "error", "signup")).alias("code")), "SELECT pid, idx, list_position(['click', 'view', 'purchase', 'error', 'signup'], kind) - 1 AS code FROM rec")
 RUNS = "m AS (SELECT *, (kind = 'click')::INT AS on_ FROM rec), ch AS (SELECT *, (on_ <> coalesce(lag(on_) OVER w, -1))::INT AS c FROM m WINDOW w AS (PARTITION BY pid ORDER BY idx)), isl AS (SELECT *, sum(c) OVER (PARTITION BY pid ORDER BY idx) AS run FROM ch)"
@@ -110,8 +108,11 @@ vel AS (SELECT *, CASE WHEN idx < 2 THEN (xf - px) / (tf - t) WHEN idx >= n - 2
 pts("kin_lin_vel", lambda p: M.velocity(p, KEY, "px", 2, stride=3).select("pid", "idx", "v"), f"{VEL}, an AS (SELECT *, CASE WHEN idx < 2 THEN 0 WHEN idx >= n - 2 THEN n - 2 ELSE 2 END AS s0 FROM vel), hd AS (SELECT *, s0 + ((idx - s0) // 3) * 3 AS a FROM an) SELECT pid, idx, round(first_value(v) OVER (PARTITION BY pid, a ORDER BY idx), 6) AS v FROM hd")
 ACC = """, s AS (SELECT pid, idx, t, count(*) OVER (PARTITION BY pid) AS n, lag(px, 2) OVER w AS b2, lag(px, 1) OVER w AS b1, px AS c, lead(px, 1) OVER w AS f1, lead(px, 2) OVER w AS f2 FROM pt WINDOW w AS (PARTITION BY pid ORDER BY idx)),
 acc AS (SELECT pid, idx, t, n, CASE WHEN idx < 1 THEN (c - 2 * f1 + f2) ELSE CASE WHEN idx >= n - 1 THEN (b2 - 2 * b1 + c) ELSE (b1 - 2 * c + f1) END END * 100 AS a FROM s WHERE n > 2)"""
-pts("kin_lin_acc", lambda p: M.acceleration(p, KEY, "px", 1).select("pid", "idx", "a"), f"{ACC} SELECT pid, idx, round(a, 5) AS a FROM acc", 5)
-pts("kin_lin_jerk", lambda p: M.jerk(p, KEY, "px", 1).select("pid", "idx", "j"), f"{ACC}, jj AS (SELECT *, lag(a) OVER w AS ab, lead(a) OVER w AS af FROM acc WINDOW w AS (PARTITION BY pid ORDER BY idx)) SELECT pid, idx, round(CASE WHEN idx < 1 THEN (af - a) * 10 WHEN idx >= n - 1 THEN (a - ab) * 10 ELSE (af - ab) * 5 END, 4) AS j FROM jj", 4)
+_held = "first_value({c}) OVER (PARTITION BY pid, s0 + ((idx - s0) // 3) * 3 ORDER BY idx)"
+_start = "CASE WHEN idx < 1 THEN 0 WHEN idx >= n - 1 THEN n - 1 ELSE 1 END AS s0"
+pts("kin_lin_acc", lambda p: M.acceleration(p, KEY, "px", 1, stride=3).select("pid", "idx", "a"), f"{ACC}, hd AS (SELECT *, {_start} FROM acc) SELECT pid, idx, round({_held.format(c='a')}, 5) AS a FROM hd", 5)
+JERK = f"{ACC}, jj AS (SELECT *, lag(a) OVER w AS ab, lead(a) OVER w AS af FROM acc WINDOW w AS (PARTITION BY pid ORDER BY idx)), jk AS (SELECT pid, idx, {_start}, CASE WHEN idx < 1 THEN (af - a) * 10 WHEN idx >= n - 1 THEN (a - ab) * 10 ELSE (af - ab) * 5 END AS j FROM jj)"
+pts("kin_lin_jerk", lambda p: M.jerk(p, KEY, "px", 1, stride=3).select("pid", "idx", "j"), f"{JERK} SELECT pid, idx, round({_held.format(c='j')}, 4) AS j FROM jk", 4)
 pts("kin_magnitude", lambda p: p.select("pid", "idx", F.sqrt(F.col("px") ** 2 + F.col("py") ** 2 + F.col("pz") ** 2).alias("m")), "SELECT pid, idx, round(sqrt(px * px + py * py + pz * pz), 6) AS m FROM pt")
 #: Slope and curve of the quadratic through five samples, at the row or the nearest row with a whole window.
 SG_U = """u AS (SELECT pid, idx, count(*) OVER (PARTITION BY pid) AS n, t, lag(t) OVER w AS t0, lead(t) OVER w AS t1,
@@ -180,15 +181,24 @@ pts("agg_dist_3d", lambda p: M.path_summary(p, KEY).select("pid", "total"), f"{S
 pts("agg_bbox", lambda p: M.path_summary(p, KEY).select("pid", "box"), "SELECT pid, round((max(px) - min(px)) * (max(py) - min(py)) * (max(pz) - min(pz)), 6) AS box FROM pt GROUP BY pid")
 pts("agg_path_eff", lambda p: M.path_summary(p, KEY).select("pid", "net", "total", "efficiency"), f"{STEP3}, q AS (SELECT pid, sum(s) AS total, sqrt((arg_max(px, idx) - arg_min(px, idx)) ** 2 + (arg_max(py, idx) - arg_min(py, idx)) ** 2 + (arg_max(pz, idx) - arg_min(pz, idx)) ** 2) AS net FROM ln GROUP BY pid) SELECT pid, round(net, 6) AS net, round(total, 6) AS total, round(net / total, 6) AS efficiency FROM q")
 pts("agg_hull", lambda p: M.hull_volume(p, KEY))
-pts("agg_reversals", lambda p: M.reversals(p, KEY), f"{STEP3}, tn AS (SELECT pid, t, dx * lag(dx) OVER w + dy * lag(dy) OVER w + dz * lag(dz) OVER w AS k FROM st WINDOW w AS (PARTITION BY pid ORDER BY idx)) SELECT pid, count(*) FILTER (k < 0) AS n, round(count(*) FILTER (k < 0) / (max(t) - min(t)), 6) AS per_second FROM tn GROUP BY pid")
+TURNS = "tn AS (SELECT pid, idx, t, min(t) OVER (PARTITION BY pid) AS t0, dx * lag(dx) OVER w + dy * lag(dy) OVER w + dz * lag(dz) OVER w AS k FROM st WINDOW w AS (PARTITION BY pid ORDER BY idx))"
+_turned = "SELECT pid, {window} AS seconds, count(*) FILTER (k < 0) AS n, round(count(*) FILTER (k < 0) / nullif(max(t) - min(t), 0), 6) AS per_second FROM tn {where} GROUP BY pid"
+pts(
+    "agg_reversals",
+    lambda p: M.reversals(p, KEY).withColumn("seconds", F.lit(None).cast("double")).unionByName(M.reversals(p, KEY, 2.0).withColumn("seconds", F.lit(2.0))),
+    f"{STEP3}, {TURNS} {_turned.format(window='NULL::DOUBLE', where='')} UNION ALL {_turned.format(window='2.0::DOUBLE', where='WHERE t <= t0 + 2.0')}",
+)
 pts("agg_opposing", lambda p: M.opposing(p, KEY), f"""{STEP3}, nx AS (SELECT *, lead(dx) OVER w AS nx, lead(dy) OVER w AS ny, lead(dz) OVER w AS nz FROM ln WINDOW w AS (PARTITION BY pid ORDER BY idx)),
 tp AS (SELECT pid, arg_max(idx, struct_pack(s := coalesce(s, -1), k := -idx)) AS top, arg_max(px, struct_pack(s := coalesce(s, -1), k := -idx)) - arg_min(px, idx) AS ax, arg_max(py, struct_pack(s := coalesce(s, -1), k := -idx)) - arg_min(py, idx) AS ay, arg_max(pz, struct_pack(s := coalesce(s, -1), k := -idx)) - arg_min(pz, idx) AS az FROM ln GROUP BY pid),
 al AS (SELECT pid, idx, top, (nx * ax + ny * ay + nz * az) / sqrt(ax * ax + ay * ay + az * az) AS a FROM nx JOIN tp USING (pid))
 SELECT pid, round(coalesce(sum(CASE WHEN idx >= top AND a < 0 THEN -a END), 0), 6) AS value FROM al GROUP BY pid""")
 pts("agg_rotation", lambda p: M.rotation_total(p, KEY), f"{PAIRQ} SELECT pid, round(sum(g), 6) AS value FROM g GROUP BY pid")
-DISP = " SELECT a.pid, round(avg(2 * acos(least(1.0, abs(a.qx * b.qx + a.qy * b.qy + a.qz * b.qz + a.qw * b.qw)))), 6) AS value, count(*) AS n_pairs FROM pt a JOIN pt b ON a.pid = b.pid AND a.idx < b.idx GROUP BY a.pid"
-pts("agg_quat_disp", lambda p: M.pair_dispersion(p, KEY), DISP)
-pts("jn_pairs_self", lambda p: M.pair_dispersion(p, KEY).select("pid", "n_pairs"), " SELECT a.pid, count(*) AS n_pairs FROM pt a JOIN pt b ON a.pid = b.pid AND a.idx < b.idx GROUP BY a.pid")
+#: Samples of a segment of the pair queries.
+SEGMENT = 50
+SEGMENTED = f", sg AS (SELECT *, idx // {SEGMENT} AS segment FROM pt), ps AS (SELECT a.pid, a.segment, a.idx AS i, b.idx AS j, 2 * acos(least(1.0, abs(a.qx * b.qx + a.qy * b.qy + a.qz * b.qz + a.qw * b.qw))) AS angle FROM sg a JOIN sg b ON a.pid = b.pid AND a.segment = b.segment AND a.idx < b.idx)"
+segmented = lambda p: p.withColumn("segment", F.floor(F.col("idx") / SEGMENT))
+pts("agg_quat_disp", lambda p: M.pair_dispersion(segmented(p), ["pid", "segment"]), f"{SEGMENTED} SELECT pid, segment, round(avg(angle), 6) AS value, count(*) AS n_pairs FROM ps GROUP BY pid, segment")
+pts("jn_pairs_self", lambda p: M.sample_pairs(segmented(p), ["pid", "segment"]), f"{SEGMENTED} SELECT pid, segment, i, j, round(angle, 6) AS angle FROM ps")
 PAIRS = "pr AS (SELECT pid, px AS x1, lead(px) OVER w AS x2, py AS y1, lead(py) OVER w AS y2, pz AS z1, lead(pz) OVER w AS z2 FROM pt WINDOW w AS (PARTITION BY pid ORDER BY idx))"
 two = lambda p: p.select("pid", *(c for k in ("x", "y", "z") for c in (F.col(f"p{k}").alias(f"{k}1"), S.following(f"p{k}", KEY).alias(f"{k}2")))).filter("x2 IS NOT NULL")
 pts("agg_pair_dist_3d", lambda p: two(p).groupBy("pid").agg(F.avg(F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2 + (F.col("z1") - F.col("z2")) ** 2)).alias("mean")), f", {PAIRS} SELECT pid, round(avg(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2 + (z1 - z2) ** 2)), 6) AS mean FROM pr WHERE x2 IS NOT NULL GROUP BY pid")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import features as C
-from ..operators import models as L
 from ..operators import motion as M
 from ..operators import segments as G
-from ..operators import statistics as S
 from ..sources import files
 from .fitted import folder
 from .frames import FEATURE_ROWS, FEATURES, PATH, PREDICTIONS, RECORDING, features, path, predictions, recording, table
@@ -96,7 +93,6 @@ _any = lambda tokens: "(" + " OR ".join(f"contains(feature, '{t}')" for t in tok
 add("rsh_select_tokens", lambda s, d: C.select_tokens(names(s, d), PICKS), f"WITH nm AS ({NAMES}) " + " UNION ALL ".join(f"SELECT '{label}' AS label, feature FROM nm WHERE {_any(a)} AND {_any(b)}" for label, a, b in PICKS))
 RULES = [("O_", "window_450_"), ("F_", "window_90_"), ("window_", "w")]
 add("rsh_template", lambda s, d: names(s, d).select("feature", C.rewrite(F.col("feature"), RULES).alias("written")), f"WITH nm AS ({NAMES}) SELECT feature, replace(replace(replace(feature, 'O_', 'window_450_'), 'F_', 'window_90_'), 'window_', 'w') AS written FROM nm")
-META = "CASE WHEN task = 'O' THEN 'A' ELSE 'B' END || CASE WHEN pid % 2 = 0 THEN 'RW' ELSE '' END || '-' || feature"
 add(
     "rsh_meta_align",
     lambda s, d: features(s, d).select("pid", C.align_metadata(F.concat(F.when(F.col("task") == "O", "A").otherwise("B"), F.when(F.col("pid") % 2 == 0, "RW").otherwise(""), F.lit("-"), F.col("feature"))).alias("name"), F.when(F.col("feature").isin("l_tax", "l_discount"), "one-hot").otherwise("numeric").alias("kind"), "value"),

@@ -33,30 +33,14 @@ def dsg(name, body, sql=None, digits=6):
 
 
 # -- cleaning and reshaping ------------------------------------------------------------------------------------------------
-own = lambda: Window.partitionBy("feature")
-feat("flt_high_na", lambda f: f.groupBy("feature").agg(F.avg(F.when(F.col("value") > 25, 1.0).otherwise(0.0)).alias("na")).filter("na <= 0.2").select("feature"), "SELECT feature FROM feat GROUP BY feature HAVING avg((value > 25)::INT) <= 0.2")
-feat("flt_variance", lambda f: f.groupBy("feature").agg(F.var_samp("value").alias("v")).filter("v >= 0.01"), "SELECT feature, round(var_samp(value), 3) AS v FROM feat GROUP BY feature HAVING var_samp(value) >= 0.01", 3)
-feat("cln_median_impute", lambda f: f.withColumn("x", F.when(F.col("value") > F.avg("value").over(own()), F.col("value"))).join(f.withColumn("x", F.when(F.col("value") > F.avg("value").over(own()), F.col("value"))).groupBy("feature").agg(F.median("x").alias("m")), "feature").select("pid", "task", "feature", F.coalesce("x", "m").alias("x")), ", h AS (SELECT *, CASE WHEN value > avg(value) OVER (PARTITION BY feature) THEN value END AS x FROM feat), m AS (SELECT feature, median(x) AS m FROM h GROUP BY feature) SELECT pid, task, feature, round(coalesce(x, m), 4) AS x FROM h JOIN m USING (feature)", 4)
-feat("cln_nan_to_num", lambda f: f.select("pid", "task", "feature", F.when(F.isnan(F.when(F.col("value") < 1, F.lit(float("nan"))).otherwise(F.col("value"))), 0.0).otherwise(F.col("value")).alias("x")), "SELECT pid, task, feature, round(CASE WHEN value < 1 THEN 0 ELSE value END, 4) AS x FROM feat", 4)
-feat("cln_standard_scale", lambda f: f.select("pid", "task", "feature", ((F.col("value") - F.avg("value").over(own())) / F.when(F.stddev_pop("value").over(own()) > 0, F.stddev_pop("value").over(own())).otherwise(1.0)).alias("z")), "SELECT pid, task, feature, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 5) AS z FROM feat WINDOW w AS (PARTITION BY feature)", 5)
-feat("cln_onset_label", lambda f: f.filter("feature = 'l_tax'").select("pid", "task", F.when(F.isnan("value") | F.col("value").isNull(), 1).when(F.col("value") > 0.04, 0).otherwise(1).alias("y")), "SELECT pid, task, CASE WHEN value > 0.04 THEN 0 ELSE 1 END AS y FROM feat WHERE feature = 'l_tax'")
 feat("jn_a_b_features", lambda f: f.filter("task = 'O'").select("pid", "feature", F.col("value").alias("a")).join(f.filter("task = 'F'").select("pid", "feature", F.col("value").alias("b")), ["pid", "feature"]), "SELECT o.pid, o.feature, round(o.value, 4) AS a, round(f.value, 4) AS b FROM feat o JOIN feat f USING (pid, feature) WHERE o.task = 'O' AND f.task = 'F'", 4)
-feat("jn_outer_key", lambda f: f.filter("task = 'O' AND feature = 'l_tax'").select("pid", F.lit(1).alias("a")).join(f.filter("task = 'F' AND feature = 'l_tax' AND value > 0.04").select("pid", F.lit(1).alias("b")), "pid", "full_outer"), "SELECT pid, a, b FROM (SELECT pid, 1 AS a FROM feat WHERE task = 'O' AND feature = 'l_tax') FULL JOIN (SELECT pid, 1 AS b FROM feat WHERE task = 'F' AND feature = 'l_tax' AND value > 0.04) USING (pid)")
 feat("jn_semi_pid", lambda f: f.join(f.filter("y = 1").select("pid"), "pid", "left_semi").groupBy("feature").agg(F.count("*").alias("n")), "SELECT feature, count(*) AS n FROM feat WHERE pid IN (SELECT pid FROM feat WHERE y = 1) GROUP BY feature")
-feat("jn_anti_loo", lambda f: f.join(f.filter("y = 1").select("pid"), "pid", "left_anti").groupBy("feature").agg(F.count("*").alias("n")), "SELECT feature, count(*) AS n FROM feat WHERE pid NOT IN (SELECT pid FROM feat WHERE y = 1) GROUP BY feature")
 QUERIES["jn_left_label"] = lambda spark, d: table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
 ORACLE_SQL["jn_left_label"] = "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels USING (doc_id)"
 feat("rsh_pivot", lambda f: f.groupBy("pid", "task").pivot("feature", list(FEATURES)).agg(F.avg("value")), "SELECT pid, task, round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS l_extendedprice, round(l_discount, 4) AS l_discount, round(l_tax, 4) AS l_tax FROM wide", 4)
 feat("rsh_melt", lambda f: f.select("pid", "task", "feature", "value"), "SELECT pid, task, feature, round(value, 4) AS value FROM feat", 4)
-feat("rsh_task_suffix", lambda f: f.select("pid", F.concat_ws("_", "feature", "task").alias("feature")), "SELECT pid, feature || '_' || task AS feature FROM feat")
 feat("rsh_split_suffix", lambda f: f.select("pid", F.concat_ws("_", "feature", "task").alias("s")).select("pid", F.regexp_extract("s", "^(.*)_([^_]*)$", 1).alias("base"), F.regexp_extract("s", "^(.*)_([^_]*)$", 2).alias("suffix")), "SELECT pid, feature AS base, task AS suffix FROM feat")
-feat("rsh_dict_to_table", lambda f: f.filter("feature IN ('l_tax', 'l_discount')").groupBy("pid").pivot("feature", ["l_discount", "l_tax"]).agg(F.max("value")), "SELECT pid, round(max(CASE WHEN feature = 'l_discount' THEN value END), 6) AS l_discount, round(max(CASE WHEN feature = 'l_tax' THEN value END), 6) AS l_tax FROM feat WHERE feature IN ('l_tax', 'l_discount') GROUP BY pid")
-feat("rsh_template", lambda f: f.select(F.regexp_replace("feature", "^l_", "window_450_").alias("feature")).distinct(), "SELECT DISTINCT regexp_replace(feature, '^l_', 'window_450_') AS feature FROM feat")
-feat("rsh_select_tokens", lambda f: f.select("feature").distinct().withColumn("token", F.explode(F.array(F.lit("price"), F.lit("_t"), F.lit("d")))).filter(F.col("feature").contains(F.col("token"))), "SELECT feature, token FROM (SELECT DISTINCT feature FROM feat), (VALUES ('price'), ('_t'), ('d')) v(token) WHERE contains(feature, token)")
-pred("rsh_parse_combo", lambda p: p.select("label").distinct().select("label", F.split("label", "_")[0].alias("device"), F.split("label", "_")[1].alias("motion")), "SELECT DISTINCT label, split_part(label, '_', 1) AS device, split_part(label, '_', 2) AS motion FROM pred")
 pred("rsh_indicators", lambda p: p.select("label").distinct().select("label", F.col("label").contains("Head").cast("int").alias("has_head"), F.col("label").contains("linear").cast("int").alias("has_linear")), "SELECT DISTINCT label, contains(label, 'Head')::INT AS has_head, contains(label, 'linear')::INT AS has_linear FROM pred")
-QUERIES["rsh_combos"] = lambda spark, d: table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).filter("k BETWEEN 1 AND 7").withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(15))))
-ORACLE_SQL["rsh_combos"] = "SELECT n_nationkey AS k, m::INT AS m FROM nation, range(1, 16) r(m) WHERE n_nationkey BETWEEN 1 AND 7"
 
 # -- screening (more in screens.py) ---------------------------------------------------------------------------------------------
 feat("scr_rank_pair", lambda f: E.rank_pair(E.correlation(f, TF, "value", "y", "r"), "r"), ", r AS (SELECT task, feature, abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) AS r FROM feat GROUP BY ALL) SELECT o.feature, round(CASE WHEN o.r <= 0 OR f.r <= 0 THEN 0 ELSE 2 * o.r * f.r / (o.r + f.r) END, 5) AS score FROM r o JOIN r f USING (feature) WHERE o.task = 'O' AND f.task = 'F' AND o.r IS NOT NULL AND f.r IS NOT NULL", 5)
@@ -77,15 +61,10 @@ for _m, _q in METRIC_SQL.items():
     pred(f"met_{_m}", lambda p, m=_m: E.metrics(E.confusion(p, PK), PK).select(*PK, m), f'{CONF} SELECT label, fold, task, round({_q}, 6) AS "{_m}" FROM cm')
 AB = f"{CONF}, s AS (SELECT label, fold, task, {MCC} AS mcc FROM cm), w AS (SELECT label, fold, max(CASE WHEN task = 'A' THEN mcc END) AS a, max(CASE WHEN task = 'B' THEN mcc END) AS b FROM s GROUP BY ALL), h AS (SELECT label, fold, CASE WHEN a <= 0 OR b <= 0 THEN least(a, b) ELSE 2 * a * b / (a + b) END AS mcc FROM w)"
 crossed = lambda p: E.cross_task(E.metrics(E.confusion(p, PK), PK), ["label", "fold"], "mcc")
-pred("met_cross_task", crossed, f"{AB} SELECT label, fold, round(mcc, 6) AS mcc FROM h")
-pred("met_fold_summary", lambda p: crossed(p).groupBy("label").agg(F.avg("mcc").alias("mean"), F.stddev_pop("mcc").alias("std")), f"{AB} SELECT label, round(avg(mcc), 6) AS mean, round(stddev_pop(mcc), 6) AS std FROM h GROUP BY label")
 pred("mdl_objective", lambda p: crossed(p).groupBy("label").agg((F.avg("mcc") - 0.5 * F.stddev_pop("mcc")).alias("objective")), f"{AB} SELECT label, round(avg(mcc) - 0.5 * stddev_pop(mcc), 6) AS objective FROM h GROUP BY label")
-pred("met_cm_norm", lambda p: E.confusion(p, PK).select(*PK, F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("tp"), F.try_divide(F.col("tn"), F.col("tn") + F.col("fp")).alias("tn")), f"{CONF} SELECT label, fold, task, round(tp / nullif(tp + fn, 0), 6) AS tp, round(tn / nullif(tn + fp, 0), 6) AS tn FROM cm")
 pred("res_best_run", lambda p: crossed(p).groupBy("label").agg(F.max_by("fold", F.struct("mcc", -F.col("fold"))).alias("fold")), f"{AB} SELECT label, arg_max(fold, struct_pack(m := mcc, k := -fold)) AS fold FROM h GROUP BY label")
-pred("snk_best_run", lambda p: crossed(p).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("mcc"), "fold"))).filter("k = 1").select("label", "mcc"), f"{AB} SELECT label, round(max(mcc), 6) AS mcc FROM h GROUP BY label")
 pred("res_score_table", lambda p: E.metrics(E.confusion(p, ["label"]), ["label"]).select("label", "accuracy", "mcc"), f", cm AS (SELECT label, count(*) FILTER (y = 0 AND yhat = 0) AS tn, count(*) FILTER (y = 0 AND yhat = 1) AS fp, count(*) FILTER (y = 1 AND yhat = 0) AS fn, count(*) FILTER (y = 1 AND yhat = 1) AS tp FROM pred GROUP BY ALL) SELECT label, round({METRIC_SQL['accuracy']}, 6) AS accuracy, round({MCC}, 6) AS mcc FROM cm")
 pred("res_drop_token", lambda p: p.filter(~F.col("label").contains("Head")).groupBy("label").agg(F.count("*").alias("n")), "SELECT label, count(*) AS n FROM pred WHERE NOT contains(label, 'Head') GROUP BY label")
-pred("res_trials", lambda p: p.groupBy("label", "fold").agg(F.collect_list(F.struct("pid", "y", "yhat")).alias("t")).select("label", "fold", F.explode("t").alias("t")).select("label", "fold", "t.*"), "SELECT label, fold, pid, y, yhat FROM pred")
 pred("res_class_weight", lambda p: p.groupBy("task", "y").agg(F.count("*").alias("n")).select("task", "y", (F.sum("n").over(Window.partitionBy("task")) / (2 * F.col("n"))).alias("w")), ", n AS (SELECT task, y, count(*) AS n FROM pred GROUP BY ALL) SELECT task, y, round(sum(n) OVER (PARTITION BY task) / (2 * n), 6) AS w FROM n")
 pred("res_participant_mean", lambda p: p.groupBy("pid", "label").agg(F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("m")), "SELECT pid, label, round(avg((y = yhat)::INT), 6) AS m FROM pred GROUP BY ALL")
 BIN = ", bn AS (SELECT pid AS subject, label || task AS condition, (avg((y = yhat)::INT) >= 0.5)::INT AS x FROM pred GROUP BY ALL)"
@@ -104,8 +83,5 @@ PT = ", m AS (SELECT subject, a, avg(value) AS v FROM dsg GROUP BY ALL), p AS (S
 
 # -- the rest of reshaping and summaries ----------------------------------------------------------------------------------------------
 feat("rsh_strip_suffix", lambda f: f.filter("task = 'O'").select(F.regexp_replace(F.concat_ws("_", "feature", "task"), "_[^_]*$", "").alias("base")).intersect(f.filter("task = 'F'").select(F.regexp_replace(F.concat_ws("_", "feature", "task"), "_[^_]*$", "").alias("base"))), "SELECT DISTINCT feature AS base FROM feat")
-feat("rsh_meta_align", lambda f: f.select("pid", F.regexp_replace(F.concat(F.when(F.col("task") == "O", "A-").otherwise("BRW-"), "feature"), "^[AB](RW)?-", "X$1-").alias("name"), "value"), "SELECT pid, CASE WHEN task = 'O' THEN 'X-' ELSE 'XRW-' END || feature AS name, round(value, 4) AS value FROM feat", 4)
 
 
-QUERIES["src_metadata"] = lambda spark, d: rounded(table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("score")), 2)
-ORACLE_SQL["src_metadata"] = "SELECT c_custkey AS pid, c_mktsegment AS segment, round(c_acctbal, 2) AS score FROM customer"
