@@ -46,21 +46,37 @@ def trip_csv(spark, d):
     return rounded(S.read_tracking(spark, out, "idx long, t double, x double").select(F.col("pid").cast("long").alias("pid"), "idx", "t", "x"), 4)
 
 
-for _name in ("src_tracking", "snk_csv"):
-    QUERIES[_name] = trip_csv
-    ORACLE_SQL[_name] = f"WITH {RECORDING} SELECT pid, idx, round(t, 3) AS t, round(x, 3) AS x FROM rec"
+QUERIES["snk_csv"] = trip_csv
+ORACLE_SQL["snk_csv"] = f"WITH {RECORDING} SELECT pid, idx, round(t, 3) AS t, round(x, 3) AS x FROM rec"
+
+
+def trip_tracking(spark, d):
+    """Recordings in files whose names hold task and person, A_7.csv; both come back from the names alone."""
+    out, rec = folder(spark, "tracking"), recording(spark, d)
+    task = F.when(F.col("pid") % 2 == 0, "A").otherwise("B")
+    named = rec.select(F.concat_ws("_", task, F.concat("pid", F.lit(".csv"))).alias("file"), F.round("t", 3).alias("Timestamp"), "x")
+    named.write.partitionBy("file").option("header", True).csv(out)
+    return rounded(S.read_named(spark, out, "Timestamp double, x double").select(F.col("pid").cast("long").alias("pid"), "task_id", F.col("Timestamp").alias("t"), "x"), 4)
+
+
+QUERIES["src_tracking"] = trip_tracking
+ORACLE_SQL["src_tracking"] = f"WITH {RECORDING} SELECT pid, CASE WHEN pid % 2 = 0 THEN 'A' ELSE 'B' END AS task_id, round(t, 3) AS t, round(x, 3) AS x FROM rec"
 
 
 def trip_log(spark, d):
-    out = folder(spark, "log")
-    rec = recording(spark, d).filter("kind = 'purchase'")
+    """The event log, and with it the recording of the same person: how many samples come before each event."""
+    out, rec = folder(spark, "log"), recording(spark, d)
     own = Window.partitionBy("pid").orderBy("idx")
-    S.write_by_key(rec.select("pid", F.col("t").alias("Timestamp"), (F.row_number().over(own) - 1).alias("step"), F.col("kind").alias("subStep")), out, ["pid"])
-    return S.read_log(spark, out).select(F.col("pid").cast("long").alias("pid"), "step", F.col("subStep").alias("kind"))
+    log = rec.filter("kind = 'purchase'").select("pid", F.round("t", 3).alias("Timestamp"), (F.row_number().over(own) - 1).alias("step"), F.col("kind").alias("subStep"))
+    S.write_by_key(log, out, ["pid"])
+    found = S.read_log(spark, out).select(F.col("pid").cast("long").alias("pid"), "Timestamp", "step", F.col("subStep").alias("kind"))
+    samples = rec.filter("kind <> 'purchase'").groupBy("pid").agg(F.count("*").alias("samples"))
+    return rounded(found.join(samples, "pid"), 4)
 
 
 QUERIES["src_assembly"] = trip_log
-ORACLE_SQL["src_assembly"] = f"WITH {RECORDING} SELECT pid, (row_number() OVER (PARTITION BY pid ORDER BY idx) - 1)::INT AS step, kind FROM rec WHERE kind = 'purchase'"
+ORACLE_SQL["src_assembly"] = f"""WITH {RECORDING}, n AS (SELECT pid, count(*) AS samples FROM rec WHERE kind <> 'purchase' GROUP BY pid)
+SELECT pid, round(t, 3) AS "Timestamp", (row_number() OVER (PARTITION BY pid ORDER BY idx) - 1)::INT AS step, kind, samples FROM rec JOIN n USING (pid) WHERE kind = 'purchase'"""
 
 
 def trip_batches(spark, d):
@@ -75,18 +91,27 @@ ORACLE_SQL["src_batches"] = f"WITH {FEATURE_ROWS} SELECT pid, feature, CASE WHEN
 
 
 def labelled_features(spark, d):
-    return features(spark, d).select(F.col("task").alias("label"), "feature").distinct()
+    """label, feature: the features of each task; a name with ! is one to skip."""
+    rows = features(spark, d).select(F.col("task").alias("label"), "feature").distinct()
+    return rows.select("label", F.when(F.col("feature") == "l_tax", F.concat(F.lit("!"), "feature")).otherwise(F.col("feature")).alias("feature"))
 
 
 def trip_configs(spark, d):
     out = folder(spark, "configs")
     S.write_configs(labelled_features(spark, d), out)
-    return spark.read.text(out).select("label", F.explode(F.from_json("value", "array<string>")).alias("feature")).filter(~F.col("feature").contains("!"))
+    return spark.read.text(out).select("label", F.explode(F.from_json("value", "array<string>")).alias("feature"))
+
+
+def read_back_configs(spark, d):
+    """Configurations in folders named for their label, read by the reader, which skips names with !."""
+    out = folder(spark, "configs")
+    S.config_rows(labelled_features(spark, d)).select(F.concat("label", F.lit(".json")).alias("file"), "config").write.partitionBy("file").text(out)
+    return S.read_configs(spark, out)
 
 
-for _name in ("src_configs", "snk_configs"):
-    QUERIES[_name] = trip_configs
-    ORACLE_SQL[_name] = f"WITH {FEATURE_ROWS} SELECT DISTINCT task AS label, feature FROM feat"
+QUERIES["snk_configs"], QUERIES["src_configs"] = trip_configs, read_back_configs
+ORACLE_SQL["snk_configs"] = f"WITH {FEATURE_ROWS} SELECT DISTINCT task AS label, CASE WHEN feature = 'l_tax' THEN '!' ELSE '' END || feature AS feature FROM feat"
+ORACLE_SQL["src_configs"] = f"WITH {FEATURE_ROWS} SELECT DISTINCT task AS label, feature FROM feat WHERE feature <> 'l_tax'"
 
 # -- models ---------------------------------------------------------------------------------------------------------------------------------
 COLUMNS = list(FEATURES)

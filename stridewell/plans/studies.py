@@ -45,7 +45,17 @@ pred("rsh_indicators", lambda p: p.select("label").distinct().select("label", F.
 # -- screening (more in screens.py) ---------------------------------------------------------------------------------------------
 feat("scr_rank_pair", lambda f: E.rank_pair(E.correlation(f, TF, "value", "y", "r"), "r"), ", r AS (SELECT task, feature, abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) AS r FROM feat GROUP BY ALL) SELECT o.feature, round(CASE WHEN o.r <= 0 OR f.r <= 0 THEN 0 ELSE 2 * o.r * f.r / (o.r + f.r) END, 5) AS score FROM r o JOIN r f USING (feature) WHERE o.task = 'O' AND f.task = 'F' AND o.r IS NOT NULL AND f.r IS NOT NULL", 5)
 feat("jn_signif_intersect", lambda f: E.correlation(f, TF, "value", "y", "r").filter("task = 'O' AND abs(r) >= 0.01").select("feature").intersect(E.correlation(f, TF, "value", "y", "r").filter("task = 'F' AND abs(r) >= 0.01").select("feature")), ", r AS (SELECT task, feature, abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) AS r FROM feat GROUP BY ALL) SELECT feature FROM r WHERE task = 'O' AND r >= 0.01 INTERSECT SELECT feature FROM r WHERE task = 'F' AND r >= 0.01")
-feat("scr_rel_red", lambda f: E.relevance_redundancy(f))
+REDUNDANT = """, rl AS (SELECT feature FROM feat GROUP BY feature HAVING abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) >= 0.005),
+hp AS (SELECT a.feature AS i, b.feature AS j FROM feat a JOIN feat b USING (pid, task) WHERE a.feature < b.feature AND a.feature IN (SELECT feature FROM rl) AND b.feature IN (SELECT feature FROM rl)
+  GROUP BY ALL HAVING abs(covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0)) > 0.05),
+np AS (SELECT *, row_number() OVER (ORDER BY i, j) AS k FROM hp),
+st AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS dropped, []::VARCHAR[] AS chosen UNION ALL
+  SELECT np.k, CASE WHEN list_contains(dropped, j) OR list_contains(chosen, i) THEN list_append(dropped, j) WHEN list_contains(dropped, i) OR list_contains(chosen, j) THEN list_append(dropped, i) ELSE list_append(dropped, j) END,
+    CASE WHEN list_contains(dropped, j) OR list_contains(chosen, i) OR list_contains(dropped, i) OR list_contains(chosen, j) THEN chosen ELSE list_append(chosen, i) END
+  FROM st JOIN np ON np.k = st.k + 1)
+SELECT feature FROM rl WHERE NOT list_contains((SELECT arg_max(dropped, k) FROM st), feature)"""
+feat("scr_rel_red", lambda f: E.relevance_redundancy(f, 0.005, 0.05), REDUNDANT)
+ORACLE_SQL["scr_rel_red"] = ORACLE_SQL["scr_rel_red"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 # -- evaluation ---------------------------------------------------------------------------------------------------------------
 PK = ["label", "fold", "task"]

@@ -13,6 +13,13 @@ def read_tracking(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, pid string").option("header", True).csv(folder)
 
 
+def read_named(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """CSV files named TASK_PERSON.csv, or in folders so named; task_id and pid come from the path."""
+    rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(folder)
+    found = lambda k: F.regexp_extract(F.col("_metadata.file_path"), r"(?:^|[/=])([^/=_]+)_([^/=_]+)\.csv(?:/|$)", k)
+    return rows.select("*", found(1).alias("task_id"), found(2).alias("pid"))
+
+
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
     return read_tracking(spark, folder, LOG_SCHEMA)
 
@@ -27,9 +34,9 @@ def read_batches(spark: SparkSession, folders: list[str]) -> DataFrame:
 
 
 def read_configs(spark: SparkSession, folder: str) -> DataFrame:
-    """label, feature: JSON arrays named by their file; names with ! are skipped."""
-    text = spark.read.option("wholetext", True).text(folder)
-    label = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+    """label, feature: JSON arrays in files LABEL.json, or in folders so named; names with ! are skipped."""
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    label = F.regexp_extract(F.col("_metadata.file_path"), r"(?:^|[/=])([^/=]+)\.json(?:/|$)", 1)
     return text.select(label.alias("label"), F.explode(F.from_json("value", "array<string>")).alias("feature")).filter(~F.col("feature").contains("!"))
 
 
