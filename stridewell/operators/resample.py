@@ -10,13 +10,16 @@ def drop_columns(df: DataFrame, token: str) -> DataFrame:
     return df.select(*(c for c in df.columns if token not in c))
 
 
-def keep_columns(df: DataFrame, token: str) -> DataFrame:
-    return df.select(*(c for c in df.columns if token in c))
+def keep_columns(df: DataFrame, tokens: list[str], always: tuple[str, ...] = ()) -> DataFrame:
+    """Columns whose name holds one of the tokens, and those of ``always``."""
+    return df.select(*(c for c in df.columns if c in always or any(t in c for t in tokens)))
 
 
-def truncate_start(df: DataFrame, keys: list[str], pressed: Column) -> DataFrame:
-    """Rows from the first pressed sample on; a session that is never pressed has none."""
-    first = F.min(F.when(pressed, F.col("idx"))).over(Window.partitionBy(*keys))
+def truncate_start(df: DataFrame, keys: list[str], *pressed: Column) -> DataFrame:
+    """Rows from the first sample on at which either hand is pressed; a hand that never is does not count, and a
+    session without any has no rows."""
+    firsts = [F.min(F.when(p, F.col("idx"))).over(Window.partitionBy(*keys)) for p in pressed]
+    first = F.least(*firsts) if len(firsts) > 1 else firsts[0]
     return df.withColumn("_first", first).filter(F.col("idx") >= F.col("_first")).drop("_first")
 
 

@@ -65,6 +65,29 @@ def substeps(rec: DataFrame) -> DataFrame:
     return event_log(rec).select("pid", "step", F.coalesce(F.lag("event_t").over(own), F.lit(0.0)).alias("start_t"), F.col("event_t").alias("end_t"))
 
 
+def substep_log(rec: DataFrame, ends: str = "purchase", within: tuple[str, ...] = ("error",)) -> DataFrame:
+    """pid, event_t, step, sub, kind: the rows of a log in order, an event of ``ends`` being the last of its step."""
+    own = Window.partitionBy("pid").orderBy("idx")
+    rows = rec.filter(F.col("kind").isin(ends, *within)).withColumn("_end", (F.col("kind") == ends).cast("long"))
+    step = F.coalesce(F.sum("_end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.select("pid", F.col("t").alias("event_t"), step.alias("number"), "kind", "idx")
+    sub = F.row_number().over(Window.partitionBy("pid", "number").orderBy("idx")) - 1
+    return numbered.select("pid", "event_t", F.col("number").alias("step"), sub.cast("long").alias("sub"), "kind", (F.row_number().over(own) - 1).cast("long").alias("row"))
+
+
+def substep_slices(rec: DataFrame) -> DataFrame:
+    """pid, step, sub, kind, start_idx, end_idx: half open, from the sample nearest to the log's row before to that of its
+    own, clipped to the step, which goes from the end of the step before to its own last row."""
+    log = substep_log(rec)
+    sampled = rec.filter(~F.col("kind").isin("purchase", "error"))
+    near = nearest(log.select("pid", "event_t", F.col("row").alias("step")), sampled, KEYS).select("pid", F.col("step").alias("row"), F.col("idx").alias("_at"))
+    first = sampled.groupBy("pid").agg(F.min("idx").alias("_first"))
+    own, step = Window.partitionBy("pid").orderBy("row"), Window.partitionBy("pid", "step")
+    placed = log.join(near, ["pid", "row"]).join(first, "pid").withColumn("_from", F.coalesce(F.lag("_at").over(own), F.col("_first")))
+    low, high = F.min("_from").over(step), F.max("_at").over(step)
+    return placed.select("pid", "step", "sub", "kind", F.greatest("_from", low).alias("start_idx"), F.least("_at", high).alias("end_idx"))
+
+
 def tail(rec: DataFrame) -> DataFrame:
     last = event_log(rec).groupBy("pid").agg(F.max("event_t").alias("_last"))
     return samples(rec).join(last, "pid").filter(F.col("t") >= F.col("_last")).drop("_last")

@@ -58,13 +58,13 @@ rec("agg_basic", lambda r: S.describe(r, KEY), _all)
 rec("seg_session", lambda r: r.groupBy("pid").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n")), "SELECT pid, round(min(t), 6) AS start_t, round(max(t), 6) AS end_t, count(*) AS n FROM rec GROUP BY pid")
 
 # -- cleaning -----------------------------------------------------------------------------------------------------
-CLICKED = "tr AS (SELECT *, min(CASE WHEN kind = 'click' THEN idx END) OVER (PARTITION BY pid) AS s FROM rec)"
-rec("flt_truncate_start", lambda r: R.truncate_start(r, KEY, F.col("kind") == "click").select("pid", "idx"), f", {CLICKED} SELECT pid, idx FROM tr WHERE idx >= s")
+HANDS = "tr AS (SELECT *, least(min(CASE WHEN kind = 'error' THEN idx END) OVER (PARTITION BY pid), min(CASE WHEN kind = 'signup' AND pid % 3 > 0 THEN idx END) OVER (PARTITION BY pid)) AS s FROM rec)"
+rec("flt_truncate_start", lambda r: R.truncate_start(r, KEY, F.col("kind") == "error", (F.col("kind") == "signup") & (F.col("pid") % 3 > 0)).select("pid", "idx"), f", {HANDS} SELECT pid, idx FROM tr WHERE idx >= s")
 rec("flt_dedup_ts", lambda r: R.dedup_time(r.withColumn("t", F.floor(F.col("t") / 3600).cast("double")), KEY).select("pid", "idx", "t"), ", h AS (SELECT pid, idx, floor(t / 3600) AS t FROM rec) SELECT pid, min(idx) AS idx, t FROM h GROUP BY pid, t")
 rec("rsm_round", lambda r: r.select("pid", "idx", F.round("x", 1).alias("x")), "SELECT pid, idx, round(x, 1) AS x FROM rec")
 rec("flt_drop_nulls", lambda r: r.withColumn("x", F.when(F.col("x") > 5, F.col("x"))).na.drop().groupBy("pid").agg(F.count("*").alias("n")), "SELECT pid, count(*) AS n FROM rec WHERE x > 5 GROUP BY pid")
 pts("prj_drop_pattern", lambda p: R.drop_columns(p, "q").groupBy("pid").agg(F.sum("px").alias("sx")), "SELECT pid, round(sum(px), 6) AS sx FROM pt GROUP BY pid")
-pts("prj_keep_pattern", lambda p: R.keep_columns(p, "p").select("pid", "px", "py", "pz"), "SELECT pid, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz FROM pt")
+pts("prj_keep_pattern", lambda p: R.keep_columns(p, ["py", "pz", "qw"], ("pid", "t")), "SELECT pid, round(t, 6) AS t, round(py, 6) AS py, round(pz, 6) AS pz, round(qw, 6) AS qw FROM pt")
 GRID = ", g AS (SELECT pid, min(t) AS t0, max(t) AS t1 FROM rec GROUP BY pid), grid AS (SELECT pid, t0, unnest(range(0, floor((t1 - t0) / 600)::BIGINT + 1)) AS k FROM g)"
 rec("rsm_grid", lambda r: R.grid(r, KEY, 600.0).select("pid", "k", "t"), f"{GRID} SELECT pid, k, round(t0 + k * 600.0, 6) AS t FROM grid")
 BINNED = ", b AS (SELECT pid, round(t / 600)::BIGINT AS k, min(struct_pack(idx := idx, x := x)).x AS x FROM rec GROUP BY ALL)"
@@ -83,7 +83,13 @@ rec("jn_asof_nearest", lambda r: G.nearest(G.event_log(r), G.samples(r), KEY).se
 STEPS = f"{NEAREST}, seg AS (SELECT pid, step, coalesce(lag(idx) OVER (PARTITION BY pid ORDER BY step), (SELECT min(idx) FROM smp WHERE smp.pid = near.pid)) AS start_idx, idx AS end_idx FROM near)"
 rec("seg_step", lambda r: G.steps(r).select("pid", "step", "start_idx", "end_idx"), f"{STEPS} SELECT pid, step, start_idx, end_idx FROM seg")
 rec("jn_interval", lambda r: G.interval(G.samples(r), G.steps(r), KEY).groupBy("pid", "step").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x")), f"{STEPS} SELECT pid, step, count(*) AS n, round(sum(x), 6) AS sum_x FROM seg JOIN smp USING (pid) WHERE idx >= start_idx AND idx < end_idx GROUP BY pid, step")
-rec("seg_substep", lambda r: G.substeps(r).select("pid", "step", "start_t", "end_t"), f"{LOG} SELECT pid, step, round(coalesce(lag(event_t) OVER (PARTITION BY pid ORDER BY step), 0), 6) AS start_t, round(event_t, 6) AS end_t FROM lg")
+SUBSTEPS = """, l0 AS (SELECT pid, idx, t, kind, coalesce(sum((kind = 'purchase')::INT) OVER (PARTITION BY pid ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS step FROM rec WHERE kind IN ('purchase', 'error')),
+l1 AS (SELECT *, row_number() OVER (PARTITION BY pid, step ORDER BY idx) - 1 AS sub, row_number() OVER (PARTITION BY pid ORDER BY idx) AS r FROM l0),
+sm AS (SELECT * FROM rec WHERE kind NOT IN ('purchase', 'error')),
+nr AS (SELECT l1.pid, l1.r, sm.idx AS near, row_number() OVER (PARTITION BY l1.pid, l1.r ORDER BY abs(sm.t - l1.t), sm.idx) AS k FROM l1 JOIN sm USING (pid)),
+pl AS (SELECT l1.pid, step, sub, kind, near, coalesce(lag(near) OVER (PARTITION BY l1.pid ORDER BY l1.r), (SELECT min(idx) FROM sm WHERE sm.pid = l1.pid)) AS f FROM l1 JOIN nr ON nr.pid = l1.pid AND nr.r = l1.r AND nr.k = 1)
+SELECT pid, step, sub, kind, greatest(f, min(f) OVER w) AS start_idx, least(near, max(near) OVER w) AS end_idx FROM pl WINDOW w AS (PARTITION BY pid, step)"""
+rec("seg_substep", lambda r: G.substep_slices(r), SUBSTEPS)
 rec("seg_nearest_event", lambda r: G.event_at_extremum(r).select("pid", "max_t", "step"), f"{LOG}, m AS (SELECT pid, arg_max(t, struct_pack(x := x, k := -idx)) AS max_t FROM rec GROUP BY pid), c AS (SELECT pid, max_t, step, row_number() OVER (PARTITION BY pid ORDER BY abs(event_t - max_t), step) AS rn FROM m JOIN lg USING (pid)) SELECT pid, round(max_t, 6) AS max_t, step FROM c WHERE rn = 1")
 rec("seg_type_code", lambda r: r.select("pid", "idx", G.type_code(F.col("kind"), ("click", "view", "purchase", "error", "signup")).alias("code")), "SELECT pid, idx, list_position(['click', 'view', 'purchase', 'error', 'signup'], kind) - 1 AS code FROM rec")
 RUNS = "m AS (SELECT *, (kind = 'click')::INT AS on_ FROM rec), ch AS (SELECT *, (on_ <> coalesce(lag(on_) OVER w, -1))::INT AS c FROM m WINDOW w AS (PARTITION BY pid ORDER BY idx)), isl AS (SELECT *, sum(c) OVER (PARTITION BY pid ORDER BY idx) AS run FROM ch)"
