@@ -44,6 +44,8 @@ PERCENT = 80
 K = 192
 #: Words, and digests of sets, that a task remembers before it starts anew.
 REMEMBERED = 300_000
+#: Halves of sketch values that two sets may lose by being equal within a set.
+SLACK = 2
 #: Values before a listed one that go with it.
 BEFORE = 4
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -192,20 +194,21 @@ def rest_pairs(lists: DataFrame, components: DataFrame, percent: int, k: int) ->
 
 
 def estimated(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch does not rule them out. Row by row in the JVM: sketches are wide, and an
-    Arrow batch would hold thousands of them."""
+    """Pairs (a, b) whose union sketch does not rule them out. Sketches come as the upper halves of their values, in the
+    same order; SLACK makes up for halves that are equal by chance. Row by row in the JVM: sketches are wide, and
+    an Arrow batch would hold thousands of them."""
     own = sets.select("node", "sketch")
     both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
     # The intersection keeps the order of the first sketch, which is sorted.
     both = both.select("a", "b", "na", "nb", F.array_intersect("sa", "sb").alias("common"), F.slice(F.array_sort(F.array_union("sa", "sb")), 1, F.lit(k)).alias("union"))
-    shared = F.size(F.array_intersect("common", "union"))
-    exact = 100 * F.size("common") >= percent * (F.col("na") + F.col("nb") - F.size("common"))
+    shared, common = F.size(F.array_intersect("common", "union")) + SLACK, F.size("common") + SLACK
+    exact = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
     return both.filter(F.when(whole, exact).otherwise(shared >= F.least(F.lit(least_overlap(percent, k)), F.size("union")))).select("a", "b")
 
 
 def listed_sets(docs: DataFrame, lists: DataFrame, members: DataFrame, size: int, k: int) -> DataFrame:
-    """node, sketch and full set of the nodes in ``lists``. Texts are read again for them alone, found by
+    """node, sketch (upper halves of the values) and full set of the nodes in ``lists``. Texts are read again for them alone, found by
     doc_id; as rows may share one, their sets are told apart by digest."""
     wanted = staged(members.join(lists.select("node").distinct(), "node", "left_semi").select("least_id", "set", "node"), "dedup-wanted")
     ids = wanted.select(F.col("least_id").alias("_id")).distinct()
@@ -216,12 +219,12 @@ def listed_sets(docs: DataFrame, lists: DataFrame, members: DataFrame, size: int
                 sets = [shingles(t, size) for t in whole.slice(at, 64).column("text").cast(pa.binary()).to_pylist()]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 first = list({d: i for i, d in enumerate(digests)}.values())
-                columns = [pa.array([digests[i] for i in first], pa.binary()), pa.array([sets[i][:k] for i in first], pa.list_(pa.int64())), pa.array([sets[i] for i in first], pa.list_(pa.int64()))]
+                columns = [pa.array([digests[i] for i in first], pa.binary()), pa.array([(sets[i][:k] >> 32).astype(np.int32) for i in first], pa.list_(pa.int32())), pa.array([sets[i] for i in first], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["digest", "sketch", "full"])
 
     source = texts(docs)
     rows = source.join(small(ids), source["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = rows.mapInArrow(tidy(full, forget), fields(("digest", "binary"), ("sketch", "array<long>"), ("full", "array<long>")))
+    sets = rows.mapInArrow(tidy(full, forget), fields(("digest", "binary"), ("sketch", "array<int>"), ("full", "array<long>")))
     known = small(wanted.select("set", "node"))
     found = staged(sets.join(known, sets["digest"] == known["set"]).select("node", "sketch", "full"), "dedup-sets")
     # Rows that repeat a doc_id and its set are few, mostly none; only then are sets moved to drop them.
