@@ -233,8 +233,10 @@ def listed_sets(docs: DataFrame, lists: DataFrame, members: DataFrame, size: int
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar; row by row in the JVM, as full sets may be very long."""
-    own = sets.select("node", "full")
+    """Pairs (a written table) whose full sets are similar; row by row in the JVM, as full sets may be very long.
+    Sets of nodes in no pair stay where they are."""
+    nodes = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    own = sets.select("node", "full").join(nodes, "node", "left_semi")
     both = pairs.join(own.toDF("a", "fa"), "a").join(own.toDF("b", "fb"), "b")
     common = both.select("a", "b", F.size("fa").alias("na"), F.size("fb").alias("nb"), F.size(F.array_intersect("fa", "fb")).alias("common"))
     return common.filter(100 * F.col("common").cast("long") >= percent * (F.col("na") + F.col("nb") - F.col("common")).cast("long")).select("a", "b")
