@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from .filter_audit import op11_filter_audit
 from .host_rules import op10_host_rules
 from .byte_bpe import op7_byte_bpe
 from .html_main import op9_html_main
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_spotsigs": op8_spotsigs,
     "op9_html_main": op9_html_main,
     "op10_host_rules": op10_host_rules,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 #: DuckDB SQL over whole tables.
@@ -57,3 +59,32 @@ FROM b JOIN documents d USING (doc_id) LEFT JOIN h ON d.source IS NOT DISTINCT F
 """
 ORACLE_SQL["op10_host_rules"] = HOST_RULES_SQL
 
+
+FILTER_AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+p AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(generate_series(1, 5)) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, i AS step, o[i] AS own FROM o, x),
+t AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS here,
+    len(list_filter(o[1:step - 1], lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda v: v)) = 1 AS alone
+  FROM p, s),
+g AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (here AND alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (here AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM t GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g
+"""
+ORACLE_SQL["op11_filter_audit"] = FILTER_AUDIT_SQL
