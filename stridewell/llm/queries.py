@@ -4,9 +4,11 @@ from __future__ import annotations
 
 
 from .filter_audit import op11_filter_audit
+from .hard_negatives import op13_hard_negatives
 from .host_rules import op10_host_rules
 from .byte_bpe import op7_byte_bpe
 from .html_main import op9_html_main
+from .lattice_dedup import op12_lattice_dedup
 from .mil_quality import op6_mil_quality
 from .minhash_dedup import op2_minhash_dedup
 from .packing import op3_packing
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_html_main": op9_html_main,
     "op10_host_rules": op10_host_rules,
     "op11_filter_audit": op11_filter_audit,
+    "op12_lattice_dedup": op12_lattice_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: DuckDB SQL over whole tables.
@@ -88,3 +92,32 @@ g AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g
 """
 ORACLE_SQL["op11_filter_audit"] = FILTER_AUDIT_SQL
+
+LATTICE_DEDUP_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CASE WHEN label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS v FROM embeddings),
+l AS (
+  SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) >= 0.93 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))),
+w(a, b) AS (SELECT r, r FROM e UNION SELECT w.a, l.b FROM w JOIN l ON w.b = l.a),
+c AS (SELECT w.a AS r, min(e.vec_id) AS component_id FROM w JOIN e ON w.b = e.r GROUP BY w.a),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+ORACLE_SQL["op12_lattice_dedup"] = LATTICE_DEDUP_SQL
+
+HARD_NEGATIVES_SQL = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)),
+p AS (SELECT a, anchor_id, b, id AS positive_id, s AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s DESC, id)::INT AS rank, id AS negative_id, positive_score, s AS negative_score
+FROM p JOIN s USING (a, anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s DESC, id) <= 3
+"""
+ORACLE_SQL["op13_hard_negatives"] = HARD_NEGATIVES_SQL

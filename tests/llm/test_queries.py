@@ -23,7 +23,19 @@ COLUMNS = {
     "op8_spotsigs": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     "op9_html_main": "page_id bigint, url string, text string, n_chars bigint",
     "op10_host_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op12_lattice_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
 }
+TABLES = {"op4_warc": "pages", "op9_html_main": "pages", "op12_lattice_dedup": "embeddings"}
+#: Reports: their rows are not those of a table.
+REPORTS = {
+    "op11_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
+    "op13_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+}
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
+def test_columns_of_reports(spark, name):
+    assert queries.QUERIES[name](spark, SMALL).dtypes == [tuple(c.split()) for c in REPORTS[name].split(", ")]
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
@@ -31,7 +43,7 @@ def test_columns_of_the_contract(spark, name):
     found = queries.QUERIES[name](spark, SMALL)
     wanted = [tuple(c.split()) for c in COLUMNS[name].split(", ")]
     assert found.dtypes[: len(wanted)] == wanted
-    table = "pages" if name in ("op4_warc", "op9_html_main") else "documents"
+    table = TABLES.get(name, "documents")
     rows = spark.read.parquet(f"{SMALL}/{table}.parquet")
     key = found.columns[0]
     assert sorted(r[0] for r in found.select(key).distinct().collect()) == sorted(r[0] for r in rows.select(key).distinct().collect())
