@@ -107,24 +107,71 @@ def run_table(df: DataFrame, keys: list[str], masks: dict[str, F.Column]) -> Dat
     )
 
 
-def duration_table(rec: DataFrame) -> DataFrame:
-    """pid, part, stat, value: time of the session, of its tail after the last event, basic statistics of the steps' times
-    with the longest and the shortest step, and of the times between events of each kind."""
-    session = rec.groupBy("pid").agg((F.max("t") - F.min("t")).alias("duration"))
-    last = G.event_log(rec).groupBy("pid").agg(F.max("event_t").alias("_last"))
-    tail = rec.groupBy("pid").agg(F.max("t").alias("_end")).join(last, "pid").select("pid", (F.col("_end") - F.col("_last")).alias("duration"))
-    steps = G.substeps(rec).select("pid", F.col("step").alias("idx"), (F.col("end_t") - F.col("start_t")).alias("step"))
-    most = steps.groupBy("pid").agg(F.max_by("idx", F.struct("step", -F.col("idx"))).alias("longest"), F.min_by("idx", F.struct("step", "idx")).alias("shortest"))
-    kinds = rec.select("pid", "kind", "idx", (F.col("t") - previous("t", ["pid", "kind"])).alias("_x"))
-    by_kind = describe(kinds, ["pid", "kind"], "_x").select("pid", F.concat(F.lit("kind "), "kind").alias("part"), "stat", "value")
-    return stacked(long(session, ["pid"], "session", ["duration"]), long(tail, ["pid"], "tail", ["duration"]), described(steps, ["pid"], ["step"]), long(most, ["pid"], "step", ["longest", "shortest"]), by_kind)
-
-
-def across_steps(rec: DataFrame) -> DataFrame:
-    """pid, part, stat, value: of the steps' mean signal the basic statistics, and the step of the largest and the smallest."""
-    means = G.interval(G.samples(rec), G.steps(rec), G.KEYS).groupBy("pid", F.col("step").alias("idx")).agg(F.avg("x").alias("mean"))
-    ends = means.groupBy("pid").agg(F.max_by("idx", F.struct("mean", -F.col("idx"))).alias("max_step"), F.min_by("idx", F.struct("mean", "idx")).alias("min_step"))
-    return stacked(described(means, ["pid"], ["mean"]), long(ends, ["pid"], "mean", ["max_step", "min_step"]))
+def listed(values: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Basic statistics of values by segment, over their places among those that are there: keys, stat, value."""
+    there = values.filter(F.col(x).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("segment")) - 1)
+    return describe(there, keys, x, "_k")
+
+
+def outermost(values: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, longest, shortest: the segment of the largest and of the smallest value, the first one on ties."""
+    return values.groupBy(*keys).agg(F.max_by("segment", F.struct(F.col(x), -F.col("segment"))).alias("longest"), F.min_by("segment", F.struct(F.col(x), F.col("segment"))).alias("shortest"))
+
+
+def without_last(values: DataFrame, keys: list[str], segs: DataFrame) -> DataFrame:
+    """Values of all steps but the session's last one, which is no whole step."""
+    last = segs.groupBy(*keys).agg(F.max("segment").alias("_last"))
+    return values.join(last, keys).filter(F.col("segment") < F.col("_last")).drop("_last")
+
+
+def duration_table(log: DataFrame, sampled: DataFrame, keys: list[str], span: float = G.CHUNK_SECONDS) -> DataFrame:
+    """keys, part, stat, value: time of the session and of its tail from the sample nearest to the last event on; of the steps (but
+    the last) and the substeps basic statistics, and which is the longest and the shortest; of the substeps of each
+    kind basic statistics. A segment's time is that between its first and last sample; empty segments have none."""
+    found = G.nested(log, sampled, keys, span)
+    times = {}
+    for name in ("step", "substep"):
+        held = G.interval(sampled, G.level(found, keys, name), keys).groupBy(*keys, "segment")
+        times[name] = held.agg((F.max("t") - F.min("t")).alias("x"))
+    times["step"] = without_last(times["step"], keys, G.level(found, keys, "step"))
+    session = sampled.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("duration"))
+    last = log.groupBy(*keys).agg(F.max("event_t").alias("event_t"), F.lit(0).cast("long").alias("step"))
+    start = G.nearest(last, sampled, keys, span).select(*keys, F.col("idx").alias("_start"))
+    tail = sampled.join(start, keys).filter(F.col("idx") >= F.col("_start")).groupBy(*keys).agg((F.max("t") - F.min("t")).alias("duration"))
+    kinds = times["substep"].join(found.select(*keys, F.col("sub_id").alias("segment"), "kind"), [*keys, "segment"])
+    parts = [long(session, keys, "session", ["duration"]), long(tail, keys, "tail", ["duration"])]
+    for name, values in times.items():
+        parts += [listed(values, keys, "x").select(*keys, F.lit(name).alias("part"), "stat", "value"), long(outermost(values, keys, "x"), keys, name, ["longest", "shortest"])]
+    return stacked(*parts, listed(kinds, [*keys, "kind"], "x").select(*keys, F.concat(F.lit("kind "), "kind").alias("part"), "stat", "value"))
+
+
+def segment_features(log: DataFrame, sampled: DataFrame, keys: list[str], name: str, span: float = G.CHUNK_SECONDS, digits: int = 5) -> DataFrame:
+    """keys, segment, feature, x: the basic statistics of the signal in each step or substep, rounded: what two segments differ by
+    in their last bits is no difference."""
+    found = G.nested(log, sampled, keys, span)
+    made = describe(G.interval(sampled, G.level(found, keys, name), keys), [*keys, "segment"])
+    return made.withColumnRenamed("stat", "feature").withColumn("x", F.round("value", digits)).drop("value").filter("x IS NOT NULL AND NOT isnan(x)")
+
+
+def across_segments(log: DataFrame, sampled: DataFrame, keys: list[str], span: float = G.CHUNK_SECONDS) -> DataFrame:
+    """keys, level, feature, stat, value: over a session's steps (but the last) and over its substeps, of each feature of a segment the
+    basic statistics, and the segment where it is largest and smallest."""
+    parts = []
+    for name in ("step", "substep"):
+        values = segment_features(log, sampled, keys, name, span)
+        if name == "step":
+            values = without_last(values, keys, G.level(G.nested(log, sampled, keys, span), keys, "step"))
+        wide = [*keys, "feature"]
+        ends = long(outermost(values, wide, "x"), wide, name, ["longest", "shortest"]).withColumn("stat", F.when(F.col("stat") == "longest", "largest").otherwise("smallest"))
+        parts += [listed(values, wide, "x").select(*keys, F.lit(name).alias("level"), "feature", "stat", "value"), ends.select(*keys, F.col("part").alias("level"), "feature", "stat", "value")]
+    return stacked(*parts)
+
+
+def by_type(log: DataFrame, sampled: DataFrame, keys: list[str], span: float = G.CHUNK_SECONDS) -> DataFrame:
+    """keys, kind, feature, stat, value: over the substeps of each kind the basic statistics of each feature of a substep."""
+    found = G.nested(log, sampled, keys, span).select(*keys, F.col("sub_id").alias("segment"), "kind")
+    values = segment_features(log, sampled, keys, "substep", span).join(found, [*keys, "segment"])
+    return listed(values, [*keys, "kind", "feature"], "x")
 
 
 def position(df: DataFrame, keys: list[str], hull: bool = True) -> DataFrame:

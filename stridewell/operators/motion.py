@@ -27,7 +27,8 @@ def anchor(n: Column, shift: int, stride: int) -> Column:
 
 def velocity(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, mode: str = "central", stride: int = 1, out: str = "v") -> DataFrame:
     """First differences over ``shift`` samples: central, or one-sided at the edges (and everywhere for the modes
-    forward and backward, but at the far edge). Sessions of no more than 2 * shift samples give no rows."""
+    forward and backward, but at the far edge). idx counts a session's samples from 0. Sessions of fewer than 2 * shift
+    samples give no rows: ``checked`` tells them."""
     n = F.count("*").over(Window.partitionBy(*keys))
     i = F.col("idx")
     ahead = F.try_divide(following(x, keys, shift) - F.col(x), following("t", keys, shift) - F.col("t"))
@@ -35,15 +36,15 @@ def velocity(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, mode:
     middle = F.try_divide(following(x, keys, shift) - previous(x, keys, shift), following("t", keys, shift) - previous("t", keys, shift))
     inner = {"central": middle, "forward": ahead, "backward": back}[mode]
     value = F.when(i < shift, ahead).when(i >= F.col("_n") - shift, back).otherwise(inner)
-    made = df.withColumn("_n", n).filter(F.col("_n") > 2 * shift).withColumn("_v", value)
+    made = df.withColumn("_n", n).filter(F.col("_n") >= 2 * shift).withColumn("_v", value)
     return held_by_block(made, keys, shift, stride, out)
 
 
-def held_by_block(made: DataFrame, keys: list[str], shift: int, stride: int, out: str) -> DataFrame:
-    """``_v`` as ``out``, held over blocks of ``stride`` rows."""
-    if stride == 1:
+def held_by_block(made: DataFrame, keys: list[str], shift: int, stride: int, out: str, at: Column | None = None) -> DataFrame:
+    """``_v`` as ``out``, held over blocks of ``stride`` rows; ``at`` is the row whose value a row holds, where it is another."""
+    if stride == 1 and at is None:
         return made.withColumn(out, F.col("_v")).drop("_n", "_v")
-    held = made.withColumn("_a", anchor(F.col("_n"), shift, stride))
+    held = made.withColumn("_a", anchor(F.col("_n"), shift, stride) if at is None else at)
     return held.withColumn(out, F.first("_v").over(Window.partitionBy(*keys, "_a").orderBy("idx"))).drop("_n", "_v", "_a")
 
 
@@ -52,9 +53,24 @@ def second(p0: Column, p1: Column, p2: Column, d1: Column, d2: Column) -> Column
     return F.try_divide(2 * (p0 * d2 - p1 * (d1 + d2) + p2 * d1), d1 * d2 * (d1 + d2))
 
 
+def acceleration_anchor(n: Column, shift: int, stride: int) -> Column:
+    """The row whose acceleration a row holds: that of ``anchor``, or where the stencil of an edge row does not fit into the session the
+    row that its neighbour before holds; -1 where there is none, which stands for zero."""
+    i = F.col("idx")
+    fits = n - 1 - 2 * shift  # the last row from which the leading stencil fits
+    lead = lambda a: F.when(fits < 0, F.lit(-1)).otherwise(F.least(a, F.floor(fits / stride) * stride))
+    ahead = lead(F.floor(i / stride) * stride)
+    inner = shift + F.floor((i - shift) / stride) * stride
+    tail = n - shift + F.floor((i - n + shift) / stride) * stride
+    before = n - shift - 1  # the row before the trailing edge
+    held = F.when(before >= shift, shift + F.floor((before - shift) / stride) * stride).otherwise(lead(F.floor(before / stride) * stride))
+    return F.when(i >= n - shift, F.when(tail >= 2 * shift, tail).otherwise(held)).when(i < shift, ahead).otherwise(inner).cast("long")
+
+
 def acceleration(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, out: str = "a", compat: bool = False, stride: int = 1) -> DataFrame:
-    """Three-point second differences; the edges use the stencil that reaches inwards. ``compat`` weighs the
-    leading edge as p0 (d1 + d2) - p1 d2 - p2 d1, which does not vanish on straight lines."""
+    """Three-point second differences; the edges use the stencil that reaches inwards, and where that does not fit they
+    repeat their neighbour (zero in the first row). Sessions of no more than ``shift`` samples give no rows. ``compat`` weighs
+    the leading edge as p0 (d1 + d2) - p1 d2 - p2 d1, which does not vanish on straight lines."""
     n = F.count("*").over(Window.partitionBy(*keys))
 
     def stencil(a: int, b: int, c: int) -> Column:
@@ -65,14 +81,32 @@ def acceleration(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, o
         return second(at(x, a), at(x, b), at(x, c), d1, d2)
 
     i = F.col("idx")
-    value = F.when(i < shift, stencil(0, shift, 2 * shift)).when(i >= F.col("_n") - shift, stencil(-2 * shift, -shift, 0)).otherwise(stencil(-shift, 0, shift))
-    return held_by_block(df.withColumn("_n", n).filter(F.col("_n") > 2 * shift).withColumn("_v", value), keys, shift, stride, out)
+    value = F.when(i >= F.col("_n") - shift, stencil(-2 * shift, -shift, 0)).when(i < shift, stencil(0, shift, 2 * shift)).otherwise(stencil(-shift, 0, shift))
+    made = df.withColumn("_n", n).filter(F.col("_n") > shift).withColumn("_v", value).withColumn("_at", acceleration_anchor(F.col("_n"), shift, stride))
+    made = made.withColumn("_v", F.when(F.col("_at") < 0, F.lit(0.0)).otherwise(F.col("_v")))
+    return held_by_block(made, keys, shift, stride, out, F.col("_at")).drop("_at")
 
 
 def jerk(df: DataFrame, keys: list[str], x: str = "x", shift: int = 1, out: str = "j", stride: int = 1) -> DataFrame:
     return velocity(acceleration(df, keys, x, shift, "_acc"), keys, "_acc", shift, stride=stride, out=out).drop("_acc")
 
 
+def checked(df: DataFrame, keys: list[str], shift: int, rotation: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows whose session a derivative over ``shift`` samples can take, and the sessions that it cannot: keys, reason (the first
+    that holds of: too short, repeated time, zero quaternion), n. Both come from the same marked rows, dealt and sorted as
+    the derivative itself needs them."""
+    own, every = order(keys), Window.partitionBy(*keys)
+    marked = df.withColumn("_n", F.count("*").over(every)).withColumn("_still", (F.col("t") <= F.lag("t").over(own)).cast("int"))
+    still = F.coalesce(F.max("_still").over(every), F.lit(0)) > 0
+    reason = F.when(F.col("_n") < 2 * shift, "too short").when(still, "repeated time")
+    if rotation:
+        size = sum((F.col(c) ** 2 for c in ("qy", "qz", "qw")), F.col("qx") ** 2)
+        reason = reason.when(F.max((F.coalesce(size, F.lit(0.0)) == 0).cast("int")).over(every) > 0, "zero quaternion")
+    marked = marked.withColumn("_reason", reason)
+    rejects = marked.filter("_reason IS NOT NULL").groupBy(*keys, F.col("_reason").alias("reason")).agg(F.count("*").alias("n"))
+    return marked.filter("_reason IS NULL").select(*df.columns), rejects
+
+
 def quaternion(df: DataFrame) -> DataFrame:
     return df.withColumn("q", Q.quat(*(F.col(c) for c in ("qx", "qy", "qz", "qw"))))
 
@@ -81,7 +115,7 @@ def angular_velocity(df: DataFrame, keys: list[str], shift: int = 1) -> DataFram
     """wx, wy, wz: rotation vector of inverse(q_i) * q_j over its time; central, one-sided at the edges."""
     n = F.count("*").over(Window.partitionBy(*keys))
     at = lambda c, k: F.lead(c, k).over(order(keys)) if k > 0 else F.lag(c, -k).over(order(keys)) if k < 0 else F.col(c)
-    base = quaternion(df).withColumn("_n", n).filter(F.col("_n") > 2 * shift)
+    base = quaternion(df).withColumn("_n", n).filter(F.col("_n") >= 2 * shift)
     i = F.col("idx")
     pick = lambda c: (F.when(i < shift, at(c, 0)).otherwise(at(c, -shift)), F.when(i >= F.col("_n") - shift, at(c, 0)).otherwise(at(c, shift)))
     (qa, qb), (ta, tb) = pick("q"), pick("t")
@@ -96,29 +130,23 @@ def time_step(keys: list[str], t: str = "t") -> Column:
 
 
 def savitzky_golay(df: DataFrame, keys: list[str], x: str = "x", half: int = 2, deriv: int = 1, out: str = "sg", per_time: bool = True) -> DataFrame:
-    """Derivative of the quadratic fitted to 2 * half + 1 samples around each row, as sums over the window of x,
-    k x and k^2 x; rows within ``half`` of an edge use the polynomial of the first or last whole window. With
+    """Derivative of the quadratic fitted to 2 * half + 1 samples around each row, as weighed sums of its neighbours; rows within ``half`` of an edge use the polynomial of the first or last whole window. With
     ``per_time`` it is divided by ``time_step`` once, for either derivative."""
-    own = order(keys)
     base = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("_n") >= 2 * half + 1)
     centre = F.least(F.greatest(F.col("idx"), F.lit(half)), F.col("_n") - 1 - half)
-    frame = own.rowsBetween(-half, half)
-    m = 2 * half + 1
-    s2, s4 = sum(k * k for k in range(-half, half + 1)), sum(k**4 for k in range(-half, half + 1))
-    # Index minus the row's own, from sums over absolute places: k = j - idx.
-    sums = base.select("*", F.sum(x).over(frame).alias("_s0"), F.sum(F.col(x) * F.col("idx")).over(frame).alias("_s1"), F.sum(F.col(x) * F.col("idx") * F.col("idx")).over(frame).alias("_s2"))
+    m, places = 2 * half + 1, range(-half, half + 1)
+    s2, s4 = sum(k * k for k in places), sum(k**4 for k in places)
+    # Weights of the neighbours are fixed numbers, so nothing depends on how far into the session a row lies.
+    at = lambda k: F.col(x) if k == 0 else F.lead(x, k).over(order(keys)) if k > 0 else F.lag(x, -k).over(order(keys))
+    weighed = lambda w: sum((F.lit(float(w(k))) * at(k) for k in places if k != -half), F.lit(float(w(-half))) * at(-half))
+    fits = base.withColumn("_b", weighed(lambda k: k / s2)).withColumn("_c", weighed(lambda k: (m * k * k - s2) / (m * s4 - s2 * s2)))
     i = F.col("idx")
-    k1 = F.col("_s1") - i * F.col("_s0")
-    k2 = F.col("_s2") - 2 * i * F.col("_s1") + i * i * F.col("_s0")
-    fits = sums.withColumn("_b", k1 / s2).withColumn("_c", (m * k2 - s2 * F.col("_s0")) / (m * s4 - s2 * s2))
-    whole = (i >= half) & (i < F.col("_n") - half)
     every = Window.partitionBy(*keys)
-    edge = lambda c, at: F.max(F.when(whole & (i == at), F.col(c))).over(every)
+    edge = lambda c, row: F.max(F.when(i == row, F.col(c))).over(every)
     pick = lambda c: F.when(i < half, edge(c, F.lit(half))).when(i >= F.col("_n") - half, edge(c, F.col("_n") - 1 - half)).otherwise(F.col(c))
-    off = i - centre
-    value = pick("_b") + 2 * pick("_c") * off if deriv == 1 else 2 * pick("_c")
+    value = pick("_b") + 2 * pick("_c") * (i - centre) if deriv == 1 else 2 * pick("_c")
     value = F.try_divide(value, time_step(keys)) if per_time else value
-    return fits.withColumn(out, value).drop("_n", "_s0", "_s1", "_s2", "_b", "_c")
+    return fits.withColumn(out, value).drop("_n", "_b", "_c")
 
 
 def angular_rate(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -182,17 +210,62 @@ def rotation_total(df: DataFrame, keys: list[str]) -> DataFrame:
     return q.withColumn("_g", Q.geodesic(F.col("q"), previous("q", keys))).groupBy(*keys).agg(F.sum("_g").alias("value"))
 
 
-def sample_pairs(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, i, j, angle: all pairs of samples i < j of a segment with their geodesic distance. The cost is the square of
-    a segment's length, so keys are those of bounded segments, never of sessions."""
-    q = quaternion(df).select(*keys, F.col("idx").alias("i"), "q")
-    other = q.select(*keys, F.col("i").alias("j"), F.col("q").alias("_q"))
-    return q.join(other, keys).filter(F.col("i") < F.col("j")).select(*keys, "i", "j", Q.geodesic(F.col("q"), F.col("_q")).alias("angle"))
+#: Samples of a block of a segment whose pairs are taken tile by tile.
+PAIR_BLOCK = 256
+
+
+def sample_pairs(df: DataFrame, keys: list[str], block: int = PAIR_BLOCK) -> DataFrame:
+    """keys, i, j, angle: all pairs of samples i < j of a segment with their geodesic distance. A segment is cut into blocks of
+    ``block`` samples; block a meets every block b >= a as a tile of its own, dealt by (segment, a, b), so a long segment is spread
+    over tasks and each sample is sent once for each block. The pairs are as many as the segment has."""
+    q = quaternion(df).select(*keys, F.col("idx").alias("i"), "q", F.floor(F.col("idx") / block).alias("_a"))
+    ends = q.groupBy(*keys).agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
+    left = q.join(ends, keys).select(*keys, "i", "q", "_a", F.explode(F.sequence("_a", "_hi")).alias("_b"))
+    right = q.join(ends, keys).select(*keys, F.col("i").alias("j"), F.col("q").alias("_q"), F.explode(F.sequence("_lo", "_a")).alias("_a"), F.col("_a").alias("_b"))
+    return left.join(right, [*keys, "_a", "_b"]).filter(F.col("i") < F.col("j")).select(*keys, "i", "j", Q.geodesic(F.col("q"), F.col("_q")).alias("angle"))
+
+
+def pair_dispersion(df: DataFrame, keys: list[str], block: int = PAIR_BLOCK) -> DataFrame:
+    """keys, value, n_pairs: mean geodesic distance over all pairs of samples of a whole segment. Angles are summed tile by tile (a
+    block with a block) in Arrow batches, so what is sent on is a sum and a count for each tile, never a pair."""
+    source = df.select(*keys, "idx", "qx", "qy", "qz", "qw").withColumn("_a", F.floor(F.col("idx") / block).cast("long"))
+    ends = source.groupBy(*keys).agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
+    placed = source.join(ends, keys)
+    # Each sample goes to the tiles of its block: as the first of (own, b) and as the second of (a, own).
+    first = placed.select(*keys, "qx", "qy", "qz", "qw", F.col("_a").alias("_i"), F.explode(F.sequence("_a", "_hi")).alias("_j"), F.lit(True).alias("_first"))
+    second = placed.filter("_a > _lo").select(*keys, "qx", "qy", "qz", "qw", F.explode(F.sequence("_lo", F.col("_a") - 1)).alias("_i"), F.col("_a").alias("_j"), F.lit(False).alias("_first"))
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = pdf[["qx", "qy", "qz", "qw"]].to_numpy(float)
+        size = np.linalg.norm(q, axis=1, keepdims=True)
+        q = np.divide(q, size, out=np.zeros_like(q), where=size > 0)
+        own = pdf["_first"].to_numpy(bool)
+        same = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+        angle = 2 * np.arccos(np.minimum(1.0, np.abs(q[own] @ (q[own] if same else q[~own]).T)))
+        angle = angle[np.triu_indices(len(angle), 1)] if same else angle.ravel()
+        out = pdf[keys].head(1).copy()
+        out["_sum"], out["_n"] = float(angle.sum()), len(angle)
+        return out
+
+    tiles = first.unionByName(second).groupBy(*keys, "_i", "_j").applyInPandas(tile, f"{kinds}, _sum double, _n long")
+    return tiles.groupBy(*keys).agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("value"), F.sum("_n").alias("n_pairs")).filter("n_pairs > 0")
+
 
+#: Pairs of axes of the distances of two objects.
+AXIS_PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
-def pair_dispersion(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, value, n_pairs: mean geodesic distance over all pairs of samples of a segment."""
-    return sample_pairs(df, keys).groupBy(*keys).agg(F.avg("angle").alias("value"), F.count("*").alias("n_pairs"))
+
+def object_pairs(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """keys, idx, pair, axes, x: distances of two objects at the same sample, in space (axes: xyz) and between an axis of the first and
+    one of the second. ``df`` has a row for each object of a sample: keys, object, idx, px, py, pz."""
+    spots = F.map_from_entries(F.collect_list(F.struct("object", F.struct("px", "py", "pz"))))
+    wide = df.groupBy(*keys, "idx").agg(spots.alias("_at"))
+    each = wide.select(*keys, "idx", F.explode(F.array(*(F.struct(F.lit(f"{a}-{b}").alias("pair"), F.try_element_at("_at", F.lit(a)).alias("a"), F.try_element_at("_at", F.lit(b)).alias("b")) for a, b in pairs))).alias("p"))
+    each = each.select(*keys, "idx", "p.*").filter("a IS NOT NULL AND b IS NOT NULL")
+    space = F.sqrt(sum(((F.col(f"a.p{c}") - F.col(f"b.p{c}")) ** 2 for c in "yz"), (F.col("a.px") - F.col("b.px")) ** 2))
+    flat = [F.struct(F.lit("xyz").alias("axes"), space.alias("x")), *(F.struct(F.lit(c).alias("axes"), F.abs(F.col(f"a.p{c[0]}") - F.col(f"b.p{c[1]}")).alias("x")) for c in AXIS_PAIRS)]
+    return each.select(*keys, "idx", "pair", F.explode(F.array(*flat)).alias("d")).select(*keys, "idx", "pair", "d.*")
 
 
 def adaptive_filter(df: DataFrame, keys: list[str], least: float = 0.05, most: float = 0.5, slow: float = 0.5, fast: float = 5.0) -> DataFrame:
@@ -305,21 +378,3 @@ def hull_faces(points: np.ndarray) -> np.ndarray | None:
                 edges[(tuple(x), tuple(y))] = (x, y)
         faces = [tuple(f) for f in tri[~seen]] + [(x, y, v) for (kx, ky), (x, y) in edges.items() if (ky, kx) not in edges]
     return np.array(faces)
-
-
-def spectrum(df: DataFrame, keys: list[str], rate: float = 90.0) -> DataFrame:
-    """keys, energy, zero_crossings, peak_frequency of a signal; a segment fits a task."""
-    schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "energy double, zero_crossings long, peak_frequency double"])
-
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("idx")["x"].to_numpy(float)
-        centred = x - x.mean()
-        power = np.abs(np.fft.rfft(centred)) ** 2
-        out = pdf[keys].head(1).copy()
-        out["energy"] = float((x**2).sum())
-        out["zero_crossings"] = int((np.sign(centred[1:]) * np.sign(centred[:-1]) < 0).sum())
-        out["peak_frequency"] = float(np.argmax(power) * rate / len(x))
-        return out
-
-    return df.groupBy(*keys).applyInPandas(measure, schema)
-

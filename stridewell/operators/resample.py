@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timeline import CHUNK_ROWS, carried, numbered
+
 
 def drop_columns(df: DataFrame, token: str) -> DataFrame:
     return df.select(*(c for c in df.columns if token not in c))
@@ -16,38 +18,61 @@ def keep_columns(df: DataFrame, tokens: list[str], always: tuple[str, ...] = ())
 
 
 def truncate_start(df: DataFrame, keys: list[str], *pressed: Column) -> DataFrame:
-    """Rows from the first sample on at which either hand is pressed; a hand that never is does not count, and a
-    session without any has no rows."""
+    """Rows from the first sample on at which either hand is pressed, numbered from 0 again; a hand that never is does not
+    count, and a session without any has no rows."""
     firsts = [F.min(F.when(p, F.col("idx"))).over(Window.partitionBy(*keys)) for p in pressed]
     first = F.least(*firsts) if len(firsts) > 1 else firsts[0]
-    return df.withColumn("_first", first).filter(F.col("idx") >= F.col("_first")).drop("_first")
+    return df.withColumn("_first", first).filter(F.col("idx") >= F.col("_first")).withColumn("idx", F.col("idx") - F.col("_first")).drop("_first")
 
 
 def dedup_time(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of each timestamp."""
+    """The first row of each timestamp, numbered from 0 again."""
     own = Window.partitionBy(*keys, "t").orderBy("idx")
-    return df.withColumn("_k", F.row_number().over(own)).filter("_k = 1").drop("_k")
+    kept = df.withColumn("_k", F.row_number().over(own)).filter("_k = 1").drop("_k").withColumnRenamed("idx", "_old")
+    return numbered(kept, keys, [F.col("_old")], F.col("_old") / CHUNK_ROWS).drop("_old").select(*df.columns)
 
 
 def grid(df: DataFrame, keys: list[str], step: float) -> DataFrame:
-    """keys, k, t: times from a session's first sample to its last, ``step`` apart."""
+    """keys, k, t: times from a session's first sample on, ``step`` apart, up to the first one at or after its last sample."""
     ends = df.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
-    last = F.floor((F.col("_b") - F.col("_a")) / step)
-    return ends.select(*keys, "_a", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k")).select(*keys, "k", (F.col("_a") + F.col("k") * step).alias("t"))
-
-
-def left_join_grid(df: DataFrame, keys: list[str], step: float) -> DataFrame:
-    """The grid with the first sample whose time rounds to each of its places, by an equality join."""
-    placed = df.withColumn("k", F.round(F.col("t") / step).cast("long")).groupBy(*keys, "k").agg(F.min_by("x", "idx").alias("x"))
-    return grid(df, keys, step).join(placed, [*keys, "k"], "left")
-
-
-def interpolate(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Nulls between two samples filled on the straight line by place; none beyond the ends."""
-    own = Window.partitionBy(*keys).orderBy("k")
-    back, ahead = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col("x").isNotNull(), F.struct(F.col("k").alias("k"), F.col("x").alias("x")))
-    near = df.withColumn("_a", F.last(at, ignorenulls=True).over(back)).withColumn("_b", F.first(at, ignorenulls=True).over(ahead))
-    a, b = F.col("_a"), F.col("_b")
-    between = a["x"] + (b["x"] - a["x"]) * (F.col("k") - a["k"]) / (b["k"] - a["k"])
-    return near.withColumn("x", F.when(F.col("x").isNotNull(), F.col("x")).when(a.isNotNull() & b.isNotNull(), between)).drop("_a", "_b")
+    # A span of whole steps ends on its last sample, also where the quotient is off by its last bits.
+    last = F.ceil((F.col("_b") - F.col("_a")) / step - 1e-9)
+    return ends.select(*keys, "_a", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)))).alias("k")).select(*keys, "k", (F.col("_a") + F.col("k") * step).alias("t"))
+
+
+def left_join_grid(df: DataFrame, keys: list[str], step: float, unit: float = 0.001) -> DataFrame:
+    """keys, k, t and the samples' columns: the grid with all samples whose time, in whole ``unit``s, equals that of a place. A
+    place that several samples share has a row for each, one that none has holds nulls; t is the rounded time."""
+    whole = lambda t: F.round(t / unit).cast("long")
+    snapped = whole(F.col("t")) / round(1 / unit) if unit < 1 else whole(F.col("t")) * F.lit(float(unit))
+    others = [c for c in df.columns if c not in (*keys, "t")]
+    sampled = df.select(*(F.col(k).alias(f"_{k}") for k in keys), whole(F.col("t")).alias("_w"), *others)
+    places = grid(df, keys, step).withColumn("_u", whole(F.col("t")))
+    met = F.col("_u") == F.col("_w")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return places.join(sampled, met, "left").select(*keys, "k", snapped.alias("t"), *others)
+
+
+def interpolate(df: DataFrame, keys: list[str], columns: tuple[str, ...] = ("x",), order: tuple[str, ...] = ("k",)) -> DataFrame:
+    """Nulls between two samples filled on the straight line by the row's place; none beyond the ends. A session is spread
+    over chunks of its first order column."""
+    by = [F.col(c) for c in order]
+    chunk = by[0] / CHUNK_ROWS
+    placed = numbered(df, keys, by, chunk, "_place")
+    for c in columns:
+        at = F.when(F.col(c).isNotNull(), F.struct(F.col("_place").alias("p"), F.col(c).alias("x")))
+        near = carried(placed, keys, [F.col("_place")], F.col("_place") / CHUNK_ROWS, at)
+        a, b = F.col("_before"), F.col("_after")
+        between = a["x"] + (b["x"] - a["x"]) * (F.col("_place") - a["p"]) / (b["p"] - a["p"])
+        placed = near.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).when(a.isNotNull() & b.isNotNull(), between)).drop("_before", "_after")
+    return placed.select(*df.columns)
+
+
+def resampled(df: DataFrame, keys: list[str], step: float, columns: tuple[str, ...], unit: float = 0.001, digits: int = 6) -> DataFrame:
+    """keys, idx, t and ``columns`` on a uniform grid: samples joined by equal rounded times, gaps filled on straight lines, values
+    rounded, rows that still lack a value left out, the rest numbered from 0."""
+    joined = left_join_grid(df.select(*keys, "idx", "t", *columns), keys, step, unit)
+    filled = interpolate(joined, keys, columns, ("k", "idx"))
+    whole = filled.select(*keys, "k", F.col("idx").alias("_old"), "t", *(F.round(c, digits).alias(c) for c in columns)).na.drop(subset=list(columns))
+    return numbered(whole, keys, [F.col("k"), F.col("_old")], F.col("k") / CHUNK_ROWS).select(*keys, "idx", "t", *columns)

@@ -71,13 +71,6 @@ def extremum(df: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     )
 
 
-def decay(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, value: from the peak to the first later row under mean + 1 sd, null if there is none."""
-    peak = extremum(df, keys).select(*keys, "max_idx", "max_t", (F.col("mean_x") + F.col("std_x")).alias("thr"))
-    joined = df.join(peak, keys).groupBy(*keys)
-    return joined.agg((F.min(F.when((F.col("idx") >= F.col("max_idx")) & (F.col("x") < F.col("thr")), F.col("t"))) - F.first("max_t")).alias("value"))
-
-
 def time_beyond(df: DataFrame, keys: list[str], factors: tuple[float, ...] = (1.0, 1.5, 2.0, 3.0)) -> DataFrame:
     """keys, side, factor, value: time in runs above mean + factor sd and below mean - factor sd."""
     own = Window.partitionBy(*keys)
@@ -86,45 +79,3 @@ def time_beyond(df: DataFrame, keys: list[str], factors: tuple[float, ...] = (1.
     beyond = F.when(F.col("side") == "above", F.col("x") > F.col("_mean") + F.col("factor") * F.col("_sd")).otherwise(F.col("x") < F.col("_mean") - F.col("factor") * F.col("_sd"))
     wide = [*keys, "side", "factor"]
     return runs(spread, wide, beyond).groupBy(*wide).agg(F.sum(F.col("end_t") - F.col("start_t")).alias("value"))
-
-
-def peaks(df: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
-    """Rows that are strict local maxima above mean + factor sd."""
-    own = Window.partitionBy(*keys)
-    marked = df.withColumn("_p", previous("x", keys)).withColumn("_n", following("x", keys)).withColumn("_thr", F.avg("x").over(own) + factor * F.stddev_pop("x").over(own))
-    return marked.filter((F.col("x") > F.col("_p")) & (F.col("x") > F.col("_n")) & (F.col("x") > F.col("_thr"))).drop("_p", "_n", "_thr")
-
-
-def peak_rate(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_peaks, per_second over the whole span; zero where there is none."""
-    span = df.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("span"))
-    found = peaks(df, keys).groupBy(*keys).agg(F.count("*").alias("n"))
-    joined = span.join(found, keys, "left").withColumn("n_peaks", F.coalesce("n", F.lit(0)))
-    return joined.select(*keys, "n_peaks", F.try_divide(F.col("n_peaks"), F.col("span")).alias("per_second"))
-
-
-def peak_gaps(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, mean, max and min of the time between neighbouring peaks; no row under two peaks."""
-    gaps = peaks(df, keys).withColumn("gap", F.col("t") - previous("t", keys)).filter("gap IS NOT NULL")
-    return gaps.groupBy(*keys).agg(F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"), F.min("gap").alias("min_gap"))
-
-
-def band_runs(df: DataFrame, keys: list[str], factor: float = 0.5) -> DataFrame:
-    """keys, n_runs, total: pauses, runs inside median +- factor * median absolute deviation."""
-    mid = df.groupBy(*keys).agg(F.median("x").alias("_med"))
-    placed = df.join(mid, keys)
-    mad = placed.groupBy(*keys).agg(F.median(F.abs(F.col("x") - F.col("_med"))).alias("_mad"))
-    inside = F.abs(F.col("x") - F.col("_med")) <= factor * F.col("_mad")
-    return runs(placed.join(mad, keys), keys, inside).groupBy(*keys).agg(F.count("*").alias("n_runs"), F.sum(F.col("end_t") - F.col("start_t")).alias("total"))
-
-
-def intervals(found: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, run count, duration statistics, starts of the shortest and the longest run (first on ties)."""
-    d = F.col("end_t") - F.col("start_t")
-    return found.groupBy(*keys).agg(
-        F.count("*").alias("n_runs"),
-        F.avg(d).alias("mean_duration"),
-        F.sum(d).alias("total_duration"),
-        F.min_by("start_t", F.struct(d, F.col("start_t"))).alias("shortest_start"),
-        F.max_by("start_t", F.struct(d, -F.col("start_t"))).alias("longest_start"),
-    )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bundles as B
-from ..operators import statistics as S
+from ..operators import segments as G
 from .frames import PATH, RECORDING, path, recording
-from .motion import LOG, ORDERED, RUNS, STEP3, STEPS, rounded
+from .motion import NEST, ORDERED, RUNS, SPAN, STEP3, rounded
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,8 +50,6 @@ def pts(name: str, body, sql: str | None = None) -> None:
         ORACLE_SQL[name] = f"WITH {PATH}{sql}"
 
 
-rec("agg_by_type", lambda r: S.describe(r, ["pid", "kind"]), f" {thirteen('rec', 'pid, kind')}")
-
 # -- extremes -----------------------------------------------------------------------------------------------------------
 SEEN = ", seen AS (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS q, avg(x) OVER (PARTITION BY pid) AS m, stddev_pop(x) OVER (PARTITION BY pid) AS s FROM rec WINDOW w AS (PARTITION BY pid ORDER BY idx))"
 TOP, LOW = "x > p AND x > q AND x > m + factor * s", "x < p AND x < q AND x < m - factor * s"
@@ -76,36 +74,50 @@ dec AS (SELECT pid, 'max' AS side, min(CASE WHEN idx >= top.i AND x < m + s THEN
 rec("agg_decay", lambda r: B.decay_table(r, KEY), f"{DECAY} SELECT pid, side, round(value, 5) AS value FROM dec")
 
 # -- runs -----------------------------------------------------------------------------------------------------------------
-TABLE = f""", {RUNS}, sp AS (SELECT pid, min(t) AS t0, max(t) - min(t) AS span FROM rec GROUP BY pid),
-d AS (SELECT pid, on_, min(t) AS s, max(t) - min(t) AS d FROM isl GROUP BY pid, on_, run),
-tb AS (SELECT pid, CASE WHEN on_ = 1 THEN 'on' ELSE 'off' END AS side, count(*) AS n_runs, round(count(*) / nullif(any_value(span), 0), 5) AS per_second, round(sum(d), 5) AS total, round(avg(d), 5) AS mean,
+#: Hands and the kinds of event that act as a press of their trigger.
+HANDS = {"LeftHand": "click", "RightHand": "view"}
+_islands = " UNION ALL ".join(
+    f"SELECT pid, idx, t, on_, run, '{hand}' AS hand FROM (WITH {RUNS.replace(chr(39) + 'click' + chr(39), chr(39) + kind + chr(39))} SELECT * FROM isl)" for hand, kind in HANDS.items()
+)
+TABLE = f""", islands AS ({_islands}), sp AS (SELECT pid, min(t) AS t0, max(t) - min(t) AS span FROM rec GROUP BY pid),
+d AS (SELECT pid, hand, on_, min(t) AS s, max(t) - min(t) AS d FROM islands GROUP BY pid, hand, on_, run),
+tb AS (SELECT pid, hand || CASE WHEN on_ = 1 THEN ' active' ELSE ' inactive' END AS side, count(*) AS n_runs, round(count(*) / nullif(any_value(span), 0), 5) AS per_second, round(sum(d), 5) AS total, round(avg(d), 5) AS mean,
   round(stddev_pop(d), 5) AS std, round(min(d), 5) AS shortest, round(max(d), 5) AS longest, round(arg_min(s - t0, struct_pack(d := d, s := s)), 5) AS shortest_start,
-  round(arg_max(s - t0, struct_pack(d := d, s := -s)), 5) AS longest_start FROM d JOIN sp USING (pid) GROUP BY pid, on_)"""
+  round(arg_max(s - t0, struct_pack(d := d, s := -s)), 5) AS longest_start FROM d JOIN sp USING (pid) GROUP BY pid, hand, on_)"""
 
 
 def sides(*names: str) -> dict:
-    """Masks of the runs: on where the trigger is pressed, off where it is not."""
-    pressed = F.col("kind") == "click"
-    return {name: pressed if name == "on" else ~pressed for name in names}
+    """Masks of the runs of both hands: active where the trigger is pressed, inactive where it is not."""
+    masks = {f"{hand} active": F.col("kind") == kind for hand, kind in HANDS.items()}
+    masks |= {f"{hand} inactive": F.col("kind") != kind for hand, kind in HANDS.items()}
+    return {k: v for k, v in masks.items() if not names or k in names}
 
 
-rec("agg_trigger", lambda r: B.run_table(r, KEY, sides("on", "off")), f"{TABLE} SELECT * FROM tb")
-for _name, _side in (("agg_trigger_on", "on"), ("agg_trigger_off", "off"), ("agg_interval", "off")):
+rec("agg_trigger", lambda r: B.run_table(r, KEY, sides()), f"{TABLE} SELECT * FROM tb")
+for _name, _side in (("agg_trigger_on", "LeftHand active"), ("agg_trigger_off", "LeftHand inactive"), ("agg_interval", "RightHand active")):
     rec(_name, lambda r, s=_side: B.run_table(r, KEY, sides(s)), f"{TABLE} SELECT * FROM tb WHERE side = '{_side}'")
 
-# -- sessions, steps --------------------------------------------------------------------------------------------------------
-DURATION = f"""{LOG}, stp AS (SELECT pid, step AS idx, event_t - coalesce(lag(event_t) OVER (PARTITION BY pid ORDER BY step), 0) AS x FROM lg),
-kd AS (SELECT pid, 'kind ' || kind AS part, idx, t - lag(t) OVER (PARTITION BY pid, kind ORDER BY idx) AS x FROM rec)
-SELECT pid, 'session' AS part, 'duration' AS stat, round(max(t) - min(t), 5) AS value FROM rec GROUP BY pid
-UNION ALL SELECT pid, 'tail', 'duration', round(max(t) - max(event_t), 5) FROM rec JOIN (SELECT pid, max(event_t) AS event_t FROM lg GROUP BY pid) USING (pid) GROUP BY pid
-UNION ALL SELECT pid, 'step', 'longest', arg_max(idx, struct_pack(d := x, k := -idx))::DOUBLE FROM stp GROUP BY pid
-UNION ALL SELECT pid, 'step', 'shortest', arg_min(idx, struct_pack(d := x, k := idx))::DOUBLE FROM stp GROUP BY pid
-UNION ALL {thirteen('stp', 'pid', "'step'")} UNION ALL {thirteen('kd', 'pid, part').replace('pid, part, ', 'pid, part, ')}"""
-rec("agg_duration", lambda r: B.duration_table(r), DURATION)
-ACROSS = f"""{STEPS}, mn AS (SELECT pid, step AS idx, avg(x) AS x FROM seg JOIN smp USING (pid) WHERE smp.idx >= start_idx AND smp.idx < end_idx GROUP BY pid, step)
-SELECT pid, 'mean' AS part, 'max_step' AS stat, arg_max(idx, struct_pack(m := x, k := -idx))::DOUBLE AS value FROM mn GROUP BY pid
-UNION ALL SELECT pid, 'mean', 'min_step', arg_min(idx, struct_pack(m := x, k := idx))::DOUBLE FROM mn GROUP BY pid UNION ALL {thirteen('mn', 'pid', "'mean'")}"""
-rec("agg_cross_step", lambda r: B.across_steps(r), ACROSS)
+# -- sessions, steps, substeps ----------------------------------------------------------------------------------------------
+#: Samples in their step and substep, the steps but the last, times and thirteen statistics of each segment.
+LEVELS = f"""{NEST}, st AS (SELECT DISTINCT pid, step AS segment, step_start AS a, step_end AS b FROM nest), ls AS (SELECT pid, max(segment) AS last FROM st GROUP BY pid),
+sg AS (SELECT 'step' AS level, st.* FROM st UNION ALL SELECT 'substep', pid, sub_id, start_idx, end_idx FROM nest),
+inn AS (SELECT sg.level, sg.pid, sg.segment, sm.idx, sm.t, sm.x FROM sg JOIN sm ON sm.pid = sg.pid AND sm.idx >= a AND sm.idx < b),
+du AS (SELECT level, pid, segment, max(t) - min(t) AS x FROM inn GROUP BY ALL), dw AS (SELECT du.* FROM du JOIN ls USING (pid) WHERE level = 'substep' OR segment < last),
+fe AS (SELECT level, pid, segment, stat AS feature, value AS x FROM ({thirteen('inn', 'level, pid, segment')}) WHERE value IS NOT NULL AND NOT isnan(value)),
+fw AS (SELECT fe.* FROM fe JOIN ls USING (pid) WHERE level = 'substep' OR segment < last)"""
+#: A table of values by segment, with their places in the list; and the segments of the ends.
+PLACED = "{name} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY segment) - 1 AS idx FROM {source})"
+ENDS = "SELECT {keys}, '{most}' AS stat, arg_max(segment, struct_pack(x := x, k := -segment))::DOUBLE AS value FROM {source} GROUP BY {keys} UNION ALL SELECT {keys}, '{least}', arg_min(segment, struct_pack(x := x, k := segment))::DOUBLE FROM {source} GROUP BY {keys}"
+levels = lambda r: (G.substep_log(r), G.stream(r), KEY, SPAN)
+DURATION = f"""{LEVELS}, {PLACED.format(name='dp', keys='pid, level', source='dw')}, dk AS (SELECT pid, 'kind ' || kind AS part, segment, x FROM dw JOIN nest USING (pid) WHERE level = 'substep' AND sub_id = segment),
+{PLACED.format(name='kp', keys='pid, part', source='dk')}, la AS (SELECT pid, max(t) AS t FROM l0 GROUP BY pid), lk AS (SELECT sm.pid, sm.idx, row_number() OVER (PARTITION BY sm.pid ORDER BY abs(sm.t - la.t), sm.idx) AS k FROM la JOIN sm USING (pid))
+SELECT pid, 'session' AS part, 'duration' AS stat, round(max(t) - min(t), 5) AS value FROM sm GROUP BY pid
+UNION ALL SELECT sm.pid, 'tail', 'duration', round(max(t) - min(t), 5) FROM sm JOIN lk ON lk.pid = sm.pid AND lk.k = 1 AND sm.idx >= lk.idx GROUP BY sm.pid
+UNION ALL SELECT pid, level, stat, value FROM ({thirteen('dp', 'pid, level')}) UNION ALL SELECT pid, level, stat, value FROM ({ENDS.format(keys='pid, level', source='dw', most='longest', least='shortest')})
+UNION ALL {thirteen('kp', 'pid, part')}"""
+rec("agg_duration", lambda r: B.duration_table(*levels(r)), DURATION)
+rec("agg_cross_step", lambda r: B.across_segments(*levels(r)), f"{LEVELS}, {PLACED.format(name='fp', keys='pid, level, feature', source='fw')} {thirteen('fp', 'pid, level, feature')} UNION ALL {ENDS.format(keys='pid, level, feature', source='fw', most='largest', least='smallest')}")
+rec("agg_by_type", lambda r: B.by_type(*levels(r)), f"{LEVELS}, fk AS (SELECT pid, kind, feature, segment, x FROM fe JOIN nest USING (pid) WHERE level = 'substep' AND sub_id = segment), {PLACED.format(name='fp', keys='pid, kind, feature', source='fk')} {thirteen('fp', 'pid, kind, feature')}")
 
 # -- positions, rotations, movement --------------------------------------------------------------------------------------------
 AXES = ", ax AS (SELECT pid, idx, part, x FROM (SELECT pid, idx, {columns} FROM {source}) UNPIVOT (x FOR part IN ({columns})))"
@@ -124,7 +136,7 @@ pts(
 )
 _speed = ", ".join(f"CASE WHEN idx < 2 THEN (lead(p{c}, 2) OVER w - p{c}) / (lead(t, 2) OVER w - t) WHEN idx >= n - 2 THEN (p{c} - lag(p{c}, 2) OVER w) / (t - lag(t, 2) OVER w) ELSE (lead(p{c}, 2) OVER w - lag(p{c}, 2) OVER w) / (lead(t, 2) OVER w - lag(t, 2) OVER w) END AS v{c}" for c in "xyz")
 MOVED = f""", cn AS (SELECT *, count(*) OVER (PARTITION BY pid) AS n FROM pt), vv AS (SELECT pid, idx, t, n, {_speed} FROM cn {ORDERED}),
-mv AS (SELECT pid, idx, t, vx, vy, vz, sqrt(vx * vx + vy * vy + vz * vz) AS magnitude FROM vv WHERE n > 4), mx AS (SELECT pid, idx, t, magnitude AS x FROM mv)"""
+mv AS (SELECT pid, idx, t, vx, vy, vz, sqrt(vx * vx + vy * vy + vz * vz) AS magnitude FROM vv WHERE n >= 4), mx AS (SELECT pid, idx, t, magnitude AS x FROM mv)"""
 OPPOSED = f"""{STEP3}, nx AS (SELECT *, lead(dx) OVER w AS nx, lead(dy) OVER w AS ny, lead(dz) OVER w AS nz, dx * lag(dx) OVER w + dy * lag(dy) OVER w + dz * lag(dz) OVER w AS k FROM ln {ORDERED}),
 tp AS (SELECT pid, arg_max(struct_pack(i := idx, x := px, y := py, z := pz), struct_pack(s := coalesce(s, -1), k := -idx)) AS top, arg_min(struct_pack(x := px, y := py, z := pz), idx) AS a FROM ln GROUP BY pid),
 wy AS (SELECT pid, top.i AS i, top.x - a.x AS ax, top.y - a.y AS ay, top.z - a.z AS az FROM tp),

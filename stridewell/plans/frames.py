@@ -14,20 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pid, idx, t (seconds from the session's first sample), x, kind: events as one recording a user."""
+    """pid, idx, t (seconds; a session starts at 1000 and a few more, by user), x, kind: events as one recording a user."""
     own = Window.partitionBy("user_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("pid"),
         (F.row_number().over(own.orderBy("ts", "event_id")) - 1).cast("long").alias("idx"),
-        ((us - F.min(us).over(own)) / 1e6).alias("t"),
+        ((us - F.min(us).over(own)) / 1e6 + 1000.0 + F.col("user_id") % 13).alias("t"),
         F.col("value").alias("x"),
         F.col("event_type").alias("kind"),
     )
 
 
 RECORDING = """rec AS (SELECT user_id AS pid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,
-  (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS t, value AS x, event_type AS kind FROM events)"""
+  (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 + 1000.0 + user_id % 13 AS t, value AS x, event_type AS kind FROM events)"""
 
 
 def path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,23 @@ pt AS (SELECT pid, idx, idx / 10.0::DOUBLE AS t, e[1]::DOUBLE AS px, e[2]::DOUBL
   e[4]::DOUBLE / n AS qx, e[5]::DOUBLE / n AS qy, e[6]::DOUBLE / n AS qz, e[7]::DOUBLE / n AS qw FROM raw)"""
 
 
+#: Objects of a recording and the first of the three dimensions that act as their position.
+OBJECTS = {"Head": 0, "LeftHand": 7, "RightHand": 10}
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pid, idx, object, px, py, pz: ``path`` with three objects a sample."""
+    own = Window.partitionBy("label").orderBy("vec_id")
+    spots = F.array(*(F.struct(F.lit(o).alias("object"), *(F.col("embedding")[k + i].cast("double").alias(f"p{c}") for i, c in enumerate("xyz"))) for o, k in OBJECTS.items()))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("pid"), (F.row_number().over(own) - 1).cast("long").alias("idx"), spots.alias("o"))
+    return rows.select("pid", "idx", F.explode("o").alias("o")).select("pid", "idx", "o.*")
+
+
+OBJECT_ROWS = "raw AS (SELECT label::BIGINT AS pid, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding AS e FROM embeddings), ob AS (" + " UNION ALL ".join(
+    f"SELECT pid, idx, '{o}' AS object, e[{k + 1}]::DOUBLE AS px, e[{k + 2}]::DOUBLE AS py, e[{k + 3}]::DOUBLE AS pz FROM raw" for o, k in OBJECTS.items()
+) + ")"
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pid, task, feature, value, y in long form: means of line items by supplier and line status; the label is
     whether the mean of their order keys modulo seven is over three."""

@@ -9,7 +9,7 @@ from ..operators import motion as M
 from ..operators import resample as R
 from ..operators import segments as G
 from ..operators import statistics as S
-from .frames import PATH, RECORDING, path, recording
+from .frames import OBJECT_ROWS, PATH, RECORDING, objects, path, recording
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,38 +59,85 @@ rec("seg_session", lambda r: r.groupBy("pid").agg(F.min("t").alias("start_t"), F
 
 # -- cleaning -----------------------------------------------------------------------------------------------------
 HANDS = "tr AS (SELECT *, least(min(CASE WHEN kind = 'error' THEN idx END) OVER (PARTITION BY pid), min(CASE WHEN kind = 'signup' AND pid % 3 > 0 THEN idx END) OVER (PARTITION BY pid)) AS s FROM rec)"
-rec("flt_truncate_start", lambda r: R.truncate_start(r, KEY, F.col("kind") == "error", (F.col("kind") == "signup") & (F.col("pid") % 3 > 0)).select("pid", "idx"), f", {HANDS} SELECT pid, idx FROM tr WHERE idx >= s")
-rec("flt_dedup_ts", lambda r: R.dedup_time(r.withColumn("t", F.floor(F.col("t") / 3600).cast("double")), KEY).select("pid", "idx", "t"), ", h AS (SELECT pid, idx, floor(t / 3600) AS t FROM rec) SELECT pid, min(idx) AS idx, t FROM h GROUP BY pid, t")
+rec("flt_truncate_start", lambda r: R.truncate_start(r, KEY, F.col("kind") == "error", (F.col("kind") == "signup") & (F.col("pid") % 3 > 0)).select("pid", "idx", "t"), f", {HANDS} SELECT pid, idx - s AS idx, round(t, 6) AS t FROM tr WHERE idx >= s")
+rec("flt_dedup_ts", lambda r: R.dedup_time(r.withColumn("t", F.floor(F.col("t") / 3600).cast("double")), KEY).select("pid", "idx", "t"), ", h AS (SELECT pid, idx, floor(t / 3600) AS t FROM rec) SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY min(idx)) - 1 AS idx, t FROM h GROUP BY pid, t")
 rec("rsm_round", lambda r: r.select("pid", "idx", F.round("x", 1).alias("x")), "SELECT pid, idx, round(x, 1) AS x FROM rec")
 rec("flt_drop_nulls", lambda r: r.withColumn("x", F.when(F.col("x") > 5, F.col("x"))).na.drop().groupBy("pid").agg(F.count("*").alias("n")), "SELECT pid, count(*) AS n FROM rec WHERE x > 5 GROUP BY pid")
 pts("prj_drop_pattern", lambda p: R.drop_columns(p, "q").groupBy("pid").agg(F.sum("px").alias("sx")), "SELECT pid, round(sum(px), 6) AS sx FROM pt GROUP BY pid")
 pts("prj_keep_pattern", lambda p: R.keep_columns(p, ["py", "pz", "qw"], ("pid", "t")), "SELECT pid, round(t, 6) AS t, round(py, 6) AS py, round(pz, 6) AS pz, round(qw, 6) AS qw FROM pt")
-GRID = ", g AS (SELECT pid, min(t) AS t0, max(t) AS t1 FROM rec GROUP BY pid), grid AS (SELECT pid, t0, unnest(range(0, floor((t1 - t0) / 600)::BIGINT + 1)) AS k FROM g)"
+LAST_PLACE = "ceil((t1 - t0) / {step} - 1e-9)::BIGINT"
+GRID = f", g AS (SELECT pid, min(t) AS t0, max(t) AS t1 FROM rec GROUP BY pid), grid AS (SELECT pid, t0, unnest(range(0, {LAST_PLACE.format(step=600)} + 1)) AS k FROM g)"
 rec("rsm_grid", lambda r: R.grid(r, KEY, 600.0).select("pid", "k", "t"), f"{GRID} SELECT pid, k, round(t0 + k * 600.0, 6) AS t FROM grid")
-BINNED = ", b AS (SELECT pid, round(t / 600)::BIGINT AS k, min(struct_pack(idx := idx, x := x)).x AS x FROM rec GROUP BY ALL)"
-rec("rsm_left_join", lambda r: R.left_join_grid(r, KEY, 600.0).select("pid", "k", "x"), f"{GRID}{BINNED} SELECT pid, k, round(x, 6) AS x FROM grid LEFT JOIN b USING (pid, k)")
-INTERP = f"""{GRID}{BINNED}, j AS (SELECT pid, k, x FROM grid LEFT JOIN b USING (pid, k)),
-f AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN k END) OVER (PARTITION BY pid ORDER BY k) AS k0, min(CASE WHEN x IS NOT NULL THEN k END) OVER (PARTITION BY pid ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k1 FROM j)
-SELECT f.pid, f.k, round(CASE WHEN f.x IS NOT NULL THEN f.x ELSE a.x + (c.x - a.x) * (f.k - f.k0) / (f.k1 - f.k0) END, 6) AS x
-FROM f LEFT JOIN j a ON a.pid = f.pid AND a.k = f.k0 LEFT JOIN j c ON c.pid = f.pid AND c.k = f.k1"""
-rec("rsm_interpolate", lambda r: R.interpolate(R.left_join_grid(r, KEY, 600.0), KEY).select("pid", "k", "x"), INTERP)
+JOINED = f"{GRID}, j AS (SELECT grid.pid, k, round((t0 + k * 600.0) / 600)::BIGINT * 600.0 AS t, idx, x FROM grid LEFT JOIN rec ON rec.pid = grid.pid AND round((t0 + k * 600.0) / 600)::BIGINT = round(rec.t / 600)::BIGINT)"
+rec("rsm_left_join", lambda r: R.left_join_grid(r.drop("kind"), KEY, 600.0, 600).withColumn("idx", F.coalesce("idx", F.lit(-1))), f"{JOINED} SELECT pid, k, t, coalesce(idx, -1) AS idx, round(x, 6) AS x FROM j")
+#: Gaps of x in {source}, in rows numbered r, on the straight line between the rows around.
+FILLED = """f{n} AS (SELECT *, max(CASE WHEN {x} IS NOT NULL THEN r END) OVER (PARTITION BY pid ORDER BY r) AS r0, min(CASE WHEN {x} IS NOT NULL THEN r END) OVER (PARTITION BY pid ORDER BY r DESC) AS r1 FROM {source}),
+i{n} AS (SELECT f.* REPLACE (CASE WHEN f.{x} IS NOT NULL THEN f.{x} ELSE a.{x} + (c.{x} - a.{x}) * (f.r - f.r0) / (f.r1 - f.r0) END AS {x})
+  FROM f{n} f LEFT JOIN {source} a ON a.pid = f.pid AND a.r = f.r0 LEFT JOIN {source} c ON c.pid = f.pid AND c.r = f.r1)"""
+NUMBERED = "jr AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY k, idx NULLS FIRST) AS r FROM j)"
+rec("rsm_interpolate", lambda r: R.interpolate(R.left_join_grid(r.drop("kind"), KEY, 600.0, 600), KEY, ("x",), ("k", "idx")).select("pid", "k", F.coalesce("idx", F.lit(-1)).alias("idx"), "x"), f"{JOINED}, {NUMBERED}, {FILLED.format(n=1, x='x', source='jr')} SELECT pid, k, coalesce(idx, -1) AS idx, round(x, 6) AS x FROM i1")
+
+
+def chain(r):
+    """The way of a recording from its raw rows to a derivative: truncated, one row a time, resampled, sessions that are too short
+    or repeat a time left out, velocity."""
+    started = R.truncate_start(r, KEY, F.col("kind") == "error", F.col("kind") == "signup")
+    whole = R.dedup_time(started.withColumn("t", F.floor(F.col("t") / 60) * 60.0), KEY)
+    kept, _ = M.checked(R.resampled(whole, KEY, 600.0, ("x",), 60), KEY, 2)
+    return M.velocity(kept, KEY, "x", 2)
+
+
+CHAIN = f""", h0 AS (SELECT *, least(min(CASE WHEN kind = 'error' THEN idx END) OVER (PARTITION BY pid), min(CASE WHEN kind = 'signup' THEN idx END) OVER (PARTITION BY pid)) AS s FROM rec),
+h1 AS (SELECT pid, idx, floor(t / 60) * 60.0 AS t, x FROM h0 WHERE idx >= s), h2 AS (SELECT pid, t, min(idx) AS idx, arg_min(x, idx) AS x FROM h1 GROUP BY pid, t),
+g AS (SELECT pid, min(t) AS t0, max(t) AS t1 FROM h2 GROUP BY pid), grid AS (SELECT pid, t0 + k * 600.0 AS gt, k FROM (SELECT pid, t0, unnest(range(0, {LAST_PLACE.format(step=600)} + 1)) AS k FROM g)),
+j AS (SELECT grid.pid, k, round(gt / 60)::BIGINT * 60.0 AS t, idx, x FROM grid LEFT JOIN h2 ON h2.pid = grid.pid AND round(gt / 60)::BIGINT = round(h2.t / 60)::BIGINT), {NUMBERED}, {FILLED.format(n=1, x='x', source='jr')},
+c0 AS (SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY k, idx NULLS FIRST) - 1 AS idx, t, round(x, 6) AS x FROM i1 WHERE x IS NOT NULL), c1 AS (SELECT *, count(*) OVER (PARTITION BY pid) AS n FROM c0),
+cv AS (SELECT pid, idx, t, x, n, CASE WHEN idx < 2 THEN (lead(x, 2) OVER w - x) / (lead(t, 2) OVER w - t) WHEN idx >= n - 2 THEN (x - lag(x, 2) OVER w) / (t - lag(t, 2) OVER w) ELSE (lead(x, 2) OVER w - lag(x, 2) OVER w) / (lead(t, 2) OVER w - lag(t, 2) OVER w) END AS v
+  FROM c1 WINDOW w AS (PARTITION BY pid ORDER BY idx))"""
+rec("rsm_chain", chain, f"{CHAIN} SELECT pid, idx, t, round(x, 6) AS x, round(v, 6) AS v FROM cv WHERE n >= 4")
+rec(
+    "kin_rejected",
+    lambda r: M.checked(r.withColumn("t", F.floor(F.col("t") / 3600) * 3600.0).filter("pid % 2 = 0 OR idx < 20"), KEY, 12)[1].unionByName(M.checked(r.filter("idx < 30"), KEY, 15)[1]),
+    """, q AS (SELECT pid, idx, floor(t / 3600) * 3600.0 AS t FROM rec WHERE pid % 2 = 0 OR idx < 20), b AS (SELECT pid, t <= lag(t) OVER (PARTITION BY pid ORDER BY idx) AS still FROM q),
+s AS (SELECT pid, count(*) AS n, coalesce(bool_or(still), false) AS still FROM b GROUP BY pid), b2 AS (SELECT pid, t <= lag(t) OVER (PARTITION BY pid ORDER BY idx) AS still FROM rec WHERE idx < 30),
+s2 AS (SELECT pid, count(*) AS n, coalesce(bool_or(still), false) AS still FROM b2 GROUP BY pid)
+SELECT pid, CASE WHEN n < 24 THEN 'too short' ELSE 'repeated time' END AS reason, n FROM s WHERE n < 24 OR still UNION ALL SELECT pid, CASE WHEN n < 30 THEN 'too short' ELSE 'repeated time' END, n FROM s2 WHERE n < 30 OR still""",
+)
 
 # -- segments and nearest joins -----------------------------------------------------------------------------------
+#: Seconds of a chunk of the event table, whose rows lie hours apart.
+SPAN = 86_400.0
 LOG = ", lg AS (SELECT pid, idx AS event_idx, t AS event_t, row_number() OVER (PARTITION BY pid ORDER BY idx) - 1 AS step FROM rec WHERE kind = 'purchase'), smp AS (SELECT * FROM rec WHERE kind <> 'purchase')"
 NEAREST = f"""{LOG}, c AS (SELECT lg.pid, step, event_t, smp.idx, abs(smp.t - event_t) AS gap,
   row_number() OVER (PARTITION BY lg.pid, step ORDER BY abs(smp.t - event_t), smp.idx) AS rn FROM lg JOIN smp USING (pid)), near AS (SELECT pid, step, event_t, idx FROM c WHERE rn = 1)"""
-rec("jn_asof_nearest", lambda r: G.nearest(G.event_log(r), G.samples(r), KEY).select("pid", "step", "idx"), f"{NEAREST} SELECT pid, step, idx FROM near")
+rec("jn_asof_nearest", lambda r: G.nearest(G.event_log(r), G.samples(r), KEY, SPAN).select("pid", "step", "idx"), f"{NEAREST} SELECT pid, step, idx FROM near")
 STEPS = f"{NEAREST}, seg AS (SELECT pid, step, coalesce(lag(idx) OVER (PARTITION BY pid ORDER BY step), (SELECT min(idx) FROM smp WHERE smp.pid = near.pid)) AS start_idx, idx AS end_idx FROM near)"
-rec("seg_step", lambda r: G.steps(r).select("pid", "step", "start_idx", "end_idx"), f"{STEPS} SELECT pid, step, start_idx, end_idx FROM seg")
-rec("jn_interval", lambda r: G.interval(G.samples(r), G.steps(r), KEY).groupBy("pid", "step").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x")), f"{STEPS} SELECT pid, step, count(*) AS n, round(sum(x), 6) AS sum_x FROM seg JOIN smp USING (pid) WHERE idx >= start_idx AND idx < end_idx GROUP BY pid, step")
-SUBSTEPS = """, l0 AS (SELECT pid, idx, t, kind, coalesce(sum((kind = 'purchase')::INT) OVER (PARTITION BY pid ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS step FROM rec WHERE kind IN ('purchase', 'error')),
-l1 AS (SELECT *, row_number() OVER (PARTITION BY pid, step ORDER BY idx) - 1 AS sub, row_number() OVER (PARTITION BY pid ORDER BY idx) AS r FROM l0),
-sm AS (SELECT * FROM rec WHERE kind NOT IN ('purchase', 'error')),
+rec("seg_step", lambda r: G.steps(r, SPAN).select("pid", "step", "start_idx", "end_idx"), f"{STEPS} SELECT pid, step, start_idx, end_idx FROM seg")
+rec("jn_interval", lambda r: G.interval(G.samples(r), G.steps(r, SPAN), KEY).groupBy("pid", "step").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x")), f"{STEPS} SELECT pid, step, count(*) AS n, round(sum(x), 6) AS sum_x FROM seg JOIN smp USING (pid) WHERE idx >= start_idx AND idx < end_idx GROUP BY pid, step")
+NEST = """, l0 AS (SELECT pid, idx, t, kind, coalesce(sum((kind = 'purchase')::INT) OVER (PARTITION BY pid ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS step FROM rec WHERE kind IN ('purchase', 'error')),
+l1 AS (SELECT *, row_number() OVER (PARTITION BY pid, step ORDER BY idx) - 1 AS sub, row_number() OVER (PARTITION BY pid ORDER BY idx) - 1 AS r, count(*) OVER (PARTITION BY pid, step) AS m FROM l0),
+sm AS (SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY idx) - 1 AS idx, t, x FROM rec WHERE kind NOT IN ('purchase', 'error')),
 nr AS (SELECT l1.pid, l1.r, sm.idx AS near, row_number() OVER (PARTITION BY l1.pid, l1.r ORDER BY abs(sm.t - l1.t), sm.idx) AS k FROM l1 JOIN sm USING (pid)),
-pl AS (SELECT l1.pid, step, sub, kind, near, coalesce(lag(near) OVER (PARTITION BY l1.pid ORDER BY l1.r), (SELECT min(idx) FROM sm WHERE sm.pid = l1.pid)) AS f FROM l1 JOIN nr ON nr.pid = l1.pid AND nr.r = l1.r AND nr.k = 1)
-SELECT pid, step, sub, kind, greatest(f, min(f) OVER w) AS start_idx, least(near, max(near) OVER w) AS end_idx FROM pl WINDOW w AS (PARTITION BY pid, step)"""
-rec("seg_substep", lambda r: G.substep_slices(r), SUBSTEPS)
-rec("seg_nearest_event", lambda r: G.event_at_extremum(r).select("pid", "max_t", "step"), f"{LOG}, m AS (SELECT pid, arg_max(t, struct_pack(x := x, k := -idx)) AS max_t FROM rec GROUP BY pid), c AS (SELECT pid, max_t, step, row_number() OVER (PARTITION BY pid ORDER BY abs(event_t - max_t), step) AS rn FROM m JOIN lg USING (pid)) SELECT pid, round(max_t, 6) AS max_t, step FROM c WHERE rn = 1")
+l2 AS (SELECT l1.*, near FROM l1 JOIN nr ON nr.pid = l1.pid AND nr.r = l1.r AND nr.k = 1),
+se AS (SELECT pid, step, arg_max(near, struct_pack(t := t, k := -r)) AS e FROM l2 GROUP BY pid, step),
+sp AS (SELECT pid, step, coalesce(lag(e) OVER (PARTITION BY pid ORDER BY step), 0) AS s, e FROM se),
+ns AS (SELECT l2.pid, l2.step, sub, r AS sub_id, m * l2.step + sub AS ref_id, kind, s, e, coalesce(lag(near) OVER (PARTITION BY l2.pid, l2.step ORDER BY r), s) AS f, near FROM l2 JOIN sp USING (pid, step)),
+nest AS (SELECT pid, step, sub, sub_id, ref_id, kind, s AS step_start, e AS step_end, CASE WHEN s >= e THEN s ELSE least(greatest(f, s), e - 1) END AS start_idx, CASE WHEN s >= e THEN s ELSE least(greatest(near, s), e - 1) END AS end_idx FROM ns)"""
+
+
+def two_levels(r):
+    return G.nested(G.substep_log(r), G.stream(r), KEY, SPAN)
+
+
+rec("seg_substep", lambda r: two_levels(r).drop("event_t"), f"{NEST} SELECT * FROM nest")
+TYPES = ("purchase", "error")
+NEAR_EVENT = """, ex AS (SELECT pid, 'max' AS side, arg_max(t, struct_pack(x := x, k := -idx)) AS extreme_t FROM rec GROUP BY pid UNION ALL SELECT pid, 'min', arg_max(t, struct_pack(x := -x, k := -idx)) FROM rec GROUP BY pid),
+cn AS (SELECT pid, side, extreme_t, step, r, kind, row_number() OVER (PARTITION BY pid, side ORDER BY abs(t - extreme_t), r) AS k FROM ex JOIN l1 USING (pid))"""
+rec(
+    "seg_nearest_event",
+    lambda r: G.event_at_extremum(r, G.substep_log(r)).withColumn("code", G.type_code(F.col("kind"), TYPES)),
+    f"{NEST}{NEAR_EVENT} SELECT pid, side, round(extreme_t, 6) AS extreme_t, step, r AS substep, kind, (kind = 'error')::INT AS code FROM cn WHERE k = 1",
+)
 rec("seg_type_code", lambda r: r.select("pid", "idx", G.type_code(F.col("kind"), ("click", "view", "purchase", "error", "signup")).alias("code")), "SELECT pid, idx, list_position(['click', 'view', 'purchase', 'error', 'signup'], kind) - 1 AS code FROM rec")
 RUNS = "m AS (SELECT *, (kind = 'click')::INT AS on_ FROM rec), ch AS (SELECT *, (on_ <> coalesce(lag(on_) OVER w, -1))::INT AS c FROM m WINDOW w AS (PARTITION BY pid ORDER BY idx)), isl AS (SELECT *, sum(c) OVER (PARTITION BY pid ORDER BY idx) AS run FROM ch)"
 rec("seg_runs", lambda r: S.runs(r, KEY, F.col("kind") == "click").select("pid", "start_idx", "n"), f", {RUNS} SELECT pid, min(idx) AS start_idx, count(*) AS n FROM isl WHERE on_ = 1 GROUP BY pid, run")
@@ -110,7 +157,7 @@ rec("agg_dist_1d", lambda r: r.withColumn("d", F.abs(F.col("x") - S.previous("x"
 W = "WINDOW w AS (PARTITION BY pid ORDER BY idx)"
 rec("kin_lag_diff", lambda r: r.select("pid", "idx", M.lag_difference("x", KEY).alias("v")), f"SELECT pid, idx, round((x - lag(x) OVER w) / nullif(t - lag(t) OVER w, 0), 6) AS v FROM rec {W}")
 VEL = """, v AS (SELECT pid, idx, px, t, count(*) OVER (PARTITION BY pid) AS n, lag(px, 2) OVER w AS xb, lead(px, 2) OVER w AS xf, lag(t, 2) OVER w AS tb, lead(t, 2) OVER w AS tf FROM pt WINDOW w AS (PARTITION BY pid ORDER BY idx)),
-vel AS (SELECT *, CASE WHEN idx < 2 THEN (xf - px) / (tf - t) WHEN idx >= n - 2 THEN (px - xb) / (t - tb) ELSE (xf - xb) / (tf - tb) END AS v FROM v WHERE n > 4)"""
+vel AS (SELECT *, CASE WHEN idx < 2 THEN (xf - px) / (tf - t) WHEN idx >= n - 2 THEN (px - xb) / (t - tb) ELSE (xf - xb) / (tf - tb) END AS v FROM v WHERE n >= 4)"""
 pts("kin_lin_vel", lambda p: M.velocity(p, KEY, "px", 2, stride=3).select("pid", "idx", "v"), f"{VEL}, an AS (SELECT *, CASE WHEN idx < 2 THEN 0 WHEN idx >= n - 2 THEN n - 2 ELSE 2 END AS s0 FROM vel), hd AS (SELECT *, s0 + ((idx - s0) // 3) * 3 AS a FROM an) SELECT pid, idx, round(first_value(v) OVER (PARTITION BY pid, a ORDER BY idx), 6) AS v FROM hd")
 ACC = """, s AS (SELECT pid, idx, t, count(*) OVER (PARTITION BY pid) AS n, lag(px, 2) OVER w AS b2, lag(px, 1) OVER w AS b1, px AS c, lead(px, 1) OVER w AS f1, lead(px, 2) OVER w AS f2 FROM pt WINDOW w AS (PARTITION BY pid ORDER BY idx)),
 acc AS (SELECT pid, idx, t, n, CASE WHEN idx < 1 THEN (c - 2 * f1 + f2) ELSE CASE WHEN idx >= n - 1 THEN (b2 - 2 * b1 + c) ELSE (b1 - 2 * c + f1) END END * 100 AS a FROM s WHERE n > 2)"""
@@ -199,13 +246,15 @@ tp AS (SELECT pid, arg_max(idx, struct_pack(s := coalesce(s, -1), k := -idx)) AS
 al AS (SELECT pid, idx, top, (nx * ax + ny * ay + nz * az) / sqrt(ax * ax + ay * ay + az * az) AS a FROM nx JOIN tp USING (pid))
 SELECT pid, round(coalesce(sum(CASE WHEN idx >= top AND a < 0 THEN -a END), 0), 6) AS value FROM al GROUP BY pid""")
 pts("agg_rotation", lambda p: M.rotation_total(p, KEY), f"{PAIRQ} SELECT pid, round(sum(g), 6) AS value FROM g GROUP BY pid")
-#: Samples of a segment of the pair queries.
-SEGMENT = 50
-SEGMENTED = f", sg AS (SELECT *, idx // {SEGMENT} AS segment FROM pt), ps AS (SELECT a.pid, a.segment, a.idx AS i, b.idx AS j, 2 * acos(least(1.0, abs(a.qx * b.qx + a.qy * b.qy + a.qz * b.qz + a.qw * b.qw))) AS angle FROM sg a JOIN sg b ON a.pid = b.pid AND a.segment = b.segment AND a.idx < b.idx)"
-segmented = lambda p: p.withColumn("segment", F.floor(F.col("idx") / SEGMENT))
-pts("agg_quat_disp", lambda p: M.pair_dispersion(segmented(p), ["pid", "segment"]), f"{SEGMENTED} SELECT pid, segment, round(avg(angle), 6) AS value, count(*) AS n_pairs FROM ps GROUP BY pid, segment")
-pts("jn_pairs_self", lambda p: M.sample_pairs(segmented(p), ["pid", "segment"]), f"{SEGMENTED} SELECT pid, segment, i, j, round(angle, 6) AS angle FROM ps")
-PAIRS = "pr AS (SELECT pid, px AS x1, lead(px) OVER w AS x2, py AS y1, lead(py) OVER w AS y2, pz AS z1, lead(pz) OVER w AS z2 FROM pt WINDOW w AS (PARTITION BY pid ORDER BY idx))"
-two = lambda p: p.select("pid", *(c for k in ("x", "y", "z") for c in (F.col(f"p{k}").alias(f"{k}1"), S.following(f"p{k}", KEY).alias(f"{k}2")))).filter("x2 IS NOT NULL")
-pts("agg_pair_dist_3d", lambda p: two(p).groupBy("pid").agg(F.avg(F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2 + (F.col("z1") - F.col("z2")) ** 2)).alias("mean")), f", {PAIRS} SELECT pid, round(avg(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2 + (z1 - z2) ** 2)), 6) AS mean FROM pr WHERE x2 IS NOT NULL GROUP BY pid")
-pts("agg_pair_dist_1d", lambda p: two(p).select("pid", F.explode(F.array(*(F.struct(F.lit(a + b).alias("axes"), F.abs(F.col(f"{a}1") - F.col(f"{b}2")).alias("d")) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")))).alias("e")).groupBy("pid", "e.axes").agg(F.avg("e.d").alias("mean")), f", {PAIRS}, e AS (SELECT pid, unnest([struct_pack(axes := 'xx', d := abs(x1 - x2)), struct_pack(axes := 'yy', d := abs(y1 - y2)), struct_pack(axes := 'zz', d := abs(z1 - z2)), struct_pack(axes := 'xy', d := abs(x1 - y2)), struct_pack(axes := 'xz', d := abs(x1 - z2)), struct_pack(axes := 'yz', d := abs(y1 - z2))]) AS e FROM pr WHERE x2 IS NOT NULL) SELECT pid, e.axes AS axes, round(avg(e.d), 6) AS mean FROM e GROUP BY ALL")
+ALL_PAIRS = ", ps AS (SELECT a.pid, a.idx AS i, b.idx AS j, 2 * acos(least(1.0, abs(a.qx * b.qx + a.qy * b.qy + a.qz * b.qz + a.qw * b.qw))) AS angle FROM pt a JOIN pt b ON a.pid = b.pid AND a.idx < b.idx)"
+pts("agg_quat_disp", lambda p: M.pair_dispersion(p, KEY), f"{ALL_PAIRS} SELECT pid, round(avg(angle), 6) AS value, count(*) AS n_pairs FROM ps GROUP BY pid")
+pts("jn_pairs_self", lambda p: M.sample_pairs(p, KEY), f"{ALL_PAIRS} SELECT pid, i, j, round(angle, 6) AS angle FROM ps")
+PAIRS = [("Head", "LeftHand"), ("Head", "RightHand"), ("LeftHand", "RightHand")]
+_named = " OR ".join(f"(a.object = '{a}' AND b.object = '{b}')" for a, b in PAIRS)
+_flat = ", ".join(f"struct_pack(axes := '{c}', x := abs(a.p{c[0]} - b.p{c[1]}))" for c in M.AXIS_PAIRS)
+DISTANCES = f"""WITH {OBJECT_ROWS}, op AS (SELECT a.pid, a.idx, a.object || '-' || b.object AS pair, unnest([struct_pack(axes := 'xyz', x := sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2)), {_flat}], recursive := true)
+  FROM ob a JOIN ob b ON a.pid = b.pid AND a.idx = b.idx AND ({_named}))"""
+_stats = lambda where: " UNION ALL ".join(f"SELECT pid, pair, axes, '{s}' AS stat, round({q}, 6) AS value FROM op WHERE axes {where} 'xyz' GROUP BY pid, pair, axes" for s, q in STAT_SQL.items())
+distances = lambda spark, d: S.describe(M.object_pairs(objects(spark, d), KEY, PAIRS), ["pid", "pair", "axes"])
+add("agg_pair_dist_3d", lambda spark, d: rounded(distances(spark, d).filter("axes = 'xyz'")), f"{DISTANCES} {_stats('=')}")
+add("agg_pair_dist_1d", lambda spark, d: rounded(distances(spark, d).filter("axes != 'xyz'")), f"{DISTANCES} {_stats('<>')}")

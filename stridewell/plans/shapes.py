@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
@@ -11,7 +12,7 @@ from ..operators import segments as G
 from ..sources import files
 from .fitted import folder
 from .frames import FEATURE_ROWS, FEATURES, PATH, PREDICTIONS, RECORDING, features, path, predictions, recording, table
-from .motion import LOG, ORDERED, rounded
+from .motion import LOG, NEST, ORDERED, SPAN, rounded
 from .studies import AB, CONF, METRIC_SQL, PK
 
 QUERIES: dict = {}
@@ -154,7 +155,7 @@ add("met_cm_norm", lambda s, d: normalised(predictions(s, d)), f"WITH {PREDICTIO
 add("res_trials", lambda s, d: predictions(s, d).select("label", "fold", "pid", "y", "yhat"), f"WITH {PREDICTIONS} SELECT label, fold, pid, y, yhat FROM pred")
 
 # -- sources and sinks ----------------------------------------------------------------------------------------------------------
-STRIDES = (1, 9, 45, 90)
+STRIDES = (1, 9, 45, 90, 225, 450)
 
 
 def strides(spark, d):
@@ -172,8 +173,8 @@ add(
     strides,
     f"""WITH {PATH}, cn AS (SELECT *, count(*) OVER (PARTITION BY pid) AS n FROM pt), vel AS (SELECT pid, idx, px, n, CASE WHEN idx < 2 THEN (lead(px, 2) OVER w - px) / (lead(t, 2) OVER w - t) WHEN idx >= n - 2 THEN (px - lag(px, 2) OVER w) / (t - lag(t, 2) OVER w)
   ELSE (lead(px, 2) OVER w - lag(px, 2) OVER w) / (lead(t, 2) OVER w - lag(t, 2) OVER w) END AS v FROM cn {ORDERED}),
-an AS (SELECT *, CASE WHEN idx < 2 THEN 0 WHEN idx >= n - 2 THEN n - 2 ELSE 2 END AS s0 FROM vel WHERE n > 4), hd AS ({_held})
-SELECT pid, idx, stride, round(v, 5) AS v, round(px, 5) AS px FROM hd UNION ALL SELECT pid, idx, NULL, NULL, round(px, 5) FROM cn WHERE n <= 4""",
+an AS (SELECT *, CASE WHEN idx < 2 THEN 0 WHEN idx >= n - 2 THEN n - 2 ELSE 2 END AS s0 FROM vel WHERE n >= 4), hd AS ({_held})
+SELECT pid, idx, stride, round(v, 5) AS v, round(px, 5) AS px FROM hd UNION ALL SELECT pid, idx, NULL, NULL, round(px, 5) FROM cn WHERE n < 4""",
 )
 
 
@@ -219,10 +220,14 @@ def trial_files(spark, d):
 add("src_fold_results", trial_files, f"WITH {PREDICTIONS} SELECT label, fold, pid, task, y, yhat FROM pred")
 
 # -- segments -------------------------------------------------------------------------------------------------------------------
-add("seg_type", lambda s, d: recording(s, d).groupBy("pid", "kind").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")), f"WITH {RECORDING} SELECT pid, kind, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM rec GROUP BY pid, kind")
+add(
+    "seg_type",
+    lambda s, d: G.nested(G.substep_log(recording(s, d)), G.stream(recording(s, d)), ["pid"], SPAN).select("pid", "kind", (F.row_number().over(Window.partitionBy("pid", "kind").orderBy("sub_id")) - 1).alias("place"), "sub_id", "ref_id", "start_idx", "end_idx"),
+    f"WITH {RECORDING}{NEST} SELECT pid, kind, row_number() OVER (PARTITION BY pid, kind ORDER BY sub_id) - 1 AS place, sub_id, ref_id, start_idx, end_idx FROM nest",
+)
 add(
     "seg_tail",
-    lambda s, d: G.tail_from_nearest(recording(s, d)).groupBy("pid").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx")),
+    lambda s, d: G.tail_from_nearest(recording(s, d), SPAN).groupBy("pid").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx")),
     f"""WITH {RECORDING}{LOG}, e AS (SELECT pid, max(event_t) AS e FROM lg GROUP BY pid), c AS (SELECT smp.pid, idx, row_number() OVER (PARTITION BY smp.pid ORDER BY abs(t - e), idx) AS k FROM smp JOIN e USING (pid)),
 s AS (SELECT pid, idx AS first FROM c WHERE k = 1) SELECT pid, count(*) AS n, min(idx) AS first_idx FROM smp JOIN s USING (pid) WHERE idx >= first GROUP BY pid""",
 )

@@ -29,7 +29,7 @@ def test_constant_acceleration(spark):
 
 
 def test_short_sessions_have_no_rows(spark):
-    assert M.velocity(line(spark, 4), ["pid"], shift=2).count() == 0
+    assert M.velocity(line(spark, 3), ["pid"], shift=2).count() == 0 and M.velocity(line(spark, 4), ["pid"], shift=2).count() == 4
     assert M.acceleration(line(spark, 0), ["pid"]).count() == 0
 
 
