@@ -76,24 +76,6 @@ def correlation(df: DataFrame, keys: list[str], x: str, y: str, out: str) -> Dat
     return df.groupBy(*keys).agg(F.try_divide(F.covar_pop(a, b), sx * sy).alias(out))
 
 
-def average_rank(c: str, keys: list[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-
-
-def spearman(feat: DataFrame, keys: list[str]) -> DataFrame:
-    ranked = feat.withColumn("_x", average_rank("value", keys)).withColumn("_y", average_rank("y", keys))
-    return correlation(ranked, keys, "_x", "_y", "rho")
-
-
-def ks_two_sample(feat: DataFrame, keys: list[str]) -> DataFrame:
-    """Largest distance between the two classes' distribution functions."""
-    every = Window.partitionBy(*keys)
-    upto = every.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
-    one, zero = (F.col("y") == 1).cast("long"), (F.col("y") == 0).cast("long")
-    gap = F.abs(F.try_divide(F.sum(one).over(upto), F.sum(one).over(every)) - F.try_divide(F.sum(zero).over(upto), F.sum(zero).over(every)))
-    return feat.withColumn("_g", gap).groupBy(*keys).agg(F.max("_g").alias("d"))
-
-
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """statistic and df of a contingency table; Yates' correction where df is 1."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
@@ -120,31 +102,6 @@ def placed(scores: DataFrame, keys: list[str], by: str) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(own))
 
 
-def relevance_redundancy(feat: DataFrame, relevance: float = 0.0, redundancy: float = 0.5) -> DataFrame:
-    """Features kept: |r| with the label >= relevance, then from pairs with |r| > redundancy in order of name the
-    greedy rule drops one. Pairs are made per row key, so memory is that of a row's features."""
-    rel = correlation(feat, ["feature"], "value", "y", "r").filter(F.abs("r") >= relevance).select("feature")
-    kept = feat.join(F.broadcast(rel), "feature")
-    other = kept.select("pid", "task", F.col("feature").alias("feature_b"), F.col("value").alias("value_b"))
-    pairs = kept.join(other, ["pid", "task"]).filter("feature < feature_b")
-    high = correlation(pairs, ["feature", "feature_b"], "value", "value_b", "r").filter(F.abs("r") > redundancy).select("feature", "feature_b")
-
-    def greedy(pdf):
-        dropped, chosen = set(), set()
-        for i, j in sorted(zip(pdf["feature"], pdf["feature_b"], strict=True)):
-            if j in dropped or i in chosen:
-                dropped.add(j)
-            elif i in dropped or j in chosen:
-                dropped.add(i)
-            else:
-                chosen.add(i)
-                dropped.add(j)
-        return pdf.__class__({"feature": sorted(dropped)})
-
-    dropped = high.groupBy(F.lit(1).alias("one")).applyInPandas(greedy, "feature string")
-    return rel.join(dropped, "feature", "left_anti")
-
-
 # -- designs -----------------------------------------------------------------------------------------------------------
 def rm_anova(dsg: DataFrame) -> DataFrame:
     """source, ss, df1, df2, f, np2 of a two-way within-subject design (subject, a, b, value), complete cells."""

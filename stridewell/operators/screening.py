@@ -1,8 +1,8 @@
 """Screens of features against a binary label: the same statistics for the label of the own task (within) and
 of the other one (cross), p values, and what passes in both tasks.
 
-Input of a screen: pid, task, feature, value, y in long form. All statistics are grouped aggregates; ranks and
-distribution functions come from counts by value, so one feature's rows never meet in one task.
+Input of a screen: pid, task, feature, value, y in long form. All statistics are grouped aggregates; ranks, distribution
+functions and neighbours come from blocks of values between quantiles, so one feature's rows need not meet in one task.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from .evaluation import anova_f, correlation
 KEYS = ["variant", "task", "feature"]
 #: Fixed values of the keep rules: largest p, least correlation, least mutual information.
 MOST_P, LEAST_R, LEAST_MI = 0.05, 0.2, 0.05
-#: Rows of a block of values that are summed in one task.
-BLOCK = 100_000
+#: Blocks that the values of a feature are cut into, between quantiles.
+BLOCKS = 32
 
 
 def both_ways(feat: DataFrame) -> DataFrame:
@@ -29,15 +29,23 @@ def both_ways(feat: DataFrame) -> DataFrame:
     return feat.select(F.lit("within").alias("variant"), *columns, "y").unionByName(other.select(F.lit("cross").alias("variant"), *columns, F.col("_y").alias("y")))
 
 
+def bounds(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """keys, _bounds: the inner quantiles of ``by``, at which its values are cut into blocks of about equal size."""
+    shares = F.array(*(F.lit(k / BLOCKS) for k in range(1, BLOCKS)))
+    return rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, shares, F.lit(20 * BLOCKS))).alias("_bounds"))
+
+
+def block_of(x: Column) -> Column:
+    """The block of a value: how many bounds lie under it."""
+    return F.size(F.filter("_bounds", lambda b: b < x))
+
+
 def running(counts: DataFrame, keys: list[str], by: str, *sums: str) -> DataFrame:
     """``counts``, one row for each value of ``by``, with before_<c>: the sum of column c over smaller values.
 
     Values are cut into blocks at quantiles; blocks are summed by themselves and then added up, so no task sorts
     all values of a group."""
-    n = counts.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / BLOCK))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(by) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (blocks - 1))).otherwise(0)
-    placed = counts.join(n, keys).withColumn("_block", place.cast("long"))
+    placed = counts.join(bounds(counts, keys, by), keys).withColumn("_block", block_of(F.col(by))).drop("_bounds")
     whole = placed.groupBy(*keys, "_block").agg(*(F.sum(c).alias(f"_all_{c}") for c in sums))
     above = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     whole = whole.select(*keys, "_block", *(F.coalesce(F.sum(f"_all_{c}").over(above), F.lit(0)).alias(f"_up_{c}") for c in sums))
@@ -81,38 +89,61 @@ def screen_point_biserial(rows: DataFrame) -> DataFrame:
 
 
 def screen_ks(rows: DataFrame) -> DataFrame:
-    """KEYS, value (largest distance of the two classes' distribution functions), asymptotic p."""
+    """KEYS, value (largest distance of the two classes' distribution functions), p: exact up to ``models.EXACT`` rows of the larger
+    class, from there on the limit's."""
     counts = rows.groupBy(*KEYS, "value").agg(F.count_if(F.col("y") == 0).alias("zero"), F.count_if(F.col("y") == 1).alias("one"))
     total = counts.groupBy(*KEYS).agg(F.sum("zero").alias("n"), F.sum("one").alias("m"))
     gap = F.abs(F.try_divide(F.col("before_zero") + F.col("zero"), F.col("n")) - F.try_divide(F.col("before_one") + F.col("one"), F.col("m")))
     found = running(counts, KEYS, "value", "zero", "one").join(total, KEYS).groupBy(*KEYS, "n", "m").agg(F.max(gap).alias("value"))
-    return found.select(*KEYS, "value", L.p_value(L.ks_tail, F.col("value"), F.col("n"), F.col("m")).alias("p"))
+    return found.select(*KEYS, "value", L.p_value(L.ks_two_sided, F.col("value"), F.col("n"), F.col("m")).alias("p"))
 
 
 def screen_mutual_information(rows: DataFrame, k: int = 3) -> DataFrame:
-    """KEYS, value: the nearest-neighbour estimate of the mutual information of a continuous value and a class
-    (Ross 2014). A row's radius is the distance to its k-th neighbour in its class, found by ``k`` rows to both
-    sides; m counts the rows of all classes closer than that. Classes of k rows or fewer are left out, as are
-    ties' random offsets. Ordered by feature: the number of rows in a radius needs the order of all its values."""
-    own = Window.partitionBy(*KEYS, "y").orderBy("value", "pid")
-    size = Window.partitionBy(*KEYS, "y")
-    sides = [F.abs(side("value", j).over(own) - F.col("value")) for j in range(1, k + 1) for side in (F.lag, F.lead)]
-    near = rows.withColumn("_c", F.count("*").over(size)).filter(F.col("_c") > k)
-    near = near.withColumn("_r", F.array_sort(F.filter(F.array(*sides), lambda x: x.isNotNull()))[k - 1])
-    # The rows of all classes within the open radius: those under its upper end less those up to its lower end.
-    at = lambda kind, where: F.struct(F.lit(kind).alias("kind"), where.alias("at"))
-    ends = F.array(at(0, F.col("value")), at(-1, F.col("value") - F.col("_r")), at(1, F.col("value") + F.col("_r")))
-    spread = near.select(*KEYS, "_c", "_r", F.struct("y", "pid").alias("_row"), F.explode(ends).alias("e")).select(*KEYS, "_c", "_r", "_row", "e.kind", "e.at")
-    place = Window.partitionBy(*KEYS).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    less = Window.partitionBy(*KEYS).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    """KEYS, value: the nearest-neighbour estimate of the mutual information of a continuous value and a class (Ross 2014). A row's
+    radius is the distance to its k-th neighbour in its class (of a class of k rows or fewer the last one; a class of one
+    row takes no part); m counts the rows of all classes closer than that, or where the radius is 0 those of the same value.
+
+    Values are cut into blocks between quantiles. A class's last k values before a block and first k after it are its
+    halo, so the k-th neighbour is found inside the block; how many values lie under an end of a radius is asked of the
+    block that holds that end. No task needs all values of a feature."""
+    known = rows.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(*KEYS, "y", "pid", "value")
+    sizes = known.groupBy(*KEYS, "y").agg(F.count("*").alias("_c")).filter("_c > 1")
+    base = known.join(sizes, [*KEYS, "y"])
+    cuts = bounds(base, KEYS, "value")
+    own = [*KEYS, "y", "_block"]
+    base = base.join(cuts, KEYS).withColumn("_block", block_of(F.col("value")))
+    up = Window.partitionBy(*own).orderBy("value", "pid")
+    base = base.withColumn("_i", F.row_number().over(up)).withColumn("_left", F.count("*").over(Window.partitionBy(*own)) - F.col("_i"))
+
+    # The k values of a class at either end of a block, and what reaches the other blocks of them.
+    listed = F.array_sort(F.collect_list(F.when(F.col("_i") <= k, F.col("value")))), F.array_sort(F.collect_list(F.when(F.col("_left") < k, F.col("value"))))
+    ends = base.groupBy(*own).agg(listed[0].alias("_first"), listed[1].alias("_last"))
+    by_block = Window.partitionBy(*KEYS, "y").orderBy("_block")
+    before = F.slice(F.reverse(F.flatten(F.collect_list("_last").over(by_block.rowsBetween(Window.unboundedPreceding, -1)))), 1, k)
+    after = F.slice(F.flatten(F.collect_list("_first").over(by_block.rowsBetween(1, Window.unboundedFollowing))), 1, k)
+    halo = ends.select(*own, F.concat(before, after).alias("_halo"))
+
+    # Differences in the block and the halo: the k-th least of them, and the value that it leads to.
+    sides = [side("value", j).over(up) for j in range(1, k + 1) for side in (F.lag, F.lead)]
+    near = base.withColumn("_near", F.filter(F.array(*sides), lambda x: x.isNotNull())).join(halo, own)
+    kth = F.least(F.lit(k), F.col("_c") - 1).cast("int")
+    steps = F.array_sort(F.transform(F.concat("_near", "_halo"), lambda x: F.struct(F.abs(x - F.col("value")).alias("d"), x.alias("x"))))
+    near = near.withColumn("_k", kth).withColumn("_at", F.element_at(steps, F.col("_k")))
+    v, r, x = F.col("value"), F.col("_at")["d"], F.col("_at")["x"]
+    low, high = F.when(x < v, x).otherwise(v - r), F.when(x > v, x).otherwise(v + r)
+    # Of an open interval the values up to its lower end and under its upper one count; of a point those under and up to it.
+    still = r == 0
+    asked = F.array(F.struct(F.lit(1).alias("kind"), low.alias("at"), F.when(still, 0).otherwise(2).alias("rank")), F.struct(F.lit(2).alias("kind"), high.alias("at"), F.when(still, 2).otherwise(0).alias("rank")), F.struct(F.lit(0).alias("kind"), v.alias("at"), F.lit(1).alias("rank")))
+    row = F.struct("y", "_block", "_i").alias("_row")
+    spread = near.select(*KEYS, "_bounds", "_c", "_k", row, F.explode(asked).alias("e")).select(*KEYS, "_c", "_k", "_row", "e.*", block_of(F.col("e.at")).alias("_b"))
     value = (F.col("kind") == 0).cast("long")
-    same = Window.partitionBy(*KEYS, "at")
-    counted = spread.withColumn("_le", F.sum(value).over(place)).withColumn("_lt", F.sum(value).over(less) - F.sum(value).over(same))
-    by_row = counted.groupBy(*KEYS, "_row", "_c", "_r").agg(F.max(F.when(F.col("kind") == 1, F.col("_lt"))).alias("_hi"), F.max(F.when(F.col("kind") == -1, F.col("_le"))).alias("_lo"))
-    # With radius 0 (ties) the closed interval is counted, at least the row itself.
-    m = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1))
-    n = by_row.groupBy(*KEYS).agg(F.count("*").alias("_n"), F.avg(digamma(F.col("_c"))).alias("_dc"), F.avg(digamma(m)).alias("_dm"))
-    return n.select(*KEYS, F.greatest(F.lit(0.0), digamma(F.col("_n")) + digamma(F.lit(k)) - F.col("_dc") - F.col("_dm")).alias("value"))
+    held = spread.groupBy(*KEYS, "_b").agg(F.sum(value).alias("_n"))
+    held = held.select(*KEYS, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(*KEYS).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_under"))
+    place = Window.partitionBy(*KEYS, "_b").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    counted = spread.withColumn("_le", F.sum(value).over(place)).join(held, [*KEYS, "_b"]).withColumn("_le", F.col("_le") + F.col("_under"))
+    by_row = counted.groupBy(*KEYS, "_row", "_c", "_k").agg((F.max(F.when(F.col("kind") == 2, F.col("_le"))) - F.max(F.when(F.col("kind") == 1, F.col("_le")))).alias("_m"))
+    n = by_row.groupBy(*KEYS).agg(F.count("*").alias("_n"), F.avg(digamma(F.col("_c"))).alias("_dc"), F.avg(digamma(F.col("_m"))).alias("_dm"), F.avg(digamma(F.col("_k"))).alias("_dk"))
+    return n.select(*KEYS, F.greatest(F.lit(0.0), digamma(F.col("_n")) + F.col("_dk") - F.col("_dc") - F.col("_dm")).alias("value"))
 
 
 def digamma(n: Column) -> Column:

@@ -81,7 +81,7 @@ def substep_log(rec: DataFrame, ends: str = "purchase", within: tuple[str, ...]
 
 def log_rows(log: DataFrame, keys: list[str]) -> DataFrame:
     """A log with columns step, kind, event_t and row (its order in the session) as ``substep_log`` makes one: sub counts the rows of
-    a step, sub_id those of the session in order of step and row; ref_id is the reference's number of a substep, the
+    a step, sub_id those of the session in order of step and row; ref_id numbers a substep by the
     rows of its own step times the step plus sub, which names two alike unless all steps have equally many rows."""
     step = Window.partitionBy(*keys, "step")
     sub = F.row_number().over(step.orderBy("row")) - 1

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import models as L
 from ..operators import search as N
 from ..sources import files as S
+from ..sources.shared import folder, staged
 from .frames import FEATURE_ROWS, FEATURES, RECORDING, features, recording
 from .motion import rounded
 
@@ -24,22 +21,6 @@ def wide(spark, d):
     return f.groupBy("pid", "task", "y").pivot("feature", list(FEATURES)).agg(F.first("value"))
 
 
-def folder(spark, name):
-    """A new folder for a round trip, in the folder that driver and executors share. Where the session names none and
-    runs on this machine alone, it is a local one; on a cluster that is an error."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='spark-shared-')}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df, name):
-    """``df`` written once in the shared folder and read back."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def trip_csv(spark, d):
     out, rec = folder(spark, "csv"), recording(spark, d).select("pid", "idx", F.round("t", 3).alias("t"), "x")
     S.write_by_key(rec, out, ["pid"])

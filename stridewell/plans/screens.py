@@ -13,7 +13,7 @@ from .motion import rounded
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-BOTH = f"""WITH {FEATURE_ROWS}, lab AS (SELECT DISTINCT pid, task, y FROM feat),
+BOTH = f"""WITH RECURSIVE {FEATURE_ROWS}, lab AS (SELECT DISTINCT pid, task, y FROM feat),
 scr AS (SELECT 'within' AS variant, pid, task, feature, value, y FROM feat
   UNION ALL SELECT 'cross', f.pid, f.task, f.feature, f.value, l.y FROM feat f JOIN lab l ON f.pid = l.pid AND f.task <> l.task)"""
 
@@ -33,11 +33,6 @@ def chi2_tail(x: str, d: str) -> str:
     return f"greatest(0, 1 - {x} / 12000 * (SELECT sum(({weight}) * ({density})) FROM range(4001) r(i)))"
 
 
-def ks_tail(d: str, n: str, m: str) -> str:
-    z = f"({d} * sqrt({n} * {m} / ({n} + {m})))"
-    return f"CASE WHEN {z} < 0.2 THEN 1 ELSE least(1, greatest(0, (SELECT 2 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * {z} * {z})) FROM range(1, 101) r(k)))) END"
-
-
 KEYS = "variant, task, feature"
 #: SQL of each screen: rows of variant, task, feature, value and, where there is one, p.
 R_SQL = f"SELECT {KEYS}, count(*)::DOUBLE AS n, covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0) AS value FROM scr GROUP BY ALL"
@@ -56,17 +51,21 @@ v AS (SELECT {KEYS}, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)
   abs(sum((y = 1)::INT) OVER u / nullif(sum((y = 1)::INT) OVER p, 0) - sum((y = 0)::INT) OVER u / nullif(sum((y = 0)::INT) OVER p, 0)) AS g
   FROM scr WINDOW u AS (PARTITION BY {KEYS} ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY {KEYS})),
 d AS (SELECT {KEYS}, max(g) AS value, any_value(n)::DOUBLE AS n, any_value(m)::DOUBLE AS m FROM c GROUP BY ALL),
-v AS (SELECT {KEYS}, value, CASE WHEN value IS NOT NULL THEN {ks_tail("value", "n", "m")} END AS p FROM d)""",
+w AS (SELECT {KEYS}, value, least(n, m)::BIGINT AS n, greatest(n, m)::BIGINT AS m, round(value * n * m)::BIGINT AS far FROM d WHERE value IS NOT NULL),
+ks AS (SELECT {KEYS}, n, m, far, 0::BIGINT AS s, list_transform(range(n + 1), lambda i: 0.0::DOUBLE) AS o FROM w UNION ALL
+  SELECT {KEYS}, n, m, far, s + 1, list_transform(range(n + 1), lambda i: CASE WHEN i > s + 1 OR s + 1 - i > m THEN 0 WHEN abs(i * m - (s + 1 - i) * n) >= far THEN 1
+    ELSE (o[i + 1] * (s + 1 - i) + CASE WHEN i > 0 THEN o[i] * i ELSE 0 END) / (s + 1) END::DOUBLE) FROM ks WHERE s < n + m),
+v AS (SELECT {KEYS}, d.value, CASE WHEN far = 0 THEN 1 ELSE least(1, o[ks.n + 1]) END AS p FROM d LEFT JOIN ks USING (variant, task, feature) WHERE ks.s IS NULL OR ks.s = ks.n + ks.m)""",
     "scr_mutual_info": f"""o AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, y ORDER BY value, pid) AS i, count(*) OVER (PARTITION BY {KEYS}, y) AS c FROM scr),
 e AS (SELECT a.variant, a.task, a.feature, a.y, a.i, a.c, a.value, abs(a.value - b.value) AS gap,
   row_number() OVER (PARTITION BY a.variant, a.task, a.feature, a.y, a.i ORDER BY abs(a.value - b.value)) AS k
-  FROM o a JOIN o b ON a.variant = b.variant AND a.task = b.task AND a.feature = b.feature AND a.y = b.y AND a.i <> b.i AND abs(a.i - b.i) <= 3 WHERE a.c > 3),
-r AS (SELECT * FROM e WHERE k = 3),
-m AS (SELECT r.variant, r.task, r.feature, r.y, r.i, r.c, greatest(1, count(*) FILTER (x.value > r.value - r.gap AND x.value < r.value + r.gap)) AS m
+  FROM o a JOIN o b ON a.variant = b.variant AND a.task = b.task AND a.feature = b.feature AND a.y = b.y AND a.i <> b.i AND abs(a.i - b.i) <= 3),
+r AS (SELECT * FROM e WHERE k = least(3, c - 1)),
+m AS (SELECT r.variant, r.task, r.feature, r.y, r.i, r.c, r.k, count(*) FILTER (CASE WHEN r.gap = 0 THEN x.value = r.value ELSE abs(x.value - r.value) < r.gap END) AS m
   FROM r JOIN r x ON r.variant = x.variant AND r.task = x.task AND r.feature = x.feature GROUP BY ALL),
 psi AS (SELECT n, -0.5772156649015329 + coalesce(sum(1.0 / (n - 1)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS d FROM range(2, 20001) a(n) UNION ALL SELECT 1, -0.5772156649015329),
-u AS (SELECT {KEYS}, count(*) AS n, avg(pc.d) AS dc, avg(pm.d) AS dm FROM m JOIN psi pc ON pc.n = m.c JOIN psi pm ON pm.n = m.m GROUP BY ALL),
-v AS (SELECT {KEYS}, greatest(0, pn.d + pk.d - dc - dm) AS value FROM u JOIN psi pn ON pn.n = u.n JOIN psi pk ON pk.n = 3)""",
+u AS (SELECT {KEYS}, count(*) AS n, avg(pc.d) AS dc, avg(pm.d) AS dm, avg(pk.d) AS dk FROM m JOIN psi pc ON pc.n = m.c JOIN psi pm ON pm.n = m.m JOIN psi pk ON pk.n = m.k GROUP BY ALL),
+v AS (SELECT {KEYS}, greatest(0, pn.d + dk - dc - dm) AS value FROM u JOIN psi pn ON pn.n = u.n)""",
 }
 SCREENS = {
     "scr_anova_f": (C.screen_f, "p"),

@@ -10,7 +10,7 @@ from ..operators import features as C
 from ..operators import motion as M
 from ..operators import segments as G
 from ..sources import files
-from .fitted import folder
+from ..sources.shared import folder, staged
 from .frames import FEATURE_ROWS, FEATURES, PATH, PREDICTIONS, RECORDING, features, path, predictions, recording, table
 from .motion import LOG, NEST, ORDERED, SPAN, rounded
 from .studies import AB, CONF, METRIC_SQL, PK

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators import redundancy as V
 from .frames import DESIGN, FEATURE_ROWS, FEATURES, PREDICTIONS, design, features, predictions, table
 from .motion import rounded
 
@@ -45,17 +46,34 @@ pred("rsh_indicators", lambda p: p.select("label").distinct().select("label", F.
 # -- screening (more in screens.py) ---------------------------------------------------------------------------------------------
 feat("scr_rank_pair", lambda f: E.rank_pair(E.correlation(f, TF, "value", "y", "r"), "r"), ", r AS (SELECT task, feature, abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) AS r FROM feat GROUP BY ALL) SELECT o.feature, round(CASE WHEN o.r <= 0 OR f.r <= 0 THEN 0 ELSE 2 * o.r * f.r / (o.r + f.r) END, 5) AS score FROM r o JOIN r f USING (feature) WHERE o.task = 'O' AND f.task = 'F' AND o.r IS NOT NULL AND f.r IS NOT NULL", 5)
 feat("jn_signif_intersect", lambda f: E.correlation(f, TF, "value", "y", "r").filter("task = 'O' AND abs(r) >= 0.01").select("feature").intersect(E.correlation(f, TF, "value", "y", "r").filter("task = 'F' AND abs(r) >= 0.01").select("feature")), ", r AS (SELECT task, feature, abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) AS r FROM feat GROUP BY ALL) SELECT feature FROM r WHERE task = 'O' AND r >= 0.01 INTERSECT SELECT feature FROM r WHERE task = 'F' AND r >= 0.01")
-REDUNDANT = """, rl AS (SELECT feature FROM feat GROUP BY feature HAVING abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) >= 0.005),
-hp AS (SELECT a.feature AS i, b.feature AS j FROM feat a JOIN feat b USING (pid, task) WHERE a.feature < b.feature AND a.feature IN (SELECT feature FROM rl) AND b.feature IN (SELECT feature FROM rl)
-  GROUP BY ALL HAVING abs(covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0)) > 0.05),
-np AS (SELECT *, row_number() OVER (ORDER BY i, j) AS k FROM hp),
-st AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS dropped, []::VARCHAR[] AS chosen UNION ALL
-  SELECT np.k, CASE WHEN list_contains(dropped, j) OR list_contains(chosen, i) THEN list_append(dropped, j) WHEN list_contains(dropped, i) OR list_contains(chosen, j) THEN list_append(dropped, i) ELSE list_append(dropped, j) END,
+#: Columns of the feature table in their order.
+PLACES = {c: k for k, c in enumerate(FEATURES)}
+
+
+def redundancy(spark, d, folds: int = 0):
+    f = features(spark, d)
+    columns = spark.createDataFrame(list(PLACES.items()), "feature string, place int")  # as many rows as features
+    dealt = f.select("pid", F.pmod("pid", F.lit(folds)).cast("int").alias("fold")).distinct() if folds else None
+    return V.relevance_redundancy(f, 0.005, 0.05, 0.05, columns, dealt)
+
+
+#: Pairs of relevant features, high by values or by average ranks, in the order of columns; then the rule pair by pair.
+REDUNDANT = f"""WITH RECURSIVE {FEATURE_ROWS}, sc AS ({{scopes}}), pl AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {k})" for c, k in PLACES.items())}) t(feature, place)),
+rk AS (SELECT scope, pid, task, y, feature, place, value, rank() OVER (PARTITION BY scope, feature ORDER BY value) + (count(*) OVER (PARTITION BY scope, feature, value) - 1) / 2 AS r FROM sc JOIN pl USING (feature)),
+rl AS (SELECT scope, feature, place FROM rk GROUP BY ALL HAVING abs(covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0)) >= 0.005),
+rr AS (SELECT rk.* FROM rk JOIN rl USING (scope, feature, place)),
+hp AS (SELECT a.scope, a.place AS i, b.place AS j FROM rr a JOIN rr b USING (scope, pid, task) WHERE a.place < b.place GROUP BY ALL
+  HAVING abs(covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0)) > 0.05 OR abs(covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0)) > 0.05),
+np AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY i, j) AS k FROM hp),
+st AS (SELECT DISTINCT scope, 0::BIGINT AS k, []::INT[] AS dropped, []::INT[] AS chosen FROM rl UNION ALL
+  SELECT st.scope, np.k, CASE WHEN list_contains(dropped, j) OR list_contains(chosen, i) THEN list_append(dropped, j) WHEN list_contains(dropped, i) OR list_contains(chosen, j) THEN list_append(dropped, i) ELSE list_append(dropped, j) END,
     CASE WHEN list_contains(dropped, j) OR list_contains(chosen, i) OR list_contains(dropped, i) OR list_contains(chosen, j) THEN chosen ELSE list_append(chosen, i) END
-  FROM st JOIN np ON np.k = st.k + 1)
-SELECT feature FROM rl WHERE NOT list_contains((SELECT arg_max(dropped, k) FROM st), feature)"""
-feat("scr_rel_red", lambda f: E.relevance_redundancy(f, 0.005, 0.05), REDUNDANT)
-ORACLE_SQL["scr_rel_red"] = ORACLE_SQL["scr_rel_red"].replace("WITH ", "WITH RECURSIVE ", 1)
+  FROM st JOIN np ON np.scope = st.scope AND np.k = st.k + 1)
+SELECT scope, feature FROM rl WHERE NOT list_contains((SELECT arg_max(dropped, k) FROM st WHERE st.scope = rl.scope), place)"""
+QUERIES["scr_rel_red"] = lambda spark, d: redundancy(spark, d)
+ORACLE_SQL["scr_rel_red"] = REDUNDANT.format(scopes="SELECT -1 AS scope, * FROM feat")
+QUERIES["scr_rel_red_folds"] = lambda spark, d: redundancy(spark, d, 4)
+ORACLE_SQL["scr_rel_red_folds"] = REDUNDANT.format(scopes="SELECT s.scope, feat.* FROM feat JOIN (SELECT unnest(range(4))::INT AS scope) s ON pid % 4 <> s.scope")
 
 # -- evaluation ---------------------------------------------------------------------------------------------------------------
 PK = ["label", "fold", "task"]

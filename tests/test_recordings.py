@@ -201,7 +201,7 @@ def test_nested_segments(spark):
     for span in (3.0, 1e6):
         got = sorted(tuple(r) for r in G.nested(rows, samples, KEY, span).select("step", "sub", "sub_id", "ref_id", "kind", "step_start", "step_end", "start_idx", "end_idx").collect())
         assert got == sorted(plain_slices(times, log))
-    assert len({r[3] for r in got}) < len(got) and len({r[2] for r in got}) == len(got)  # the reference's number names two alike
+    assert len({r[3] for r in got}) < len(got) and len({r[2] for r in got}) == len(got)  # numbers by the own step's rows name two alike
     codes = rows.select(G.type_code(F.col("kind"), ("AttachPiece", "InsertScrew", "UseKey")).alias("c"))
     assert sorted(r.c for r in codes.collect()) == [0, 0, 0, 1, 1, 1, 2, 2]
     with pytest.raises(Exception, match="unknown type"):
