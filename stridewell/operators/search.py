@@ -5,7 +5,9 @@ classifier is a class-balanced least-squares one on those features. Every fit ne
 one pass gives the moments of all folds, a second one the sums of all folds and trials, a third one the counts of hits
 on held-out rows. What reaches the driver is of the size folds x trials x features^2, never of the rows'.
 
-Rows: pid, task, y (0 or 1) and number columns without nulls; a person's rows are all in one fold.
+Rows: pid, task, y (0 or 1) and number columns without nulls; a person's rows are all in one fold. With a column ``stride`` each
+row stands once for every stride and a trial learns from the rows of its own. ``wide.WideSearch`` does the same for tables
+with more columns than rows.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -54,12 +58,13 @@ class Trial:
     penalty: float
     gamma: float
     share: float
+    stride: int = 1
 
 
-def trials(n: int, seed: int = 42) -> list[Trial]:
-    """Penalty and gamma log-uniform in [0.01, 100] and [0.001, 0.1], share uniform in [0.5, 1]."""
+def trials(n: int, seed: int = 42, strides: tuple[int, ...] = (1,)) -> list[Trial]:
+    """Penalty and gamma log-uniform in [0.01, 100] and [0.001, 0.1], share uniform in [0.5, 1], stride one of those given."""
     rng = np.random.default_rng(seed)
-    return [Trial(float(10 ** rng.uniform(-2, 2)), float(10 ** rng.uniform(-3, -1)), float(rng.uniform(0.5, 1))) for _ in range(n)]
+    return [Trial(float(10 ** rng.uniform(-2, 2)), float(10 ** rng.uniform(-3, -1)), float(rng.uniform(0.5, 1)), int(strides[rng.integers(len(strides))])) for _ in range(n)]
 
 
 class Model:
@@ -134,27 +139,37 @@ class Search:
     def __init__(self, rows: DataFrame, columns: list[str], tried: list[Trial], outer: int = 5, inner: int = 4, features: int = 32, seed: int = 42):
         self.columns, self.tried, self.outer, self.inner, self.features = columns, tried, outer, inner, features
         p, spark = len(columns), rows.sparkSession
+        strides = sorted({t.stride for t in tried})
+        if "stride" in rows.columns:
+            rows = rows.filter(F.col("stride").isin(strides))
+
+        def by_stride(part: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+            yield from part.groupby("stride", sort=False) if "stride" in part else [(s, part) for s in strides]
 
         def moments(part: pd.DataFrame) -> dict:
-            x, y, out = part[columns].to_numpy(float), part["y"].to_numpy(int), {}
-            for k, i, learn, _ in parts_of(part, outer, inner):
-                own = x[learn]
-                out[k, i] = np.concatenate((np.bincount(y[learn], minlength=2), own.sum(0), (own.T @ own).ravel()))
+            out: dict = {}
+            for s, own_rows in by_stride(part):
+                x, y = own_rows[columns].to_numpy(float), own_rows["y"].to_numpy(int)
+                for k, i, learn, _ in parts_of(own_rows, outer, inner):
+                    own = x[learn]
+                    out[s, k, i] = np.concatenate((np.bincount(y[learn], minlength=2), own.sum(0), (own.T @ own).ravel()))
             return out
 
         self.models: dict[tuple[int, int, int], Model] = {}
-        for (k, i), v in summed(rows, moments).items():
-            for t, trial in enumerate(tried):
+        for (s, k, i), v in summed(rows, moments).items():
+            for t, trial in ((t, trial) for t, trial in enumerate(tried) if trial.stride == s):
                 self.models[k, i, t] = Model(v[:2], v[2 : 2 + p], v[2 + p :].reshape(p, p), trial, features, seed + t)
         shared = spark.sparkContext.broadcast(self.models)
 
         def products(part: pd.DataFrame) -> dict:
-            x, y, out = part[columns].to_numpy(float), part["y"].to_numpy(int), {}
-            for k, i, learn, _ in parts_of(part, outer, inner):
-                for t in range(len(tried)):
-                    model = shared.value[k, i, t]
-                    z, w = model.mapped(model.components(x[learn])), model.weight[y[learn]]
-                    out[k, i, t] = np.concatenate((((z * w[:, None]).T @ z).ravel(), (z * w[:, None]).T @ (2.0 * y[learn] - 1)))
+            out: dict = {}
+            for s, own_rows in by_stride(part):
+                x, y = own_rows[columns].to_numpy(float), own_rows["y"].to_numpy(int)
+                for k, i, learn, _ in parts_of(own_rows, outer, inner):
+                    for t in (t for t, trial in enumerate(tried) if trial.stride == s):
+                        model = shared.value[k, i, t]
+                        z, w = model.mapped(model.components(x[learn])), model.weight[y[learn]]
+                        out[k, i, t] = np.concatenate((((z * w[:, None]).T @ z).ravel(), (z * w[:, None]).T @ (2.0 * y[learn] - 1)))
             return out
 
         size = features + 1
@@ -164,14 +179,16 @@ class Search:
         tasks = sorted(r[0] for r in rows.select("task").distinct().collect())
 
         def counts(part: pd.DataFrame) -> dict:
-            x, y, task, out = part[columns].to_numpy(float), part["y"].to_numpy(int), part["task"].to_numpy(), {}
-            for k, i, _, held in parts_of(part, outer, inner):
-                for t in range(len(tried)):
-                    model = solved.value[k, i, t]
-                    found = model.classes(model.components(x[held]))
-                    for j, name in enumerate(tasks):
-                        mine = task[held] == name
-                        out[k, i, t, j] = np.bincount(2 * y[held][mine] + found[mine], minlength=4).astype(float)
+            out: dict = {}
+            for s, own_rows in by_stride(part):
+                x, y, task = own_rows[columns].to_numpy(float), own_rows["y"].to_numpy(int), own_rows["task"].to_numpy()
+                for k, i, _, held in parts_of(own_rows, outer, inner):
+                    for t in (t for t, trial in enumerate(tried) if trial.stride == s):
+                        model = solved.value[k, i, t]
+                        found = model.classes(model.components(x[held]))
+                        for j, name in enumerate(tasks):
+                            mine = task[held] == name
+                            out[k, i, t, j] = np.bincount(2 * y[held][mine] + found[mine], minlength=4).astype(float)
             return out
 
         held = [(k, i, t, tasks[j], *map(int, v)) for (k, i, t, j), v in summed(rows, counts).items()]
@@ -187,11 +204,11 @@ class Search:
     def trial_table(self) -> DataFrame:
         """outer, trial, its parameters, mean and deviation over inner folds, objective (mean - 0.5 deviation), chosen."""
         spark = self.counts.sparkSession
-        known = spark.createDataFrame([(t, x.penalty, x.gamma, x.share) for t, x in enumerate(self.tried)], "trial int, penalty double, gamma double, share double")
+        known = spark.createDataFrame([(t, x.stride, x.penalty, x.gamma, x.share) for t, x in enumerate(self.tried)], "trial int, stride int, penalty double, gamma double, share double")
         found = self.scores().filter(F.col("inner") != REFIT).groupBy("outer", "trial").agg(F.avg("mcc").alias("mean"), F.stddev_pop("mcc").alias("std"))
         found = found.withColumn("objective", F.col("mean") - 0.5 * F.col("std"))
         best = Window.partitionBy("outer").orderBy(F.desc("objective"), "trial")
-        return found.withColumn("chosen", F.row_number().over(best) == 1).join(known, "trial").select("outer", "trial", "penalty", "gamma", "share", "mean", "std", "objective", "chosen")
+        return found.withColumn("chosen", F.row_number().over(best) == 1).join(known, "trial").select("outer", "trial", "stride", "penalty", "gamma", "share", "mean", "std", "objective", "chosen")
 
     def chosen(self) -> dict[int, int]:
         """The trial that each outer fold picks."""
@@ -215,6 +232,9 @@ class Search:
         anew among them, on average over ``repeats``."""
         models = {k: self.models[k, REFIT, t] for k, t in self.chosen().items()}
         shared, columns = rows.sparkSession.sparkContext.broadcast(models), self.columns
+        if "stride" in rows.columns:
+            picked = {k: self.tried[t].stride for k, t in self.chosen().items()}
+            rows = rows.filter(reduce(or_, ((F.col("outer") == k) & (F.col("stride") == s) for k, s in picked.items()), F.lit(False)))
 
         def project(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:

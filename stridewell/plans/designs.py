@@ -89,5 +89,5 @@ s AS (SELECT *, coalesce((abs(b - c) - 1) ** 2 / nullif(b + c, 0), 0) AS statist
 SELECT x, y, b, c, round(statistic, 5) AS statistic, round(CASE WHEN b + c = 0 THEN 1 ELSE {t_tail("sqrt(statistic)", "1e7")} END, 4) AS p FROM s"""
 QUERIES["res_mcnemar"] = lambda spark, d: rounded(rounded(D.mcnemar_table(binary(predictions(spark, d))), 5).withColumn("p", F.round("p", 4)), 5)
 ORACLE_SQL["res_mcnemar"] = f"WITH {PREDICTIONS}{MCNEMAR}"
-pred("res_glm", lambda p: D.logistic_table(trials(p), "label"))
-pred("res_contrast", lambda p: D.contrast_table(trials(p).withColumn("condition", F.concat_ws(" ", "label", "task")), "condition"))
+pred("res_glm", lambda p: D.logistic_table(trials(p), "label", "task"))
+pred("res_contrast", lambda p: D.contrast_table(trials(p).withColumn("condition", F.concat_ws(" ", "label", "task")).withColumn("half", F.when(F.col("fold") < 3, "first").otherwise("second")), "condition", "half"))

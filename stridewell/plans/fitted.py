@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import models as L
 from ..operators import search as N
+from ..operators import wide as W
 from ..sources import files as S
 from ..sources.shared import folder, staged
-from .frames import FEATURE_ROWS, FEATURES, RECORDING, features, recording
+from .frames import FEATURE_ROWS, FEATURES, RECORDING, STRIDES, features, recording, spread, strided
 from .motion import rounded
 
 QUERIES: dict = {}
@@ -122,10 +123,19 @@ QUERIES["mdl_classifier"] = classified
 
 
 def searched(spark, d) -> tuple[N.Search, DataFrame]:
-    """All folds and trials over the wide features, and the rows with their folds (written once)."""
+    """All folds and trials over the features of all strides, a table partitioned by stride, and the rows with their folds."""
+    out = folder(spark, "strided")
     # Rounded, so that the order in which means were added up cannot turn a fit.
-    rows = staged(N.with_folds(wide(spark, d).na.drop().withColumns({c: F.round(c, 6) for c in COLUMNS})), "folds")
-    return N.Search(rows, COLUMNS, N.trials(6)), rows
+    N.with_folds(strided(spark, d).na.drop()).write.partitionBy("stride").parquet(out)
+    rows = spark.read.parquet(out)
+    return N.Search(rows, COLUMNS, N.trials(12, strides=STRIDES)), rows
+
+
+def wide_search(spark, d) -> W.WideSearch:
+    """The same over a table of twenty rows and as many columns as there are components of vectors."""
+    out = folder(spark, "spread")
+    spread(spark, d).write.partitionBy("stride").parquet(out)
+    return W.WideSearch(spark.read.parquet(out), N.trials(4), 3, 2)
 
 
 QUERIES["mdl_group_folds"] = lambda spark, d: N.group_folds(wide(spark, d), 5)
@@ -154,8 +164,18 @@ QUERIES["imp_fold_summary"] = lambda spark, d: rounded(N.fold_summary(feature_im
 def chosen_parameters(spark, d):
     """parameter, chosen, n: how often the folds chose a value."""
     picked = searched(spark, d)[0].trial_table().filter("chosen")
-    pairs = F.create_map(*(x for c in ("penalty", "gamma", "share") for x in (F.lit(c), F.round(c, 6).cast("string"))))
+    pairs = F.create_map(*(x for c in ("stride", "penalty", "gamma", "share") for x in (F.lit(c), F.round(c, 6).cast("string"))))
     return picked.select(F.explode(pairs).alias("parameter", "chosen")).groupBy("parameter", "chosen").agg(F.count("*").alias("n"))
 
 
 QUERIES["met_param_counts"] = chosen_parameters
+QUERIES["mdl_pca_wide"] = lambda spark, d: rounded(W.components(spread(spark, d), 0.9)[0].select("stride", "pid", "task", F.posexplode("components").alias("component", "score")), 6)
+QUERIES["mdl_nested_wide"] = lambda spark, d: rounded(wide_search(spark, d).nested(), 6)
+
+
+def wide_importance(spark, d):
+    search = wide_search(spark, d)
+    return rounded(N.back_project(staged(search.component_importance(), "importance"), search.loadings()), 6)
+
+
+QUERIES["imp_back_project_wide"] = wide_importance

@@ -76,6 +76,28 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.unpivot(["pid", "task", "y"], list(FEATURES), "feature", "value").select("pid", "task", "feature", "value", "y")
 
 
+#: Strides of the feature table, and how many lines of an order go together in the role of each.
+STRIDES = (1, 9, 45, 90, 225, 450)
+
+
+def strided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stride, pid, task, y and a column for each feature: ``features`` of the lines whose number the stride's place divides."""
+    lines = table(spark, sf_dir, "lineitem")
+    every = lines.withColumn("_k", F.explode(F.array(*(F.struct(F.lit(s).alias("stride"), F.lit(k).alias("k")) for k, s in enumerate(STRIDES, 1))))).filter(F.col("l_linenumber") % F.col("_k.k") == 0)
+    means = every.groupBy(F.col("_k.stride").alias("stride"), F.col("l_suppkey").alias("pid"), F.col("l_linestatus").alias("task")).agg(*(F.round(F.avg(c), 6).alias(c) for c in FEATURES))
+    label = lines.groupBy(F.col("l_suppkey").alias("pid"), F.col("l_linestatus").alias("task")).agg((F.avg(F.col("l_orderkey") % 7) > 3).cast("int").alias("y"))
+    return means.join(label, ["pid", "task"])
+
+
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stride, pid, task, y, feature, value: a table of few rows and many columns; a label's vectors, dealt to two tasks, are its
+    columns, each component of each vector one of its own."""
+    own = Window.partitionBy("label", F.col("vec_id") % 2).orderBy("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("pid"), F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("task"), F.row_number().over(own).alias("_n"), F.posexplode("embedding").alias("_i", "_v"))
+    feature, y = F.concat(F.lit("v"), F.col("_n").cast("string"), F.lit("_"), F.col("_i").cast("string")), (F.col("pid") % 2).cast("int")
+    return rows.select(F.lit(1).alias("stride"), "pid", "task", y.alias("y"), feature.alias("feature"), (F.col("_v").cast("double") * 8).alias("value"))
+
+
 FEATURE_ROWS = """wide AS (SELECT l_suppkey AS pid, l_linestatus AS task, avg(l_quantity) AS l_quantity, avg(l_extendedprice) AS l_extendedprice,
   avg(l_discount) AS l_discount, avg(l_tax) AS l_tax, (avg(l_orderkey % 7) > 3)::INT AS y FROM lineitem GROUP BY ALL),
 feat AS (SELECT pid, task, feature, value, y FROM (UNPIVOT wide ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME feature VALUE value))"""

@@ -11,7 +11,7 @@ from ..operators import motion as M
 from ..operators import segments as G
 from ..sources import files
 from ..sources.shared import folder, staged
-from .frames import FEATURE_ROWS, FEATURES, PATH, PREDICTIONS, RECORDING, features, path, predictions, recording, table
+from .frames import FEATURE_ROWS, FEATURES, PATH, PREDICTIONS, RECORDING, STRIDES, features, path, predictions, recording, table
 from .motion import LOG, NEST, ORDERED, SPAN, rounded
 from .studies import AB, CONF, METRIC_SQL, PK
 
@@ -155,9 +155,6 @@ add("met_cm_norm", lambda s, d: normalised(predictions(s, d)), f"WITH {PREDICTIO
 add("res_trials", lambda s, d: predictions(s, d).select("label", "fold", "pid", "y", "yhat"), f"WITH {PREDICTIONS} SELECT label, fold, pid, y, yhat FROM pred")
 
 # -- sources and sinks ----------------------------------------------------------------------------------------------------------
-STRIDES = (1, 9, 45, 90, 225, 450)
-
-
 def strides(spark, d):
     """Velocities at several strides in folders, joined again with the positions that they belong to."""
     out, p = folder(spark, "strides"), path(spark, d)
