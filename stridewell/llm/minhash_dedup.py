@@ -295,10 +295,10 @@ def keep_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     share both stay once, the one with the least text."""
     id_, set_, kept_ = (free_name(docs, x) for x in ("kept_id", "kept_set", "kept_digest"))
     rows = staged(components(docs, size, percent).select("doc_id", "set", "keep"), "dedup-rows")
-    ids = rows.groupBy(F.col("doc_id").alias(id_)).agg((F.count("*") > 1).alias("several"), F.max("keep").alias("keep")).filter("keep")
-    ids = staged(ids.select(id_, "several"), "dedup-kept")
+    ids = rows.groupBy(F.col("doc_id").alias(id_)).agg((F.count("*") > 1).alias("several"), F.max("keep").alias("keep")).filter("several OR NOT keep")
+    ids = staged(ids, "dedup-ids")
     # Few ids have several rows, so a written table of them alone is joined without dealing the documents.
-    several = staged(ids.filter("several").select(id_), "dedup-several")
+    several = staged(ids.filter("several AND keep").select(id_), "dedup-several")
     kept = rows.filter("keep").join(several, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").select(F.col("doc_id").alias(id_), F.col("set").alias(kept_)).distinct()
 
     @F.pandas_udf("binary")
@@ -308,7 +308,8 @@ def keep_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
         return found
 
     own = docs["doc_id"].cast("long")
-    one = docs.join(ids.filter("NOT several"), own.eqNullSafe(F.col(id_)), "left_semi")
+    # Those that go, and those that are looked at row by row, are fewer than those that stay: while they are few the documents are not dealt.
+    one = docs.join(small(ids.select(id_)), own.eqNullSafe(F.col(id_)), "left_anti")
     many = docs.join(several, own.eqNullSafe(F.col(id_)), "left_semi").withColumn(set_, digest(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     many = many.join(kept, many["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.col(set_) == F.col(kept_)), "left_semi")
     plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
