@@ -48,6 +48,12 @@ def cross_task(scores: DataFrame, keys: list[str], metric: str) -> DataFrame:
     return wide.select(*keys, harmonic(F.col("_a"), F.col("_b")).alias(metric))
 
 
+def cross_all(scores: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """keys and of every named score the harmonic mean over both tasks (smaller if any is not positive), in one pass."""
+    wide = scores.groupBy(*keys).agg(*(F.max(F.when(F.col("task") == t, F.col(m))).alias(f"_{t}_{m}") for m in names for t in "AB"))
+    return wide.select(*keys, *(harmonic(F.col(f"_A_{m}"), F.col(f"_B_{m}")).alias(m) for m in names))
+
+
 def delta_mcc(pred: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pid, delta: MCC of all minus MCC without one participant, from totals minus own counts."""
     own = confusion(pred, [*keys, "pid"])
@@ -76,17 +82,22 @@ def correlation(df: DataFrame, keys: list[str], x: str, y: str, out: str) -> Dat
     return df.groupBy(*keys).agg(F.try_divide(F.covar_pop(a, b), sx * sy).alias(out))
 
 
-def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """statistic and df of a contingency table; Yates' correction where df is 1."""
-    cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
-    rows, cols = df.groupBy(a).agg(F.count("*").alias("r")), df.groupBy(b).agg(F.count("*").alias("c"))
-    total = df.agg(F.count("*").alias("t"), (F.count_distinct(a) - 1).alias("da"), (F.count_distinct(b) - 1).alias("db"))
-    # Every pair of levels counts, also empty ones: levels, not rows, are crossed; total is one row.
-    grid = rows.join(cols, F.lit(True)).join(cells, [a, b], "left").join(F.broadcast(total), F.lit(True))
-    e = F.col("r") * F.col("c") / F.col("t")
-    off = F.abs(F.coalesce("n", F.lit(0)) - e)
-    off = F.when(F.col("da") * F.col("db") == 1, F.greatest(off - 0.5, F.lit(0.0))).otherwise(off)
-    return grid.agg(F.sum(off * off / e).alias("statistic"), F.max(F.col("da") * F.col("db")).alias("df"))
+def chi_square(df: DataFrame, keys: list[str], a: str, y: str) -> DataFrame:
+    """keys, statistic, df of the contingency table of a and a binary y, with Yates' correction where df is 1; null where a side has
+    one level. Levels that meet no row of a class count as empty cells. Rows are counted by level first."""
+    levels = df.filter(F.col(a).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, a).agg(F.count_if(F.col(y) == 0).alias("_n0"), F.count_if(F.col(y) == 1).alias("_n1"))
+    every = Window.partitionBy(*keys)
+    totals = levels.select(*keys, "_n0", "_n1", F.sum("_n0").over(every).alias("_t0"), F.sum("_n1").over(every).alias("_t1"), F.count("*").over(every).alias("_k"))
+    n, row = F.col("_t0") + F.col("_t1"), F.col("_n0") + F.col("_n1")
+
+    def cell(seen: str, total: str) -> Column:
+        e = row * F.col(total) / n
+        off = F.abs(F.col(seen) - e)
+        off = F.when(F.col("_k") == 2, F.greatest(off - F.least(F.lit(0.5), off), F.lit(0.0))).otherwise(off)
+        return off * off / e
+
+    whole = totals.filter("_t0 > 0 AND _t1 > 0 AND _k > 1")
+    return whole.groupBy(*keys).agg(F.sum(cell("_n0", "_t0") + cell("_n1", "_t1")).alias("statistic"), F.max(F.col("_k") - 1).alias("df"))
 
 
 def rank_pair(scores: DataFrame, metric: str) -> DataFrame:
@@ -104,12 +115,17 @@ def placed(scores: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 # -- designs -----------------------------------------------------------------------------------------------------------
 def rm_anova(dsg: DataFrame) -> DataFrame:
-    """source, ss, df1, df2, f, np2 of a two-way within-subject design (subject, a, b, value), complete cells."""
-    m = lambda *by: dsg.groupBy(*by).agg((F.sum("value") * F.sum("value") / F.count("*")).alias("k")).agg(F.sum("k").alias("k"))
-    parts = {"t": m(), "s": m("subject"), "a": m("a"), "b": m("b"), "ab": m("a", "b"), "as": m("a", "subject"), "bs": m("b", "subject")}
-    one = dsg.agg(F.sum(F.col("value") * F.col("value")).alias("q"), F.count_distinct("subject").alias("ns"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"))
-    for name, frame in parts.items():  # one row each
-        one = one.join(F.broadcast(frame.toDF(name)), F.lit(True))
+    """source, ss, df1, df2, f, np2 of a two-way within-subject design (subject, a, b, value), complete cells. The sums of every set of
+    factors come from one pass over the rows."""
+    sets = {"t": [], "s": ["subject"], "a": ["a"], "b": ["b"], "ab": ["a", "b"], "as": ["subject", "a"], "bs": ["subject", "b"]}
+    columns = ["subject", "a", "b"]
+    grouped = dsg.groupingSets([[F.col(c) for c in by] for by in sets.values()], *columns)
+    sums = grouped.agg(F.sum("value").alias("v"), F.count("*").alias("n"), F.sum(F.col("value") * F.col("value")).alias("q"), F.grouping_id().alias("id"))
+    # A column that a set leaves out has its bit set, the first column the highest one.
+    place = {k: sum(1 << (2 - i) for i, c in enumerate(columns) if c not in by) for k, by in sets.items()}
+    k = lambda name: F.sum(F.when(F.col("id") == place[name], F.col("v") * F.col("v") / F.col("n"))).alias(name)
+    levels = lambda name: F.count_if(F.col("id") == place[name])
+    one = sums.agg(*(k(name) for name in sets), F.max(F.when(F.col("id") == place["t"], F.col("q"))).alias("q"), levels("s").alias("ns"), levels("a").alias("na"), levels("b").alias("nb"))
     c = F.col
     ss = {
         "a": (c("a") - c("t"), c("as") - c("a") - c("s") + c("t"), c("na") - 1, (c("na") - 1) * (c("ns") - 1)),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import models as L
-from .evaluation import anova_f, correlation
+from .evaluation import anova_f, chi_square, correlation
 
 KEYS = ["variant", "task", "feature"]
 #: Fixed values of the keep rules: largest p, least correlation, least mutual information.
@@ -146,6 +146,12 @@ def screen_mutual_information(rows: DataFrame, k: int = 3) -> DataFrame:
     return n.select(*KEYS, F.greatest(F.lit(0.0), digamma(F.col("_n")) + F.col("_dk") - F.col("_dc") - F.col("_dm")).alias("value"))
 
 
+def screen_chi2(rows: DataFrame) -> DataFrame:
+    """KEYS, value (chi-square of the levels of a categorical feature against the label), df, p."""
+    found = chi_square(rows, KEYS, "value", "y")
+    return found.select(*KEYS, F.col("statistic").alias("value"), "df", L.p_value(L.chi2_tail, F.col("statistic"), F.col("df")).alias("p"))
+
+
 def digamma(n: Column) -> Column:
     """Of whole numbers from 1 on: the harmonic sum under 20, the asymptotic series from there."""
     x = n.cast("double")
@@ -162,3 +168,15 @@ def passed(screen: DataFrame, rule: str, tasks: tuple[str, str] = ("O", "F")) ->
     kept = screen.filter(tests[rule]()).groupBy("variant", "feature").agg(of(tasks[0]).alias("a"), of(tasks[1]).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     x, y = (F.abs("a"), F.abs("b")) if rule == "r" else (F.col("a"), F.col("b"))
     return kept.withColumn("score", F.when((x <= 0) | (y <= 0), 0.0).otherwise(2 * x * y / (x + y)))
+
+
+def with_scores(screen: DataFrame, rule: str, tasks: tuple[str, str] = ("O", "F")) -> DataFrame:
+    """The screen's rows with the ``score`` of those whose feature passes in both tasks (else null) and ``kept``: the rows of ``passed`` beside
+    all others, the screen being worked out once."""
+    tests = {"p": F.col("p") <= MOST_P if "p" in screen.columns else F.lit(False), "r": F.abs("value") >= LEAST_R, "mi": F.col("value") >= LEAST_MI}
+    own = Window.partitionBy("variant", "feature")
+    of = lambda task: F.max(F.when(tests[rule] & (F.col("task") == task), F.abs("value") if rule == "r" else F.col("value"))).over(own)
+    both = screen.withColumn("_a", of(tasks[0])).withColumn("_b", of(tasks[1]))
+    x, y = F.col("_a"), F.col("_b")
+    score = F.when(x.isNotNull() & y.isNotNull(), F.when((x <= 0) | (y <= 0), 0.0).otherwise(2 * x * y / (x + y)))
+    return both.withColumn("score", score).withColumn("kept", F.col("score").isNotNull()).drop("_a", "_b")

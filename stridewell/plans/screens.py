@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import models as L
 from ..operators import screening as C
+from ..sources.shared import staged
 from .frames import FEATURE_ROWS, features, table
 from .motion import rounded
 
@@ -82,8 +83,12 @@ DIGITS = 5
 
 def kept_in_both(found, rule: str):
     """The screen's rows, with whether their feature passes in both tasks and the score of those that do."""
-    good = C.passed(found, rule).select("variant", "feature", "score")
-    return rounded(found.join(good, ["variant", "feature"], "left").withColumn("kept", F.col("score").isNotNull()), DIGITS)
+    return rounded(C.with_scores(found, rule), DIGITS)
+
+
+def both(spark, d):
+    """The features with either label, written once: a screen reads them as often as it likes."""
+    return staged(C.both_ways(staged(features(spark, d), "features")), "both-ways")
 
 
 def kept_sql(name: str, source: str = BOTH) -> str:
@@ -97,7 +102,7 @@ SELECT {KEYS}, {", ".join(f"round({c}, {DIGITS}) AS {c}" for c in columns)}, rou
 
 
 for _name, (_screen, _rule) in SCREENS.items():
-    QUERIES[_name] = lambda spark, d, s=_screen, r=_rule: kept_in_both(s(C.both_ways(features(spark, d))), r)
+    QUERIES[_name] = lambda spark, d, s=_screen, r=_rule: kept_in_both(s(both(spark, d)), r)
     ORACLE_SQL[_name] = kept_sql(_name)
 
 
@@ -116,7 +121,7 @@ lab AS (""").replace("FROM feat f JOIN lab", "FROM meta f JOIN lab").replace("va
 
 def screened_metadata(spark, d):
     """F, r, rho and D of numeric metadata in one long table."""
-    rows, found = C.both_ways(metadata(spark, d)), None
+    rows, found = staged(C.both_ways(staged(metadata(spark, d), "metadata")), "both-ways"), None
     for name in ("scr_anova_f", "scr_pearson", "scr_spearman", "scr_ks2", "scr_point_biserial"):
         one = kept_in_both(SCREENS[name][0](rows), SCREENS[name][1]).select(F.lit(name).alias("screen"), *C.KEYS, "value", "kept")
         found = one if found is None else found.unionByName(one)
@@ -129,7 +134,7 @@ ORACLE_SQL["scr_meta_numeric"] = " UNION ALL ".join(f"SELECT '{n}' AS screen, {K
 
 def p_of_f(spark, d):
     """Tails of F, t, chi-square and KS over aggregated rows."""
-    rows = C.both_ways(features(spark, d))
+    rows = both(spark, d)
     f, t, k = C.screen_f(rows), C.screen_point_biserial(rows), C.screen_ks(rows)
     one = lambda frame, name: frame.select(F.lit(name).alias("tail"), *C.KEYS, "p")
     return rounded(one(f, "f").unionByName(one(t, "t")).unionByName(one(k, "ks")), DIGITS)
@@ -139,27 +144,41 @@ QUERIES["scr_pvalue"] = p_of_f
 ORACLE_SQL["scr_pvalue"] = " UNION ALL ".join(f"SELECT '{tail}' AS tail, {KEYS}, p FROM ({kept_sql(n)})" for tail, n in (("f", "scr_anova_f"), ("t", "scr_point_biserial"), ("ks", "scr_ks2")))
 
 
-def independent(spark, d):
-    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
-    found = E.chi_square(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")), "c_mktsegment", "o_orderpriority")
-    return rounded(found.withColumn("p", L.p_value(L.chi2_tail, F.col("statistic"), F.col("df"))), DIGITS).withColumn("kept", F.col("p") <= C.MOST_P)
+#: Categories known of a person: market segment and nation's region, each level one column of 0 and 1, and the nation itself.
+REGIONS = ("0", "1", "2", "3", "4")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def categories(spark, d):
+    """Categorical metadata in the shape of features: the customer with the person's number."""
+    label = features(spark, d).select("pid", "task", "y").distinct()
+    own = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    hot = [(f"segment {v}", F.col("c_mktsegment") == v) for v in SEGMENTS] + [(f"region {v}", F.col("n_regionkey") == int(v)) for v in REGIONS]
+    cells = F.array(*(F.struct(F.lit(k).alias("feature"), c.cast("long").alias("value")) for k, c in hot), F.struct(F.lit("nation").alias("feature"), F.col("c_nationkey").cast("long").alias("value")))
+    own = own.select(F.col("c_custkey").alias("pid"), F.explode(cells).alias("c"))
+    return label.join(own, "pid").select("pid", "task", "c.feature", "c.value", "y")
 
 
-QUERIES["scr_chi2"] = independent
-ORACLE_SQL["scr_chi2"] = f"""WITH x AS (SELECT c_mktsegment AS a, o_orderpriority AS b FROM orders JOIN customer ON o_custkey = c_custkey), n AS (SELECT a, b, count(*) AS n FROM x GROUP BY ALL),
-r AS (SELECT a, count(*) AS r FROM x GROUP BY a), c AS (SELECT b, count(*) AS c FROM x GROUP BY b), t AS (SELECT count(*) AS t FROM x),
-s AS (SELECT sum((coalesce(n, 0) - r * c / t) ** 2 / (r * c / t)) AS statistic, ((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM c) - 1) AS df FROM r CROSS JOIN c CROSS JOIN t LEFT JOIN n USING (a, b)),
-q AS (SELECT statistic, df, {chi2_tail("statistic", "df")} AS p FROM s) SELECT round(statistic, {DIGITS}) AS statistic, df, round(p, {DIGITS}) AS p, p <= 0.05 AS kept FROM q"""
+QUERIES["scr_chi2"] = lambda spark, d: kept_in_both(C.screen_chi2(staged(C.both_ways(staged(categories(spark, d), "categories")), "both-ways")), "p")
+_hot = ", ".join([f"struct_pack(feature := 'segment {v}', value := (c_mktsegment = '{v}')::BIGINT)" for v in SEGMENTS] + [f"struct_pack(feature := 'region {v}', value := (n_regionkey = {v})::BIGINT)" for v in REGIONS] + ["struct_pack(feature := 'nation', value := c_nationkey::BIGINT)"])
+CHI2_SQL = BOTH.replace("lab AS (", f"cat AS (SELECT l.pid, task, c.feature AS feature, c.value AS value, y FROM (SELECT c_custkey AS pid, unnest([{_hot}]) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey) JOIN (SELECT DISTINCT pid, task, y FROM feat) l USING (pid)),\nlab AS (").replace("FROM feat f JOIN lab", "FROM cat f JOIN lab").replace("value, y FROM feat\n", "value, y FROM cat\n")
+ORACLE_SQL["scr_chi2"] = f"""{CHI2_SQL}, n AS (SELECT {KEYS}, value, y, count(*) AS n FROM scr GROUP BY ALL), r AS (SELECT {KEYS}, value, sum(n) AS r FROM n GROUP BY ALL), c AS (SELECT {KEYS}, y, sum(n) AS c FROM n GROUP BY ALL),
+t AS (SELECT {KEYS}, sum(r) AS t, count(*) AS k FROM r GROUP BY ALL), e AS (SELECT variant, task, feature, k, r * c / t AS e, coalesce(n, 0) AS o FROM r JOIN c USING (variant, task, feature) JOIN t USING (variant, task, feature) LEFT JOIN n USING (variant, task, feature, value, y)),
+s AS (SELECT {KEYS}, sum(pow(CASE WHEN k = 2 THEN abs(o - e) - least(0.5, abs(o - e)) ELSE abs(o - e) END, 2) / e) AS value, max(k - 1) AS df, count(*) AS cells, max(k) AS k FROM e GROUP BY ALL),
+v AS (SELECT {KEYS}, value, df, CASE WHEN df = 1 THEN {t_tail("sqrt(value)", "1e7")} ELSE {chi2_tail("value", "df")} END AS p FROM s WHERE k > 1 AND cells = 2 * k),
+good AS (SELECT variant, feature, max(CASE WHEN task = 'O' THEN value END) AS a, max(CASE WHEN task = 'F' THEN value END) AS b FROM v WHERE p <= 0.05 GROUP BY ALL),
+best AS (SELECT variant, feature, CASE WHEN a <= 0 OR b <= 0 THEN 0 ELSE 2 * a * b / (a + b) END AS score FROM good WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT {KEYS}, round(value, {DIGITS}) AS value, df, round(p, {DIGITS}) AS p, round(score, {DIGITS}) AS score, score IS NOT NULL AS kept FROM v LEFT JOIN best USING (variant, feature)"""
 
 
 def ranked(spark, d):
     """ranking, feature, place, score: each screen's features of the own task, best first."""
-    rows, union = C.both_ways(features(spark, d)).filter("variant = 'within'"), None
+    rows, union = both(spark, d).filter("variant = 'within'"), None
     for name in ("scr_anova_f", "scr_spearman", "scr_pearson", "scr_ks2", "scr_mutual_info"):
         found = SCREENS[name][0](rows).filter("value IS NOT NULL")
         one = E.rank_pair(found, "value").select(F.lit(name).alias("ranking"), "feature", F.round("score", 9).alias("score"))
         union = one if union is None else union.unionByName(one)
-    return E.placed(union, ["ranking"], "score")
+    return E.placed(staged(union, "rankings"), ["ranking"], "score")
 
 
 RANKED_SQL = f"""r AS ({" UNION ALL ".join(f"SELECT '{n}' AS ranking, task, feature, abs(value) AS value FROM (" + BOTH + ", " + SCREEN_SQL[n] + " SELECT * FROM v WHERE variant = 'within')" for n in ("scr_anova_f", "scr_spearman", "scr_pearson", "scr_ks2", "scr_mutual_info"))}),

@@ -121,21 +121,33 @@ METRICS = list(METRIC_SQL)
 
 def crossed(p):
     """label, fold, and of every score the harmonic mean over both tasks."""
-    scores, out = E.metrics(E.confusion(p, PK), PK), None
-    for m in METRICS:
-        one = E.cross_task(scores, ["label", "fold"], m)
-        out = one if out is None else out.join(one, ["label", "fold"])
-    return out
+    return E.cross_all(E.metrics(E.confusion(p, PK), PK), ["label", "fold"], METRICS)
 
 
 _ab = ", ".join(f"max(CASE WHEN task = '{t}' THEN {q} END) AS {t}_{m}" for m, q in METRIC_SQL.items() for t in "AB")
 _harmonic = ", ".join(f"CASE WHEN A_{m} <= 0 OR B_{m} <= 0 THEN least(A_{m}, B_{m}) ELSE 2 * A_{m} * B_{m} / (A_{m} + B_{m}) END AS {m}" for m in METRICS)
 CROSSED = f"WITH {PREDICTIONS}{CONF}, w AS (SELECT label, fold, {_ab} FROM cm GROUP BY ALL), h AS (SELECT label, fold, {_harmonic} FROM w)"
 add("met_cross_task", lambda s, d: crossed(predictions(s, d)), f"{CROSSED} SELECT label, fold, {', '.join(f'round({m}, 5) AS {m}' for m in METRICS)} FROM h")
+MATRIX = ("tn", "fp", "fn", "tp")
+
+
+def fold_summary(p):
+    """label; of every cross-task score the mean and deviation over folds; of every cell of the folds' matrices its sum, mean and deviation."""
+    p = staged(p, "predictions")
+    scores = crossed(p).groupBy("label").agg(*(x for m in METRICS for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))))
+    cells = E.confusion(p, ["label", "fold"]).groupBy("label").agg(*(x for c in MATRIX for x in (F.sum(c).alias(c), F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))))
+    return scores.join(cells, "label")
+
+
+_of_scores = ", ".join(f"round(avg({m}), 5) AS {m}_mean, round(stddev_pop({m}), 5) AS {m}_std" for m in METRICS)
+_of_cells = ", ".join(f"sum({c})::BIGINT AS {c}, round(avg({c}), 5) AS {c}_mean, round(stddev_pop({c}), 5) AS {c}_std" for c in MATRIX)
+SUMMARY = f"{CROSSED}, fc AS (SELECT label, fold, {', '.join(f'sum({c}) AS {c}' for c in MATRIX)} FROM cm GROUP BY ALL), fs AS (SELECT label, {_of_cells} FROM fc GROUP BY label), hs AS (SELECT label, {_of_scores} FROM h GROUP BY label)"
+add("met_fold_summary", lambda s, d: fold_summary(predictions(s, d)), f"{SUMMARY} SELECT * FROM hs JOIN fs USING (label)")
+_best = ("accuracy", "balanced_accuracy", "f1", "mcc")
 add(
-    "met_fold_summary",
-    lambda s, d: crossed(predictions(s, d)).groupBy("label").agg(*(x for m in METRICS for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std")))).join(E.confusion(predictions(s, d), ["label"]), "label"),
-    f"{CROSSED}, s AS (SELECT label, sum(tn)::BIGINT AS tn, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tp)::BIGINT AS tp FROM cm GROUP BY label) SELECT label, {', '.join(f'round(avg({m}), 5) AS {m}_mean, round(stddev_pop({m}), 5) AS {m}_std' for m in METRICS)}, any_value(tn) AS tn, any_value(fp) AS fp, any_value(fn) AS fn, any_value(tp) AS tp FROM h JOIN s USING (label) GROUP BY label",
+    "res_score_table",
+    lambda s, d: fold_summary(predictions(s, d)).select("label", *(f"{m}_{k}" for m in _best for k in ("mean", "std")), ((F.col("tn") + F.col("tp")) / (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))).alias("accuracy")),
+    f"{SUMMARY} SELECT label, {', '.join(f'{m}_{k}' for m in _best for k in ('mean', 'std'))}, round((tn + tp) / (tn + fp + fn + tp), 5) AS accuracy FROM hs JOIN fs USING (label)",
 )
 CELLS = {"tn": "tn + fp", "fp": "tn + fp", "fn": "tp + fn", "tp": "tp + fn"}
 
@@ -143,16 +155,21 @@ CELLS = {"tn": "tn + fp", "fp": "tn + fp", "fn": "tp + fn", "tp": "tp + fn"}
 def normalised(p):
     """Cells over their class, and the harmonic mean of each cell over both tasks."""
     cells = E.confusion(p, PK).select(*PK, *(F.try_divide(F.col(c), F.expr(n)).alias(c) for c, n in CELLS.items()))
-    out = None
-    for c in CELLS:
-        one = E.cross_task(cells, ["label", "fold"], c)
-        out = one if out is None else out.join(one, ["label", "fold"])
-    return out
+    return E.cross_all(cells, ["label", "fold"], list(CELLS))
+
 
 
 _cells = ", ".join(f"max(CASE WHEN task = '{t}' THEN {c} / nullif({n}, 0) END) AS {t}_{c}" for c, n in CELLS.items() for t in "AB")
 add("met_cm_norm", lambda s, d: normalised(predictions(s, d)), f"WITH {PREDICTIONS}{CONF}, w AS (SELECT label, fold, {_cells} FROM cm GROUP BY ALL) SELECT label, fold, " + ", ".join(f"round(CASE WHEN A_{c} <= 0 OR B_{c} <= 0 THEN least(A_{c}, B_{c}) ELSE 2 * A_{c} * B_{c} / (A_{c} + B_{c}) END, 5) AS {c}" for c in CELLS) + " FROM w")
-add("res_trials", lambda s, d: predictions(s, d).select("label", "fold", "pid", "y", "yhat"), f"WITH {PREDICTIONS} SELECT label, fold, pid, y, yhat FROM pred")
+def trial_rows(spark, d):
+    """One row for each trial of results that hold a fold's persons, labels and predictions as arrays side by side."""
+    part = F.pmod(F.xxhash64("pid", "task"), F.lit(64)).alias("_part")  # a result file holds a part of a fold
+    nested = predictions(spark, d).groupBy("label", "fold", part).agg(F.collect_list(F.struct("pid", "task", "y", "yhat")).alias("t"))
+    nested = nested.select("label", "fold", *(F.col(f"t.{c}").alias(c) for c in ("pid", "task", "y", "yhat")))
+    return nested.select("label", "fold", F.explode(F.arrays_zip("pid", "task", "y", "yhat")).alias("z")).select("label", "fold", "z.*", (F.col("z.y") == F.col("z.yhat")).cast("int").alias("correct"))
+
+
+add("res_trials", trial_rows, f"WITH {PREDICTIONS} SELECT label, fold, pid, task, y, yhat, (y = yhat)::INT AS correct FROM pred")
 
 # -- sources and sinks ----------------------------------------------------------------------------------------------------------
 def strides(spark, d):

@@ -91,7 +91,6 @@ AB = f"{CONF}, s AS (SELECT label, fold, task, {MCC} AS mcc FROM cm), w AS (SELE
 crossed = lambda p: E.cross_task(E.metrics(E.confusion(p, PK), PK), ["label", "fold"], "mcc")
 pred("mdl_objective", lambda p: crossed(p).groupBy("label").agg((F.avg("mcc") - 0.5 * F.stddev_pop("mcc")).alias("objective")), f"{AB} SELECT label, round(avg(mcc) - 0.5 * stddev_pop(mcc), 6) AS objective FROM h GROUP BY label")
 pred("res_best_run", lambda p: crossed(p).groupBy("label").agg(F.max_by("fold", F.struct("mcc", -F.col("fold"))).alias("fold")), f"{AB} SELECT label, arg_max(fold, struct_pack(m := mcc, k := -fold)) AS fold FROM h GROUP BY label")
-pred("res_score_table", lambda p: E.metrics(E.confusion(p, ["label"]), ["label"]).select("label", "accuracy", "mcc"), f", cm AS (SELECT label, count(*) FILTER (y = 0 AND yhat = 0) AS tn, count(*) FILTER (y = 0 AND yhat = 1) AS fp, count(*) FILTER (y = 1 AND yhat = 0) AS fn, count(*) FILTER (y = 1 AND yhat = 1) AS tp FROM pred GROUP BY ALL) SELECT label, round({METRIC_SQL['accuracy']}, 6) AS accuracy, round({MCC}, 6) AS mcc FROM cm")
 pred("res_drop_token", lambda p: p.filter(~F.col("label").contains("Head")).groupBy("label").agg(F.count("*").alias("n")), "SELECT label, count(*) AS n FROM pred WHERE NOT contains(label, 'Head') GROUP BY label")
 pred("res_class_weight", lambda p: p.groupBy("task", "y").agg(F.count("*").alias("n")).select("task", "y", (F.sum("n").over(Window.partitionBy("task")) / (2 * F.col("n"))).alias("w")), ", n AS (SELECT task, y, count(*) AS n FROM pred GROUP BY ALL) SELECT task, y, round(sum(n) OVER (PARTITION BY task) / (2 * n), 6) AS w FROM n")
 pred("res_participant_mean", lambda p: p.groupBy("pid", "label").agg(F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("m")), "SELECT pid, label, round(avg((y = yhat)::INT), 6) AS m FROM pred GROUP BY ALL")
