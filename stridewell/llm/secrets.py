@@ -1,10 +1,12 @@
 r"""Secret scan: fixed patterns, then a token-efficiency test.
 
-Ordinary text needs few tokens; a random string needs nearly one for each one or two characters. A run of
-at least MIN_RUN characters of ``[A-Za-z0-9+/_=-]`` with fewer than MAX_EFFICIENCY characters a token under
-the tiktoken vocabulary is reported as kind ``random``, unless it is a known digest (hexadecimal, of a
-digest's length), a UUID, a number, or an identifier (words of one case style joined by _ or -, each of
-which passes the token-efficiency test itself), or touches a span that the patterns found.
+Ordinary text needs few tokens; a random string needs nearly one for each one or two characters. Of a run of
+characters of ``[A-Za-z0-9+/_=-]`` the stretches between words are tested: a run is cut at its signs into parts, parts
+that are words under the vocabulary, known digests (hexadecimal, of a digest's length) and UUIDs end a stretch, and a
+stretch goes from its first to its last part that is dense by itself. A stretch of at least MIN_RUN characters with
+fewer than MAX_EFFICIENCY characters a token is reported as kind ``random``, unless it is a number or an identifier
+(words of one case style joined by signs, each of which passes the token-efficiency test itself), or touches a span
+that the patterns found. So a key inside a path or an address is found, and nothing of what stands around it.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive; whole texts
 are scanned however long; repeated rows are scanned one by one.
@@ -40,6 +42,9 @@ HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 NUMBER = re.compile(r"[0-9+=/_-]+")
 IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*")
 LETTERS = re.compile(r"[A-Za-z]+")
+PART = re.compile(r"[A-Za-z0-9]+")
+#: Letters from which on a part that needs few tokens is a word.
+WORD = 4
 
 _encoders: dict = {}
 
@@ -83,6 +88,27 @@ def identifier(run: str, enc, max_efficiency: float = MAX_EFFICIENCY) -> bool:
     return bool(IDENTIFIER.fullmatch(run)) and all(efficient(part, enc, max_efficiency) for part in LETTERS.findall(run))
 
 
+def stretches(run: str, enc, max_efficiency: float = MAX_EFFICIENCY) -> list[tuple[int, int]]:
+    """Where in a run something other than words and known numbers stands, from dense part to dense part."""
+    marks = [(m.start(), m.end()) for m in UUID.finditer(run)]
+    found, first, last, at = [], None, None, 0
+    for m in PART.finditer(run):
+        a, b = m.span()
+        while at < len(marks) and marks[at][1] <= a:
+            at += 1
+        part = m[0]
+        fixed = at < len(marks) and marks[at][0] <= a or HEXADECIMAL.fullmatch(part) and len(part) in DIGEST_LENGTHS
+        word = not fixed and part.isalpha() and len(part) >= WORD and efficient(part, enc, max_efficiency)
+        if fixed or word:
+            if first is not None:
+                found.append((first, last))
+            first = None
+        elif not part.isdigit() and not efficient(part, enc, max_efficiency):
+            first = a if first is None else first
+            last = b
+    return found if first is None else [*found, (first, last)]
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], enc, max_efficiency: float = MAX_EFFICIENCY) -> list[tuple[int, int, int]]:
     found, at, reach = [], 0, 0
     for m in RUN.finditer(text):
@@ -93,8 +119,11 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], enc, max_efficien
             at += 1
         if reach > a or known(m[0]):
             continue
-        if not efficient(m[0], enc, max_efficiency) and not identifier(m[0], enc, max_efficiency):
-            found.append((a, 3, b))
+        for c, d in stretches(m[0], enc, max_efficiency):
+            own = m[0][c:d]
+            d += len(m[0]) - d if not m[0][d:].strip("=") else 0  # padding belongs to what it pads
+            if d - c >= MIN_RUN and not known(own) and not efficient(own, enc, max_efficiency) and not identifier(own, enc, max_efficiency):
+                found.append((a + c, 3, a + d))
     return found
 
 
