@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
+from ..sources.shared import staged
 from . import motion as M
 from . import segments as G
 from .statistics import describe, extremum, following, previous, runs, time_beyond
@@ -128,11 +129,11 @@ def duration_table(log: DataFrame, sampled: DataFrame, keys: list[str], span: fl
     """keys, part, stat, value: time of the session and of its tail from the sample nearest to the last event on; of the steps (but
     the last) and the substeps basic statistics, and which is the longest and the shortest; of the substeps of each
     kind basic statistics. A segment's time is that between its first and last sample; empty segments have none."""
-    found = G.nested(log, sampled, keys, span)
+    found = staged(G.nested(log, sampled, keys, span), "nested")
     times = {}
     for name in ("step", "substep"):
         held = G.interval(sampled, G.level(found, keys, name), keys).groupBy(*keys, "segment")
-        times[name] = held.agg((F.max("t") - F.min("t")).alias("x"))
+        times[name] = staged(held.agg((F.max("t") - F.min("t")).alias("x")), "times")
     times["step"] = without_last(times["step"], keys, G.level(found, keys, "step"))
     session = sampled.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("duration"))
     last = log.groupBy(*keys).agg(F.max("event_t").alias("event_t"), F.lit(0).cast("long").alias("step"))
@@ -145,10 +146,9 @@ def duration_table(log: DataFrame, sampled: DataFrame, keys: list[str], span: fl
     return stacked(*parts, listed(kinds, [*keys, "kind"], "x").select(*keys, F.concat(F.lit("kind "), "kind").alias("part"), "stat", "value"))
 
 
-def segment_features(log: DataFrame, sampled: DataFrame, keys: list[str], name: str, span: float = G.CHUNK_SECONDS, digits: int = 5) -> DataFrame:
+def segment_features(found: DataFrame, sampled: DataFrame, keys: list[str], name: str, digits: int = 5) -> DataFrame:
     """keys, segment, feature, x: the basic statistics of the signal in each step or substep, rounded: what two segments differ by
     in their last bits is no difference."""
-    found = G.nested(log, sampled, keys, span)
     made = describe(G.interval(sampled, G.level(found, keys, name), keys), [*keys, "segment"])
     return made.withColumnRenamed("stat", "feature").withColumn("x", F.round("value", digits)).drop("value").filter("x IS NOT NULL AND NOT isnan(x)")
 
@@ -156,11 +156,12 @@ def segment_features(log: DataFrame, sampled: DataFrame, keys: list[str], name:
 def across_segments(log: DataFrame, sampled: DataFrame, keys: list[str], span: float = G.CHUNK_SECONDS) -> DataFrame:
     """keys, level, feature, stat, value: over a session's steps (but the last) and over its substeps, of each feature of a segment the
     basic statistics, and the segment where it is largest and smallest."""
-    parts = []
+    found, parts = staged(G.nested(log, sampled, keys, span), "nested"), []
     for name in ("step", "substep"):
-        values = segment_features(log, sampled, keys, name, span)
+        values = segment_features(found, sampled, keys, name)
         if name == "step":
-            values = without_last(values, keys, G.level(G.nested(log, sampled, keys, span), keys, "step"))
+            values = without_last(values, keys, G.level(found, keys, "step"))
+        values = staged(values, "segment-features")
         wide = [*keys, "feature"]
         ends = long(outermost(values, wide, "x"), wide, name, ["longest", "shortest"]).withColumn("stat", F.when(F.col("stat") == "longest", "largest").otherwise("smallest"))
         parts += [listed(values, wide, "x").select(*keys, F.lit(name).alias("level"), "feature", "stat", "value"), ends.select(*keys, F.col("part").alias("level"), "feature", "stat", "value")]
@@ -169,8 +170,8 @@ def across_segments(log: DataFrame, sampled: DataFrame, keys: list[str], span: f
 
 def by_type(log: DataFrame, sampled: DataFrame, keys: list[str], span: float = G.CHUNK_SECONDS) -> DataFrame:
     """keys, kind, feature, stat, value: over the substeps of each kind the basic statistics of each feature of a substep."""
-    found = G.nested(log, sampled, keys, span).select(*keys, F.col("sub_id").alias("segment"), "kind")
-    values = segment_features(log, sampled, keys, "substep", span).join(found, [*keys, "segment"])
+    found = staged(G.nested(log, sampled, keys, span), "nested")
+    values = segment_features(found, sampled, keys, "substep").join(found.select(*keys, F.col("sub_id").alias("segment"), "kind"), [*keys, "segment"])
     return listed(values, [*keys, "kind", "feature"], "x")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bundles as B
 from ..operators import segments as G
+from ..sources.shared import staged
 from .frames import PATH, RECORDING, path, recording
 from .motion import NEST, ORDERED, RUNS, SPAN, STEP3, rounded
 
@@ -31,11 +32,15 @@ THIRTEEN = {
 }
 
 
-def thirteen(source: str, keys: str, part: str | None = None) -> str:
-    """SQL of the statistics of a source with x and idx; ``part`` is an SQL expression."""
+#: Third and fourth moments where a source has the distances from the mean: lists of nearly equal numbers lose no digits.
+CENTRED = {"skew": f"avg(d * d * d) / pow({M2}, 1.5)", "kurtosis": f"avg(d * d * d * d) / pow({M2}, 2) - 3"}
+
+
+def thirteen(source: str, keys: str, part: str | None = None, centred: bool = False) -> str:
+    """SQL of the statistics of a source with x and idx, and d if it is centred; ``part`` is an SQL expression."""
     named = f"{part} AS part, " if part else ""
     group = f"{keys}, {part}" if part and "'" not in part else keys
-    return " UNION ALL ".join(f"SELECT {keys}, {named}'{s}' AS stat, round({q}, 5) AS value FROM {source} WHERE x IS NOT NULL GROUP BY {group}" for s, q in THIRTEEN.items())
+    return " UNION ALL ".join(f"SELECT {keys}, {named}'{s}' AS stat, round({q}, 5) AS value FROM {source} WHERE x IS NOT NULL GROUP BY {group}" for s, q in (THIRTEEN | (CENTRED if centred else {})).items())
 
 
 def rec(name: str, body, sql: str | None = None) -> None:
@@ -105,19 +110,19 @@ inn AS (SELECT sg.level, sg.pid, sg.segment, sm.idx, sm.t, sm.x FROM sg JOIN sm
 du AS (SELECT level, pid, segment, max(t) - min(t) AS x FROM inn GROUP BY ALL), dw AS (SELECT du.* FROM du JOIN ls USING (pid) WHERE level = 'substep' OR segment < last),
 fe AS (SELECT level, pid, segment, stat AS feature, value AS x FROM ({thirteen('inn', 'level, pid, segment')}) WHERE value IS NOT NULL AND NOT isnan(value)),
 fw AS (SELECT fe.* FROM fe JOIN ls USING (pid) WHERE level = 'substep' OR segment < last)"""
-#: A table of values by segment, with their places in the list; and the segments of the ends.
-PLACED = "{name} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY segment) - 1 AS idx FROM {source})"
+#: A table of values by segment, with their places in the list and their distances from the list's mean; and the segments of the ends.
+PLACED = "{name} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY segment) - 1 AS idx, x - avg(x) OVER (PARTITION BY {keys}) AS d FROM {source})"
 ENDS = "SELECT {keys}, '{most}' AS stat, arg_max(segment, struct_pack(x := x, k := -segment))::DOUBLE AS value FROM {source} GROUP BY {keys} UNION ALL SELECT {keys}, '{least}', arg_min(segment, struct_pack(x := x, k := segment))::DOUBLE FROM {source} GROUP BY {keys}"
-levels = lambda r: (G.substep_log(r), G.stream(r), KEY, SPAN)
+levels = lambda r: (staged(G.substep_log(r), "log"), staged(G.stream(r), "stream"), KEY, SPAN)
 DURATION = f"""{LEVELS}, {PLACED.format(name='dp', keys='pid, level', source='dw')}, dk AS (SELECT pid, 'kind ' || kind AS part, segment, x FROM dw JOIN nest USING (pid) WHERE level = 'substep' AND sub_id = segment),
 {PLACED.format(name='kp', keys='pid, part', source='dk')}, la AS (SELECT pid, max(t) AS t FROM l0 GROUP BY pid), lk AS (SELECT sm.pid, sm.idx, row_number() OVER (PARTITION BY sm.pid ORDER BY abs(sm.t - la.t), sm.idx) AS k FROM la JOIN sm USING (pid))
 SELECT pid, 'session' AS part, 'duration' AS stat, round(max(t) - min(t), 5) AS value FROM sm GROUP BY pid
 UNION ALL SELECT sm.pid, 'tail', 'duration', round(max(t) - min(t), 5) FROM sm JOIN lk ON lk.pid = sm.pid AND lk.k = 1 AND sm.idx >= lk.idx GROUP BY sm.pid
-UNION ALL SELECT pid, level, stat, value FROM ({thirteen('dp', 'pid, level')}) UNION ALL SELECT pid, level, stat, value FROM ({ENDS.format(keys='pid, level', source='dw', most='longest', least='shortest')})
-UNION ALL {thirteen('kp', 'pid, part')}"""
+UNION ALL SELECT pid, level, stat, value FROM ({thirteen('dp', 'pid, level', centred=True)}) UNION ALL SELECT pid, level, stat, value FROM ({ENDS.format(keys='pid, level', source='dw', most='longest', least='shortest')})
+UNION ALL {thirteen('kp', 'pid, part', centred=True)}"""
 rec("agg_duration", lambda r: B.duration_table(*levels(r)), DURATION)
-rec("agg_cross_step", lambda r: B.across_segments(*levels(r)), f"{LEVELS}, {PLACED.format(name='fp', keys='pid, level, feature', source='fw')} {thirteen('fp', 'pid, level, feature')} UNION ALL {ENDS.format(keys='pid, level, feature', source='fw', most='largest', least='smallest')}")
-rec("agg_by_type", lambda r: B.by_type(*levels(r)), f"{LEVELS}, fk AS (SELECT pid, kind, feature, segment, x FROM fe JOIN nest USING (pid) WHERE level = 'substep' AND sub_id = segment), {PLACED.format(name='fp', keys='pid, kind, feature', source='fk')} {thirteen('fp', 'pid, kind, feature')}")
+rec("agg_cross_step", lambda r: B.across_segments(*levels(r)), f"{LEVELS}, {PLACED.format(name='fp', keys='pid, level, feature', source='fw')} {thirteen('fp', 'pid, level, feature', centred=True)} UNION ALL {ENDS.format(keys='pid, level, feature', source='fw', most='largest', least='smallest')}")
+rec("agg_by_type", lambda r: B.by_type(*levels(r)), f"{LEVELS}, fk AS (SELECT pid, kind, feature, segment, x FROM fe JOIN nest USING (pid) WHERE level = 'substep' AND sub_id = segment), {PLACED.format(name='fp', keys='pid, kind, feature', source='fk')} {thirteen('fp', 'pid, kind, feature', centred=True)}")
 
 # -- positions, rotations, movement --------------------------------------------------------------------------------------------
 AXES = ", ax AS (SELECT pid, idx, part, x FROM (SELECT pid, idx, {columns} FROM {source}) UNPIVOT (x FOR part IN ({columns})))"
