@@ -33,8 +33,9 @@ from .common import fields, release_memory, staged, workers_import_this
 
 POSITIVES, NEGATIVES = 5, 3
 LEAST_PERCENT, MOST_PERCENT = 50, 95
-#: Rows of a block, blocks whose anchors form a chunk, zone maps of a page, blocks of a group that is read.
-BLOCK, CHUNK, PAGE, GROUP = 256, 128, 512, 64
+#: Rows of a block, blocks whose anchors form a chunk at most, anchors of a chunk on average at least, zone maps of a page, blocks of
+#: a group that is read.
+BLOCK, CHUNK, ANCHORS, PAGE, GROUP = 256, 128, 1024, 512, 64
 #: Dimensions of the curve and bits of each.
 AXES, BITS = 8, 7
 NONE = -(1 << 62)
@@ -186,6 +187,16 @@ def blocks(points: DataFrame) -> DataFrame:
     return staged(points.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, shape), "negatives-blocks")
 
 
+def chunked(anchors: DataFrame) -> DataFrame:
+    """``anchors`` with ``chunk``: those of some blocks that follow each other in a partition, or where a partition has few anchors those of
+    some partitions that follow each other. Every chunk meets the blocks that it needs by itself, so chunks are not to be many."""
+    part = F.shiftright("block", 32)
+    n, last = anchors.agg(F.count("*"), F.max(part)).first()
+    per = max(1, (last or 0) + 1 if not n else -(-((last or 0) + 1) * ANCHORS // n))
+    own = F.shiftright(F.col("block").bitwiseAND(F.lit((1 << 32) - 1)), CHUNK.bit_length() - 1) if per == 1 else F.lit(0)
+    return anchors.withColumn("chunk", F.shiftleft(F.floor(part / per).cast("long"), 32) + own)
+
+
 Windows = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 
 
@@ -308,7 +319,8 @@ def mine(points: DataFrame) -> DataFrame:
     rows = blocks(points)
     zones = rows.filter("least IS NOT NULL").select("block", "label", "size", "least", "most")
     n_blocks = zones.count()
-    anchors = rows.filter("anchor").select("block", "pos", "vec_id", "label", "size", "point", "seed", F.floor(F.col("block") / CHUNK).alias("chunk"))
+    anchors = rows.filter("anchor").select("block", "pos", "vec_id", "label", "size", "point", "seed")
+    anchors = staged(chunked(anchors), "negatives-anchors")
     same = staged(plan(anchors, zones, open_window, True), "negatives-plan")
     positives = staged(read(anchors, rows, same, n_blocks, open_window, True, POSITIVES).drop("window"), "negatives-positives")
 
