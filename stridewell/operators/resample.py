@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import CHUNK_ROWS, carried, numbered
+from ..sources.shared import staged
+from .timeline import CHUNK_ROWS, carried_all, numbered
 
 
 def drop_columns(df: DataFrame, token: str) -> DataFrame:
@@ -56,23 +57,27 @@ def left_join_grid(df: DataFrame, keys: list[str], step: float, unit: float = 0.
 
 def interpolate(df: DataFrame, keys: list[str], columns: tuple[str, ...] = ("x",), order: tuple[str, ...] = ("k",)) -> DataFrame:
     """Nulls between two samples filled on the straight line by the row's place; none beyond the ends. A session is spread
-    over chunks of its first order column."""
+    over chunks of its first order column. All columns are filled at once, from a written table of the numbered rows, so the
+    plan does not grow with their number."""
     by = [F.col(c) for c in order]
-    chunk = by[0] / CHUNK_ROWS
-    placed = numbered(df, keys, by, chunk, "_place")
-    for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.struct(F.col("_place").alias("p"), F.col(c).alias("x")))
-        near = carried(placed, keys, [F.col("_place")], F.col("_place") / CHUNK_ROWS, at)
-        a, b = F.col("_before"), F.col("_after")
-        between = a["x"] + (b["x"] - a["x"]) * (F.col("_place") - a["p"]) / (b["p"] - a["p"])
-        placed = near.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).when(a.isNotNull() & b.isNotNull(), between)).drop("_before", "_after")
-    return placed.select(*df.columns)
+    placed = staged(numbered(df, keys, by, by[0] / CHUNK_ROWS, "_place"), "places")
+    here = F.col("_place")
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(here.alias("p"), F.col(c).alias("x"))) for c in columns}
+    near = carried_all(placed, keys, [here], here / CHUNK_ROWS, known)
+
+    def filled(c: str) -> Column:
+        a, b = F.col(f"_before_{c}"), F.col(f"_after_{c}")
+        between = a["x"] + (b["x"] - a["x"]) * (here - a["p"]) / (b["p"] - a["p"])
+        return F.when(F.col(c).isNotNull(), F.col(c)).when(a.isNotNull() & b.isNotNull(), between).alias(c)
+
+    return near.select(*(filled(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def resampled(df: DataFrame, keys: list[str], step: float, columns: tuple[str, ...], unit: float = 0.001, digits: int = 6) -> DataFrame:
     """keys, idx, t and ``columns`` on a uniform grid: samples joined by equal rounded times, gaps filled on straight lines, values
-    rounded, rows that still lack a value left out, the rest numbered from 0."""
-    joined = left_join_grid(df.select(*keys, "idx", "t", *columns), keys, step, unit)
+    rounded, rows that still lack a value left out, the rest numbered from 0. What a step reads twice is written once."""
+    sampled = staged(df.select(*keys, "idx", "t", *columns), "samples")
+    joined = staged(left_join_grid(sampled, keys, step, unit), "grid")
     filled = interpolate(joined, keys, columns, ("k", "idx"))
     whole = filled.select(*keys, "k", F.col("idx").alias("_old"), "t", *(F.round(c, digits).alias(c) for c in columns)).na.drop(subset=list(columns))
-    return numbered(whole, keys, [F.col("k"), F.col("_old")], F.col("k") / CHUNK_ROWS).select(*keys, "idx", "t", *columns)
+    return numbered(staged(whole, "resampled"), keys, [F.col("k"), F.col("_old")], F.col("k") / CHUNK_ROWS).select(*keys, "idx", "t", *columns)

@@ -22,30 +22,40 @@ def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return found
 
 
-def carried(df: DataFrame, keys: list[str], order: list[Column], chunk: Column | None, value: Column, ahead: bool = True) -> DataFrame:
-    """``df`` with ``_before``, the last value that is not null at or before each row in that order, and with ``ahead`` also
-    ``_after``, the first one at or after it. Without
-    ``chunk`` the rows have their column _chunk already."""
-    own = [*keys, "_chunk"]
-    base = (df if chunk is None else df.withColumn("_chunk", F.floor(chunk).cast("long"))).withColumn("_value", value)
+def carried_all(df: DataFrame, keys: list[str], order: list[Column], chunk: Column | None, values: dict[str, Column], ahead: bool = True) -> DataFrame:
+    """``df`` with ``_before_<name>`` of each of ``values``, its last value that is not null at or before each row in that order, and with
+    ``ahead`` also ``_after_<name>``, the first one at or after it. Without ``chunk`` the rows have their column _chunk
+    already. All values are carried by the same sorts and one join with the chunks' ends; ``df`` is read twice."""
+    own, names = [*keys, "_chunk"], list(values)
+    base = df if chunk is None else df.withColumn("_chunk", F.floor(chunk).cast("long"))
+    base = base.withColumns({f"_value_{n}": v for n, v in values.items()})
     back = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     front = Window.partitionBy(*own).orderBy(*(c.desc() for c in order)).rowsBetween(Window.unboundedPreceding, 0)
-    place = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    ends = base.groupBy(*own).agg(F.min_by("_value", place).alias("_first"), F.max_by("_value", place).alias("_last"))
+    place = {n: F.when(F.col(f"_value_{n}").isNotNull(), F.struct(*order)) for n in names}
+    ends = base.groupBy(*own).agg(*(e(f"_value_{n}", place[n]).alias(f"{end}_{n}") for n in names for e, end in ((F.min_by, "_first"), (F.max_by, "_last"))))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    outside = ends.select(*own, F.last("_last", ignorenulls=True).over(earlier).alias("_in"), F.last("_first", ignorenulls=True).over(later).alias("_out"))
-    outside = outside.toDF(*(f"_k{i}" for i in range(len(own))), "_in", "_out")
-    seen = base.withColumn("_before", F.last("_value", ignorenulls=True).over(back))
+    reach = [F.last(f"_last_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in names]
+    if ahead:
+        reach += [F.last(f"_first_{n}", ignorenulls=True).over(later).alias(f"_out_{n}") for n in names]
+    outside = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(own)), *reach)
+    seen = base.withColumns({f"_before_{n}": F.last(f"_value_{n}", ignorenulls=True).over(back) for n in names})
     if ahead:
-        seen = seen.withColumn("_after", F.last("_value", ignorenulls=True).over(front))
+        seen = seen.withColumns({f"_after_{n}": F.last(f"_value_{n}", ignorenulls=True).over(front) for n in names})
     there = F.lit(True)
     for i, k in enumerate(own):
         there = there & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    met = seen.join(outside, there).withColumn("_before", F.coalesce("_before", "_in"))
+    filled = {f"_before_{n}": F.coalesce(f"_before_{n}", f"_in_{n}") for n in names}
     if ahead:
-        met = met.withColumn("_after", F.coalesce("_after", "_out"))
-    return met.drop(*(f"_k{i}" for i in range(len(own))), "_in", "_out", "_chunk", "_value")
+        filled |= {f"_after_{n}": F.coalesce(f"_after_{n}", f"_out_{n}") for n in names}
+    gone = [*(f"_k{i}" for i in range(len(own))), "_chunk", *(f"{x}_{n}" for n in names for x in ("_value", "_in", "_out"))]
+    return seen.join(outside, there).withColumns(filled).drop(*gone)
+
+
+def carried(df: DataFrame, keys: list[str], order: list[Column], chunk: Column | None, value: Column, ahead: bool = True) -> DataFrame:
+    """``carried_all`` of a single value, as ``_before`` and ``_after``."""
+    found = carried_all(df, keys, order, chunk, {"v": value}, ahead).withColumnRenamed("_before_v", "_before")
+    return found.withColumnRenamed("_after_v", "_after") if ahead else found
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, out: str = "idx") -> DataFrame:

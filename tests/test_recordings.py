@@ -225,3 +225,28 @@ def test_time_grows_with_the_rows(spark, name):
     run(1000)
     few, many = run(10_000), run(40_000)
     assert many < 10 and many < 4.5 * few + 1
+
+
+def test_columns_are_filled_in_one_pass(spark):
+    """Ten columns with gaps of their own, over chunks that cut the gaps: each as a plain loop fills it, and the plan reads
+    its table no oftener than for one column."""
+    rng, n = random.Random(5), 400
+    columns = tuple(f"c{i}" for i in range(10))
+    rows = [(p, k, *(rng.random() if rng.random() < 0.3 else None for _ in columns)) for p in (1, None) for k in range(n)]
+    schema = "pid long, k long, " + ", ".join(f"{c} double" for c in columns)
+    found = R.interpolate(spark.createDataFrame(rows, schema), ["pid"], columns)
+    got = {(r.pid, r.k): r for r in found.collect()}
+    assert len(got) == len(rows)
+    for p in (1, None):
+        own = [r for r in rows if r[0] == p]
+        for i, c in enumerate(columns, 2):
+            known = [r[1] for r in own if r[i] is not None]
+            for r in own:
+                a, b = max((k for k in known if k <= r[1]), default=None), min((k for k in known if k >= r[1]), default=None)
+                value = getattr(got[p, r[1]], c)
+                if a is None or b is None:
+                    assert value is None
+                else:
+                    want = own[a][i] if a == b else own[a][i] + (own[b][i] - own[a][i]) * (r[1] - a) / (b - a)
+                    assert value == pytest.approx(want, abs=1e-12)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2
