@@ -26,6 +26,6 @@ def against_sql(spark, name, sf):
     return [(k, x, b[k]) for k, x in a.items() if not all(near(none(u), none(v)) for u, v in zip(x, b[k], strict=True))]
 
 
-@pytest.mark.parametrize(("name", "sf"), [("agg_cross_step", "0.01"), ("agg_by_type", "0.01"), ("agg_peak_gaps", "0.1"), ("agg_custom", "0.1")])
+@pytest.mark.parametrize(("name", "sf"), [("agg_cross_step", "0.01"), ("agg_by_type", "0.01"), ("agg_peak_gaps", "0.1"), ("agg_custom", "0.1"), ("res_cochran_q", "0.1")])
 def test_no_cell_turns(spark, name, sf):
     assert not against_sql(spark, name, sf)
