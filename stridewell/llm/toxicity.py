@@ -16,7 +16,7 @@ scored one by one; labels of a doc_id that repeats are learnt from once a row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -168,6 +168,14 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: i
     return at, w[at], -zb / ((BETA + math.sqrt(nb)) / ALPHA)
 
 
+def learnt(batch: Iterable[str], labels: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+    """``ftrl`` over texts. Their places are kept in 32 bits, and the words go before the model's arrays come."""
+    rows = [np.unique(places(word_hashes(t), bits)).astype(np.int32) for t in batch]
+    forget()
+    release_memory()
+    return ftrl(rows, labels, bits)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
     """At most ``most`` rows (text, y) to learn from, never of the held-out fold. Keys are chosen before any
     text moves: the light label rows are ranked by hash, and the texts of the chosen meet them."""
@@ -186,10 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     out = fields(("places", "array<int>"), ("weights", "array<float>"), ("bias", "double"))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [np.unique(places(word_hashes(t), bits)) for t in pdf["text"]]
-        at, w, bias = ftrl(rows, pdf["y"].to_numpy(float), bits)
-        del rows
-        forget()
+        at, w, bias = learnt(pdf["text"], pdf["y"].to_numpy(float), bits)
         release_memory()
         return pd.DataFrame({"places": [at.astype(np.int32)], "weights": [w.astype(np.float32)], "bias": [float(bias)]})
 
