@@ -24,7 +24,7 @@ def wide(spark, d):
 
 def trip_csv(spark, d):
     out, rec = folder(spark, "csv"), recording(spark, d).select("pid", "idx", F.round("t", 3).alias("t"), "x")
-    S.write_by_key(rec, out, ["pid"])
+    S.write_by_key(rec, out, ["pid"], "idx")
     return rounded(S.read_tracking(spark, out, "idx long, t double, x double").select(F.col("pid").cast("long").alias("pid"), "idx", "t", "x"), 4)
 
 
@@ -36,8 +36,8 @@ def trip_tracking(spark, d):
     """Recordings in files whose names hold task and person, A_7.csv; both come back from the names alone."""
     out, rec = folder(spark, "tracking"), recording(spark, d)
     task = F.when(F.col("pid") % 2 == 0, "A").otherwise("B")
-    named = rec.select(F.concat_ws("_", task, F.concat("pid", F.lit(".csv"))).alias("file"), F.round("t", 3).alias("Timestamp"), "x")
-    named.write.partitionBy("file").option("header", True).csv(out)
+    named = rec.select(F.concat_ws("_", task, F.concat("pid", F.lit(".csv"))).alias("file"), F.col("idx").alias("_idx"), F.round("t", 3).alias("Timestamp"), "x")
+    S.write_files(named, out, ["file"], "_idx", lambda file: file[0])
     return rounded(S.read_named(spark, out, "Timestamp double, x double").select(F.col("pid").cast("long").alias("pid"), "task_id", F.col("Timestamp").alias("t"), "x"), 4)
 
 
@@ -50,7 +50,7 @@ def trip_log(spark, d):
     out, rec = folder(spark, "log"), recording(spark, d)
     own = Window.partitionBy("pid").orderBy("idx")
     log = rec.filter("kind = 'purchase'").select("pid", F.round("t", 3).alias("Timestamp"), (F.row_number().over(own) - 1).alias("step"), F.col("kind").alias("subStep"))
-    S.write_by_key(log, out, ["pid"])
+    S.write_by_key(log, out, ["pid"], "step")
     found = S.read_log(spark, out).select(F.col("pid").cast("long").alias("pid"), "Timestamp", "step", F.col("subStep").alias("kind"))
     samples = rec.filter("kind <> 'purchase'").groupBy("pid").agg(F.count("*").alias("samples"))
     return rounded(found.join(samples, "pid"), 4)
