@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
 from .evaluation import harmonic, metrics
 
 #: Rows of a stratum that are numbered in one task.
@@ -246,7 +247,8 @@ class Search:
                 out["components"] = found
                 yield out
 
-        held = rows.mapInPandas(project, "pid long, task string, y int, outer int, components array<double>")
+        # Written once: projected rows are read four times, and no task needs a second Python beside the one that classifies.
+        held = staged(rows.mapInPandas(project, "pid long, task string, y int, outer int, components array<double>"), "components")
         n = held.groupBy("outer").agg(F.count("*").alias("_n"))
         dealt = held.join(n, "outer").select("*", F.explode(F.sequence(F.lit(0), F.size("components") - 1)).alias("component"))
         dealt = dealt.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
@@ -266,11 +268,13 @@ class Search:
                     found[rows_] = shared.value[k].classes(np.stack(part["components"].to_numpy()[rows_]))
                 yield part[["outer", "component", "repeat", "y"]].assign(yhat=found)
 
-        told = mixed.unionByName(plain).mapInPandas(classify, "outer int, component int, repeat int, y int, yhat int")
-        hit = (F.col("y") == F.col("yhat")).cast("double")
-        rate = told.groupBy("outer", "component", "repeat", "y").agg(F.avg(hit).alias("_r")).groupBy("outer", "component", "repeat").agg(F.avg("_r").alias("_b"))
-        base = rate.filter("component = -1").select("outer", F.col("_b").alias("_base"))
-        return rate.filter("component >= 0").join(base, "outer").groupBy("outer", "component").agg(F.avg(F.col("_base") - F.col("_b")).alias("importance"))
+        def rate(part: DataFrame) -> DataFrame:
+            told = part.mapInPandas(classify, "outer int, component int, repeat int, y int, yhat int")
+            hit = (F.col("y") == F.col("yhat")).cast("double")
+            return told.groupBy("outer", "component", "repeat", "y").agg(F.avg(hit).alias("_r")).groupBy("outer", "component", "repeat").agg(F.avg("_r").alias("_b"))
+
+        base = rate(plain).select("outer", F.col("_b").alias("_base"))
+        return rate(mixed).join(base, "outer").groupBy("outer", "component").agg(F.avg(F.col("_base") - F.col("_b")).alias("importance"))
 
     def loadings(self) -> DataFrame:
         """outer, feature, component, loading of each fold's chosen fit."""

@@ -68,6 +68,13 @@ def test_importance_finds_the_planted_feature(search):
     assert N.fold_summary(projected, every).filter("feature = 'absent'").first().mean == 0
 
 
+def test_importance_runs_one_python_a_task(search):
+    """Rows were projected and classified in one stage, by two workers a task, and dealt rows were classified twice."""
+    found, rows = search
+    plan = found.component_importance(rows, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas classify") == 2 and "project(" not in plan
+
+
 def test_tails_against_known_values():
     assert L.t_tail(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
     assert L.f_tail(4.964603, 1, 10) == pytest.approx(0.05, abs=1e-6)
