@@ -11,8 +11,9 @@
 Words move as packed rows, a few bytes for each word of a segment, and the numbered texts twice; texts do not.
 A segment ends after REMEMBERED words or SEGMENT_CHARS characters, so what a task holds is bounded.
 
-The rank map is dealt into slots by hash, as a lookup in one large map literal would scan it. Words of more than
-LONGEST bytes are first cut where two neighbouring bytes are part of no piece of the vocabulary: no merge can
+The rank map is a flat array without clashes, as a lookup in one large map literal would scan it, and each task reads all
+literals anew, in which nested arrays are slow. Words of at most LONGEST bytes are folded over one array of numbers that hold
+rank, place and id together. Words of more than LONGEST bytes are first cut where two neighbouring bytes are part of no piece of the vocabulary: no merge can
 cross there. A pair that occurs MANY times in a word is merged at all its places in one step, unless that makes a
 pair of a lower rank, which has to go first. Both keep the result and save time on very long words.
 
@@ -26,7 +27,7 @@ import base64
 import hashlib
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,9 @@ MARKED = LETTERS[:-1] + "[.,;:!?]$"
 LONGEST = 64
 #: Places of one pair from which on they are merged in one step.
 MANY = 64
-#: Slots of the rank map, a prime number.
-SLOTS = 131_071
+#: Bits of an id or rank, and what stands for the rank of ids that do not join.
+BITS = 20
+NONE = (1 << BITS) - 1
 
 WORDS, TEXTS = 0, 1
 ROW = (("kind", "int"), ("key", "long"), ("segment", "long"), ("doc_ids", "array<long>"), ("a", "binary"), ("b", "binary"), ("c", "binary"), ("d", "binary"))
@@ -66,31 +68,60 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def rank_map(ranks: dict[bytes, int], slots: int = SLOTS) -> Column:
-    """The rank map as a literal, array<array<bigint>>.
+def _prime(least: int) -> int:
+    return next(n for n in range(max(2, least), 2 * least + 3) if all(n % k for k in range(2, int(n**0.5) + 1)))
+
+
+def dealt(keys: list[int]) -> tuple[list[int], list[int | None]]:
+    """Steps and places of a table without clashes: a key stands at (key + steps[key % len(steps)]) % len(places). Keys of one
+    remainder are moved together to where all their places are free, those that are many first."""
+    groups = _prime(len(keys) // 3 + 1)
+    size = 2 * len(keys)
+    while True:
+        size = _prime(size + 1)
+        sharing: dict[int, list[int]] = {}
+        for key in keys:
+            sharing.setdefault(key % groups, []).append(key)
+        steps, places = [0] * groups, [None] * size
+        for group, own in sorted(sharing.items(), key=lambda x: -len(x[1])):
+            at = [key % size for key in own]
+            step = next((d for d in range(size) if all(places[(k + d) % size] is None for k in at)), None) if len({*at}) == len(at) else None
+            if step is None:
+                break
+            steps[group] = step
+            for key, k in zip(own, at, strict=True):
+                places[(k + step) % size] = key
+        else:
+            return steps, places
+
 
-    A pair of pieces (ids a, b) that join to a piece of the vocabulary has the key (a + 1) * 2**32 + b, greater than
-    any rank, and stands in slot key mod ``slots``: null, key, rank, key, rank ... Every way to cut a piece into two
-    pieces is a pair."""
-    table: list[list[int | None]] = [[] for _ in range(slots)]
+def rank_map(ranks: dict[bytes, int]) -> tuple[Column, Column, int, int]:
+    """The rank map as two flat literals, array<bigint>, and their lengths (see ``dealt``).
+
+    A pair of pieces (ids a, b) that join to a piece of the vocabulary has the key a * 2**20 + b, and stands in the second as
+    key * 2**20 + rank. Every way to cut a piece into two pieces is a pair."""
+    if max(ranks.values()) >= NONE:
+        raise ValueError(f"ranks must be under {NONE}")
+    pairs = {}
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if a is not None and b is not None:
-                key = (a + 1 << 32) + b
-                slot = table[key % slots]
-                slot += [key, rank] if slot else [None, key, rank]
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<bigint>>")
+                pairs[(a << BITS) + b] = rank
+    steps, places = dealt(list(pairs))
+    table = [None if key is None else (key << BITS) + pairs[key] for key in places]
+    literal = lambda x: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>")
+    return literal(steps), literal(table), len(steps), len(table)
 
 
 def first_ranks(ranks: dict[bytes, int]) -> tuple[Column, int]:
     """The part of the rank map that a word starts with, as a literal array<bigint>: the rank of the single bytes
-    with ids a and b stands at a * wide + b, where ``wide`` is the second result."""
+    with ids a and b, or NONE, stands at a * wide + b, where ``wide`` is the second result."""
     wide = max(ranks[bytes([x])] for x in range(256)) + 1
-    table: list[int | None] = [None] * wide**2
+    table = [NONE] * wide**2
     for a in range(256):
         for b in range(256):
-            table[ranks[bytes([a])] * wide + ranks[bytes([b])]] = ranks.get(bytes([a, b]))
+            table[ranks[bytes([a])] * wide + ranks[bytes([b])]] = ranks.get(bytes([a, b]), NONE)
     return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<bigint>"), wide
 
 
@@ -103,25 +134,58 @@ def pieces(ranks: dict[bytes, int]) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.transform(F.array(value), body)[0]
+    """Evaluate ``value`` once and use it in ``body``: a fold over nothing that starts with it and ends with ``body``."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
+
+
+#: Looks up the rank that two ids join to, NONE without one.
+Ranks = Callable[[Column, Column], Column]
+
+
+def looked_up(steps: Column, table: Column, groups: int, places: int) -> Ranks:
+    def rank(a: Column, b: Column) -> Column:
+        entry = lambda key: F.get(table, ((key + F.get(steps, (key % groups).cast("int"))) % places).cast("int"))
+        # What stands there is of this key where only the bits of a rank differ; an empty place is null, which least leaves out.
+        return _let(F.shiftleft(a, BITS).bitwiseOR(b), lambda key: F.least(entry(key).bitwiseXOR(F.shiftleft(key, BITS)), F.lit(NONE).cast("bigint")))
+
+    return rank
 
 
-def pair_rank(a: Column, b: Column, table: Column) -> Column:
-    """The rank that ids a and b join to, or null."""
-    key = (a + 1) * 4294967296 + b
-    # A key's place counts from one, so it is the index of the rank after it; without the key, of the null.
-    return _let(F.get(table, (key % SLOTS).cast("int")), lambda slot: F.get(slot, F.array_position(slot, key).cast("int")))
+def encode_short(word: Column, rank: Ranks, first: Column, wide: int) -> Column:
+    """``encode_word`` of at most 256 bytes. The state of the fold is an array of numbers, for each id: the rank it joins to the
+    next at (or NONE), its first byte's place in the word, and the id, so the least number is the first pair of the lowest rank."""
+    own, below = lambda x: x.bitwiseAND((1 << 24) - 1), (1 << 32) - 1
+    none = F.lit(NONE << 32).cast("bigint")
+    ranked = lambda r, x: F.shiftleft(r, 32).bitwiseOR(x)
 
+    def joined(s: Column, i: Column) -> Column:
+        """Place i (from one) joined to the next; the rank of the place before it is looked up anew, too."""
 
-def encode_word(word: Column, table: Column, first: Column, wide: int) -> Column:
+        def at(m: Column) -> Column:
+            new = F.shiftright(m, 32)
+            here = ranked(rank(new, own(F.get(s, i + 1))), m.bitwiseAND(below - (1 << 24) + 1).bitwiseOR(new))
+            before = lambda x: ranked(rank(own(x), new), x.bitwiseAND(below))
+            changed = F.when(i > 1, F.array(_let(F.get(s, i - 2), before), here)).otherwise(F.array(here))
+            return F.concat(F.slice(s, 1, F.greatest(i - 2, F.lit(0))), changed, F.slice(s, i + 2, F.size(s)))
+
+        return _let(F.get(s, i - 1), at)
+
+    def step(s: Column, _: Column) -> Column:
+        return _let(F.array_min(s), lambda m: F.when(m >= none, s).otherwise(_let(F.array_position(s, m).cast("int"), lambda i: joined(s, i))))
+
+    start = F.transform(word, lambda x, i: ranked(F.coalesce(F.get(first, (x * wide + F.get(word, i + 1)).cast("int")), F.lit(NONE)), F.shiftleft(i.cast("bigint"), 24).bitwiseOR(x)))
+    return F.transform(F.aggregate(F.slice(word, 2, F.size(word)), start, step), own)
+
+
+def encode_word(word: Column, rank: Ranks, first: Column, wide: int) -> Column:
     """array<bigint> of the ids of a word given as the ids of its bytes. The state of the fold is the ids t and the
     rank r of each id joined to the next; a step joins the first pair of the lowest rank, whose rank is the
     new id, and looks up its two new neighbours only. Without a pair to join, r is empty."""
+    pair_rank = lambda a, b: F.nullif(rank(a, b), F.lit(NONE).cast("bigint"))
     nothing = F.array().cast("array<bigint>")
 
     def ranks(t: Column) -> Column:
-        return F.transform(F.slice(t, 1, F.size(t) - 1), lambda x, i: pair_rank(x, F.get(t, i + 1), table))
+        return F.transform(F.slice(t, 1, F.size(t) - 1), lambda x, i: pair_rank(x, F.get(t, i + 1)))
 
     def first_place(t: Column, r: Column, m: Column) -> Column:
         def merged(i: Column) -> Column:
@@ -129,8 +193,8 @@ def encode_word(word: Column, table: Column, first: Column, wide: int) -> Column
                 F.concat(F.slice(t, 1, i - 1), F.array(m), F.slice(t, i + 2, F.size(t))).alias("t"),
                 F.concat(
                     F.slice(r, 1, F.greatest(i - 2, F.lit(0))),
-                    F.when(i > 1, F.array(pair_rank(F.get(t, i - 2), m, table))).otherwise(nothing),
-                    F.when(i < F.size(r), F.array(pair_rank(m, F.get(t, i + 1), table))).otherwise(nothing),
+                    F.when(i > 1, F.array(pair_rank(F.get(t, i - 2), m))).otherwise(nothing),
+                    F.when(i < F.size(r), F.array(pair_rank(m, F.get(t, i + 1)))).otherwise(nothing),
                     F.slice(r, i + 2, F.size(r)),
                 ).alias("r"),
             )
@@ -147,7 +211,7 @@ def encode_word(word: Column, table: Column, first: Column, wide: int) -> Column
         def chosen(s: Column) -> Column:
             new = F.filter(F.transform(t, lambda x, i: F.when(is_first(s, i), m).when(is_first(s, i - 1), F.lit(-1)).otherwise(x)), lambda x: x >= 0)
             # A new id stood beside the next place before that was merged.
-            between = F.transform(F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: is_first(s, i) & is_first(s, i + 2)), lambda i: pair_rank(m, F.get(t, i + 2), table))
+            between = F.transform(F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: is_first(s, i) & is_first(s, i + 2)), lambda i: pair_rank(m, F.get(t, i + 2)))
 
             def safe(new: Column) -> Column:
                 return _let(ranks(new), lambda r2: F.when(F.coalesce(F.array_min(F.concat(r2, between)) > m, F.lit(True)), F.struct(new.alias("t"), r2.alias("r"))).otherwise(first_place(t, r, m)))
@@ -164,7 +228,7 @@ def encode_word(word: Column, table: Column, first: Column, wide: int) -> Column
     def step(s: Column, _: Column) -> Column:
         return F.when(F.size(s["r"]) == 0, s).otherwise(_let(F.array_min(s["r"]), lambda m: joined(s, m)))
 
-    pairs = F.transform(F.slice(word, 1, F.size(word) - 1), lambda x, i: F.get(first, (x * wide + F.get(word, i + 1)).cast("int")))
+    pairs = F.transform(F.slice(word, 1, F.size(word) - 1), lambda x, i: F.nullif(F.get(first, (x * wide + F.get(word, i + 1)).cast("int")), F.lit(NONE).cast("bigint")))
     start = F.struct(word.alias("t"), pairs.alias("r"))
     return F.when(F.size(word) > 1, F.aggregate(F.slice(word, 1, F.size(word) - 1), start, step)["t"]).otherwise(word)
 
@@ -184,7 +248,13 @@ def encoded(word: Column, ranks: dict[bytes, int]) -> Column:
     """``encode_word``; a word that is a piece of the vocabulary has that one id, also where the merges do not lead
     to it (in the usual vocabularies they always do)."""
     first, wide = first_ranks(ranks)
-    known = _let(rank_map(ranks), lambda table: _let(first, lambda pairs: encode_word(word, table, pairs, wide)))
+    steps, table, groups, places = rank_map(ranks)
+
+    def folded(first: Column, steps: Column, table: Column) -> Column:
+        rank = looked_up(steps, table, groups, places)
+        return F.when(F.size(word) <= LONGEST, encode_short(word, rank, first, wide)).otherwise(encode_word(word, rank, first, wide))
+
+    known = _let(first, lambda first: _let(steps, lambda steps: _let(table, lambda table: folded(first, steps, table))))
     for piece, rank in ranks.items():
         if len(piece) > 1 and len(merged(piece, ranks)) > 1:
             known = F.when(word == F.array(*(F.lit(ranks[piece[i : i + 1]]).cast("bigint") for i in range(len(piece)))), F.array(F.lit(rank).cast("bigint"))).otherwise(known)

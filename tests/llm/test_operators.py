@@ -243,6 +243,24 @@ def test_byte_bpe_of_many_places(spark):
         assert got == {k: [ranks[p] for p in byte_bpe.merged(w.encode(), ranks)] for k, w in enumerate(words)}
 
 
+def test_byte_bpe_of_short_words(spark):
+    """Words of all lengths up to the bound and beyond it equal the plain merges; the rank map is flat, each pair in a place of its
+    own, where it was 131,071 nested arrays that every task read anew."""
+    rng = np.random.default_rng(5)
+    awkward = {bytes([x]): x for x in range(256)} | {w.encode(): 256 + k for k, w in enumerate(["abc", "ab", "ba", "aa", "bab", "aab", "ca", "abab", "cab"])}
+    words = ["".join(rng.choice(list(letters), n)) for n in range(1, byte_bpe.LONGEST + 3) for letters in ("abc", "etaoinshr dl", "é漢a")]
+    for ranks in (awkward, byte_bpe.read_ranks(secrets.vocabulary())):
+        table = spark.createDataFrame([(k, [ranks[bytes([x])] for x in w.encode()]) for k, w in enumerate(words)], "k int, word array<long>")
+        got = {r.k: r.ids for r in table.select("k", byte_bpe.encoded(F.col("word"), ranks).alias("ids")).collect()}
+        assert got == {k: [ranks[p] for p in byte_bpe.merged(w.encode(), ranks)] for k, w in enumerate(words)}
+    steps, places, groups, size = byte_bpe.rank_map(awkward)
+    assert [f.dataType.simpleString() for f in spark.range(1).select(steps, places).schema] == ["array<bigint>"] * 2
+    keys = [a << 20 | b for a in range(300) for b in (0, 1, 7, 50_000)]
+    shifts, held = byte_bpe.dealt(keys)
+    assert all(held[(k + shifts[k % len(shifts)]) % len(held)] == k for k in keys) and len(held) - held.count(None) == len(keys) > len(held) // 3
+    assert byte_bpe.dealt([])[1].count(None) == len(byte_bpe.dealt([])[1])
+
+
 def test_spotsigs(docs, empty):
     rows = sorted(docs.dropDuplicates(["doc_id"]).collect(), key=lambda r: -(r.doc_id if r.doc_id is not None else -1))
     got = {r.doc_id: r for r in spotsigs.edits(docs.dropDuplicates(["doc_id"])).collect()}
