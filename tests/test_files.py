@@ -39,3 +39,21 @@ def test_odd_keys_and_cells_come_back(spark, tmp_path):
     assert cells(ours) == cells(native) and [r.split("'")[1] for r in cells(ours)[:2]] == ["a b+c%20", "a/b"]
     S.write_by_key(table.limit(0), ours, ["pid"], "idx")
     assert not written(ours) and S.read_log(spark, ours).count() == 0
+
+
+def test_short_files_are_read_whole_and_long_ones_by_line(spark, tmp_path, monkeypatch):
+    """Every short file was opened for its lines, which took most of the time; both ways give what Spark's reader gives."""
+    schema = "idx int, x double, text string"
+    cells = ["idx,x,text\n0,1.5,a\n1,,b\n", "idx,x,text\r\n0,2.5,\"a,b\"\r\n\r\n1,3.5,\"\"", "\ufeffidx,x,text\n  \n7,0.1, é \n", "idx,x,text\n", "", "\n\nidx,x,text\r3,bad,z\r4,1\r", "idx,x,text\n" + "".join(f"{k},{k / 3},{k}\n" for k in range(50))]
+    for k, text in enumerate(cells):
+        (tmp_path / f"part=0/pid={k} [a]").mkdir(parents=True)
+        (tmp_path / f"part=0/pid={k} [a]" / "rows.csv").write_bytes(text.encode())
+    native = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(str(tmp_path))
+    wanted = sorted(str((r.idx, r.x, r.text, r.p.split("pid=")[1][0])) for r in native.select("*", F.col("_metadata.file_path").alias("p")).collect())
+    assert len(wanted) == 57
+    for bound in (S.SHORT, 40, -1):
+        monkeypatch.setattr(S, "SHORT", bound)
+        back = S.read_tracking(spark, str(tmp_path), schema)
+        assert back.columns == ["idx", "x", "text", "pid"] and sorted(str((r.idx, r.x, r.text, r.pid[0])) for r in back.collect()) == wanted
+        plan = back._jdf.queryExecution().toString().lower().replace("from_csv", "").replace(".csv", "")
+        assert ("csv" in plan) == (bound <= 40)
