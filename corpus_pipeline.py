@@ -5,6 +5,9 @@ written as Parquet and read again as the next one's docs. All but the last keep
 
 Defined results: documents without any word fail the quality rules; null texts too; extra columns stay;
 an empty table stays empty through all stages.
+
+Whole texts go to Python in Arrow batches of at most ``common.BATCH_ROWS`` rows: the stages set that for the session, unless it asks
+for fewer.
 """
 
 from __future__ import annotations
@@ -12,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stridewell.llm import host_rules, minhash_dedup, packing, secrets, toxicity
-from stridewell.llm.common import staged
+from stridewell.llm.common import short_batches, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half; learnt from the table of labels."""
+    short_batches(spark)
     return toxicity.keep_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,16 +31,19 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near duplicates (runs of five words, 0.8)."""
+    short_batches(spark)
     return minhash_dedup.keep_documents(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kind."""
+    short_batches(spark)
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document in a training sequence."""
+    short_batches(spark)
     return packing.pack(docs)
 
 

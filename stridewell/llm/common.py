@@ -70,6 +70,18 @@ def workers_import_this(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+#: Most rows of an Arrow batch that holds whole texts.
+BATCH_ROWS = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session; a smaller number set before stays. A batch of whole texts is held
+    on both sides of a Python worker, and Spark's 10,000 rows are tens of MB on each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id (long), the columns ``keep`` and text, null text as the empty one; other columns go."""
     workers_import_this(docs.sparkSession)
