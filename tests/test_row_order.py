@@ -25,7 +25,7 @@ def dealt(spark, tmp_path_factory):
     spark.conf.set(most, before)
 
 
-@pytest.mark.parametrize("name", ["scr_ks2"])
+@pytest.mark.parametrize("name", ["scr_ks2", "cln_onset_label"])
 def test_equals_sql_on_one_thread(spark, dealt, name):
     con = duckdb.connect(config={"threads": 1})
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{dealt}/lineitem.parquet/*.parquet'")
